@@ -1,0 +1 @@
+"""Streaming of the engine, as DataFrame transformations."""
