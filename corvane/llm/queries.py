@@ -2,26 +2,47 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corvane.llm.common import read_table
 from corvane.llm.exact_dedup import exact_dedup
+from corvane.llm.line_dedup import drop_repeated_lines
+from corvane.llm.mixing import Mix, mix_sources
+from corvane.llm.packing import pack
+from corvane.llm.quality_rules import fit_rules, quality_report
 from corvane.llm.simhash import simhash_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[function.__name__] = function
+    return function
+
+
+@query
+def op2_pack_ffd(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(read_table(spark, folder, "documents"))
+
+
+@query
 def op3_simhash_pivots(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_groups(read_table(spark, folder, "documents"))
 
 
+@query
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    return quality_report(docs, fit_rules(docs, read_table(spark, folder, "labels")))
+
+
+@query
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(read_table(spark, folder, "documents"), digest_all=True)
 
 
-QUERIES["op3_simhash_pivots"] = op3_simhash_pivots
-QUERIES["op7_exact_dedup"] = op7_exact_dedup
 SQL["op7_exact_dedup"] = r"""
 WITH n AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents
@@ -33,3 +54,28 @@ SELECT doc_id,
        sha256(t) AS text_sha256
 FROM n
 """
+
+
+def source_domain() -> Column:
+    """The domain of a source: by the number in its name, web below 8, books below 14, reference above; else other."""
+    number = F.regexp_extract(F.coalesce("source", F.lit("")), r"(\d+)$", 1).try_cast("int")
+    return F.when(number < 8, "web").when(number < 14, "books").when(number.isNotNull(), "reference").otherwise("other")
+
+
+#: Half of all tokens: web, books and reference at 5:3:2, English at 3 to 1 of each other language, sources alike.
+CORPUS_MIX = Mix(
+    levels=("domain", "lang", "source"),
+    weights={("web",): 5.0, ("books",): 3.0, ("reference",): 2.0, ("web", "en"): 3.0, ("books", "en"): 3.0, ("reference", "en"): 3.0},
+)
+
+
+@query
+def op8_mix_budgets(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mix_sources(read_table(spark, folder, "documents"), CORPUS_MIX, level_columns={"domain": source_domain()})
+    return mixed.select("doc_id", source_domain().alias("domain"), "lang", "source", "n_tokens", "epoch")
+
+
+@query
+def op10_line_runs(spark: SparkSession, folder: str) -> DataFrame:
+    done = drop_repeated_lines(read_table(spark, folder, "documents"))
+    return done.select("doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
