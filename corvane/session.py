@@ -1,5 +1,9 @@
 """The Spark session that tests, benches and scripts use."""
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -22,3 +26,20 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, driver_
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Give the executors this package, once per application, as they may not have it installed."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = Path(__file__).parent
+        target = Path(tempfile.mkdtemp(prefix="corvane-")) / "corvane.zip"
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+            for file in sorted(package.rglob("*.py")):
+                archive.write(file, file.relative_to(package.parent))
+        spark.sparkContext.addPyFile(str(target))
+        _shipped.add(app)
+    return spark
