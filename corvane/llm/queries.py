@@ -5,13 +5,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import read_table
+from corvane.llm.common import read_table, shared_path
 from corvane.llm.exact_dedup import exact_dedup
+from corvane.llm.language_id import fit_languages, held_out, identify
 from corvane.llm.line_dedup import drop_repeated_lines
 from corvane.llm.mixing import Mix, mix_sources
 from corvane.llm.packing import pack
 from corvane.llm.quality_rules import fit_rules, quality_report
 from corvane.llm.simhash import simhash_groups
+from corvane.llm.warc import page_records, read_warc, write_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -32,6 +34,32 @@ def op3_simhash_pivots(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_groups(read_table(spark, folder, "documents"))
 
 
+@query
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archive = shared_path(spark, "warc")
+    write_warc(page_records(read_table(spark, folder, "pages")), archive)
+    page = lambda c: F.regexp_extract(c, r"^urn:x-page:(.*)$", 1).try_cast("long")
+    stored = read_warc(spark, archive, payload=True).where("record_type = 'response'")
+    stored = stored.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)}).drop("payload")
+    revisits = read_warc(spark, archive).where("record_type = 'revisit'").drop("payload")
+    return stored.unionByName(revisits).select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
+SQL["op5_warc"] = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS b FROM pages
+), s AS (
+  SELECT page_id, strlen(b) AS payload_bytes, sha256(b) AS payload_digest FROM p
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM s
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+
 @query
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents")
@@ -75,6 +103,13 @@ def op8_mix_budgets(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", source_domain().alias("domain"), "lang", "source", "n_tokens", "epoch")
 
 
+@query
+def op9_language_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    model = fit_languages(docs.where(~held_out()))
+    return identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "langs", "shares")
+
+
 @query
 def op10_line_runs(spark: SparkSession, folder: str) -> DataFrame:
     done = drop_repeated_lines(read_table(spark, folder, "documents"))
