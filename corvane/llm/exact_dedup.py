@@ -33,8 +33,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scan = docs.select(F.col(id_col).alias("_id"), text.alias("_t"))
     sized = settle(scan.select(size.alias("_n"), prefix.alias("_p")), "dedup-sizes")
 
-    by_size = sized.groupBy("_n").count().where("count > 1").select("_n")
-    by_prefix = sized.join(by_size, "_n", "left_semi").groupBy("_n", "_p").count().where("count > 1")
+    pairs = sized.groupBy("_n", "_p").agg(F.count(F.lit(1)).alias("_k"))  # copies are one row from here on
+    by_size = pairs.groupBy("_n").agg(F.sum("_k").alias("_k")).where("_k > 1").select("_n")
+    by_prefix = pairs.join(by_size, "_n", "left_semi").where("_k > 1")
     bucket = F.pmod(F.xxhash64("_n", "_p"), F.lit(sieve_buckets))
     sieve = settle(by_prefix.select(bucket.alias("_b")).distinct(), "dedup-sieve")
 

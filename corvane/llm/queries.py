@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import read_table, shared_path
 from corvane.llm.exact_dedup import exact_dedup
+from corvane.llm.html_text import extract_text
 from corvane.llm.language_id import fit_languages, held_out, identify
 from corvane.llm.line_dedup import drop_repeated_lines
 from corvane.llm.mixing import Mix, mix_sources
+from corvane.llm.ordinal import fit_ordinal, grade, rating
 from corvane.llm.packing import pack
 from corvane.llm.quality_rules import fit_rules, quality_report
 from corvane.llm.simhash import simhash_groups
@@ -24,6 +26,11 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
+@query
+def op1_page_differencing(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_text(read_table(spark, folder, "pages"))
+
+
 @query
 def op2_pack_ffd(spark: SparkSession, folder: str) -> DataFrame:
     return pack(read_table(spark, folder, "documents"))
@@ -34,6 +41,13 @@ def op3_simhash_pivots(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_groups(read_table(spark, folder, "documents"))
 
 
+@query
+def op4_ordinal_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    ratings = read_table(spark, folder, "labels").withColumn("grade", rating())
+    return grade(docs, fit_ordinal(docs, ratings, n_grades=3))
+
+
 @query
 def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     archive = shared_path(spark, "warc")
