@@ -14,7 +14,7 @@ OTHER = FACTORS[-1]
 
 def csv_items(text: Column) -> Column:
     """The trimmed, non-empty items of a comma-separated list."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def strings(*values: str) -> Column:
@@ -24,7 +24,7 @@ def strings(*values: str) -> Column:
 def valid_tags(raw: Column, most: int = 3, allowed: tuple[str, ...] = FACTORS, other: str = OTHER) -> Column:
     """Known tags, trimmed, each once, at most `most` of them; then `other` goes if a specific tag is there, and stands
     for an empty or null list."""
-    known = F.filter(F.transform(F.array_compact(raw), F.trim), lambda x: F.array_contains(strings(*allowed), x))
+    known = F.filter(F.transform(F.array_compact(raw), lambda x: F.trim(x)), lambda x: F.array_contains(strings(*allowed), x))
     some = F.array_remove(F.slice(F.array_distinct(known), 1, most), other)
     return F.when(F.coalesce(F.size(some), F.lit(0)) > 0, some).otherwise(strings(other))
 
