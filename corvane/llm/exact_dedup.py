@@ -45,7 +45,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     full = settle(read.select("_id", F.coalesce("_hit", F.lit(False)).alias("_hit"), F.when(wanted, F.sha2("_t", 256)).alias("_h")), "dedup-hashes")
 
     hit = full.where("_hit")
-    groups = hit.groupBy("_h").agg(F.min("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = settle(hit.groupBy("_h").agg(F.min("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "dedup-groups")  # so that the join below can be split
     found = hit.join(groups, "_h").select("_id", "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), "_h")
     alone = full.where(~F.col("_hit")).select("_id", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "_h")
     return found.unionByName(alone).withColumnsRenamed({"_id": id_col, "_h": "text_sha256"})
