@@ -93,8 +93,10 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     place = F.struct("id", "th", "at")
     shared = marks.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("fp")
+    shared = settle(shared, "shared")  # a plain scan, so that the join can split a hot fingerprint; so below
     likely = settle(marks.join(shared, "fp", "left_semi").select("id", "th", "first", "gram"), "likely")
     earliest = likely.groupBy("gram").agg(F.min(F.struct("id", "th", "first")).alias("e"), F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "e")
+    earliest = settle(earliest, "earliest")
     later = likely.join(earliest, "gram").where(F.struct("id", "th", "first") != F.col("e"))
     diagonal = ["id", "th", F.col("e.id").alias("from_id"), F.col("e.th").alias("from_th"), (F.col("first") - F.col("e.first")).alias("shift")]
     diagonals = settle(later.groupBy(*diagonal).agg(F.collect_list("first").alias("starts")), "matches")
