@@ -7,8 +7,9 @@ from corvane.llm.common import settle
 
 
 def _smallest(pairs: DataFrame) -> DataFrame:
-    """For each u, the smallest of itself and its v."""
-    return pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    """For each u, the smallest of itself and its v; settled, so that the join with it can split the rows of a hot u."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return settle(least, "least")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
