@@ -126,7 +126,8 @@ def read_members(data: bytes, wanted: Callable[[dict[str, str]], bool], payloads
         headers = _headers(raw[:end])
         take = wanted(headers)
         if not size or take and payloads:
-            raw += inflate.decompress(inflate.unconsumed_tail) + inflate.flush()
+            while not inflate.eof and (more := inflate.decompress(inflate.unconsumed_tail)):
+                raw += more
         if take:
             body = None
             if payloads and headers.get("warc-type") != "revisit":
@@ -268,6 +269,7 @@ def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     rows = rows.withColumns({"payload_digest": F.sha2("payload", 256), "payload_bytes": F.octet_length("payload").cast("long")})
     marks = settle(rows.where((F.col("payload_bytes") >= least) & F.col("_id").isNotNull()).select("_id", "payload_digest"), "digests")
     first = marks.groupBy("payload_digest").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first <> _last").drop("_last")
+    first = settle(first, "firsts")  # a plain scan, so that the join can split a hot payload
     again = marks.join(first, "payload_digest").where("_id <> _first").select("_id", "payload_digest", "_first").distinct()
     joined = rows.join(settle(again, "revisits"), ["_id", "payload_digest"], "left")
     revisit = F.col("_first").isNotNull()
