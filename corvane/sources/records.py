@@ -34,10 +34,11 @@ EXTRACTIONS = {
 
 def read_json_records(spark: SparkSession, folder: str, schema: str = SECTION) -> tuple[DataFrame, DataFrame]:
     """(records, broken): one JSON document per file, folders below included; broken files by path and text."""
-    reader = spark.read.schema(f"{schema}, _corrupt_record string").option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("mode", "PERMISSIVE")
-    rows = reader.json(folder).withColumn("path", F.col("_metadata.file_path"))
-    bad = F.col("_corrupt_record").isNotNull()
-    return rows.where(~bad).drop("_corrupt_record"), rows.where(bad).select("path", "_corrupt_record")
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(folder, wholetext=True)
+    bad = F.try_parse_json("value").isNull()
+    rows = files.select("value", F.col("_metadata.file_path").alias("path"))
+    good = rows.where(~bad).select(F.from_json("value", schema).alias("r"), "path").select("r.*", "path")
+    return good, rows.where(bad).select("path", F.col("value").alias("text"))
 
 
 def discover(records: DataFrame) -> DataFrame:
