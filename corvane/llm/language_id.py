@@ -9,13 +9,13 @@ Learning counts all rows that may be learned from, aggregated before anything is
 languages by buckets, of fixed size, and goes to the tasks with the function that uses it.
 """
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest
@@ -28,22 +28,30 @@ SMOOTHING = 0.2
 #: What one more language costs, times the logarithm of the number of words.
 PENALTY = 3.0
 ROUNDS = 25
-#: Distinct words held in a task, for counts and for likelihoods.
+#: Distinct words whose counts a task holds while it learns.
 HELD_WORDS = 300_000
-#: Words that are inferred at a time.
-AT_ONCE = 200_000
+#: Likelihoods that a task holds, and that it works on at a time: words times languages.
+HELD_VALUES = 1_200_000
+VALUES_AT_ONCE = 800_000
 
-_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def buckets_of(word: str) -> list[int]:
-    """The buckets of a word's n-grams, its ends marked."""
-    marked = f"^{word}$"
-    return [xxh32_intdigest(marked[i : i + NGRAM].encode("utf-8", "surrogatepass")) % BUCKETS for i in range(max(1, len(marked) - NGRAM + 1))]
+def buckets_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of the n-grams of words, their ends marked, one word after the other; and how many each has."""
+    held, out, sizes = {}, [], []
+    for word in words:
+        marked = f"^{word}$"
+        grams = [marked[i : i + NGRAM] for i in range(len(marked) - NGRAM + 1)]
+        out += grams
+        sizes.append(len(grams))
+    for gram in set(out):
+        held[gram] = xxh32_intdigest(gram.encode("utf-8", "surrogatepass")) % BUCKETS
+    return np.fromiter(map(held.__getitem__, out), np.int64, len(out)), np.array(sizes, np.int64)
 
 
 @dataclass(frozen=True)
@@ -59,9 +67,9 @@ def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def flush() -> Iterator[pd.DataFrame]:
             for lang, words in seen.items():
-                sums = np.zeros(BUCKETS, np.int64)
-                for word, n in words.items():
-                    np.add.at(sums, buckets_of(word), n)
+                at, sizes = buckets_of(list(words))
+                often = np.fromiter(words.values(), np.int64, len(words))
+                sums = np.bincount(at, weights=np.repeat(often, sizes), minlength=BUCKETS).astype(np.int64)
                 at = np.flatnonzero(sums)
                 yield pd.DataFrame({"lang": lang, "bucket": at.astype(np.int32), "n": sums[at]})
 
@@ -91,20 +99,22 @@ class Likelihoods:
 
     def __init__(self, model: Languages):
         self.table, self.at, self.rows = model.table.T.copy(), {}, np.empty((1024, len(model.names)))
+        self.most, self.part = max(1, HELD_VALUES // len(model.names)), max(1, VALUES_AT_ONCE // 4 // len(model.names))
 
     def of(self, words: list[str]) -> np.ndarray:
-        if len(self.at) > HELD_WORDS:
+        if len(self.at) > self.most:
             self.at = {}
-        out = np.empty(len(words), np.int64)
-        for i, word in enumerate(words):
-            k = self.at.get(word)
-            if k is None:
-                k = self.at[word] = len(self.at)
-                if k >= len(self.rows):
-                    self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
-                self.rows[k] = self.table[buckets_of(word)].sum(axis=0)
-            out[i] = k
-        return self.rows[out]
+        new = [w for w in dict.fromkeys(words) if w not in self.at]
+        if new:
+            first, end = len(self.at), len(self.at) + len(new)
+            while end > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
+            self.at.update(zip(new, range(first, end)))
+            for start in range(0, len(new), self.part):
+                part = new[start : start + self.part]
+                at, sizes = buckets_of(part)
+                self.rows[first + start : first + start + len(part)] = np.add.reduceat(self.table[at], np.r_[0, np.cumsum(sizes)[:-1]])
+        return self.rows[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))]
 
 
 def mixtures(logs: np.ndarray, counts: np.ndarray, starts: np.ndarray, allowed: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +187,7 @@ def identify(docs: DataFrame, model: Languages, id_col: str = "doc_id", text_col
             some = [c for c in found if c]
             shares = iter(())
             if some:
-                logs = np.concatenate([held.of(list(c)) for c in some])
+                logs = held.of([w for c in some for w in c])
                 counts = np.concatenate([np.fromiter(c.values(), float, len(c)) for c in some])
                 shares = iter(best_mixtures(logs, counts, np.r_[0, np.cumsum([len(c) for c in some])[:-1]]))
             out = []
@@ -195,7 +205,7 @@ def identify(docs: DataFrame, model: Languages, id_col: str = "doc_id", text_col
             for text in batch["text"]:
                 waiting.append(Counter(words_of(text)))
                 size += len(waiting[-1])
-                if size > AT_ONCE:
+                if size * len(names) > VALUES_AT_ONCE:
                     rows, waiting, size = rows + close(waiting), [], 0
             rows += close(waiting)
             yield pd.concat([batch[["id"]], pd.DataFrame(rows, columns=["lang_pred", "score", "langs", "shares"], index=batch.index)], axis=1)
