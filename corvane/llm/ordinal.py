@@ -21,11 +21,13 @@ from xxhash import xxh32_intdigest
 BITS = 18
 SAMPLE_ROWS = 20_000
 #: A score is the sum of a document's weights over its number of features to this power.
-DAMPING = 0.35
+DAMPING = 0.2
 #: Letters of a word's beginning that count as a feature of their own.
 PREFIX = 4
+#: Rows of average grade that every feature is taken to have besides its own.
+STEADY = 5
 #: The tail probability from which a document is selected.
-LEVEL = 0.6
+LEVEL = 0.5
 #: Distinct tokens whose features a task keeps at hand.
 HELD_TOKENS = 400_000
 _TRIM = b".,;:!?()[]{}\"'*#$%&|<>-_/\\"
@@ -84,18 +86,24 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -50, 50)))
 
 
-def learn_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, epochs: int = 15, rate: float = 16.0, shrink: float = 1e-6, batch: int = 64, balance: float = 0.5, least_seen: int = 30, seed: int = 3) -> OrdinalModel:
+def learn_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, epochs: int = 15, rate: float = 50.0, shrink: float = 1e-6, batch: int = 64, balance: float = 0.5, least_seen: int = 30, seed: int = 3) -> OrdinalModel:
     """Maximum likelihood by decaying gradient steps over shuffled batches; the gaps between thresholds stay positive as exponentials.
-    A row weighs the inverse of its grade's frequency to the power of `balance`. Features of fewer than
-    `least_seen` rows (or a two hundredth of all, if less) keep a weight of zero: they only serve to learn rows by heart."""
+    A row weighs the inverse of its grade's frequency to the power of `balance`. A feature's
+    weight moves at the square of how far the mean grade of its rows is from the overall mean (in deviations, shrunk for
+    rare ones), and not at all if it has fewer than `least_seen` rows (or a two hundredth of all, if less): features that
+    tell nothing would only serve to learn rows by heart."""
     rng = np.random.default_rng(seed)
     w = np.zeros(1 << BITS)
     share = np.clip(np.cumsum(np.bincount(grades, minlength=n_grades))[:-1] / max(len(grades), 1), 1e-3, 1 - 1e-3)
     start = np.log(share / (1 - share))
     free = np.r_[start[:1], np.log(np.maximum(np.diff(start), 0.1))]  # first threshold, then logs of the gaps
     f2 = np.full(len(free), 1e-3)
-    sizes = np.array([len(r) for r in rows])
-    known = np.bincount(np.concatenate(rows) if rows else [], minlength=1 << BITS) >= max(1, min(least_seen, len(rows) // 200))
+    sizes = np.array([len(r) for r in rows], np.int64)
+    flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
+    seen = np.bincount(flat, minlength=1 << BITS)
+    centred = (grades - grades.mean()) / max(grades.std(), 1e-9) if len(rows) else np.empty(0)
+    telling = np.bincount(flat, weights=np.repeat(centred, sizes), minlength=1 << BITS) / (seen + STEADY)
+    pace = telling**2 * (seen >= max(1, min(least_seen, len(rows) // 200)))
     often = np.bincount(grades, minlength=n_grades) / max(len(grades), 1)
     weigh = (np.maximum(often, 1e-9) ** -balance)[grades]
     weigh /= weigh.mean() if len(weigh) else 1
@@ -121,7 +129,7 @@ def learn_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, epo
             dt = dt[1:-1]
             df = np.r_[dt.sum(), [dt[k:].sum() * gaps[k - 1] for k in range(1, len(dt))]]
             grad = np.bincount(idx, weights=np.repeat(ds * scale, n), minlength=1 << BITS)
-            w -= step * (grad * known + shrink * w)
+            w -= step * pace * (grad + shrink * w)
             f2 += df**2
             free -= 0.1 * df / np.sqrt(f2)
     return OrdinalModel(w.astype(np.float32), free[0] + np.r_[0, np.cumsum(np.exp(free[1:]))])
