@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest
@@ -86,8 +87,10 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -50, 50)))
 
 
-def learn_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, epochs: int = 15, rate: float = 50.0, shrink: float = 1e-6, batch: int = 64, balance: float = 0.5, least_seen: int = 30, seed: int = 3) -> OrdinalModel:
-    """Maximum likelihood by decaying gradient steps over shuffled batches; the gaps between thresholds stay positive as exponentials.
+def learn_ordinal(flat: np.ndarray, sizes: np.ndarray, grades: np.ndarray, n_grades: int, epochs: int = 15, rate: float = 50.0, shrink: float = 1e-6, batch: int = 64, balance: float = 0.5, least_seen: int = 30, seed: int = 3) -> OrdinalModel:
+    """The model of rows whose sorted features stand one after the other in `flat`, `sizes` of them each.
+
+    Maximum likelihood by decaying gradient steps over shuffled batches; the gaps between thresholds stay positive as exponentials.
     A row weighs the inverse of its grade's frequency to the power of `balance`. A feature's
     weight moves at the square of how far the mean grade of its rows is from the overall mean (in deviations, shrunk for
     rare ones), and not at all if it has fewer than `least_seen` rows (or a two hundredth of all, if less): features that
@@ -98,21 +101,24 @@ def learn_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, epo
     start = np.log(share / (1 - share))
     free = np.r_[start[:1], np.log(np.maximum(np.diff(start), 0.1))]  # first threshold, then logs of the gaps
     f2 = np.full(len(free), 1e-3)
-    sizes = np.array([len(r) for r in rows], np.int64)
-    flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
-    seen = np.bincount(flat, minlength=1 << BITS)
-    centred = (grades - grades.mean()) / max(grades.std(), 1e-9) if len(rows) else np.empty(0)
-    telling = np.bincount(flat, weights=np.repeat(centred, sizes), minlength=1 << BITS) / (seen + STEADY)
-    pace = telling**2 * (seen >= max(1, min(least_seen, len(rows) // 200)))
+    n_rows, starts = len(sizes), np.r_[0, np.cumsum(sizes)]
+    row = lambda i: flat[starts[i] : starts[i + 1]]
+    centred = (grades - grades.mean()) / max(grades.std(), 1e-9) if n_rows else np.empty(0)
+    seen, telling = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for at in range(0, n_rows, 1000):  # rows at a time: the counts' own copies stay small
+        part = flat[starts[at] : starts[min(at + 1000, n_rows)]]
+        seen += np.bincount(part, minlength=1 << BITS)
+        telling += np.bincount(part, weights=np.repeat(centred[at : at + 1000], sizes[at : at + 1000]), minlength=1 << BITS)
+    pace = (telling / (seen + STEADY)) ** 2 * (seen >= max(1, min(least_seen, n_rows // 200)))
     often = np.bincount(grades, minlength=n_grades) / max(len(grades), 1)
     weigh = (np.maximum(often, 1e-9) ** -balance)[grades]
     weigh /= weigh.mean() if len(weigh) else 1
-    for epoch in range(epochs if len(rows) else 0):
+    for epoch in range(epochs if n_rows else 0):
         step = rate / (1 + 4 * epoch / epochs)
-        order = rng.permutation(len(rows))
+        order = rng.permutation(n_rows)
         for at in range(0, len(order), batch):
             some = order[at : at + batch]
-            idx, n = np.concatenate([rows[i] for i in some]), sizes[some]
+            idx, n = np.concatenate([row(i) for i in some]), sizes[some]
             scale = n.astype(float) ** -DAMPING
             s = np.add.reduceat(w[idx], np.r_[0, np.cumsum(n)[:-1]]) * scale
             gaps = np.exp(free[1:])
@@ -148,9 +154,14 @@ def fit_ordinal(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str
             yield pd.DataFrame({"id": batch["_id"], "g": batch["_g"], "f": [make.of(t) for t in batch["_t"]]})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    sample = read.mapInPandas(features, f"id {kind}, g int, f array<int>").toPandas()
-    sample = sample.assign(size=sample["f"].map(len)).sort_values(["id", "g", "size"], ignore_index=True)
-    return learn_ordinal([np.asarray(f, np.int32) for f in sample["f"]], sample["g"].to_numpy(np.int64), n_grades, **options)
+    sample = read.mapInPandas(features, f"id {kind}, g int, f array<int>").toArrow().combine_chunks()  # at most sample_rows
+    lists = sample["f"].combine_chunks() if sample.num_rows else pa.array([], pa.list_(pa.int32()))
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    keys = sample.select(["id", "g"]).to_pandas().assign(size=sizes, at=np.arange(len(sizes))).sort_values(["id", "g", "size"])
+    order = keys["at"].to_numpy()
+    flat = lists.take(pa.array(order)).flatten().to_numpy(zero_copy_only=False)
+    return learn_ordinal(flat, sizes[order], keys["g"].to_numpy(np.int64), n_grades, **options)
 
 
 def grade(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", tail: int | None = None, level: float = LEVEL) -> DataFrame:

@@ -60,7 +60,7 @@ def test_ordinal_model_orders_grades():
     rows = [np.unique(rng.integers(1000, 3000, 30)).astype(np.int32) for _ in range(1500)]
     grades = rng.integers(0, 3, 1500)
     rows = [np.r_[g, r].astype(np.int32) for g, r in zip(grades, rows)]  # feature number g marks grade g
-    model = learn_ordinal(rows, grades, 3)
+    model = learn_ordinal(np.concatenate(rows), np.array([len(r) for r in rows]), grades, 3)
     assert (np.diff(model.thresholds) > 0).all() and model.weights[0] < model.weights[1] < model.weights[2]
     s = np.array([model.weights[r].sum() / len(r) ** DAMPING for r in rows])
     tails = model.tails(s)
