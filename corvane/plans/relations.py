@@ -276,7 +276,7 @@ def _edges(spark, folder):
 @query("inverted_index", f"WITH {_EDGES} SELECT key, iid, min(struct_pack(rank := rank, pos := pos)).rank::INT AS role FROM e GROUP BY key, iid")
 def inverted_index(spark, folder):
     """One edge for each key and instruction, with its best role: title before sources before directions."""
-    return _edges(spark, folder).groupBy("key", "iid").agg(F.min(F.struct("rank", "pos")).alias("m")).select("key", "iid", F.col("m.rank").alias("role"))
+    return _edges(spark, folder).groupBy("key", "iid").agg(F.min("rank").alias("role"))
 
 
 @query("top_keys", f"WITH {_EDGES} SELECT key, count(*) AS n, min(iid) AS first_seen FROM e GROUP BY key ORDER BY n DESC, first_seen, key LIMIT 50")
