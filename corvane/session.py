@@ -28,11 +28,17 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, driver_
     return spark
 
 
+#: Arrow batches of texts are kept small: a task holds several copies of one. The first value is Spark's default.
+ARROW_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m")
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Give the executors this package, once per application, as they may not have it installed."""
+    """Give the executors this package, once per application, as they may not have it installed; limit the bytes of an
+    Arrow batch where the session leaves Spark's default."""
+    key, default, limit = ARROW_BYTES
+    if spark.conf.get(key) == default:
+        spark.conf.set(key, limit)
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         package = Path(__file__).parent
