@@ -76,7 +76,8 @@ def _counts(texts: pd.Series) -> pd.DataFrame:
 
 def with_counts(docs: DataFrame, text_col: str = "text", into: str = "_counts") -> DataFrame:
     """`docs` and a struct column of the counts of each text."""
-    return docs.withColumn(into, F.pandas_udf(_counts, ", ".join(f"{c} long" for c in COUNTS))(F.col(text_col)))
+    counts = F.pandas_udf(_counts, ", ".join(f"{c} long" for c in COUNTS)).asNondeterministic()  # so that a filter on it doesn't count again
+    return docs.withColumn(into, counts(F.col(text_col)))
 
 
 def _share(a: str, b: str):
