@@ -143,7 +143,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     runs = repeated_runs(docs, id_col, text_col, window_words)
     left = docs.withColumn("_th", F.xxhash64(F.coalesce(text_col, F.lit(""))))
     joined = left.alias("_d").join(runs.alias("_r"), F.col("_d._th").eqNullSafe(F.col("_r.th")) & F.col(f"_d.{id_col}").eqNullSafe(F.col("_r.id")), "left")
-    without = F.pandas_udf(_without, "text string, n_lines long, removed array<long>")
+    without = F.pandas_udf(_without, "text string, n_lines long, removed array<long>").asNondeterministic()
     edited = joined.select("_d.*", F.col("_r.runs").alias("_runs"), without(F.col(f"_d.{text_col}"), F.col("_r.runs.first"), F.col("_r.runs.last")).alias("_e"))
     columns = [F.col("_e.text").alias(c) if c == text_col else F.col(c) for c in docs.columns]
     return edited.select(*columns, F.col("_e.n_lines").alias("n_lines"), F.col("_e.removed").alias("removed_lines"), F.col("_runs").alias("runs"))
