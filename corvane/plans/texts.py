@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from corvane.functions import citations, text
 from corvane.functions.arrays import csv_items, json_in, valid_tags
 from corvane.functions.chunking import chunk_documents
+from corvane.operators import joins
 from corvane.operators.ranking import best_by, plain_section_key, section_key
 from corvane.plans.catalog import query, table
 
@@ -28,16 +29,16 @@ def first_occurrence(spark, folder):
 SELECT b.item_id, d.doc_id, strpos(d.text, b.text) - 1 AS start, strpos(d.text, b.text) - 1 + length(b.text) AS "end" FROM benchmark b JOIN documents d ON contains(d.text, b.text)
 """)
 def quote_verify(spark, folder):
-    """Benchmark passages found word for word. A passage and a document that holds it share the words that follow one
-    another at the passage's start, so the join is on these; the containment check then sees few pairs."""
-    lead = 4
-    words = F.split(text.squeeze(F.col("text")), " ")
-    items = table(spark, folder, "benchmark").withColumn("w", F.slice(words, 2, lead)).where(F.size("w") == lead)
-    items = items.select("item_id", F.col("text").alias("quote"), F.array_join("w", " ").alias("k"))
-    docs = table(spark, folder, "documents").withColumn("w", words)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - lead + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, lead), " ")))
-    grams = docs.select("doc_id", F.explode(grams).alias("k"))
-    pairs = grams.join(items, "k").select("doc_id", "item_id", "quote").distinct()
+    """Benchmark passages found word for word. A document that holds a passage holds its longest inner word as a word of its
+    own, so the join is on that word; the containment check then sees few pairs. Passages of less than three words have no
+    inner word and aren't looked for."""
+    words = F.split("text", r"\s+")
+    items = table(spark, folder, "benchmark").withColumn("w", words).where(F.size("w") >= 3)
+    longest = F.array_max(F.transform(F.slice("w", 2, F.size("w") - 2), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    items = items.select("item_id", F.col("text").alias("quote"), longest.alias("k"))
+    docs = table(spark, folder, "documents")
+    held = docs.select("doc_id", F.explode(F.array_distinct(words)).alias("k"))
+    pairs = held.join(joins.small_side(items), "k").select("doc_id", "item_id", "quote")
     found = docs.select("doc_id", "text").join(pairs, "doc_id")
     at = text.quote_offset(F.col("quote"), F.col("text"))
     return found.withColumn("at", at).where("at is not null").select("item_id", "doc_id", F.col("at.start").alias("start"), F.col("at.end").alias("end"))
