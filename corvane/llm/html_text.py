@@ -50,8 +50,8 @@ _MARKS = set(
     "recommended recommendations widget toolbar pagination pager skip".split()
 )
 _HEADS = {"header", "site-header", "page-header", "siteheader", "pageheader", "topbar"}
-#: Shared lines are looked for among so many lines of each page at a time, by longest common subsequence.
-BLOCK_LINES = 2000
+#: Longest common subsequences are read from a table of at most so many cells; longer sequences are halved first.
+TABLE_CELLS = 4_000_000
 
 
 def _marked(attrs: str) -> tuple[bool, bool, bool]:
@@ -155,7 +155,7 @@ def page_lines(html: str | None) -> list[tuple[str, bool, bool]]:
 
 def common_lines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which lines of `a` lie on a longest common subsequence with `b` (both as hashes). Equal beginnings and ends are
-    set aside first; what is left is aligned in blocks of BLOCK_LINES."""
+    set aside first; what is left is aligned whole."""
     shared = np.zeros(len(a), bool)
     n = min(len(a), len(b))
     head = n if (a[:n] == b[:n]).all() else int(np.argmin(a[:n] == b[:n]))
@@ -167,15 +167,25 @@ def common_lines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x, y = a[head : len(a) - tail], b[head : len(b) - tail]
     in_both = np.isin(x, y)
     keep_x, keep_y = np.flatnonzero(in_both), np.flatnonzero(np.isin(y, x))
-    for start in range(0, max(len(keep_x), 1), BLOCK_LINES):
-        part, other = keep_x[start : start + BLOCK_LINES], y[keep_y[start : start + BLOCK_LINES]]
-        if len(part) and len(other):
-            shared[head + part[_lcs(x[part], other)]] = True
+    shared[head + keep_x[_lcs(x[keep_x], y[keep_y])]] = True
     return shared
 
 
+def _lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Lengths of longest common subsequences of `x` with each beginning of `y`."""
+    row = np.zeros(len(y) + 1, np.int32)
+    for v in x:
+        row[1:] = np.maximum(np.maximum.accumulate(np.where(v == y, row[:-1] + 1, 0)), row[1:])
+    return row
+
+
 def _lcs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Positions in `x` of a longest common subsequence of two sequences."""
+    """Positions in `x` of a longest common subsequence of two sequences. Where the table of lengths would have more than
+    TABLE_CELLS cells, `x` is halved and `y` cut where the halves' lengths add up to the most (Hirschberg)."""
+    if len(x) > 1 and len(x) * len(y) > TABLE_CELLS:
+        half = len(x) // 2
+        cut = int(np.argmax(_lengths(x[:half], y) + _lengths(x[half:][::-1], y[::-1])[::-1]))
+        return np.r_[_lcs(x[:half], y[:cut]), half + _lcs(x[half:], y[cut:])]
     table = np.zeros((len(x) + 1, len(y) + 1), np.int32)
     for i in range(1, len(x) + 1):
         step = np.where(x[i - 1] == y, table[i - 1, :-1] + 1, 0)

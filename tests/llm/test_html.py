@@ -29,6 +29,22 @@ def test_alignment_is_a_longest_common_subsequence(a, b):
     assert all(x in it for x in kept) and len(kept) == lcs(a, b)
 
 
+def test_long_pages_are_aligned_whole():
+    a = np.arange(5000) % 2600
+    b = np.r_[9999, np.full(2500, 7), a, 9998]
+    assert common_lines(a, b).all()
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 4), max_size=14), st.lists(st.integers(0, 4), max_size=14))
+def test_halved_alignment_is_a_longest_common_subsequence(a, b):
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr("corvane.llm.html_text.TABLE_CELLS", 6)
+        shared = common_lines(np.array(a, np.int64), np.array(b, np.int64))
+    kept, it = [x for x, s in zip(a, shared) if s], iter(b)
+    assert all(x in it for x in kept) and len(kept) == lcs(a, b)
+
+
 def text(html, shared=()):
     return content(page_lines(html), np.array(shared, np.int64))
 
