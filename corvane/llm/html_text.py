@@ -7,7 +7,8 @@ notices and footers that a template puts on both.
 
 Markup decides where differencing can't. Scripts, styles, forms, navigation, side bars, comments and the like are never
 content. Where a page marks its content (article, main), the lines inside are content even if a neighbour has them too:
-pages that copy each other's articles share them as well. Pages of equal lines say nothing about each other.
+pages that copy each other's articles share them as well. Pages of equal lines say nothing about each other: those of one
+host are one sequence, which is compared with the next other one, and all of them take its shared lines.
 
 Neighbours are found by a range sort of narrow rows (host, path, line hashes) over the whole table, so a host with a
 third of all pages is spread like any other; where the order passes from one partition to the next, the rows next to the
@@ -255,7 +256,8 @@ def _difference(row: tuple, before: tuple | None, after: tuple | None) -> tuple
 
 
 def shared_lines(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """(page, th, partner, shared): for each distinct (id, html) with a partner, the numbers of its shared lines."""
+    """(page, th, partner, shared): for each distinct (id, html) with a partner, the numbers of its shared lines. The
+    partner has other lines than the page."""
     kind = pages.schema[id_col].dataType.simpleString()
     side = f"page {kind}, th long, host string, path string, hashes array<long>"
 
@@ -288,7 +290,10 @@ def shared_lines(pages: DataFrame, id_col: str, url_col: str, html_col: str) ->
     host, path = host_and_path(url_col)
     body = F.coalesce(F.col(html_col), F.lit(""))
     read = pages.select(F.col(id_col).alias("page"), F.xxhash64(body).alias("th"), host.alias("host"), path.alias("path"), body.alias("html"))
-    rows = settle(read.mapInPandas(hashed, side).dropDuplicates(["page", "th"]), "page-lines")
+    lines = settle(read.mapInPandas(hashed, side).withColumn("seq", F.xxhash64("host", "hashes")), "page-lines")
+    least = F.min(F.struct("path", "page")).alias("least")
+    one = lines.groupBy("seq").agg(least, F.first("host").alias("host"), F.first("hashes").alias("hashes"))
+    rows = settle(one.select("least.page", F.col("seq").alias("th"), "host", "least.path", "hashes"), "page-sequences")
     ranged = rows.repartitionByRange(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "host", "path", "page", "th")
     ranged = ranged.sortWithinPartitions("host", "path", "page", "th").withColumn("part", F.spark_partition_id())
     found = settle(ranged.mapInPandas(pair, f"page {kind}, th long, partner {kind}, shared array<long>, part long, last long, at long, host string, path string, hashes array<long>"), "page-pairs")
@@ -309,7 +314,10 @@ def shared_lines(pages: DataFrame, id_col: str, url_col: str, html_col: str) ->
         else:
             late += [_difference(first[0], before, first[1]), _difference(last[-1], last[-2], after)]
     rest = [(x[0], x[1], x[2], [int(v) for v in x[3]]) for x in late if x]
-    return inside.unionByName(pages.sparkSession.createDataFrame(rest, f"page {kind}, th long, partner {kind}, shared array<long>"))
+    every = inside.unionByName(pages.sparkSession.createDataFrame(rest, f"page {kind}, th long, partner {kind}, shared array<long>"))
+    every = settle(every.select(F.col("th").alias("seq"), "partner", "shared"), "sequence-pairs")  # a plain scan, so that the join can split a hot sequence
+    of_page = settle(lines.groupBy("page", "th").agg(F.min(F.struct("host", "path", "seq")).alias("s")).select("page", "th", "s.seq"), "page-keys")
+    return of_page.join(every, "seq").select("page", "th", "partner", "shared")
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -317,7 +325,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     row of `pages`.
 
     Null and empty html give an empty text. Rows with equal id and html are one page: they get equal results and aren't
-    partners of each other. A page without another on its host has no partner and loses nothing to differencing. Null
+    partners of each other. A page without another of other lines on its host has no partner and loses nothing to differencing. Null
     urls are of one host without a name. Null ids sort first. Other columns are ignored; an empty table gives an empty
     result. Texts are whole: no block is capped.
     """

@@ -89,6 +89,13 @@ def test_differencing_drops_template_lines_without_marked_content(spark):
         assert rows[r.partner][1].split("/")[2] == r.url.split("/")[2]
 
 
+def test_copies_are_compared_with_the_next_other_page(spark):
+    page = "<p>menu</p><p>own {}</p><p>notice</p>"
+    rows = [(i, f"http://h/a?v={i}", page.format("a")) for i in range(9)] + [(20 + i, f"http://h/b/{i}", page.format("b")) for i in range(5)]
+    got = sorted((r.page_id, r.text, r.partner, r.n_shared) for r in extract_text(make(spark, rows)).collect())
+    assert got == [(i, "own a", 20, 2) for i in range(9)] + [(20 + i, "own b", 0, 2) for i in range(5)]
+
+
 def test_marked_content_and_copies_stay(spark):
     body = "<article><h1>T</h1><p>same article</p></article>"
     rows = [(1, "http://h/a", PAGE.format(n=1, body=body)), (2, "http://h/b", PAGE.format(n=1, body=body)), (3, "http://h/c", PAGE.format(n=2, body=body))]
