@@ -17,16 +17,19 @@ def _n():
 
 
 @query("instruction_parts", """
-SELECT p_partkey, p_partkey::VARCHAR AS number, 'Turning ' || p_size AS title, 'Body ' || p_name AS instruction_text, 'Use ' || p_brand AS directions_for_use, '• one ' || p_size || chr(10) || '• two' AS sources_and_authority,
-       '' AS secondary_sources, 2 AS n_bullets, 'one ' || p_size AS context
-FROM part WHERE p_partkey < 1000
+SELECT p_partkey, p_partkey::VARCHAR AS number, 'Turning ' || p_size AS title, 'Body ' || p_name AS instruction_text, 'Use ' || p_brand AS directions_for_use,
+       '• Penal Code section ' || p_size || chr(10) || '• see Veh. Code, § ' || p_size || '(a)' AS sources_and_authority, '' AS secondary_sources, 2 AS n_bullets, 'see Veh. Code, § ' || p_size || '(a)' AS context
+FROM part
 """)
 def instruction_parts(spark, folder):
-    made = F.concat(F.lit("Body "), "p_name", F.lit("\nNew September 2003; Revised May 2020\n\nDirections for Use\nUse "), "p_brand", F.lit("\n\n  Sources and Authority  \n• one "), _n(), F.lit("\n• two\n"))
+    made = F.concat(
+        F.lit("Body "), "p_name", F.lit("\nNew September 2003; Revised May 2020\n\nDirections for Use\nUse "), "p_brand",
+        F.lit("\n\n  Sources and Authority  \n• Penal Code section "), _n(), F.lit("\n• see Veh. Code, § "), _n(), F.lit("(a)\n"),
+    )
     title = parsers.instruction_title(F.concat(_i(), F.lit(".  Turning "), _n(), F.lit(" ")))
-    rows = table(spark, folder, "part").where("p_partkey < 1000").select(_i(), title.alias("t"), parsers.instruction_parts(made).alias("p"), _n())
+    rows = table(spark, folder, "part").select(_i(), title.alias("t"), parsers.instruction_parts(made).alias("p"), _n())
     found = parsers.bullets(F.col("p.sources_and_authority"))
-    return rows.select("p_partkey", "t.*", "p.*", F.size(found).alias("n_bullets"), parsers.citing_bullet(found, _n().cast("string")).alias("context"))
+    return rows.select("p_partkey", "t.*", "p.*", F.size(found).alias("n_bullets"), parsers.citing_bullet(found, F.lit("VEH"), _n().cast("string")).alias("context"))
 
 
 @query("script_metadata", """
@@ -116,10 +119,16 @@ def cited_statutes(spark, folder):
     return joined.where(right).select("reply", "doc_id").distinct()
 
 
-@query("jurisdiction_mentions", "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'CA' WHEN turn % 3 = 1 THEN 'NY,TX' ELSE '' END AS mentioned FROM conversations")
+@query("jurisdiction_mentions", r"""
+WITH t AS (SELECT conv_id, turn, ' ' || regexp_replace(replace(lower(text || CASE turn % 3 WHEN 0 THEN ' in California' WHEN 1 THEN ' New York or Texas' ELSE ' here' END), '.', ''), '[^a-z0-9]+', ' ', 'g') AS t FROM conversations)
+SELECT conv_id, turn, array_to_string(list_filter([
+  CASE WHEN regexp_matches(t, ' (california|calif|cal veh)') THEN 'CA' END, CASE WHEN regexp_matches(t, ' (new york|n ?y (veh|vat)|vehicle and traffic law)') THEN 'NY' END,
+  CASE WHEN regexp_matches(t, ' (texas|tex transp|transportation code)') THEN 'TX' END], lambda x: x IS NOT NULL), ',') AS mentioned
+FROM t
+""")
 def jurisdiction_mentions(spark, folder):
     k = F.col("turn") % 3
-    said = F.concat(F.left("text", F.lit(5)), F.when(k == 0, " in California").when(k == 1, " New York or Texas").otherwise(" here"))
+    said = F.concat("text", F.when(k == 0, " in California").when(k == 1, " New York or Texas").otherwise(" here"))
     return table(spark, folder, "conversations").select("conv_id", "turn", F.array_join(parsers.mentioned(said), ",").alias("mentioned"))
 
 
