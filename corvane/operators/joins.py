@@ -36,9 +36,16 @@ def in_wide_range(points: DataFrame, spans: DataFrame, at: str, start: str, end:
     return found.where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end)))
 
 
-def small_side(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
-    """The table marked for broadcast if it has at most so many rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+def bytes_of(df: DataFrame) -> Column:
+    """The sum of the sizes of all rows, as the length of their JSON."""
+    return F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))), F.lit(0))
+
+
+def small_side(df: DataFrame, most_rows: int = 100_000, most_bytes: int = 32 << 20) -> DataFrame:
+    """The table marked for broadcast if it has at most so many rows and bytes; else as it is, for a shuffled join."""
+    some = df.limit(most_rows + 1)
+    n, size = some.agg(F.count(F.lit(1)), bytes_of(some)).first()
+    return F.broadcast(df) if n <= most_rows and size <= most_bytes else df
 
 
 def missing_from(expected: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:

@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.session import settle
+
 KEYWORD_WEIGHT = 0.6
 
 
@@ -29,6 +31,17 @@ def first_per(df: DataFrame, keys: list[str], *order) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def numbered(df: DataFrame, order: list[str], into: str) -> DataFrame:
+    """`df` with each row's place in an order, from 1. The table is sorted by ranges, so no task sees more than a range;
+    a row's place is its place in its range and the rows of the ranges before (one count for each range)."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    ranged = settle(ranged, "ranges")  # ranges come from a sample, and another run may draw them elsewhere
+    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ranged.withColumn("_at", inside).join(F.broadcast(before), "_part").withColumn(into, (F.col("_at") + F.col("_before")).cast("long")).drop("_part", "_at", "_before")
+
+
 def section_key(section: Column) -> Column:
     """Sort key of a section number: its numeric parts, suffix letters, and star marks. Dashed and dotted forms of all
     kinds are numbers in turn ("42-4-1801", "484B.067", "1146-a", "*1146", "545.001"); what has no leading number is

@@ -419,13 +419,13 @@ def user_turn(spark, folder):
 
 
 @query("result_block", """
-SELECT p_partkey, '[' || row_number() OVER (ORDER BY p_partkey) || '] ' || p_name || ' (' || p_brand || ')' AS line FROM part WHERE p_partkey < 200
+SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, '[' || row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) || '] ' || l_partkey || ' (' || l_suppkey || ')' AS line FROM lineitem
 """)
 def result_block(spark, folder):
-    """Numbered lines for a tool's answer, over a result page of bounded size."""
-    page = table(spark, folder, "part").where("p_partkey < 200")
-    n = F.row_number().over(Window.orderBy("p_partkey"))
-    return page.select("p_partkey", F.format_string("[%d] %s (%s)", n, "p_name", "p_brand").alias("line"))
+    """Numbered lines for a tool's answer: each order is an answer, its items are the lines."""
+    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    line = F.format_string("[%d] %d (%d)", n, "l_partkey", "l_suppkey")
+    return table(spark, folder, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), line.alias("line"))
 
 
 @query("tag_lists", "SELECT d.doc_id, array_to_string(list_distinct(list_filter([d.lang, d.source, CASE WHEN l.toxic = 1 THEN 'toxic' END, d.lang], lambda x: x IS NOT NULL)), '') IS NOT NULL AS has_tags, CASE WHEN l.toxic = 1 THEN 3 ELSE 2 END AS n FROM documents d LEFT JOIN labels l USING (doc_id)")

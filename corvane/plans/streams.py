@@ -1,21 +1,13 @@
 """Streams over the events table, run to their end, and a round trip of records through files."""
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from corvane.plans.catalog import query, table
+from corvane.session import shared_path
 from corvane.sources.records import SECTION, read_json_lines, unified, write_json_lines
 from corvane.streaming.manifests import append_new, deduplicated, windowed_counts
 
 
-def _scratch(spark, label):
-    """A new folder under spark.checkpoint.dir, or a local one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
-
-
 def _stream(spark, folder):
     schema = table(spark, folder, "events").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(folder)
@@ -23,7 +15,7 @@ def _stream(spark, folder):
 
 
 def _finished(spark, stream, label, mode="append"):
-    out = _scratch(spark, label)
+    out = shared_path(spark, label)
     done = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     done.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
@@ -48,7 +40,7 @@ def stream_dedupe(spark, folder):
 @query("stream_manifest", "SELECT event_id, event_type FROM events")
 def stream_manifest(spark, folder):
     """Records appended once, though the stream is started twice without its state."""
-    out = _scratch(spark, "stream-manifest")
+    out = shared_path(spark, "stream-manifest")
     for run in (1, 2):
         append_new(_stream(spark, folder).select("event_id", "event_type"), f"{out}/rows", ["event_id"], f"{out}/state-{run}").awaitTermination()
     return spark.read.parquet(f"{out}/rows").select("event_id", "event_type")
@@ -64,7 +56,7 @@ def consolidate_roundtrip(spark, folder):
     empty = spark.createDataFrame([], SECTION)
     sections = docs.select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in empty.schema])
     records = unified(sections)
-    out = _scratch(spark, "consolidated")
+    out = shared_path(spark, "consolidated")
     write_json_lines(records, out)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in records.schema)
     back = read_json_lines(spark, out, schema)

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 from corvane.functions import citations, text
 from corvane.functions.arrays import csv_items, json_in, valid_tags
 from corvane.functions.chunking import chunk_documents
-from corvane.operators import joins
-from corvane.operators.ranking import best_by, plain_section_key, section_key
+from corvane.operators.quotes import find_quotes
+from corvane.operators.ranking import numbered, plain_section_key, section_key
 from corvane.plans.catalog import query, table
 
 
@@ -22,26 +22,30 @@ def sha_dedupe(spark, folder):
 
 @query("first_occurrence", "SELECT doc_id, text FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1")
 def first_occurrence(spark, folder):
-    return best_by(table(spark, folder, "documents").withColumn("sha", F.sha2("text", 256)), ["sha"], [F.col("doc_id")]).select("doc_id", "text")
+    """Ids are found first; texts stay where they are, and only those of the ids found come back."""
+    docs = table(spark, folder, "documents")
+    first = docs.groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("doc_id").alias("doc_id"))
+    return docs.join(first, (docs["doc_id"] == first["doc_id"]) & (F.sha2(docs["text"], 256) == first["sha"]), "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])
 
 
 @query("quote_verify", """
 SELECT b.item_id, d.doc_id, strpos(d.text, b.text) - 1 AS start, strpos(d.text, b.text) - 1 + length(b.text) AS "end" FROM benchmark b JOIN documents d ON contains(d.text, b.text)
 """)
 def quote_verify(spark, folder):
-    """Benchmark passages found word for word. A document that holds a passage holds its longest inner word as a word of its
-    own, so the join is on that word; the containment check then sees few pairs. Passages of less than three words have no
-    inner word and aren't looked for."""
-    words = F.split("text", r"\s+")
-    items = table(spark, folder, "benchmark").withColumn("w", words).where(F.size("w") >= 3)
-    longest = F.array_max(F.transform(F.slice("w", 2, F.size("w") - 2), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
-    items = items.select("item_id", F.col("text").alias("quote"), longest.alias("k"))
+    """Benchmark passages found word for word."""
+    return find_quotes(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("short_quotes", """
+WITH q AS (SELECT doc_id AS item_id, regexp_extract(text, '^\\S+') || CASE WHEN doc_id % 40 = 0 THEN '' ELSE regexp_extract(text, '^\\S+( \\S+)', 1) END AS text FROM documents WHERE doc_id % 20 = 0)
+SELECT q.item_id, d.doc_id, strpos(d.text, q.text) - 1 AS start, strpos(d.text, q.text) - 1 + length(q.text) AS "end" FROM q JOIN documents d ON contains(d.text, q.text) WHERE q.text <> ''
+""")
+def short_quotes(spark, folder):
+    """The first word or two of every twentieth document, looked for in all documents."""
     docs = table(spark, folder, "documents")
-    held = docs.select("doc_id", F.explode(F.array_distinct(words)).alias("k"))
-    pairs = held.join(joins.small_side(items), "k").select("doc_id", "item_id", "quote")
-    found = docs.select("doc_id", "text").join(pairs, "doc_id")
-    at = text.quote_offset(F.col("quote"), F.col("text"))
-    return found.withColumn("at", at).where("at is not null").select("item_id", "doc_id", F.col("at.start").alias("start"), F.col("at.end").alias("end"))
+    first, second = F.regexp_extract("text", r"^\S+", 0), F.regexp_extract("text", r"^\S+( \S+)", 1)
+    asked = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("item_id"), F.concat(first, F.when(F.col("doc_id") % 40 == 0, "").otherwise(second)).alias("text"))
+    return find_quotes(docs, asked)
 
 
 _CHUNKS = """
@@ -84,14 +88,16 @@ def snippet_ellipsis(spark, folder):
     )
 
 
-@query("trim_display", r"""
-WITH c AS (SELECT doc_id, substr(text, 11, 200) AS t FROM documents WHERE length(text) > 300), s AS (SELECT doc_id, regexp_replace(t, '^\s+|\s+$', '', 'g') AS t FROM c),
-b AS (SELECT doc_id, '… ' || ltrim(regexp_replace(t, '(?s)^\S{0,29}\s(.*)$', '\1')) AS t FROM s)
-SELECT doc_id, CASE WHEN regexp_matches(t, '[.!?"'')\]]$') THEN t ELSE regexp_replace(t, '(?s)^(.*?)\s+\S{0,28}$', '\1 …') END AS shown FROM b
-""")
+@query("trim_display", _CHUNKS.replace("SELECT doc_id, idx AS chunk_idx", r""", t AS (
+  SELECT doc_id, idx AS chunk_idx, CASE WHEN length(text) > 500 THEN trim(substr(text, pos + 1, e - pos), chr(32) || chr(10) || chr(9) || chr(13)) ELSE text END AS t FROM c WHERE idx >= 0
+), s AS (SELECT doc_id, chunk_idx, regexp_replace(t, '^\s+|\s+$', '', 'g') AS t FROM t
+), b AS (SELECT doc_id, chunk_idx, CASE WHEN chunk_idx > 0 THEN '… ' || ltrim(regexp_replace(t, '(?s)^\S{0,29}\s(.*)$', '\1')) ELSE t END AS t FROM s)
+SELECT doc_id, chunk_idx, md5(CASE WHEN regexp_matches(t, '[.!?"'')\]]$') THEN t ELSE regexp_replace(t, '(?s)^(.*?)\s+\S{0,28}$', '\1 …') END) AS shown_md5 FROM b
+--""", 1))
 def trim_display(spark, folder):
-    docs = table(spark, folder, "documents").where(F.length("text") > 300)
-    return docs.select("doc_id", text.display_chunk(F.substring("text", 11, 200), F.lit(True), F.lit(True)).alias("shown"))
+    """Every chunk as a result list shows it, without the words cut at its edges."""
+    chunks = chunk_documents(table(spark, folder, "documents"), "doc_id", "text")
+    return chunks.select("doc_id", F.col("chunk_idx").cast("long"), F.md5(text.display_chunk(F.col("text"), F.col("chunk_idx") > 0, F.lit(True))).alias("shown_md5"))
 
 
 _SECTIONS = "CASE p_partkey % 6 WHEN 0 THEN {a} WHEN 1 THEN {b} WHEN 2 THEN {c} WHEN 3 THEN {d} WHEN 4 THEN {e} ELSE {f} END"
@@ -113,14 +119,12 @@ m AS (SELECT *, regexp_matches(section, '^\*?(\d+)(?:\.(\d+))?(?:-([A-Za-z]+))?(
 k AS (SELECT *, regexp_extract(section, '^\*?(\d+)(?:\.(\d+))?(?:-([A-Za-z]+))?(?:\*(\d+))?$', ['a', 'b', 'c', 'd']) AS g FROM m)
 SELECT p_partkey, section, row_number() OVER (ORDER BY coalesce(try_cast(g.a AS BIGINT), 1000000000), coalesce(try_cast(g.b AS BIGINT), 0), upper(g.c), coalesce(try_cast(g.d AS BIGINT), 0),
        CASE WHEN ok AND starts_with(section, '*') THEN 1 ELSE 0 END, section, p_partkey) AS place
-FROM k QUALIFY place <= 100
+FROM k
 """)
 def natural_section_sort(spark, folder):
-    """The first hundred sections in natural order: a top-k, so only a hundred rows of each task meet and are numbered."""
-    from pyspark.sql import Window
-
-    first = _section_numbers(spark, folder).withColumn("k", plain_section_key(F.col("section"))).orderBy("k", "p_partkey").limit(100)
-    return first.select("p_partkey", "section", F.row_number().over(Window.orderBy("k", "p_partkey")).cast("long").alias("place"))
+    """All sections with their places in natural order."""
+    rows = _section_numbers(spark, folder).withColumn("k", plain_section_key(F.col("section")))
+    return numbered(rows, ["k", "p_partkey"], "place").select("p_partkey", "section", "place")
 
 
 @query("section_keys", r"""

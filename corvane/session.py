@@ -1,10 +1,11 @@
 """The Spark session that tests, benches and scripts use."""
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, driver_memory: str = "6g", **conf: str) -> SparkSession:
@@ -49,3 +50,33 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(str(target))
         _shipped.add(app)
     return spark
+
+
+_own_root: dict[str, str] = {}
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir. Where that is unset, one of our own for this application, if driver and
+    executors are one process; else RuntimeError, as a folder of one machine would lose rows."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return _own_root.setdefault(context.applicationId, f"file://{tempfile.mkdtemp(prefix='spark-settled-')}")
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path under the shared folder; it goes when the driver's JVM ends."""
+    path = f"{shared_root(spark)}/settled/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: the lineage ends there, and lost executors cost nothing."""
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
