@@ -5,10 +5,12 @@ of one host are put in the order of their URL paths, and each is paired with the
 beginning. The two pages' lines are aligned by a longest common subsequence, and the lines that they share go: menus,
 notices and footers that a template puts on both.
 
-Markup decides where differencing can't. Scripts, styles, forms, navigation, side bars, comments and the like are never
-content. Where a page marks its content (article, main), the lines inside are content even if a neighbour has them too:
-pages that copy each other's articles share them as well. Pages of equal lines say nothing about each other: those of one
-host are one sequence, which is compared with the next other one, and all of them take its shared lines.
+Markup decides what differencing can't. Scripts, styles, forms, navigation, side bars, comments and the like are never
+content, also where a page fills them with words of its own. Lines of marked content (article, main) are content even if
+a neighbour has them too: pages that copy each other's articles, or open them alike, share such lines as well. All else is
+differencing's to decide: lines outside the marked content, all lines of pages that mark none, and lines in the marked
+content whose class or id only looks like a mark ("share-price"). Pages of equal lines say nothing about each other: those
+of one host are one sequence, which is compared with the next other one, and all of them take its shared lines.
 
 Neighbours are found by a range sort of narrow rows (host, path, line hashes) over the whole table, so a host with a
 third of all pages is spread like any other; where the order passes from one partition to the next, the rows next to the
@@ -44,22 +46,25 @@ _DROPPED = _RAW | set("head noscript template svg math canvas object video audio
 _PAGE_ONLY = {"header"}
 _CONTENT = {"article", "main"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "form"}
-#: Words of class and id values that mark what is no content.
+#: Words of class and id values that mark what is no content: alone, or in any compound ("ad-slot", "comments_list").
 _MARKS = set(
-    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar aside nav navbar navigation menu menubar breadcrumb breadcrumbs footer masthead "
-    "comment comments disqus respond replies cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related "
-    "recommended recommendations widget toolbar pagination pager skip".split()
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored sidebar navbar navigation menubar breadcrumb breadcrumbs masthead comment comments disqus respond cookie cookies "
+    "consent gdpr newsletter subscribe subscription pagination".split()
+)
+#: Words that do so alone only; what lies in their compounds is left to differencing where the page marks it as content.
+_WEAK_MARKS = set(
+    "banner promo promotion aside nav menu footer replies notice notices alert popup modal overlay signup login share sharing social related recommended recommendations widget toolbar pager skip".split()
 )
 _HEADS = {"header", "site-header", "page-header", "siteheader", "pageheader", "topbar"}
 #: Longest common subsequences are read from a table of at most so many cells; longer sequences are halved first.
 TABLE_CELLS = 4_000_000
 
 
-def _marked(attrs: str) -> tuple[bool, bool, bool]:
-    """Whether attributes mark no content, a page header, content."""
+def _marked(attrs: str) -> tuple[bool, bool, bool, bool]:
+    """Whether attributes mark no content, look like it only, mark a page header, mark content."""
     if not _TELLING.search(attrs):
-        return False, False, False
-    out, head, content = False, False, False
+        return False, False, False, False
+    out, doubtful, head, content = False, False, False, False
     for m in _ATTR.finditer(attrs):
         name = (m[1] or m[5]).lower()
         value = (m[2] or m[3] or m[4] or "").lower()
@@ -69,20 +74,25 @@ def _marked(attrs: str) -> tuple[bool, bool, bool]:
             out |= value in _ROLES
             content |= value in ("main", "article")
         elif name in ("class", "id"):
-            names = value.split()
+            names = set(value.split())
             words = {w for n in names for w in re.split(r"[-_:]+", n)}
-            out |= bool(words & _MARKS)
-            head |= bool(_HEADS & {*names})
+            out |= bool(words & _MARKS or names & _WEAK_MARKS)
+            doubtful |= bool(words & _WEAK_MARKS)
+            head |= bool(_HEADS & names)
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             out = True
-    return out, head, content
+    return out, doubtful, head, content
+
 
+Line = tuple[str, bool, bool, bool]
 
-def page_lines(html: str | None) -> list[tuple[str, bool, bool]]:
-    """The non-empty lines of a page: text, whether markup says it is no content, whether it lies in marked content."""
+
+def page_lines(html: str | None) -> list[Line]:
+    """The non-empty lines of a page: text, whether markup says it is no content, whether it lies in marked content, whether
+    it lies there in what only looks like a mark of no content."""
     html = html or ""
-    lines: list[tuple[str, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # of open elements: name, no content, content
+    lines: list[Line] = []
+    stack: list[tuple[str, bool, bool, bool]] = []  # of open elements: name, no content, content, doubtful
     n_open: Counter = Counter()
     parts: list[str] = []
     at, size = 0, len(html)
@@ -92,7 +102,7 @@ def page_lines(html: str | None) -> list[tuple[str, bool, bool]]:
             text = "".join(parts)
             text = " ".join((unescape(text) if "&" in text else text).split())
             if text:
-                lines.append((text, bool(stack) and stack[-1][1], bool(stack) and stack[-1][2]))
+                lines.append((text, *(stack[-1][1:] if stack else (False, False, False))))
             parts.clear()
 
     tag = _TAG
@@ -127,17 +137,18 @@ def page_lines(html: str | None) -> list[tuple[str, bool, bool]]:
                 found = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name)
             if name not in _INLINE:
                 close_line()
-            elif found is not None and stack[found][1] != (stack[found - 1][1] if found else False):
+            elif found is not None and stack[found][1::2] != (stack[found - 1][1::2] if found else (False, False)):
                 close_line()
             if found is not None:
                 n_open.subtract(x[0] for x in stack[found:])
                 del stack[found:]
             continue
-        out, head, content = _marked(attrs)
-        above_out, above_content = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        out, doubtful, head, content = _marked(attrs)
+        above_out, above_content, above_doubt = stack[-1][1:] if stack else (False, False, False)
         content = (content or name in _CONTENT or above_content) and not above_out
-        out = above_out or out or name in _DROPPED or (head or name in _PAGE_ONLY) and not above_content
-        if name not in _INLINE or out != above_out:
+        out = above_out or out or doubtful and not above_content or name in _DROPPED or (head or name in _PAGE_ONLY) and not above_content
+        doubtful = (doubtful or above_doubt) and content and not out
+        if name not in _INLINE or (out, doubtful) != (above_out, above_doubt):
             close_line()
         if name in _RAW:
             stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
@@ -148,7 +159,7 @@ def page_lines(html: str | None) -> list[tuple[str, bool, bool]]:
             if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):  # end where the next of their kind begins
                 if stack and stack[-1][0] == name:
                     n_open[stack.pop()[0]] -= 1
-            stack.append((name, out, content))
+            stack.append((name, out, content, doubtful))
             n_open[name] += 1
     close_line()
     return lines
@@ -203,8 +214,8 @@ def _lcs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.array(out[::-1], np.int64)
 
 
-def _hashes(lines: list[tuple[str, bool, bool]]) -> np.ndarray:
-    return np.fromiter((xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t, _, _ in lines), np.uint64, len(lines)).view(np.int64)
+def _hashes(lines: list[Line]) -> np.ndarray:
+    return np.fromiter((xxh64_intdigest(line[0].encode("utf-8", "surrogatepass")) for line in lines), np.uint64, len(lines)).view(np.int64)
 
 
 def shared_with(own: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -214,12 +225,14 @@ def shared_with(own: np.ndarray, other: np.ndarray) -> np.ndarray:
     return np.flatnonzero(common_lines(own, other))
 
 
-def content(lines: list[tuple[str, bool, bool]], shared: np.ndarray) -> str:
-    """The text of the lines that are content: not shared (unless in marked content) and not marked as anything else.
-    A page with marked content has no other."""
-    gone = set(shared.tolist())
-    marked = any(inside and not out for _, out, inside in lines)
-    return " ".join(t for i, (t, out, inside) in enumerate(lines) if not out and (inside if marked else i not in gone))
+def content(lines: list[Line], shared: np.ndarray | None) -> str:
+    """The text of the lines that are content. Lines that markup calls no content go, plain lines of marked content stay. Of
+    the others those stay that the page doesn't share with its partner; without a partner (`shared` is None), all lines of
+    a page that marks no content, and none of a page that marks some."""
+    gone = set(() if shared is None else shared.tolist())
+    marked = any(inside and not out for _, out, inside, _ in lines)
+    alone = shared is None and marked
+    return " ".join(t for i, (t, out, inside, doubtful) in enumerate(lines) if not out and (inside and not doubtful or not alone and i not in gone))
 
 
 def host_and_path(url_col: str) -> tuple[Column, Column]:
@@ -229,7 +242,7 @@ def host_and_path(url_col: str) -> tuple[Column, Column]:
     return F.lower(F.regexp_extract(rest, r"^([^/?#]*)", 1)), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-_SIDE = ("page", "th", "host", "path", "hashes")
+_KEY = ("page", "th", "host", "path")
 
 
 def _nearer(path: str, before: str | None, after: str | None) -> int:
@@ -244,78 +257,80 @@ def _nearer(path: str, before: str | None, after: str | None) -> int:
     return -1 if common(before) >= common(after) else 1
 
 
-def _difference(row: tuple, before: tuple | None, after: tuple | None) -> tuple | None:
-    """(page, th, partner, shared) of a row between its neighbours in the order; None without a neighbour on its host."""
+def _partner(row: tuple, before: tuple | None, after: tuple | None) -> tuple | None:
+    """The neighbour in the order with which a row (its first values as in _KEY) is compared; None without one on its host."""
     of_host = lambda r: r if r is not None and r[2] == row[2] else None
     before, after = of_host(before), of_host(after)
     side = _nearer(row[3], before and before[3], after and after[3])
-    if not side:
-        return None
-    other = before if side < 0 else after
-    return row[0], row[1], other[0], shared_with(np.asarray(row[4]), np.asarray(other[4]))
+    return None if not side else before if side < 0 else after
 
 
 def shared_lines(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
     """(page, th, partner, shared): for each distinct (id, html) with a partner, the numbers of its shared lines. The
     partner has other lines than the page."""
-    kind = pages.schema[id_col].dataType.simpleString()
-    side = f"page {kind}, th long, host string, path string, hashes array<long>"
+    spark, kind = pages.sparkSession, pages.schema[id_col].dataType.simpleString()
+    whole = {"page": "Int64", "partner": "Int64"} if kind in ("bigint", "int") else {}
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch[["page", "th", "host", "path"]].assign(hashes=[_hashes(page_lines(h)) for h in batch["html"]])
+            yield batch[list(_KEY)].assign(hashes=[_hashes(page_lines(h)) for h in batch["html"]])
+
+    def frame(found: list[tuple], edges: list[tuple]) -> pd.DataFrame:
+        """found: (row, partner) with hashes; edges: (part, last, at, row)."""
+        columns = ["page", "th", "partner", "shared", "part", "last", "at", "host", "path"]
+        data = [(a[0], a[1], b[0], shared_with(np.asarray(a[4]), np.asarray(b[4])), None, None, None, None, None) for a, b in found]
+        data += [(r[0], r[1], None, None, p, e, i, r[2], r[3]) for p, e, i, r in edges]
+        return pd.DataFrame(data, columns=columns).astype({c: "Int64" for c in ("part", "last", "at")} | whole)
 
     def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Differences inside a partition; the two first and two last rows come back for what crosses its borders."""
+        """Differences inside a partition; the keys of the two first and two last rows come back for what crosses its borders."""
         part, rows, first, done = None, [], [], 0
         for batch in batches:
             part = int(batch["part"].iloc[0]) if len(batch) else part
-            for row in zip(*(batch[c] for c in _SIDE)):
+            for row in zip(*(batch[c] for c in (*_KEY, "hashes"))):
                 rows.append(row)
                 if done < 2:
                     first.append(row)
                 done += 1
-            out = [_difference(rows[i], rows[i - 1], rows[i + 1]) for i in range(1, len(rows) - 1)]
-            yield frame([x for x in out if x], [])
+            found = [(rows[i], _partner(rows[i], rows[i - 1], rows[i + 1])) for i in range(1, len(rows) - 1)]
+            yield frame([x for x in found if x[1]], [])
             rows = rows[-2:]
         if done:
-            edges = [(part, 0, i, r) for i, r in enumerate(first)] + [(part, 1, i, r) for i, r in enumerate(rows[-2:])]
-            yield frame([], edges)
+            yield frame([], [(part, 0, i, r) for i, r in enumerate(first)] + [(part, 1, i, r) for i, r in enumerate(rows[-2:])])
 
-    def frame(found: list[tuple], edges: list[tuple]) -> pd.DataFrame:
-        columns = ["page", "th", "partner", "shared", "part", "last", "at", "host", "path", "hashes"]
-        data = [(*x, None, None, None, None, None, None) for x in found] + [(r[0], r[1], None, None, p, e, i, *r[2:]) for p, e, i, r in edges]
-        return pd.DataFrame(data, columns=columns).astype({c: "Int64" for c in ("part", "last", "at")} | ({"page": "Int64", "partner": "Int64"} if kind in ("bigint", "int") else {}))
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            shared = [shared_with(np.asarray(a), np.asarray(b)) for a, b in zip(batch["hashes"], batch["others"])]
+            yield batch[["page", "th", "partner"]].assign(shared=shared)
 
     host, path = host_and_path(url_col)
     body = F.coalesce(F.col(html_col), F.lit(""))
     read = pages.select(F.col(id_col).alias("page"), F.xxhash64(body).alias("th"), host.alias("host"), path.alias("path"), body.alias("html"))
-    lines = settle(read.mapInPandas(hashed, side).withColumn("seq", F.xxhash64("host", "hashes")), "page-lines")
+    lines = settle(read.mapInPandas(hashed, f"page {kind}, th long, host string, path string, hashes array<long>").withColumn("seq", F.xxhash64("host", "hashes")), "page-lines")
     least = F.min(F.struct("path", "page")).alias("least")
     one = lines.groupBy("seq").agg(least, F.first("host").alias("host"), F.first("hashes").alias("hashes"))
     rows = settle(one.select("least.page", F.col("seq").alias("th"), "host", "least.path", "hashes"), "page-sequences")
-    ranged = rows.repartitionByRange(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "host", "path", "page", "th")
+    ranged = rows.repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "host", "path", "page", "th")
     ranged = ranged.sortWithinPartitions("host", "path", "page", "th").withColumn("part", F.spark_partition_id())
-    found = settle(ranged.mapInPandas(pair, f"page {kind}, th long, partner {kind}, shared array<long>, part long, last long, at long, host string, path string, hashes array<long>"), "page-pairs")
+    found = settle(ranged.mapInPandas(pair, f"page {kind}, th long, partner {kind}, shared array<long>, part long, last long, at long, host string, path string"), "page-pairs")
     inside = found.where("part is null").select("page", "th", "partner", "shared")
 
-    edges = found.where("part is not null").select("part", "last", "at", *_SIDE).collect()  # at most four for each partition
-    parts = sorted({e.part for e in edges})
-    late, tails = [], {}
-    for p in parts:
-        take = lambda last: [tuple(e[c] for c in _SIDE) for e in sorted((e for e in edges if e.part == p and e.last == last), key=lambda e: e.at)]  # noqa: B023, E731
-        tails[p] = take(0), take(1)
-    order = [tails[p] for p in parts]
+    edges = found.where("part is not null").select("part", "last", "at", *_KEY).collect()  # at most four keys for each partition
+    of_part: dict[int, tuple[list, list]] = {}
+    for e in sorted(edges, key=lambda e: (e.part, e.last, e.at)):
+        of_part.setdefault(e.part, ([], []))[e.last].append(tuple(e[c] for c in _KEY))
+    order, late = [of_part[p] for p in sorted(of_part)], []
     for i, (first, last) in enumerate(order):
         before = order[i - 1][1][-1] if i else None
         after = order[i + 1][0][0] if i + 1 < len(order) else None
         if len(last) == 1:
-            late.append(_difference(last[0], before, after))
+            late.append((last[0], _partner(last[0], before, after)))
         else:
-            late += [_difference(first[0], before, first[1]), _difference(last[-1], last[-2], after)]
-    rest = [(x[0], x[1], x[2], [int(v) for v in x[3]]) for x in late if x]
-    every = inside.unionByName(pages.sparkSession.createDataFrame(rest, f"page {kind}, th long, partner {kind}, shared array<long>"))
-    every = settle(every.select(F.col("th").alias("seq"), "partner", "shared"), "sequence-pairs")  # a plain scan, so that the join can split a hot sequence
+            late += [(first[0], _partner(first[0], before, first[1])), (last[-1], _partner(last[-1], last[-2], after))]
+    across = spark.createDataFrame([(a[0], a[1], b[0], b[1]) for a, b in late if b], f"page {kind}, th long, partner {kind}, pth long")
+    own, other = rows.select("th", "hashes"), rows.select(F.col("th").alias("pth"), F.col("hashes").alias("others"))
+    across = own.join(F.broadcast(across), "th").join(other, "pth").mapInPandas(compare, f"page {kind}, th long, partner {kind}, shared array<long>")
+    every = settle(inside.unionByName(across).select(F.col("th").alias("seq"), "partner", "shared"), "sequence-pairs")  # a plain scan, so that the join can split a hot sequence
     of_page = settle(lines.groupBy("page", "th").agg(F.min(F.struct("host", "path", "seq")).alias("s")).select("page", "th", "s.seq"), "page-keys")
     return of_page.join(every, "seq").select("page", "th", "partner", "shared")
 
@@ -331,7 +346,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """
 
     def text_of(html: pd.Series, shared: pd.Series) -> pd.Series:
-        return pd.Series([content(page_lines(h), np.asarray([] if s is None else s, np.int64)) for h, s in zip(html, shared)], dtype=object)
+        return pd.Series([content(page_lines(h), None if s is None else np.asarray(s, np.int64)) for h, s in zip(html, shared)], dtype=object)
 
     found = settle(shared_lines(pages, id_col, url_col, html_col), "shared-lines")
     body = F.coalesce(F.col(html_col), F.lit(""))

@@ -45,8 +45,8 @@ def test_halved_alignment_is_a_longest_common_subsequence(a, b):
     assert all(x in it for x in kept) and len(kept) == lcs(a, b)
 
 
-def text(html, shared=()):
-    return content(page_lines(html), np.array(shared, np.int64))
+def text(html, shared=None):
+    return content(page_lines(html), None if shared is None else np.array(shared, np.int64))
 
 
 @pytest.mark.parametrize(
@@ -124,6 +124,71 @@ def test_partner_is_the_nearest_path_however_rows_are_dealt(spark):
     spark.conf.set("spark.sql.shuffle.partitions", 4)
 
 
+ARTICLE = "<p>Welcome</p><article><h1>T</h1><p>{0} one</p><div class='share-price'>{1}</div><div class=ad>buy {0}</div></article><div>{0} goes on</div><p>Call us</p>"
+
+
+def test_differencing_decides_what_markup_leaves_open(spark):
+    """Lines outside an article, and lines in it whose class only looks like a mark, stay unless the neighbour has them."""
+    rows = [(i, f"http://h/{i:02d}", ARTICLE.format(f"own{i}", "Share this" if i < 6 else f"price {i}")) for i in range(12)]
+    got = {r.page_id: r.text for r in extract_text(make(spark, rows)).collect()}
+    assert got == {i: f"T own{i} one {f'price {i} ' if i >= 6 else ''}own{i} goes on" for i in range(12)}
+    lone = extract_text(make(spark, rows[7:8])).first()
+    assert lone.text == "T own7 one" and lone.partner is None
+
+
+def brute_text(rows):
+    """Every page against the nearest path of its host with other lines, by a plain table of lengths."""
+    lines = {(k, h): page_lines(h) for k, _, h in rows}
+    words = lambda r: tuple(x[0] for x in lines[(r[0], r[2])])
+    path = lambda r: re.sub(r"^https?://[^/]*|[?#].*", "", r[1])
+    host = lambda r: r[1].split("/")[2]
+    out = {}
+    for row in rows:
+        firsts = {}
+        for r in sorted(rows, key=lambda r: (path(r), r[0])):
+            if host(r) == host(row):
+                firsts.setdefault(words(r), r)
+        order = sorted(firsts.values(), key=lambda r: (path(r), r[0]))
+        at = order.index(firsts[words(row)])
+        near = [order[i] for i in (at - 1, at + 1) if 0 <= i < len(order)]
+        start = lambda r: len(next(iter([p for p in [path(order[at])[:n] for n in range(len(path(r)), -1, -1)] if path(r).startswith(p)])))  # noqa: B023, E731
+        partner = max(near, key=lambda r: (start(r), r is near[0])) if near else None
+        a, b = words(row), words(partner) if partner else ()
+        shared = np.array(sorted(lcs_places(a, b)), np.int64) if partner else None
+        out[row[0]] = content(lines[(row[0], row[2])], shared)
+    return out
+
+
+def lcs_places(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    i, j, out = len(a), len(b), set()
+    while i and j:
+        if best[i][j] == best[i - 1][j]:
+            i -= 1
+        elif best[i][j] == best[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.add(i)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_texts_match_brute_force(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(70):
+        body = [f"<p>{rng.choice(['menu', 'call us', 'own ' + str(rng.random())])} {k}</p>" for k in range(rng.randrange(6))]
+        if rng.random() < 0.5:
+            body.insert(rng.randrange(len(body) + 1), f"<article><p>story {rng.randrange(30)}</p><div class='menu-card'>{rng.choice('abc')}</div></article>")
+        rows.append((i, f"http://{rng.choice('ab')}.x/{rng.choice('pq')}{rng.randrange(50):02d}/{i:03d}?z", "".join(body)))
+    got = {r.page_id: r.text for r in extract_text(make(spark, rows).repartition(5)).collect()}
+    assert got == brute_text(rows)
+
+
 def test_empty_table(spark):
     assert extract_text(make(spark, [])).count() == 0
     assert htmllib.unescape("&lt;") == "<"
