@@ -1,47 +1,17 @@
-"""What several operators share: settled intermediate tables, white space, and table reading."""
+"""What several operators share: settled intermediate tables, white space, names of columns, and table reading."""
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.session import ship
+from corvane.session import settle, shared_path, ship
+
+__all__ = ["WHITE", "free_name", "local_path", "one_space", "read_table", "settle", "shared_path", "without"]
 
 #: ASCII white space, as a Java and RE2 pattern.
 WHITE = r"[\x20\x09-\x0D]+"
 
-_own_root: dict[str, str] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (tests), one of our own for this application."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_root:
-        _own_root[app] = f"file://{tempfile.mkdtemp(prefix='spark-settled-')}"
-    return _own_root[app]
-
-
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path under the shared folder; it goes when the driver's JVM ends."""
-    path = f"{shared_root(spark)}/settled/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
-
-
-def settle(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: the lineage ends there, and lost executors cost nothing."""
-    path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{folder}/{name}.parquet")
 
@@ -56,3 +26,16 @@ def local_path(uri: str) -> str | None:
     if uri.startswith("file:"):
         return "/" + uri[5:].lstrip("/")
     return os.fspath(uri) if "://" not in uri else None
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores in front until no column of the table has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def without(columns: list[str], *made: str) -> list[str]:
+    """The columns that an operator's own ones of these names don't replace."""
+    return [c for c in columns if c.lower() not in {m.lower() for m in made}]

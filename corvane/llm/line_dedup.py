@@ -1,149 +1,266 @@
-"""Repeated runs of lines, found by winnowing over line hashes.
+"""Repeated lines and passages, found by winnowing.
 
-A document is the sequence of the hashes of its non-blank lines. A window is the shortest stretch of lines, from a given
-line on, with at least `window_words` words; the smallest hash in it is its fingerprint. Equal runs have equal windows,
-so every run of `window_words` or more words that occurs twice has a fingerprint in common, at the same place in it.
+A document is the sequence of the hashes of its words; each word knows whether it begins a line. Two kinds of windows are
+fingerprinted. A line window is the shortest stretch of whole lines, from a given line on, with at least `window_words`
+words; its fingerprint is the hash of the stretch. For passages that begin or end inside lines, the hashes of GRAM words
+in a row are winnowed: of each `passage_words - GRAM + 1` consecutive ones the smallest is a fingerprint, so that every
+passage of `passage_words` words that occurs twice has a fingerprint in common, at the same place in it, and one in some
+eleven words has to be kept. Lines that are passages by themselves have no line window.
 
-Positions are joined in two steps that stay linear in hot fingerprints: fingerprints that occur at one position only
-drop out, and windows are then matched with the earliest window (by id, then line) of equal hashes, never with each
-other in pairs. A match is extended both ways while the lines on both sides stay equal, and the run in the later place
-is deleted. The earliest occurrence of a line always stays.
+Each fingerprint is joined with its earliest place (by id, then word), never with all others in pairs: the join stays
+linear in hot fingerprints. A match is extended both ways, word by word. Of what is equal, a passage of `passage_words` or
+more is deleted in the later place, and of anything shorter its whole lines, if they are lines in the earlier place too
+and have `window_words` words together. Matches travel with slices of both documents around them, at most SPAN words and
+twice REACH; a run that goes on has its next fingerprint within REACH.
+
+What that leaves out: a passage whose fingerprints all have an earlier place that shares GRAM or more words with it but
+less than `passage_words`, while a later place shares it whole.
+
+The earliest occurrence of a word window always stays. A document whose whole text equals an earlier one loses all of it.
 """
 
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from corvane.llm.common import settle
+from corvane.llm.common import free_name, settle, without
 
 WINDOW_WORDS = 10
+PASSAGE_WORDS = 40
+#: Words in a row that are hashed together.
+GRAM = 20
+#: Words by which a match's slice goes on at both ends, and places that share a slice.
+REACH, SPAN = 64, 1024
+
+_MIX = np.random.default_rng(17).integers(0, 1 << 64, GRAM, np.uint64) | np.uint64(1)
+
+
+def word_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word (between ASCII white space), and the numbers of the words that begin lines."""
+    lines = [x for x in (line.split() for line in text.encode("utf-8", "surrogatepass").split(b"\n")) if x]
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    hashes = np.fromiter((xxh64_intdigest(w) for line in lines for w in line), np.uint64, int(sizes.sum()))
+    return hashes, np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64)[: len(lines)]
+
+
+def line_windows(hashes: np.ndarray, starts: np.ndarray, least: int, passage: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word, fingerprint) of each line window, but of lines of `passage` or more words."""
+    bounds = np.r_[starts, len(hashes)]
+    ends = np.searchsorted(bounds, starts + least)
+    some = np.flatnonzero((ends < len(bounds)) & (np.diff(bounds) < passage))
+    raw, marks = hashes.tobytes(), np.zeros(len(hashes) + 1, np.uint64)
+    marks[bounds] = 1
+    keys = np.fromiter((xxh64_intdigest(raw[8 * bounds[i] : 8 * bounds[ends[i]]] + marks[bounds[i] : bounds[ends[i]] + 1].tobytes(), 1) for i in some), np.uint64, len(some))
+    return starts[some], keys
 
 
-def _lines(text: str) -> list[bytes]:
-    return [line.strip() for line in text.encode("utf-8", "surrogatepass").split(b"\n")]
+def _sliding(values: np.ndarray, width: int, of) -> np.ndarray:
+    """`of` (minimum or maximum) each `width` consecutive values."""
+    span = 1
+    while 2 * span <= width:
+        values, span = of(values[:-span], values[span:]), 2 * span
+    return of(values[: len(values) - (width - span)], values[width - span :]) if width > span else values
 
 
-def line_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and number of words of each non-blank line."""
-    lines = [x for x in _lines(text) if x]
-    hashes = np.fromiter(map(xxh64_intdigest, lines), np.uint64, len(lines))
-    return hashes.view(np.int64), np.fromiter((len(x.split()) for x in lines), np.int64, len(lines))
+def winnowed(hashes: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word, fingerprint): the smallest hash of GRAM words among each passage - GRAM + 1 consecutive ones; all of them if
+    several are the smallest."""
+    width = passage - GRAM + 1
+    if len(hashes) < passage:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    n = len(hashes) - GRAM + 1
+    grams = np.zeros(n, np.uint64)
+    for i, factor in enumerate(_MIX):
+        grams += hashes[i : i + n] * factor
+    least = _sliding(grams, width, np.minimum)  # of the windows that begin at each place
+    padded = np.r_[np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)]
+    at = np.flatnonzero(_sliding(padded, width, np.maximum) == grams)
+    return at, grams[at]
 
 
-def windows(hashes: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each line from which a window is full: the position of the fingerprint in it, the fingerprint, and a hash of
-    the whole window."""
-    total = np.r_[0, np.cumsum(words)]
-    ends = np.searchsorted(total, total[:-1] + least, side="left")
-    ends = ends[ends < len(total)]
-    at, grams = np.empty(len(ends), np.int64), np.empty(len(ends), np.uint64)
-    raw = hashes.tobytes()
-    for start, end in enumerate(ends):
-        at[start] = start + int(hashes[start:end].argmin()) if end - start > 1 else start
-        grams[start] = xxh64_intdigest(raw[8 * start : 8 * end], int(end - start))
-    return at, hashes[at], grams.view(np.int64)
+def fingerprints(text: str, window_words: int = WINDOW_WORDS, passage_words: int = PASSAGE_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, places, fingerprints) of a text. A word is 31 bits of its hash and, in the lowest, whether it begins a line."""
+    hashes, starts = word_hashes(text)
+    words = (hashes >> np.uint64(32)).astype(np.uint32) & np.uint32(0xFFFFFFFE)
+    words[starts] |= np.uint32(1)
+    found = line_windows(hashes, starts, window_words, passage_words), winnowed(hashes, passage_words)
+    return words.view(np.int32), np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]).view(np.int64)
 
 
-def extended(a: np.ndarray, b: np.ndarray, shift: int, starts: np.ndarray) -> list[tuple[int, int]]:
-    """Maximal runs [from, to) of `a` around `starts` with a[i] == b[i - shift]."""
-    low, high = max(0, shift), min(len(a), len(b) + shift)
-    same = np.zeros(len(a) + 2, bool)
-    same[low + 1 : high + 1] = a[low:high] == b[low - shift : high - shift]
-    begin, end = np.flatnonzero(same[1:] & ~same[:-1]), np.flatnonzero(~same[1:] & same[:-1])
-    hit = np.unique(np.searchsorted(begin, starts, side="right") - 1)
-    return [(int(begin[i]), int(end[i])) for i in hit]
+def _equal_ahead(a: np.ndarray, b: np.ndarray) -> int:
+    """How many first values are equal."""
+    n, at, step = min(len(a), len(b)), 0, 64
+    while at < n:
+        same = a[at : min(at + step, n)] == b[at : min(at + step, n)]
+        if not same.all():
+            return at + int(same.argmin())
+        at, step = at + len(same), 2 * step
+    return n
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window_words: int = WINDOW_WORDS) -> DataFrame:
-    """(id, th, runs): for each distinct (id, text) with repeated lines, the text's hash and the runs to delete, each
-    as (first, last, from_id, from_first): non-blank lines numbered from 0, and where the run was matched."""
+def _whole_lines(own: np.ndarray, other: np.ndarray, lo: int, hi: int, shift: int, own_end: bool, other_end: bool) -> list[tuple[int, int]]:
+    """Stretches of [lo, hi) that are whole lines, the same ones on both sides. The ends of the slices are line ends where
+    the documents end there."""
+    p = np.arange(lo, hi + 1)
+    mine = np.r_[own, np.int32(own_end)][p] & 1
+    theirs = np.r_[other, np.int32(other_end)][p - shift] & 1
+    either = np.flatnonzero(mine | theirs)
+    both = (mine & theirs)[either].astype(bool)
+    out: list[tuple[int, int]] = []
+    for i in np.flatnonzero(both[:-1] & both[1:]):
+        first, last = lo + int(either[i]), lo + int(either[i + 1])
+        if out and out[-1][1] == first:
+            out[-1] = out[-1][0], last
+        else:
+            out.append((first, last))
+    return out
+
+
+def repeats(own: np.ndarray, other: np.ndarray, at: np.ndarray, from_: np.ndarray, ends: tuple[bool, bool], least: int, passage: int) -> list[tuple[int, int, int]]:
+    """Runs (first, end, shift) of `own` to delete, for matches of place `at` with place `from_` of `other`: shift is what
+    lies between a word and its earlier copy. Matches inside a run that has been found are not extended again."""
+    a, b, out = own | 1, other | 1, []
+    order = np.lexsort((from_, at))
+    done = -1
+    for i, j in zip(at[order].tolist(), from_[order].tolist()):
+        if i + GRAM <= done:
+            continue
+        hi = i + _equal_ahead(a[i:], b[j:])
+        lo = i - _equal_ahead(a[:i][::-1], b[:j][::-1])
+        if hi - lo >= passage:
+            out.append((lo, hi, i - j))
+            done = max(done, hi)
+        elif hi > i:
+            out += [(x, y, i - j) for x, y in _whole_lines(own, other, lo, hi, i - j, *ends) if y - x >= least]
+    return sorted(set(out))
+
+
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window_words: int = WINDOW_WORDS, passage_words: int = PASSAGE_WORDS) -> DataFrame:
+    """(id, th, runs): for each distinct (id, text) with repeats, the text's hash and the runs to delete, each as (first,
+    last, from_id, from_first): words numbered from 0, and where the run was matched. A last word of -1 is the text's last."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            pairs = [line_hashes(t) for t in batch["text"]]
-            yield pd.DataFrame({"id": batch["id"], "th": batch["th"], "hashes": [p[0] for p in pairs], "words": [p[1] for p in pairs]})
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [windows(h, w, window_words) for h, w in zip(batch["hashes"], batch["words"])]
-            n = [len(f[0]) for f in found]
-            if not sum(n):
-                continue
-            yield pd.DataFrame({
-                "id": batch["id"].repeat(n).reset_index(drop=True), "th": batch["th"].repeat(n).to_numpy(), "first": np.concatenate([np.arange(k) for k in n]),
-                "at": np.concatenate([f[0] for f in found]), "fp": np.concatenate([f[1] for f in found]), "gram": np.concatenate([f[2] for f in found]),
-            })
+            found = [fingerprints(t, window_words, passage_words) for t in batch["text"]]
+            yield batch[["id", "th"]].assign(words=[f[0] for f in found], places=[f[1].astype(np.int32) for f in found], keys=[f[2] for f in found])
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for key, th, a, b, other, shift, starts in zip(batch["id"], batch["th"], batch["hashes"], batch["others"], batch["from_id"], batch["shift"], batch["starts"]):
-                rows += [(key, th, lo, hi - 1, other, lo - shift) for lo, hi in extended(np.asarray(a), np.asarray(b), shift, np.asarray(starts))]
+            for r in batch.itertuples(index=False):
+                ends = (r.first + len(r.own) == r.n, r.from_first + len(r.other) == r.from_n)
+                for lo, hi, shift in repeats(np.asarray(r.own), np.asarray(r.other), np.asarray(r.at) - r.first, np.asarray(r.from_at) - r.from_first, ends, window_words, passage_words):
+                    rows.append((r.id, r.th, r.first + lo, r.first + hi - 1, r.from_id, r.from_first + lo - shift))
             yield pd.DataFrame(rows, columns=["id", "th", "first", "last", "from_id", "from_first"]).astype({"id": batch["id"].dtype, "from_id": batch["from_id"].dtype})
 
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    sequences = texts.select("id", F.xxhash64("text").alias("th"), "text").mapInPandas(hashed, f"id {kind}, th long, hashes array<long>, words array<long>")
-    sequences = settle(sequences.dropDuplicates(["id", "th"]), "lines")
-    marks = settle(sequences.mapInPandas(cut, f"id {kind}, th long, first long, at long, fp long, gram long"), "windows")
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    sequences = settle(texts.mapInPandas(hashed, f"id {kind}, th long, words array<int>, places array<int>, keys array<long>"), "words")
+    marks = sequences.select("id", "th", F.explode(F.arrays_zip("places", "keys")).alias("m")).select("id", "th", F.col("m.places").alias("at"), F.col("m.keys").alias("key"))
 
     place = F.struct("id", "th", "at")
-    shared = marks.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("fp")
-    shared = settle(shared, "shared")  # a plain scan, so that the join can split a hot fingerprint; so below
-    likely = settle(marks.join(shared, "fp", "left_semi").select("id", "th", "first", "gram"), "likely")
-    earliest = likely.groupBy("gram").agg(F.min(F.struct("id", "th", "first")).alias("e"), F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "e")
-    earliest = settle(earliest, "earliest")
-    later = likely.join(earliest, "gram").where(F.struct("id", "th", "first") != F.col("e"))
-    diagonal = ["id", "th", F.col("e.id").alias("from_id"), F.col("e.th").alias("from_th"), (F.col("first") - F.col("e.first")).alias("shift")]
-    diagonals = settle(later.groupBy(*diagonal).agg(F.collect_list("first").alias("starts")), "matches")
-
-    arrays = sequences.select("id", "th", "hashes")
-    others = sequences.select(F.col("id").alias("_i"), F.col("th").alias("from_th"), F.col("hashes").alias("others"))
-    sides = diagonals.alias("d").join(others.alias("o"), F.col("d.from_th").eqNullSafe(F.col("o.from_th")) & F.col("d.from_id").eqNullSafe(F.col("o._i"))).select("d.*", "o.others")
-    sides = sides.alias("d").join(arrays.alias("s"), F.col("d.th").eqNullSafe(F.col("s.th")) & F.col("d.id").eqNullSafe(F.col("s.id"))).select("d.id", "d.th", "s.hashes", "others", "from_id", "shift", "starts")
-    runs = sides.mapInPandas(extend, f"id {kind}, th long, first long, last long, from_id {kind}, from_first long")
-    return runs.groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("first", "last", "from_id", "from_first"))).alias("runs"))
-
-
-def _without(texts: pd.Series, firsts: pd.Series, lasts: pd.Series) -> pd.DataFrame:
+    earliest = marks.groupBy("key").agg(F.min(place).alias("e"), F.max(place).alias("last")).where("e <> last").select("key", "e")
+    earliest = settle(earliest, "earliest")  # a plain scan, so that the join can split a hot fingerprint; so below
+    later = marks.join(earliest, "key").where(place != F.col("e")).select("id", "th", "at", F.col("e.id").alias("from_id"), F.col("e.th").alias("from_th"), F.col("e.at").alias("from_at"))
+    later = settle(later, "matches")
+    copies = later.where("th = from_th and not (id <=> from_id)").groupBy("id", "th").agg(F.min("from_id").alias("from_id"))
+    copies = copies.select("id", "th", F.lit(0).cast("long").alias("first"), F.lit(-1).cast("long").alias("last"), "from_id", F.lit(0).cast("long").alias("from_first"))
+
+    parts = later.where("th <> from_th or id <=> from_id")
+    spans = [F.floor(F.col(c) / SPAN) for c in ("at", "from_at")]  # at most SPAN places in a row of what follows
+    parts = settle(parts.groupBy("id", "th", "from_id", "from_th", *(c.alias(f"_s{i}") for i, c in enumerate(spans))).agg(F.collect_list(F.struct("at", "from_at")).alias("m")), "parts")
+    parts = parts.select("id", "th", "from_id", "from_th", F.col("m.at").alias("at"), F.col("m.from_at").alias("from_at"))
+    sides = [parts.select("id", "th"), parts.select(F.col("from_id").alias("id"), F.col("from_th").alias("th"))]
+    needed = settle(sides[0].unionByName(sides[1]).distinct(), "needed")
+    same = lambda l, r, i="id", t="th": F.col(f"{l}.{t}").eqNullSafe(F.col(f"{r}.th")) & F.col(f"{l}.{i}").eqNullSafe(F.col(f"{r}.id"))  # noqa: E731, E741
+    words = settle(sequences.alias("s").join(needed.alias("n"), same("s", "n"), "left_semi").select("id", "th", "words").dropDuplicates(["id", "th"]), "needed-words")
+
+    def sliced(places: str, first: str, into: str, size: str, joined: DataFrame, left: list[str]) -> DataFrame:
+        """Only the words around the places go on."""
+        low, high = F.greatest(F.array_min(places) - REACH, F.lit(0)), F.array_max(places) + GRAM + REACH
+        return joined.select(*left, low.cast("long").alias(first), F.size("words").cast("long").alias(size), F.slice("words", low.cast("int") + 1, (high - low).cast("int")).alias(into))
+
+    columns = ["id", "th", "from_id", "at", "from_at"]
+    joined = parts.alias("p").join(words.alias("w"), same("p", "w", "from_id", "from_th")).select("p.*", "w.words")
+    cut = settle(sliced("from_at", "from_first", "other", "from_n", joined, columns), "slices")
+    joined = cut.alias("p").join(words.alias("w"), same("p", "w")).select("p.*", "w.words")
+    cut = sliced("at", "first", "own", "n", joined, [*columns, "from_first", "other", "from_n"])
+    runs = cut.mapInPandas(extend, f"id {kind}, th long, first long, last long, from_id {kind}, from_first long")
+    return runs.unionByName(copies).groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("first", "last", "from_id", "from_first"))).alias("runs"))
+
+
+_SPACE = " \t\n\r\x0b\x0c"
+
+
+def _kept_words(line: str, gone: np.ndarray) -> str:
+    """The line without the marked words. What stands between two kept words stays."""
+    out, at, word, n = [], 0, 0, len(line)
+    while at < n:
+        begin = at
+        while at < n and line[at] in _SPACE:
+            at += 1
+        end = at
+        while end < n and line[end] not in _SPACE:
+            end += 1
+        if end == at or not gone[word]:
+            out.append(line[begin:end])
+        word, at = word + 1, end
+    kept = "".join(out)
+    return kept.lstrip(_SPACE) if gone[0] else kept
+
+
+def _edited(texts: pd.Series, firsts: pd.Series, lasts: pd.Series) -> pd.DataFrame:
     rows = []
     for text, first, last in zip(texts, firsts, lasts):
         if first is None or not len(first):
-            rows.append((text, 0 if text is None else text.count("\n") + 1, []))
+            rows.append((text, 0 if text is None else text.count("\n") + 1, [], 0))
             continue
         lines = text.split("\n")
-        gone = np.zeros(len(lines) + 1, np.int64)
-        np.add.at(gone, np.asarray(first), 1)
-        np.add.at(gone, np.asarray(last) + 1, -1)
-        gone, ordinal, removed = np.cumsum(gone) > 0, -1, []
-        for i, line in enumerate(lines):
-            if line.strip(" \t\n\r\x0b\x0c"):
-                ordinal += 1
-                if gone[ordinal]:
-                    removed.append(i)
-        out = set(removed)
-        rows.append(("\n".join(x for i, x in enumerate(lines) if i not in out), len(lines), removed))
-    return pd.DataFrame(rows, columns=["text", "n_lines", "removed"])
-
-
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window_words: int = WINDOW_WORDS) -> DataFrame:
-    """`docs` with the later repeats of line runs deleted from the texts, and columns n_lines (of the old text),
-    removed_lines (numbers of the deleted lines, from 0) and runs (see repeated_runs; null if there are none).
-
-    Lines are equal when they are so without white space at their ends. Every run of `window_words` or more words that
-    occurred earlier, in a document with a smaller id or higher up in the same one, is deleted; a blank line is no part
-    of a run and stays. Every row stays, even if all its lines go. Null texts stay null. Rows with equal id and text are
-    one document: they get equal results and aren't repeats of one another. A null id sorts before all others. Other
-    columns are kept as they are. An empty table gives an empty result.
+        sizes = [len(x.encode("utf-8", "surrogatepass").split()) for x in lines]
+        total, at, removed, kept = sum(sizes), 0, [], []
+        change = np.zeros(total + 1, np.int64)
+        np.add.at(change, np.asarray(first), 1)
+        ends = np.asarray(last) + 1
+        np.add.at(change, np.where(ends == 0, total, ends), -1)
+        gone = np.cumsum(change)[:total] > 0
+        for i, (line, n) in enumerate(zip(lines, sizes)):
+            here = gone[at : at + n]
+            at += n
+            if n and here.all():
+                removed.append(i)
+            else:
+                kept.append(_kept_words(line, here) if here.any() else line)
+        rows.append(("\n".join(kept), len(lines), removed, int(gone.sum())))
+    return pd.DataFrame(rows, columns=["text", "n_lines", "removed", "n_words"])
+
+
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window_words: int = WINDOW_WORDS, passage_words: int = PASSAGE_WORDS) -> DataFrame:
+    """`docs` with the later repeats of lines and passages deleted from the texts, and columns n_lines (of the old text),
+    removed_lines (numbers of the lines that went whole, from 0), removed_words and runs (see repeated_runs; null if there
+    are none); these replace columns of the same names.
+
+    Lines and passages are equal when their words are, whatever white space is between them. Every run of whole lines with
+    `window_words` or more words that occurred earlier, in a document with a smaller id or higher up in the same one, is
+    deleted, and so is every passage of `passage_words` words (10 to REACH) wherever in a line it begins. A blank line is
+    no part of a run and stays. Every row stays, even if all its lines go. Null texts stay null; empty texts stay. Rows
+    with equal id and text are one document: they get equal results and aren't repeats of one another. A null id sorts
+    before all others. Texts may be of any length. Other columns are kept as they are. An empty table gives an empty result.
     """
-    runs = repeated_runs(docs, id_col, text_col, window_words)
-    left = docs.withColumn("_th", F.xxhash64(F.coalesce(text_col, F.lit(""))))
-    joined = left.alias("_d").join(runs.alias("_r"), F.col("_d._th").eqNullSafe(F.col("_r.th")) & F.col(f"_d.{id_col}").eqNullSafe(F.col("_r.id")), "left")
-    without = F.pandas_udf(_without, "text string, n_lines long, removed array<long>").asNondeterministic()
-    edited = joined.select("_d.*", F.col("_r.runs").alias("_runs"), without(F.col(f"_d.{text_col}"), F.col("_r.runs.first"), F.col("_r.runs.last")).alias("_e"))
-    columns = [F.col("_e.text").alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return edited.select(*columns, F.col("_e.n_lines").alias("n_lines"), F.col("_e.removed").alias("removed_lines"), F.col("_runs").alias("runs"))
+    if not max(GRAM, window_words) <= passage_words <= REACH:
+        raise ValueError(f"passages have {GRAM} to {REACH} words, and at least those of a window")
+    runs = repeated_runs(docs, id_col, text_col, window_words, passage_words)
+    kept = without(docs.columns, "n_lines", "removed_lines", "removed_words", "runs")
+    own = free_name(docs, "_th")
+    left = docs.withColumn(own, F.xxhash64(F.coalesce(text_col, F.lit(""))))
+    joined = left.alias("_d").join(runs.alias("_r"), F.col(f"_d.{own}").eqNullSafe(F.col("_r.th")) & F.col(f"_d.{id_col}").eqNullSafe(F.col("_r.id")), "left")
+    edit = F.pandas_udf(_edited, "text string, n_lines long, removed array<long>, n_words long").asNondeterministic()  # run once, though it is read four times
+
+    def column(name: str) -> Column:
+        return F.col("_e.text").alias(name) if name == text_col else F.col(f"_k.{name}").alias(name)
+
+    edited = joined.select(F.struct(*(F.col(f"_d.{c}").alias(c) for c in kept)).alias("_k"), F.col("_r.runs").alias("_runs"), edit(F.col(f"_d.{text_col}"), F.col("_r.runs.first"), F.col("_r.runs.last")).alias("_e"))
+    return edited.select(*map(column, kept), F.col("_e.n_lines").alias("n_lines"), F.col("_e.removed").alias("removed_lines"), F.col("_e.n_words").alias("removed_words"), F.col("_runs").alias("runs"))

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from corvane.llm.line_dedup import drop_repeated_lines, windows
+from corvane.llm.line_dedup import GRAM, drop_repeated_lines, winnowed
 
 
 def brute(rows, least):
@@ -70,7 +70,7 @@ def made(seed, docs=60):
 def test_matches_brute_force(docs_of, seed):
     rows = [*made(seed), (900, None), (901, ""), (902, "\n\n"), (3, "a b c\na b c\na b c\na b c\na b c"), (903, "one two three four five six seven eight nine ten"), (904, "x\n one two three four five six seven eight nine ten \ny")]
     rows = [r for i, r in enumerate(rows) if r[0] not in [x[0] for x in rows[:i]]]
-    got = drop_repeated_lines(docs_of(rows).withColumnsRenamed({"lang": "runs_", "source": "th"}), window_words=6)
+    got = drop_repeated_lines(docs_of(rows).withColumnsRenamed({"lang": "runs_", "source": "th"}), window_words=6, passage_words=64)
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == brute(rows, 6)
 
 
@@ -81,21 +81,75 @@ def test_repeated_rows_are_one_document_and_columns_stay(docs_of):
     assert got.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_own_columns_replace_those_of_the_same_name(docs_of):
+    docs = docs_of([(1, "a b c d"), (2, "a b c d\nx")]).withColumnsRenamed({"lang": "runs", "source": "N_Lines", "n_chars": "_th"})
+    got = drop_repeated_lines(docs, window_words=4)
+    assert got.columns == ["doc_id", "text", "_th", "n_lines", "removed_lines", "removed_words", "runs"]
+    assert sorted((r.doc_id, r.text, r._th, r.n_lines, r.removed_lines, r.removed_words) for r in got.collect()) == [(1, "a b c d", 7, 1, [], 0), (2, "x", 9, 2, [0], 4)]
+
+
 def test_run_spans_are_reported(docs_of):
     rows = [(5, "a a a a\nb b b b\nc"), (9, "z\na a a a\nb b b b\nc\nq")]
     runs = {r.doc_id: r.runs for r in drop_repeated_lines(docs_of(rows), window_words=8).collect()}
-    assert runs[5] is None and [tuple(x) for x in runs[9]] == [(1, 3, 5, 0)]
+    assert runs[5] is None and [tuple(x) for x in runs[9]] == [(1, 9, 5, 0)]
 
 
 def test_empty_table(docs_of):
     assert drop_repeated_lines(docs_of([])).count() == 0
 
 
-def test_every_full_window_has_its_minimum_selected():
+def test_whole_copies_of_any_length_go(docs_of):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, long), (2, long), (3, "before " + long + " behind"), (None, "short text"), (4, "short text")]
+    got = {r.doc_id: (r.text, r.removed_words) for r in drop_repeated_lines(docs_of(rows)).collect()}
+    assert got == {1: (long, 0), 2: ("", 60_000), 3: ("before behind", 60_000), None: ("short text", 0), 4: ("short text", 0)}
+
+
+def test_equal_lines_take_linear_time(spark, docs_of):
+    import time
+
+    line = "the same line of twelve words comes again and again in here"
+    began = time.time()
+    got = drop_repeated_lines(docs_of([(1, "\n".join([line] * 100_000)), (2, "own")]))
+    assert {r.doc_id: r.text for r in got.collect()} == {1: line, 2: "own"}
+    assert time.time() - began < 120
+
+
+def passages(seed):
+    """Texts with passages of 40 to 70 words inside their lines, at any place."""
+    rng = random.Random(seed)
+    pool = [[f"p{i}x{j}" for j in range(rng.randrange(40, 71))] for i in range(6)]
+    rows = []
+    for i in range(40):
+        words = [f"o{i}y{j}" for j in range(rng.randrange(30))]
+        for k in range(rng.randrange(3)):
+            words += rng.choice(pool) + [f"o{i}z{k}q{j}" for j in range(rng.randrange(30))]
+        rows.append((i, "".join(w + (rng.choice("\n  ") if rng.random() < 0.1 else " ") for w in words)))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_every_repeated_passage_goes_and_nothing_else(docs_of, seed):
+    rows = passages(seed)
+    seen, want = set(), {}
+    for key, text in rows:
+        words = text.split()
+        grams = [tuple(words[i : i + 40]) for i in range(len(words) - 39)]
+        gone = set()
+        for i, g in enumerate(grams):
+            if g in seen or g in grams[:i]:
+                gone |= set(range(i, i + 40))
+        seen |= set(grams)
+        want[key] = [w for i, w in enumerate(words) if i not in gone]
+    got = drop_repeated_lines(docs_of(rows), window_words=40)
+    assert {r.doc_id: r.text.split() for r in got.collect()} == want
+
+
+def test_every_passage_has_its_minimum_selected():
     rng = np.random.default_rng(3)
-    h, w = rng.integers(-(1 << 62), 1 << 62, 50), rng.integers(1, 9, 50)
-    at, fp, grams = windows(h, w, 20)
-    for i, p in enumerate(at):
-        end = next(j for j in range(i + 1, 51) if w[i:j].sum() >= 20)
-        assert fp[i] == h[i:end].min() == h[p] and i <= p < end
-    assert len(grams) == len(at) and w[len(at) :].sum() < 20
+    h = rng.integers(0, 1 << 62, 400).astype(np.uint64)
+    at, keys = winnowed(h, 40)
+    assert len(at) < 80 and all(any(s <= p <= s + 40 - GRAM for p in at) for s in range(400 - 39))
+    again, same = winnowed(h[100:160], 40)
+    assert set(same) & set(keys) and len(winnowed(h[:39], 40)[0]) == 0
+    assert len(winnowed(np.full(300, 5, np.uint64), 40)[0]) == 281
