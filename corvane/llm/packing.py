@@ -23,6 +23,8 @@ from corvane.llm.common import settle
 LENGTH = 2048
 END_ID = 1
 GROUP_PIECES = 4096
+#: Equal pieces that one row deals out.
+COPIES_AT_ONCE = 1 << 16
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -55,9 +57,11 @@ class Encoder:
     def __call__(self, text: str) -> np.ndarray:
         try:
             return self.fast.encode_to_numpy(text, allowed_special="all")
-        except (KeyboardInterrupt, SystemExit, MemoryError):
+        except MemoryError:
             raise
-        except BaseException:  # noqa: BLE001  the engine's panics aren't Exceptions
+        except BaseException as gave_up:  # noqa: BLE001  the engine's panics aren't Exceptions
+            if not isinstance(gave_up, Exception) and type(gave_up).__name__ != "PanicException":
+                raise
             if self.slow is None:
                 from tokenizers import Tokenizer
 
@@ -113,22 +117,37 @@ def first_fit_decreasing(sizes: np.ndarray, room: int) -> tuple[np.ndarray, np.n
     return bins, offsets
 
 
+def _numbered_copies(pieces: DataFrame) -> DataFrame:
+    """Pieces with the number of each among equal ones, so that the rows of a piece that repeats spread over groups. Equal
+    pieces are counted and dealt out again, COPIES_AT_ONCE of them by one row."""
+    whole = ["id", "start", "length", "ids_crc32", "doc_tokens"]
+    rest = [F.first(c).alias(c) for c in pieces.columns if c not in whole]
+    counted = pieces.groupBy(*whole).agg(F.count(F.lit(1)).alias("_n"), *rest)
+    parts = counted.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(COPIES_AT_ONCE).cast("long"))))
+    parts = parts.repartition("id", "start", "_from")
+    last = F.least(F.col("_n"), F.col("_from") + COPIES_AT_ONCE) - 1
+    return parts.select(*pieces.columns, F.explode(F.sequence("_from", last)).alias("_copy"))
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, length: int = LENGTH, end_id: int = END_ID, group_pieces: int = GROUP_PIECES, seed: int = 11, with_ids: bool = False) -> DataFrame:
     """One row per piece: the id, start, length, ids_crc32, doc_tokens, sequence_id and offset (with `with_ids` also
     the ids themselves).
 
-    Null and empty texts are the end id alone. Repeated rows are packed as often as they occur. Null ids are carried
+    Null and empty texts are the end id alone; texts may be of any length. Repeated rows are packed as often as they occur, each
+    in a group of its own choosing. Null ids are carried
     along. Other columns are ignored. An empty table gives an empty result. Sequence ids are the group's number times
     2^32 plus the sequence's number in the group.
     """
     pieces = settle(token_pieces(docs, id_col, text_col, vocabulary or default_vocabulary(), length, end_id, with_ids), "pieces")
     groups = max(1, math.ceil(pieces.count() / group_pieces))
-    group = F.pmod(F.xxhash64("id", "start", "ids_crc32", F.lit(seed)), F.lit(groups)).cast("long")
+    numbered = _numbered_copies(pieces)
+    group = F.pmod(F.xxhash64("id", "start", "ids_crc32", "_copy", F.lit(seed)), F.lit(groups)).cast("long")
+    order = ["id", "start", "ids_crc32", "_copy"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
 
     def fill(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop(columns="_group").sort_values(["id", "start", "ids_crc32"], ignore_index=True)
+        rows = rows.sort_values(order, ignore_index=True).drop(columns=["_group", "_copy"])
         bins, offsets = first_fit_decreasing(rows["length"].to_numpy(), length)
         return rows.assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets)
 
-    return pieces.withColumn("_group", group).groupBy("_group").applyInPandas(fill, schema).withColumnRenamed("id", id_col)
+    return numbered.withColumn("_group", group).groupBy("_group").applyInPandas(fill, schema).withColumnRenamed("id", id_col)

@@ -67,5 +67,13 @@ def test_pieces_cover_documents_and_sequences(docs_of):
     assert filled.sum() / (2048 * len(filled)) > 0.85
 
 
+def test_repeated_rows_spread_over_groups(docs_of, monkeypatch):
+    monkeypatch.setattr("corvane.llm.packing.COPIES_AT_ONCE", 64)
+    got = pack(docs_of([(1, "same words")] * 600 + [(None, "same words")] * 600 + [(2, "x")]), group_pieces=100).toPandas()
+    groups = (got["sequence_id"] // 2**32).value_counts()
+    assert len(got) == 1201 and len(groups) == 13 and groups.max() < 200
+    assert (got["doc_id"] == 1).sum() == got["doc_id"].isna().sum() == 600
+
+
 def test_empty_table(docs_of):
     assert pack(docs_of([])).count() == 0
