@@ -6,10 +6,12 @@ likelihoods. The set of languages is the one with the best penalised likelihood:
 language is taken out while that improves the score. The prediction is the language with the largest proportion.
 
 Learning counts all rows that may be learned from, aggregated before anything is shuffled; the model is a table of
-languages by buckets, of fixed size, and goes to the tasks with the function that uses it.
+languages by buckets, of bounded size whatever the input, and goes to the tasks with the function that uses it. The more
+languages, the fewer buckets they have each.
 """
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,9 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest
 
-BUCKETS = 1 << 16
-#: More languages than this are an error: the model's size is this times BUCKETS at most.
-MAX_LANGUAGES = 256
+from corvane.llm.common import settle
+
+#: Buckets of n-grams for up to VALUES / BUCKETS languages; with more languages, the largest power of two that keeps the
+#: table within VALUES.
+BUCKETS, VALUES = 1 << 16, 1 << 24
+#: More values than this in the language column aren't languages.
+MAX_LANGUAGES = 1 << 16
 NGRAM = 3
 SMOOTHING = 0.2
 #: What one more language costs, times the logarithm of the number of words.
@@ -34,14 +40,17 @@ HELD_WORDS = 300_000
 HELD_VALUES = 1_200_000
 VALUES_AT_ONCE = 800_000
 
-_WORD = re.compile(r"[^\W\d_]+")
+#: Characters that patterns count as word characters though they are neither letters nor decimal digits: fractions,
+#: superscripts, circled and Roman numbers.
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 
 
 def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def buckets_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def buckets_of(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of the n-grams of words, their ends marked, one word after the other; and how many each has."""
     held, out, sizes = {}, [], []
     for word in words:
@@ -50,7 +59,7 @@ def buckets_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         out += grams
         sizes.append(len(grams))
     for gram in set(out):
-        held[gram] = xxh32_intdigest(gram.encode("utf-8", "surrogatepass")) % BUCKETS
+        held[gram] = xxh32_intdigest(gram.encode("utf-8", "surrogatepass")) % buckets
     return np.fromiter(map(held.__getitem__, out), np.int64, len(out)), np.array(sizes, np.int64)
 
 
@@ -62,7 +71,8 @@ class Languages:
 
 
 def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Languages:
-    """N-gram counts of every row with a text and a language. ValueError if there is none, or too many languages."""
+    """N-gram counts of every row with a text and a language, whole texts of any length. Repeated rows count as often as they
+    occur; other columns are ignored. ValueError if there is no such row, or more than MAX_LANGUAGES languages."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def flush() -> Iterator[pd.DataFrame]:
@@ -83,13 +93,18 @@ def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
         yield from flush()
 
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    sums = rows.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    found = sums.limit(MAX_LANGUAGES * BUCKETS + 1).toPandas()
-    names = tuple(sorted(found["lang"].unique()))
+    counted = settle(rows.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "n-grams")
+    names = tuple(sorted(r.lang for r in counted.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()))
     if not names or len(names) > MAX_LANGUAGES:
         raise ValueError(f"{len(names)} languages to learn from; 1 to {MAX_LANGUAGES} are possible")
-    counts = np.zeros((len(names), BUCKETS))
-    counts[found["lang"].map({n: i for i, n in enumerate(names)}).to_numpy(), found["bucket"].to_numpy()] = found["n"]
+    buckets = min(BUCKETS, 1 << (VALUES // len(names)).bit_length() - 1)
+    folded = counted.groupBy("lang", (F.col("bucket") % buckets).alias("bucket")).agg(F.sum("n").alias("n"))
+    held = folded.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("c")).select("lang", F.col("c.bucket").alias("at"), F.col("c.n").alias("n"))
+    counts = np.zeros((len(names), buckets))
+    of = {n: i for i, n in enumerate(names)}
+    for batch in held.toArrow().to_batches():  # at most VALUES buckets
+        for lang, at, n in zip(batch["lang"].to_pylist(), batch["at"], batch["n"]):
+            counts[of[lang], at.values.to_numpy()] = n.values.to_numpy()
     used = max(int((counts.sum(axis=0) > 0).sum()), 1)
     return Languages(names, np.log(counts + SMOOTHING) - np.log(counts.sum(axis=1, keepdims=True) + SMOOTHING * 2 * used))
 
@@ -112,7 +127,7 @@ class Likelihoods:
             self.at.update(zip(new, range(first, end)))
             for start in range(0, len(new), self.part):
                 part = new[start : start + self.part]
-                at, sizes = buckets_of(part)
+                at, sizes = buckets_of(part, len(self.table))
                 self.rows[first + start : first + start + len(part)] = np.add.reduceat(self.table[at], np.r_[0, np.cumsum(sizes)[:-1]])
         return self.rows[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))]
 

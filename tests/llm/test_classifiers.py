@@ -44,6 +44,20 @@ def test_odd_rows_of_language_id(spark, docs_of):
     assert isinstance(model, Languages) and model.names == ("de", "en")
 
 
+def test_numbers_are_no_letters(spark, docs_of):
+    rows = [(1, "a b c " * 9, "en", "s", 0), (2, "x y z " * 9, "xy", "s", 0)]
+    got = identify(docs_of([(1, "½ ² ③ Ⅷ 12 _"), (2, "ª"), (3, "x²y")]), fit_languages(docs_of(rows)))
+    assert {r.doc_id: r.lang_pred == "und" for r in got.collect()} == {1: True, 2: False, 3: False}
+
+
+def test_more_languages_share_the_table(spark, docs_of, monkeypatch):
+    monkeypatch.setattr("corvane.llm.language_id.VALUES", 1 << 17)
+    rows = [(i, " ".join(f"{chr(97 + i)}{a}{b}" for a in "aeiou" for b in "aeiou"), f"l{i}", "s", 0) for i in range(20)]
+    model = fit_languages(docs_of(rows))
+    assert model.table.shape == (20, 4096)
+    assert all(r.lang_pred == f"l{r.doc_id}" for r in identify(docs_of(rows), model).collect())
+
+
 @needs_tables
 def test_held_out_languages(spark):
     docs = read_table(spark, FOLDER, "documents").where("doc_id < 3000")
