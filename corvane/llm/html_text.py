@@ -328,8 +328,10 @@ def shared_lines(pages: DataFrame, id_col: str, url_col: str, html_col: str) ->
         else:
             late += [(first[0], _partner(first[0], before, first[1])), (last[-1], _partner(last[-1], last[-2], after))]
     across = spark.createDataFrame([(a[0], a[1], b[0], b[1]) for a, b in late if b], f"page {kind}, th long, partner {kind}, pth long")
-    own, other = rows.select("th", "hashes"), rows.select(F.col("th").alias("pth"), F.col("hashes").alias("others"))
-    across = own.join(F.broadcast(across), "th").join(other, "pth").mapInPandas(compare, f"page {kind}, th long, partner {kind}, shared array<long>")
+    few = F.broadcast(across)  # at most two for each partition; only the lines of their sequences meet
+    own = settle(rows.select("th", "hashes").join(few, "th"), "border-sequences")
+    other = settle(rows.select(F.col("th").alias("pth"), F.col("hashes").alias("others")).join(few.select("pth").distinct(), "pth", "left_semi"), "border-partners")
+    across = own.join(other, "pth").mapInPandas(compare, f"page {kind}, th long, partner {kind}, shared array<long>")
     every = settle(inside.unionByName(across).select(F.col("th").alias("seq"), "partner", "shared"), "sequence-pairs")  # a plain scan, so that the join can split a hot sequence
     of_page = settle(lines.groupBy("page", "th").agg(F.min(F.struct("host", "path", "seq")).alias("s")).select("page", "th", "s.seq"), "page-keys")
     return of_page.join(every, "seq").select("page", "th", "partner", "shared")
