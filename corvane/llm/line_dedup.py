@@ -5,13 +5,13 @@ fingerprinted. A line window is the shortest stretch of whole lines, from a give
 words; its fingerprint is the hash of the stretch. For passages that begin or end inside lines, the hashes of GRAM words
 in a row are winnowed: of each `passage_words - GRAM + 1` consecutive ones the smallest is a fingerprint, so that every
 passage of `passage_words` words that occurs twice has a fingerprint in common, at the same place in it, and one in some
-eleven words has to be kept. Lines that are passages by themselves have no line window.
+seventeen words has to be kept. Lines that are passages by themselves have no line window.
 
 Each fingerprint is joined with its earliest place (by id, then word), never with all others in pairs: the join stays
 linear in hot fingerprints. A match is extended both ways, word by word. Of what is equal, a passage of `passage_words` or
 more is deleted in the later place, and of anything shorter its whole lines, if they are lines in the earlier place too
-and have `window_words` words together. Matches travel with slices of both documents around them, at most SPAN words and
-twice REACH; a run that goes on has its next fingerprint within REACH.
+and have `window_words` words together. Matches take with them slices of the earlier document around them, at most SPAN
+words and twice REACH, and meet the later text where it is edited; a run that goes on has its next fingerprint within REACH.
 
 What that leaves out: a passage whose fingerprints all have an earlier place that shares GRAM or more words with it but
 less than `passage_words`, while a later place shares it whole.
@@ -30,11 +30,13 @@ from xxhash import xxh64_intdigest
 from corvane.llm.common import free_name, settle, without
 
 WINDOW_WORDS = 10
-PASSAGE_WORDS = 40
+PASSAGE_WORDS = 48
 #: Words in a row that are hashed together.
-GRAM = 20
+GRAM = 16
 #: Words by which a match's slice goes on at both ends, and places that share a slice.
 REACH, SPAN = 64, 1024
+#: Up to so many documents that others repeat, their ids are broadcast to the scan that reads them again.
+MOST_NEEDED = 1_000_000
 
 _MIX = np.random.default_rng(17).integers(0, 1 << 64, GRAM, np.uint64) | np.uint64(1)
 
@@ -47,15 +49,27 @@ def word_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64)[: len(lines)]
 
 
+_POWER = np.uint64(int(_MIX[0]) | 5)
+_LINE = np.uint64(0x9E3779B97F4A7C15)
+
+
 def line_windows(hashes: np.ndarray, starts: np.ndarray, least: int, passage: int) -> tuple[np.ndarray, np.ndarray]:
-    """(word, fingerprint) of each line window, but of lines of `passage` or more words."""
+    """(word, fingerprint) of each line window, but of lines of `passage` or more words. The fingerprint is a polynomial in
+    the words' hashes, those that begin lines being marked."""
     bounds = np.r_[starts, len(hashes)]
     ends = np.searchsorted(bounds, starts + least)
     some = np.flatnonzero((ends < len(bounds)) & (np.diff(bounds) < passage))
-    raw, marks = hashes.tobytes(), np.zeros(len(hashes) + 1, np.uint64)
-    marks[bounds] = 1
-    keys = np.fromiter((xxh64_intdigest(raw[8 * bounds[i] : 8 * bounds[ends[i]]] + marks[bounds[i] : bounds[ends[i]] + 1].tobytes(), 1) for i in some), np.uint64, len(some))
-    return starts[some], keys
+    marked = hashes.copy()
+    marked[starts] ^= _LINE
+    powers = np.multiply.accumulate(np.full(len(hashes) + 1, _POWER))[::-1]  # falling, so that equal windows differ by a factor
+    sums = np.r_[np.uint64(0), np.add.accumulate(marked * powers[1:])]
+    first, last = bounds[some], bounds[ends[some]]
+    keys = (sums[last] - sums[first]) * _inverse_powers(len(hashes) + 1)[::-1][last]
+    return starts[some], keys ^ np.uint64(1)
+
+
+def _inverse_powers(n: int) -> np.ndarray:
+    return np.multiply.accumulate(np.full(n, np.uint64(pow(int(_POWER), -1, 1 << 64))))
 
 
 def _sliding(values: np.ndarray, width: int, of) -> np.ndarray:
@@ -82,13 +96,18 @@ def winnowed(hashes: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray]:
     return at, grams[at]
 
 
-def fingerprints(text: str, window_words: int = WINDOW_WORDS, passage_words: int = PASSAGE_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words, places, fingerprints) of a text. A word is 31 bits of its hash and, in the lowest, whether it begins a line."""
-    hashes, starts = word_hashes(text)
+def marked_words(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Words as 31 bits of their hashes and, in the lowest bit, whether they begin a line."""
     words = (hashes >> np.uint64(32)).astype(np.uint32) & np.uint32(0xFFFFFFFE)
     words[starts] |= np.uint32(1)
+    return words.view(np.int32)
+
+
+def fingerprints(text: str, window_words: int = WINDOW_WORDS, passage_words: int = PASSAGE_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, places, fingerprints) of a text, words as in marked_words."""
+    hashes, starts = word_hashes(text)
     found = line_windows(hashes, starts, window_words, passage_words), winnowed(hashes, passage_words)
-    return words.view(np.int32), np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]).view(np.int64)
+    return marked_words(hashes, starts), np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]).view(np.int64)
 
 
 def _equal_ahead(a: np.ndarray, b: np.ndarray) -> int:
@@ -139,58 +158,46 @@ def repeats(own: np.ndarray, other: np.ndarray, at: np.ndarray, from_: np.ndarra
     return sorted(set(out))
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window_words: int = WINDOW_WORDS, passage_words: int = PASSAGE_WORDS) -> DataFrame:
-    """(id, th, runs): for each distinct (id, text) with repeats, the text's hash and the runs to delete, each as (first,
-    last, from_id, from_first): words numbered from 0, and where the run was matched. A last word of -1 is the text's last."""
+def earlier_slices(docs: DataFrame, id_col: str, text_col: str, window_words: int, passage_words: int) -> DataFrame:
+    """(id, th, m): for each distinct (id, text) with fingerprints of earlier texts, the text's hash and its matches: their
+    places, and the slices of the earlier documents around them. A match without places is with an equal text."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [fingerprints(t, window_words, passage_words) for t in batch["text"]]
-            yield batch[["id", "th"]].assign(words=[f[0] for f in found], places=[f[1].astype(np.int32) for f in found], keys=[f[2] for f in found])
+            yield batch[["id", "th"]].assign(places=[f[1].astype(np.int32) for f in found], keys=[f[2] for f in found])
 
-    def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def words_only(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                ends = (r.first + len(r.own) == r.n, r.from_first + len(r.other) == r.from_n)
-                for lo, hi, shift in repeats(np.asarray(r.own), np.asarray(r.other), np.asarray(r.at) - r.first, np.asarray(r.from_at) - r.from_first, ends, window_words, passage_words):
-                    rows.append((r.id, r.th, r.first + lo, r.first + hi - 1, r.from_id, r.from_first + lo - shift))
-            yield pd.DataFrame(rows, columns=["id", "th", "first", "last", "from_id", "from_first"]).astype({"id": batch["id"].dtype, "from_id": batch["from_id"].dtype})
+            yield batch[["id", "th"]].assign(words=[marked_words(*word_hashes(t)) for t in batch["text"]])
 
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    sequences = settle(texts.mapInPandas(hashed, f"id {kind}, th long, words array<int>, places array<int>, keys array<long>"), "words")
-    marks = sequences.select("id", "th", F.explode(F.arrays_zip("places", "keys")).alias("m")).select("id", "th", F.col("m.places").alias("at"), F.col("m.keys").alias("key"))
+    found = settle(texts.mapInPandas(hashed, f"id {kind}, th long, places array<int>, keys array<long>"), "fingerprints")
+    marks = found.select("id", "th", F.explode(F.arrays_zip("places", "keys")).alias("m")).select("id", "th", F.col("m.places").alias("at"), F.col("m.keys").alias("key"))
 
     place = F.struct("id", "th", "at")
-    earliest = marks.groupBy("key").agg(F.min(place).alias("e"), F.max(place).alias("last")).where("e <> last").select("key", "e")
+    earliest = marks.groupBy("key").agg(F.min(place).alias("e"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "e")
     earliest = settle(earliest, "earliest")  # a plain scan, so that the join can split a hot fingerprint; so below
     later = marks.join(earliest, "key").where(place != F.col("e")).select("id", "th", "at", F.col("e.id").alias("from_id"), F.col("e.th").alias("from_th"), F.col("e.at").alias("from_at"))
     later = settle(later, "matches")
-    copies = later.where("th = from_th and not (id <=> from_id)").groupBy("id", "th").agg(F.min("from_id").alias("from_id"))
-    copies = copies.select("id", "th", F.lit(0).cast("long").alias("first"), F.lit(-1).cast("long").alias("last"), "from_id", F.lit(0).cast("long").alias("from_first"))
-
-    parts = later.where("th <> from_th or id <=> from_id")
-    spans = [F.floor(F.col(c) / SPAN) for c in ("at", "from_at")]  # at most SPAN places in a row of what follows
-    parts = settle(parts.groupBy("id", "th", "from_id", "from_th", *(c.alias(f"_s{i}") for i, c in enumerate(spans))).agg(F.collect_list(F.struct("at", "from_at")).alias("m")), "parts")
-    parts = parts.select("id", "th", "from_id", "from_th", F.col("m.at").alias("at"), F.col("m.from_at").alias("from_at"))
-    sides = [parts.select("id", "th"), parts.select(F.col("from_id").alias("id"), F.col("from_th").alias("th"))]
-    needed = settle(sides[0].unionByName(sides[1]).distinct(), "needed")
-    same = lambda l, r, i="id", t="th": F.col(f"{l}.{t}").eqNullSafe(F.col(f"{r}.th")) & F.col(f"{l}.{i}").eqNullSafe(F.col(f"{r}.id"))  # noqa: E731, E741
-    words = settle(sequences.alias("s").join(needed.alias("n"), same("s", "n"), "left_semi").select("id", "th", "words").dropDuplicates(["id", "th"]), "needed-words")
-
-    def sliced(places: str, first: str, into: str, size: str, joined: DataFrame, left: list[str]) -> DataFrame:
-        """Only the words around the places go on."""
-        low, high = F.greatest(F.array_min(places) - REACH, F.lit(0)), F.array_max(places) + GRAM + REACH
-        return joined.select(*left, low.cast("long").alias(first), F.size("words").cast("long").alias(size), F.slice("words", low.cast("int") + 1, (high - low).cast("int")).alias(into))
-
-    columns = ["id", "th", "from_id", "at", "from_at"]
-    joined = parts.alias("p").join(words.alias("w"), same("p", "w", "from_id", "from_th")).select("p.*", "w.words")
-    cut = settle(sliced("from_at", "from_first", "other", "from_n", joined, columns), "slices")
-    joined = cut.alias("p").join(words.alias("w"), same("p", "w")).select("p.*", "w.words")
-    cut = sliced("at", "first", "own", "n", joined, [*columns, "from_first", "other", "from_n"])
-    runs = cut.mapInPandas(extend, f"id {kind}, th long, first long, last long, from_id {kind}, from_first long")
-    return runs.unionByName(copies).groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("first", "last", "from_id", "from_first"))).alias("runs"))
+    whole = F.col("th").eqNullSafe(F.col("from_th")) & ~F.col("id").eqNullSafe(F.col("from_id"))
+
+    spans = [F.floor(F.col(c) / SPAN).alias(f"_{c}") for c in ("at", "from_at")]  # at most SPAN places in a row of what follows
+    parts = later.where(~whole).groupBy("id", "th", "from_id", "from_th", *spans).agg(F.collect_list(F.struct("at", "from_at")).alias("m"))
+    parts = settle(parts.select("id", "th", "from_id", "from_th", F.col("m.at").alias("at"), F.col("m.from_at").alias("from_at")), "parts")
+    needed = settle(parts.select("from_id", "from_th").distinct(), "needed")
+    near = F.broadcast(needed) if needed.limit(MOST_NEEDED + 1).count() <= MOST_NEEDED else needed
+    read = texts.join(near, texts["th"].eqNullSafe(near["from_th"]) & texts["id"].eqNullSafe(near["from_id"]), "left_semi")
+    words = settle(read.mapInPandas(words_only, f"id {kind}, th long, words array<int>").dropDuplicates(["id", "th"]), "needed-words")
+
+    low, high = F.greatest(F.array_min("from_at") - REACH, F.lit(0)), F.array_max("from_at") + GRAM + REACH
+    joined = parts.alias("p").join(words.alias("w"), F.col("p.from_th").eqNullSafe(F.col("w.th")) & F.col("p.from_id").eqNullSafe(F.col("w.id"))).select("p.*", "w.words")
+    row = lambda at, from_at, from_id, first, n, other: F.struct(at.alias("at"), from_at.alias("from_at"), from_id.alias("from_id"), first.cast("int").alias("first"), n.cast("int").alias("n"), other.alias("other"))
+    slices = joined.select("id", "th", row(F.col("at"), F.col("from_at"), F.col("from_id"), low, F.size("words"), F.slice("words", low + 1, high - low)).alias("m"))
+    none = F.array().cast("array<int>")
+    copies = later.where(whole).groupBy("id", "th").agg(F.min("from_id").alias("from_id")).select("id", "th", row(none, none, F.col("from_id"), F.lit(0), F.lit(0), none).alias("m"))
+    return slices.unionByName(copies).groupBy("id", "th").agg(F.collect_list("m").alias("m"))
 
 
 _SPACE = " \t\n\r\x0b\x0c"
@@ -213,35 +220,45 @@ def _kept_words(line: str, gone: np.ndarray) -> str:
     return kept.lstrip(_SPACE) if gone[0] else kept
 
 
-def _edited(texts: pd.Series, firsts: pd.Series, lasts: pd.Series) -> pd.DataFrame:
-    rows = []
-    for text, first, last in zip(texts, firsts, lasts):
-        if first is None or not len(first):
-            rows.append((text, 0 if text is None else text.count("\n") + 1, [], 0))
+Run = tuple[int, int, object, int]
+
+
+def runs_of(own: np.ndarray, matches: zip, least: int, passage: int) -> list[Run]:
+    """Runs (first, last, from_id, from_first) of a text's words to delete, for matches (at, from_at, from_id, first, n,
+    other) as in earlier_slices."""
+    out: set[Run] = set()
+    for at, from_at, from_id, first, n, other in matches:
+        if not len(at):
+            out.add((0, len(own) - 1, from_id, 0))
             continue
-        lines = text.split("\n")
-        sizes = [len(x.encode("utf-8", "surrogatepass").split()) for x in lines]
-        total, at, removed, kept = sum(sizes), 0, [], []
-        change = np.zeros(total + 1, np.int64)
-        np.add.at(change, np.asarray(first), 1)
-        ends = np.asarray(last) + 1
-        np.add.at(change, np.where(ends == 0, total, ends), -1)
-        gone = np.cumsum(change)[:total] > 0
-        for i, (line, n) in enumerate(zip(lines, sizes)):
-            here = gone[at : at + n]
-            at += n
-            if n and here.all():
-                removed.append(i)
-            else:
-                kept.append(_kept_words(line, here) if here.any() else line)
-        rows.append(("\n".join(kept), len(lines), removed, int(gone.sum())))
-    return pd.DataFrame(rows, columns=["text", "n_lines", "removed", "n_words"])
+        found = repeats(own, np.asarray(other), np.asarray(at), np.asarray(from_at) - first, (True, first + len(other) == n), least, passage)
+        out |= {(lo, hi - 1, from_id, first + lo - shift) for lo, hi, shift in found}
+    return sorted(out, key=lambda r: (r[0], r[1], r[2] is not None, r[2] or 0, r[3]))
+
+
+def _edited(text: str, own: np.ndarray, runs: list[Run]) -> tuple:
+    """(text without the runs, its old number of lines, lines that went whole, words that went, runs)"""
+    lines = text.split("\n")
+    sizes = [len(x.encode("utf-8", "surrogatepass").split()) for x in lines]
+    change, at, removed, kept = np.zeros(len(own) + 1, np.int64), 0, [], []
+    for first, last, _, _ in runs:
+        change[first] += 1
+        change[last + 1] -= 1
+    gone = np.cumsum(change)[:-1] > 0
+    for i, (line, n) in enumerate(zip(lines, sizes)):
+        here = gone[at : at + n]
+        at += n
+        if n and here.all():
+            removed.append(i)
+        else:
+            kept.append(_kept_words(line, here) if here.any() else line)
+    return "\n".join(kept), len(lines), removed, int(gone.sum()), runs
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window_words: int = WINDOW_WORDS, passage_words: int = PASSAGE_WORDS) -> DataFrame:
     """`docs` with the later repeats of lines and passages deleted from the texts, and columns n_lines (of the old text),
-    removed_lines (numbers of the lines that went whole, from 0), removed_words and runs (see repeated_runs; null if there
-    are none); these replace columns of the same names.
+    removed_lines (numbers of the lines that went whole, from 0), removed_words and runs (see runs_of; null if there are
+    none); these replace columns of the same names.
 
     Lines and passages are equal when their words are, whatever white space is between them. Every run of whole lines with
     `window_words` or more words that occurred earlier, in a document with a smaller id or higher up in the same one, is
@@ -252,15 +269,30 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     if not max(GRAM, window_words) <= passage_words <= REACH:
         raise ValueError(f"passages have {GRAM} to {REACH} words, and at least those of a window")
-    runs = repeated_runs(docs, id_col, text_col, window_words, passage_words)
+    kind = docs.schema[id_col].dataType.simpleString()
     kept = without(docs.columns, "n_lines", "removed_lines", "removed_words", "runs")
     own = free_name(docs, "_th")
+    names = ["text", "n_lines", "removed", "n_words", "runs"]
+
+    def edit(texts: pd.Series, *matches: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text, found in zip(texts, zip(*matches)):
+            runs: list[Run] = []
+            if text is not None and found[0] is not None:
+                words = marked_words(*word_hashes(text))
+                runs = runs_of(words, zip(*found), window_words, passage_words)
+            rows.append(_edited(text, words, runs) if runs else (text, 0 if text is None else text.count("\n") + 1, [], 0, None))
+        return pd.DataFrame(rows, columns=names)
+
+    matched = earlier_slices(docs, id_col, text_col, window_words, passage_words)
     left = docs.withColumn(own, F.xxhash64(F.coalesce(text_col, F.lit(""))))
-    joined = left.alias("_d").join(runs.alias("_r"), F.col(f"_d.{own}").eqNullSafe(F.col("_r.th")) & F.col(f"_d.{id_col}").eqNullSafe(F.col("_r.id")), "left")
-    edit = F.pandas_udf(_edited, "text string, n_lines long, removed array<long>, n_words long").asNondeterministic()  # run once, though it is read four times
+    joined = left.alias("_d").join(matched.alias("_r"), F.col(f"_d.{own}").eqNullSafe(F.col("_r.th")) & F.col(f"_d.{id_col}").eqNullSafe(F.col("_r.id")), "left")
+    schema = f"text string, n_lines long, removed array<long>, n_words long, runs array<struct<first:long,last:long,from_id:{kind},from_first:long>>"
+    edited = F.pandas_udf(edit, schema).asNondeterministic()  # run once, though it is read five times
 
     def column(name: str) -> Column:
         return F.col("_e.text").alias(name) if name == text_col else F.col(f"_k.{name}").alias(name)
 
-    edited = joined.select(F.struct(*(F.col(f"_d.{c}").alias(c) for c in kept)).alias("_k"), F.col("_r.runs").alias("_runs"), edit(F.col(f"_d.{text_col}"), F.col("_r.runs.first"), F.col("_r.runs.last")).alias("_e"))
-    return edited.select(*map(column, kept), F.col("_e.n_lines").alias("n_lines"), F.col("_e.removed").alias("removed_lines"), F.col("_e.n_words").alias("removed_words"), F.col("_runs").alias("runs"))
+    done = edited(F.col(f"_d.{text_col}"), *(F.col(f"_r.m.{c}") for c in ("at", "from_at", "from_id", "first", "n", "other"))).alias("_e")
+    edited = joined.select(F.struct(*(F.col(f"_d.{c}").alias(c) for c in kept if c != text_col), F.lit(0).alias(free_name(docs, "_none"))).alias("_k"), done)
+    return edited.select(*map(column, kept), F.col("_e.n_lines").alias("n_lines"), F.col("_e.removed").alias("removed_lines"), F.col("_e.n_words").alias("removed_words"), F.col("_e.runs").alias("runs"))

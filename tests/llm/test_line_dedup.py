@@ -141,7 +141,7 @@ def test_every_repeated_passage_goes_and_nothing_else(docs_of, seed):
                 gone |= set(range(i, i + 40))
         seen |= set(grams)
         want[key] = [w for i, w in enumerate(words) if i not in gone]
-    got = drop_repeated_lines(docs_of(rows), window_words=40)
+    got = drop_repeated_lines(docs_of(rows), window_words=40, passage_words=40)
     assert {r.doc_id: r.text.split() for r in got.collect()} == want
 
 
@@ -152,4 +152,4 @@ def test_every_passage_has_its_minimum_selected():
     assert len(at) < 80 and all(any(s <= p <= s + 40 - GRAM for p in at) for s in range(400 - 39))
     again, same = winnowed(h[100:160], 40)
     assert set(same) & set(keys) and len(winnowed(h[:39], 40)[0]) == 0
-    assert len(winnowed(np.full(300, 5, np.uint64), 40)[0]) == 281
+    assert len(winnowed(np.full(300, 5, np.uint64), 40)[0]) == 300 - GRAM + 1
