@@ -5,13 +5,13 @@ majority of that bit over all windows. Two fingerprints are linked at `radius` o
 
 Links: equal fingerprints are one representative. A representative goes to one block for each choice of `radius` of
 2 x radius bit segments: two fingerprints at most `radius` bits apart agree on such a choice somewhere, so no pair is
-lost, and a block holds what agrees on half of the bits. Within a block, the distances of all members to a fixed set of
-reference fingerprints (pivots) are computed first. By the triangle inequality a pair whose distance to any pivot
+lost, and a block holds what agrees on half of the bits. The distances of each representative to a fixed set of reference
+fingerprints (pivots) are computed once and travel with it. By the triangle inequality a pair whose distance to any pivot
 differs by more than the radius is no link; only the survivors of that test are compared bit by bit.
 
-A block larger than `block_rows` is dealt out again by the bits on which its members may still differ, in the same
-manner; three quarters of the bits are then fixed, so the new blocks hold at most 2^16 fingerprints for any input.
-A block gives the edges of a spanning forest of its links, never all of its pairs.
+Blocks are counted before they are sent anywhere. One larger than `block_rows` is dealt out again by the bits on which its
+members may still differ, in the same manner; three quarters of the bits are then fixed, so the new blocks hold at most 2^16
+fingerprints for any input. A block gives the edges of a spanning forest of its links, never all of its pairs.
 """
 
 from collections.abc import Iterator
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from corvane.llm.common import settle
+from corvane.llm.common import free_name, settle
 from corvane.llm.graph import connected_components
 
 SHINGLE_WORDS = 3
@@ -68,7 +68,7 @@ def pivots(count: int = N_PIVOTS, seed: int = 7) -> np.ndarray:
 
 def distance_table(fps: np.ndarray, refs: np.ndarray) -> np.ndarray:
     """Hamming distances of each fingerprint to each reference."""
-    return np.bitwise_count(fps[:, None] ^ refs[None, :]).astype(np.int16)
+    return np.bitwise_count(fps[:, None] ^ refs[None, :]).astype(np.int8)
 
 
 def _choices(free: int, radius: int) -> list[int]:
@@ -97,77 +97,56 @@ def _forest(fps: np.ndarray, table: np.ndarray, radius: int) -> list[tuple[int,
     return edges
 
 
-def _block_links(t: np.ndarray, key: np.ndarray, fps: np.ndarray, refs: np.ndarray, radius: int, most: int | None) -> tuple[list, np.ndarray]:
-    """Links within whole blocks, which lie one after the other; rows of blocks that are too large come back."""
+def _block_links(t: np.ndarray, key: np.ndarray, fps: np.ndarray, table: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links within whole blocks, which lie one after the other."""
     starts = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (key[1:] != key[:-1])])
     sizes = np.diff(np.r_[starts, len(t)])
-    out, late = [], np.zeros(len(t), bool)
-    size_of = np.repeat(sizes, sizes)
+    out, size_of = [], np.repeat(sizes, sizes)
     rows = np.flatnonzero((size_of > 1) & (size_of <= SMALL))
     if len(rows):
-        block, f = np.repeat(np.arange(len(sizes)), sizes)[rows], fps[rows]
-        table = distance_table(f, refs)
+        block, f, d = np.repeat(np.arange(len(sizes)), sizes)[rows], fps[rows], table[rows]
         for lag in range(1, min(int(size_of[rows].max()), len(rows))):
             same = np.flatnonzero(block[lag:] == block[:-lag])
-            same = same[(np.abs(table[same + lag] - table[same]) <= radius).all(axis=1)]
+            same = same[(np.abs(d[same + lag] - d[same]) <= radius).all(axis=1)]
             same = same[np.bitwise_count(f[same + lag] ^ f[same]) <= radius]
             out.append((f[same], f[same + lag]))
     for start, size in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
-        if most and size > most:
-            late[start : start + size] = True
-            continue
         f = fps[start : start + size]
-        edges = np.array(_forest(f, distance_table(f, refs), radius), np.int64).reshape(-1, 2)
+        edges = np.array(_forest(f, table[start : start + size], radius), np.int64).reshape(-1, 2)
         out.append((f[edges[:, 0]], f[edges[:, 1]]))
-    return out, late
+    return out
 
 
-def _linker(radius: int, refs: np.ndarray, most: int | None):
-    """Over rows (t, key, fp) sorted by block: links as (-1, a, b), rows of oversized blocks as (t, fp, 0)."""
-
-    def frames(found, late, t, fps):
-        for a, b in found:
-            yield pd.DataFrame({"t": np.full(len(a), -1, np.int32), "a": a.view(np.int64), "b": b.view(np.int64)})
-        if late.any():
-            yield pd.DataFrame({"t": t[late].astype(np.int32), "a": fps[late].view(np.int64), "b": np.zeros(int(late.sum()), np.int64)})
+def _linker(radius: int, n_pivots: int):
+    """Over rows (t, key, fp, far) sorted by block: links (u, v)."""
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, passing = None, None
+        held = None
         for batch in batches:
-            t, key, fps = (batch[c].to_numpy() for c in ("t", "key", "fp"))
-            fps = fps.view(np.uint64)
+            far = np.frombuffer(b"".join(batch["far"]), np.int8).reshape(-1, n_pivots)
+            rows = (*(batch[c].to_numpy() for c in ("t", "key", "fp")), far)
             if held is not None:
-                t, key, fps = (np.concatenate(x) for x in zip(held, (t, key, fps)))
-            last = np.flatnonzero((t != t[-1]) | (key != key[-1]))
+                rows = tuple(np.concatenate(x) for x in zip(held, rows))
+            t, key = rows[0], rows[1]
+            last = np.flatnonzero((t != t[-1]) | (key != key[-1])) if len(t) else []
             cut = last[-1] + 1 if len(last) else 0
-            if passing is not None:  # the start of an oversized block has gone already
-                whole = np.flatnonzero((t != passing[0]) | (key != passing[1]))
-                end = whole[0] if len(whole) else len(t)
-                yield from frames([], np.ones(end, bool), t[:end], fps[:end])
-                t, key, fps, cut = t[end:], key[end:], fps[end:], max(cut - end, 0)
-                if not len(t):
-                    held = None
-                    continue
-                passing = None
             if cut:
-                found, late = _block_links(t[:cut], key[:cut], fps[:cut], refs, radius, most)
-                yield from frames(found, late, t[:cut], fps[:cut])
-            held = t[cut:], key[cut:], fps[cut:]
-            if most and len(held[0]) > most:
-                passing = held[0][0], held[1][0]
-                yield from frames([], np.ones(len(held[0]), bool), held[0], held[2])
-                held = None
+                yield from pairs(*(x[:cut] for x in rows))
+            held = tuple(x[cut:] for x in rows)
         if held is not None and len(held[0]):
-            found, late = _block_links(*held, refs, radius, most)
-            yield from frames(found, late, held[0], held[2])
+            yield from pairs(*held)
+
+    def pairs(t: np.ndarray, key: np.ndarray, fps: np.ndarray, table: np.ndarray) -> Iterator[pd.DataFrame]:
+        for a, b in _block_links(t, key, fps.view(np.uint64), table, radius):
+            yield pd.DataFrame({"u": a.view(np.int64), "v": b.view(np.int64)})
 
     return link
 
 
 def _dealt(rows: DataFrame, masks: dict[int, int]) -> DataFrame:
-    """Each row (fp) once for each mask, with the bits that the mask keeps, sorted by block."""
+    """Each row (fp, far) once for each mask, with the bits that the mask keeps."""
     blocks = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in masks.items()])
-    return rows.select("fp", F.explode(blocks).alias("x")).select("x.t", "x.key", "fp").repartition("t", "key").sortWithinPartitions("t", "key")
+    return rows.select("fp", "far", F.explode(blocks).alias("x")).select("x.t", "x.key", "fp", "far")
 
 
 def pivot_links(fps: DataFrame, radius: int = RADIUS, refs: np.ndarray | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -175,15 +154,24 @@ def pivot_links(fps: DataFrame, radius: int = RADIUS, refs: np.ndarray | None =
     refs = pivots() if refs is None else refs
     every = (1 << 64) - 1
     first = _choices(every, radius)
-    schema = "t int, a long, b long"
-    found = settle(_dealt(fps, dict(enumerate(first))).mapInPandas(_linker(radius, refs, block_rows), schema), "links")
-    links = found.where("t < 0").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    over = [r.t for r in found.where("t >= 0").select("t").distinct().collect()]  # at most as many as there are masks
-    for t in sorted(over):
+    link = _linker(radius, len(refs))
+
+    @F.pandas_udf("binary")
+    def distances(fp: pd.Series) -> pd.Series:
+        return pd.Series([row.tobytes() for row in distance_table(fp.to_numpy(np.int64).view(np.uint64), refs)], dtype=object)
+
+    def linked(dealt: DataFrame) -> DataFrame:
+        return settle(dealt.repartition("t", "key").sortWithinPartitions("t", "key").mapInPandas(link, "u long, v long"), "links")
+
+    table = settle(fps.select("fp", distances("fp").alias("far")), "pivot-distances")
+    dealt = _dealt(table, dict(enumerate(first)))
+    hot = settle(dealt.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block_rows).select("t", "key"), "hot-blocks")
+    over = sorted(r.t for r in hot.select("t").distinct().collect())  # at most as many as there are masks
+    links = linked(dealt.join(hot, ["t", "key"], "left_anti") if over else dealt)
+    for t in over:
         finer = {s: first[t] | m for s, m in enumerate(_choices(every & ~first[t], radius))}
-        rows = found.where(F.col("t") == t).select(F.col("a").alias("fp"))
-        more = settle(_dealt(rows, finer).mapInPandas(_linker(radius, refs, None), schema), "links")
-        links = links.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        rows = _dealt(table, {t: first[t]}).join(hot.where(F.col("t") == t), ["t", "key"], "left_semi")
+        links = links.unionByName(linked(_dealt(rows, finer)))
     return links
 
 
@@ -198,14 +186,16 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = settle(fingerprints(docs, id_col, text_col, words), "fingerprints")
     reps = settle(rows.groupBy("fp").agg(F.min("id").alias("least")), "representatives")
     labels = connected_components(pivot_links(reps.select("fp"), radius, block_rows=block_rows))
-    labelled = reps.join(labels, reps["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    heads = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = labelled.join(heads, "root").select("fp", "component_id")
+    labelled = settle(reps.join(labels, reps["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root")), "labelled")
+    heads = settle(labelled.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")  # a plain scan, so that the joins can split a hot component
+    ids = settle(labelled.join(heads, "root").select("fp", "component_id"), "fingerprint-components")
     hex16 = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return rows.join(ids, "fp").select(F.col("id").alias(id_col), hex16, "component_id")
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `docs` whose id is the smallest of their SimHash group; rows that repeat that id are one document."""
+    """The rows of `docs` whose id is the smallest of their SimHash group; rows that repeat that id are one document. Nulls,
+    empty texts and empty tables as in simhash_groups; rows with a null id stay if their whole group has none."""
     kept = simhash_groups(docs, id_col, text_col, **options).where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    return docs.join(kept.select(F.col(id_col).alias("_kept")).distinct(), F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    name = free_name(docs, "_kept")
+    return docs.join(kept.select(F.col(id_col).alias(name)).distinct(), F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
