@@ -1,10 +1,13 @@
 """WARC archives as a Spark data source, and revisit records for equal payloads.
 
-Files hold one gzip member per record; its header carries the member's length (the `sl` field of the WARC convention for
-gzip), so a reader can go from record to record without inflating payloads. Reading plans partitions over whole files,
-packed to about `partition_bytes`. In a partition, each record's headers are inflated and parsed first; pushed-down
-predicates on them (record type, URI, digest and so on) decide before anything else is inflated, and payloads are only
-decoded where the `payload` option asks for them.
+Files hold one gzip member per record (.warc.gz) or plain records (.warc). A member that this module writes carries its
+length in its header (the `sl` field of the WARC convention for gzip), so that a reader goes on to the next record without
+inflating payloads; members of other writers are inflated to their end, piece by piece. Reading plans byte ranges of
+`partition_bytes`: small files share a partition, and a large .warc.gz has several, each of which reads the records that
+begin in it, found by a member's first bytes. Plain records don't tell where they begin, so a .warc is one partition, read
+record by record. In a partition, each record's headers are read and parsed first; pushed-down predicates on them (record
+type, URI, digest and so on) decide before anything else is inflated, and payloads are only decoded where the `payload`
+option asks for them. A task holds CHUNK bytes of a file and the payloads of one batch.
 
 Paths may be plain, file:, or any URI that pyarrow's file systems open.
 """
@@ -33,6 +36,9 @@ PARTITION_BYTES = 32 << 20
 BATCH_BYTES = 8 << 20
 #: So much of a member is inflated at a time while its headers are read.
 HEAD = 2048
+#: Bytes of a file that a task holds, and that it inflates at a time.
+CHUNK, FEED = 1 << 20, 16 << 10
+_MEMBER = b"\x1f\x8b\x08"
 
 _FIELDS = {
     "record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "warc_date": "warc-date", "refers_to": "warc-refers-to",
@@ -112,34 +118,119 @@ def _headers(raw: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
 
 
-def read_members(data: bytes, wanted: Callable[[dict[str, str]], bool], payloads: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """Headers and, if asked for, payload of the wanted records of one file."""
-    at = 0
-    while at < len(data):
-        if data[at : at + 2] != b"\x1f\x8b":
-            raise ValueError(f"no gzip member at byte {at}")
-        size = struct.unpack_from("<I", data, at + 16)[0] if data[at + 3] & 4 and data[at + 12 : at + 14] == b"sl" else 0
-        inflate = zlib.decompressobj(31)
-        raw = inflate.decompress(data[at : at + size] if size else data[at:], HEAD)
-        while (end := raw.find(b"\r\n\r\n")) < 0 and not inflate.eof and inflate.unconsumed_tail:
-            raw += inflate.decompress(inflate.unconsumed_tail, HEAD)
-        headers = _headers(raw[:end])
-        take = wanted(headers)
-        if not size or take and payloads:
-            while not inflate.eof and (more := inflate.decompress(inflate.unconsumed_tail)):
-                raw += more
-        if take:
-            body = None
-            if payloads and headers.get("warc-type") != "revisit":
-                block = raw[end + 4 : end + 4 + int(headers["content-length"])]
-                body = block[block.find(b"\r\n\r\n") + 4 :] if headers.get("content-type", "").startswith("application/http") else block
+class _Window:
+    """Bytes of a file by their place; the last chunk read is held."""
+
+    def __init__(self, file, size: int):
+        self.file, self.size, self.first, self.held = file, size, 0, b""
+
+    def bytes(self, at: int, n: int) -> bytes:
+        """Up to n bytes from a place on; fewer at the file's end."""
+        n = max(0, min(n, self.size - at))
+        if at < self.first or at + n > self.first + len(self.held):
+            self.file.seek(at)
+            self.first, self.held = at, self.file.read(max(n, min(CHUNK, self.size - at)))
+        return self.held[at - self.first : at - self.first + n]
+
+
+class _Inflated:
+    """What a gzip member holds, taken piece by piece."""
+
+    def __init__(self, window: _Window, at: int):
+        self.window, self.at, self.inflate = window, at, zlib.decompressobj(31)
+
+    def more(self, most: int) -> bytes:
+        """Some bytes, at most `most`; empty at the member's end."""
+        while not self.inflate.eof:
+            fed = self.inflate.unconsumed_tail
+            if not fed:
+                fed = self.window.bytes(self.at, FEED)
+                self.at += len(fed)
+                if not fed:
+                    raise ValueError("the file ends inside a gzip member")
+            if out := self.inflate.decompress(fed, most):
+                return out
+        return b""
+
+    def end(self) -> int:
+        """Where the next member begins, when this one has been taken whole."""
+        return self.at - len(self.inflate.unused_data)
+
+
+def _body(block: bytes, headers: dict[str, str]) -> bytes:
+    return block[block.find(b"\r\n\r\n") + 4 :] if headers.get("content-type", "").startswith("application/http") else block
+
+
+def _read_member(window: _Window, at: int, wanted: Callable[[dict[str, str]], bool], payloads: bool) -> tuple[dict[str, str] | None, bytes | None, int]:
+    """Headers (None if not wanted), payload if asked for, and the next member's place."""
+    head = window.bytes(at, 20)
+    if head[:2] != _MEMBER[:2]:
+        raise ValueError(f"no gzip member at byte {at}")
+    size = struct.unpack_from("<I", head, 16)[0] if len(head) == 20 and head[3] & 4 and head[12:14] == b"sl" else 0
+    member_, raw = _Inflated(window, at), bytearray()
+    while (end := raw.find(b"\r\n\r\n")) < 0 and (more := member_.more(HEAD)):
+        raw += more
+    headers = _headers(bytes(raw[:end])) if end >= 0 else {}
+    take = wanted(headers)
+    body = None
+    if take and payloads and headers.get("warc-type") != "revisit":
+        while more := member_.more(CHUNK):
+            raw += more
+        body = _body(bytes(raw[end + 4 : end + 4 + int(headers.get("content-length", 0))]), headers)
+    elif not size:
+        while member_.more(CHUNK):
+            pass
+    return headers if take else None, body, at + size if size else member_.end()
+
+
+def _read_plain(window: _Window, at: int, wanted: Callable[[dict[str, str]], bool], payloads: bool) -> tuple[dict[str, str] | None, bytes | None, int]:
+    """The same for a record that isn't compressed."""
+    raw = b""
+    while (end := raw.find(b"\r\n\r\n")) < 0:
+        more = window.bytes(at + len(raw), HEAD)
+        if not more:
+            raise ValueError("the file ends inside a record's headers")
+        raw += more
+    headers = _headers(raw[:end])
+    first, n = at + end + 4, int(headers.get("content-length", 0))
+    take = wanted(headers)
+    body = _body(window.bytes(first, n), headers) if take and payloads and headers.get("warc-type") != "revisit" else None
+    return headers if take else None, body, first + n + 4
+
+
+def _first_member(window: _Window, start: int, end: int) -> int | None:
+    """The first place in [start, end) where a record's member begins; None if there is none."""
+    at = start
+    while at < min(end, window.size):
+        held = window.bytes(at, CHUNK)
+        found = held.find(_MEMBER)
+        if found < 0:
+            at += max(1, len(held) - len(_MEMBER) + 1)
+            continue
+        at += found
+        try:
+            if zlib.decompressobj(31).decompress(window.bytes(at, FEED), 5) == b"WARC/":
+                return at if at < end else None
+        except zlib.error:
+            pass
+        at += 1
+    return None
+
+
+def read_records(file, size: int, wanted: Callable[[dict[str, str]], bool], payloads: bool, start: int = 0, end: int | None = None, plain: bool = False) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """Headers and, if asked for, payload of the wanted records that begin in [start, end) of a file."""
+    window, end = _Window(file, size), size if end is None else min(end, size)
+    at = start if plain or not start else _first_member(window, start, end)
+    read = _read_plain if plain else _read_member
+    while at is not None and at < end:
+        headers, body, at = read(window, at, wanted, payloads)
+        if headers is not None:
             yield headers, body
-        at = at + size if size else len(data) - len(inflate.unused_data)
 
 
-class _Files(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+class _Ranges(InputPartition):
+    def __init__(self, ranges: list[tuple[str, int, int]]):
+        self.ranges = ranges
 
 
 class WarcReader(DataSourceReader):
@@ -155,36 +246,38 @@ class WarcReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[_Files]:
+    def partitions(self) -> list[_Ranges]:
         from pyarrow import fs
 
         system, path = _file_system(self.root)
-        found = sorted((f.path, f.size) for f in system.get_file_info(fs.FileSelector(path)) if f.path.endswith(".warc.gz"))
+        found = sorted((f.path, f.size) for f in system.get_file_info(fs.FileSelector(path)) if f.path.endswith((".warc.gz", ".warc")))
         out, room = [], 0
         for name, size in found:
-            if not out or size > room:
-                out, room = [*out, []], self.most
-            out[-1].append(name)
-            room -= size
-        return [_Files(x) for x in out]
-
-    def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
-        if not partition or not partition.paths:
+            step = self.most if name.endswith(".gz") else max(size, 1)
+            for start in range(0, size, step):
+                part = min(step, size - start)
+                if not out or part > room:
+                    out, room = [*out, []], self.most
+                out[-1].append((name, start, start + part))
+                room -= part
+        return [_Ranges(x) for x in out]
+
+    def read(self, partition: _Ranges) -> Iterator[pa.RecordBatch]:
+        if not partition or not partition.ranges:
             return
         names = [*_FIELDS, "payload"]
         kinds = pa.schema([(n, pa.int64() if n == "payload_bytes" else pa.binary() if n == "payload" else pa.string()) for n in names])
         tests = [_predicate(f) for f in self.filters]
         system, _ = _file_system(self.root)
         rows, held = [], 0
-        for path in partition.paths:
+        for path, start, end in partition.ranges:
             with system.open_input_file(path) as file:
-                data = file.read()
-            for headers, body in read_members(data, lambda h: all(t(h) for t in tests), self.payloads):
-                rows.append([*(_value(n, headers) for n in _FIELDS), body])
-                held += len(body or b"") + 300
-                if held > BATCH_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows), kinds)], schema=kinds)
-                    rows, held = [], 0
+                for headers, body in read_records(file, file.size(), lambda h: all(t(h) for t in tests), self.payloads, start, end, not path.endswith(".gz")):
+                    rows.append([*(_value(n, headers) for n in _FIELDS), body])
+                    held += len(body or b"") + 300
+                    if held > BATCH_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows), kinds)], schema=kinds)
+                        rows, held = [], 0
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows), kinds)], schema=kinds)
 
@@ -243,7 +336,8 @@ class WarcSource(DataSource):
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = False, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
-    """The records of all .warc.gz files in a folder; `payload` is null unless asked for, and always in revisits."""
+    """The records of all .warc.gz and .warc files in a folder; `payload` is null unless asked for, and always in revisits.
+    An empty folder gives an empty table."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
     return spark.read.format("warc").option("payload", str(payload).lower()).option("partition_bytes", str(partition_bytes)).load(path)
@@ -261,7 +355,8 @@ def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     responses and the others revisit it; all smaller payloads are responses.
 
     Null html is an empty payload, a null url has no target URI. Rows that repeat the smallest id with the same payload
-    are all responses. Rows without an id are responses with an empty record id. Other columns are ignored.
+    are all responses. Rows without an id are responses with an empty record id. Payloads may be of any length; one record is
+    held at a time. Other columns are ignored. An empty table gives an empty archive.
     """
     body = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     key = F.col(id_col).cast("string")

@@ -1,12 +1,19 @@
 import gzip
 import hashlib
+import io
 
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.llm.warc import HEAD, LEAST_REVISIT, page_records, read_members, read_warc, write_warc
+from corvane.llm.warc import HEAD, LEAST_REVISIT, page_records, read_records, read_warc, write_warc
 
 BIG = "<html>" + "é" * 3000 + "</html>"
+
+
+def read_members(data, wanted, payloads, **options):
+    return read_records(io.BytesIO(data), len(data), wanted, payloads, **options)
+
+
 PAGES = [(3, "http://a/1", BIG), (1, "http://a/2", BIG), (2, None, "x" * 50), (4, "http://b/\r\nInjected: yes", "x" * 50), (5, "u" * 5000, None), (6, "http://c", ""), (7, "http://c", BIG + "\r\n\r\n" + "WARC/1.1"), (None, "n", BIG), (1, "http://a/2", BIG)]
 
 
@@ -37,7 +44,7 @@ def test_pushed_filters_agree_with_spark(spark, archive):
 
 
 def test_small_partitions_and_whole_files(spark, archive):
-    assert read_warc(spark, archive, partition_bytes=1).count() == len(PAGES)
+    assert read_warc(spark, archive, partition_bytes=100).count() == len(PAGES)
     import os
 
     for name in os.listdir(archive):
@@ -53,6 +60,40 @@ def test_members_without_the_length_field():
     assert [b for _, b in read_members(data, lambda h: True, False)] == [None] * 3 and HEAD < 9000
 
 
+@pytest.mark.parametrize("step", [50, 700, 9000])
+def test_ranges_read_each_record_once(archive, step):
+    import os
+
+    for name in sorted(os.listdir(archive)):
+        if name.endswith(".warc.gz"):
+            data = open(f"{archive}/{name}", "rb").read() + gzip.compress(b"WARC/1.0\r\nWARC-Type: metadata\r\nContent-Length: 3\r\n\r\n\x1f\x8b\x08\r\n\r\n")
+            every = list(read_members(data, lambda h: True, True))
+            parts = [r for start in range(0, len(data), step) for r in read_members(data, lambda h: True, True, start=start, end=start + step)]
+            assert parts == every and every[-1][1] == b"\x1f\x8b\x08"
+
+
+def test_plain_records_and_files_cut_off(spark, tmp_path):
+    record = lambda n: f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <u:{n}>\r\nContent-Length: {n}\r\n\r\n".encode() + b"y" * n + b"\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes(b"".join(map(record, (0, 5, 4000))))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(record(n)) for n in range(1000, 1200)))
+    got = read_warc(spark, str(tmp_path), payload=True, partition_bytes=1000).collect()
+    assert sorted((r.record_id, len(r.payload)) for r in got) == sorted((f"u:{n}", n) for n in (0, 5, 4000, *range(1000, 1200)))
+    with pytest.raises(ValueError):
+        list(read_members(gzip.compress(record(9))[:-12], lambda h: True, True))
+
+
+def test_memory_stays_flat_on_a_large_file():
+    import tracemalloc
+
+    record = b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 100000\r\n\r\n" + bytes(range(250)) * 400 + b"\r\n\r\n"
+    data = io.BytesIO(gzip.compress(record, 0) * 300)
+    tracemalloc.start()
+    assert sum(1 for _ in read_records(data, len(data.getvalue()), lambda h: True, False)) == 300
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20  # of a file of 30 MB, its copy by getvalue included
+
+
 def test_unwanted_payloads_are_not_inflated(monkeypatch, archive):
     import os
     import zlib
