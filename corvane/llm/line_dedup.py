@@ -20,6 +20,7 @@ The earliest occurrence of a word window always stays. A document whose whole te
 """
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -38,38 +39,47 @@ REACH, SPAN = 64, 1024
 #: Up to so many documents that others repeat, their ids are broadcast to the scan that reads them again.
 MOST_NEEDED = 1_000_000
 
-_MIX = np.random.default_rng(17).integers(0, 1 << 64, GRAM, np.uint64) | np.uint64(1)
+_FACTOR, _LINE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
+
+
+def _words_of_lines(text: str) -> list[list[bytes]]:
+    """The words (between ASCII white space) of each line."""
+    return [line.split() for line in text.encode("utf-8", "surrogatepass").split(b"\n")]
 
 
 def word_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word (between ASCII white space), and the numbers of the words that begin lines."""
-    lines = [x for x in (line.split() for line in text.encode("utf-8", "surrogatepass").split(b"\n")) if x]
+    """Hash of each word, and the numbers of the words that begin lines."""
+    lines = _words_of_lines(text)
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    hashes = np.fromiter((xxh64_intdigest(w) for line in lines for w in line), np.uint64, int(sizes.sum()))
-    return hashes, np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64)[: len(lines)]
+    ends = sizes.cumsum()
+    return np.fromiter(map(xxh64_intdigest, chain.from_iterable(lines)), np.uint64, int(ends[-1])), (ends - sizes)[sizes > 0]
+
+
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-_POWER = np.uint64(int(_MIX[0]) | 5)
-_LINE = np.uint64(0x9E3779B97F4A7C15)
+def _window_hashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Polynomials in the hashes of [first, last), the same wherever a window lies."""
+    n = len(hashes) + 1
+    if len(_powers[0]) < n:
+        factors = _FACTOR, np.uint64(pow(int(_FACTOR), -1, 1 << 64))
+        _powers[:] = [np.multiply.accumulate(np.r_[np.uint64(1), np.full(2 * n, f)]) for f in factors]
+    up, down = _powers
+    sums = np.zeros(n, np.uint64)
+    np.add.accumulate(hashes * up[: n - 1], out=sums[1:])
+    return (sums[last] - sums[first]) * down[first]
 
 
 def line_windows(hashes: np.ndarray, starts: np.ndarray, least: int, passage: int) -> tuple[np.ndarray, np.ndarray]:
-    """(word, fingerprint) of each line window, but of lines of `passage` or more words. The fingerprint is a polynomial in
-    the words' hashes, those that begin lines being marked."""
+    """(word, fingerprint) of each line window, but of lines of `passage` or more words. Words that begin lines are marked."""
     bounds = np.r_[starts, len(hashes)]
     ends = np.searchsorted(bounds, starts + least)
     some = np.flatnonzero((ends < len(bounds)) & (np.diff(bounds) < passage))
+    if not len(some):
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
     marked = hashes.copy()
     marked[starts] ^= _LINE
-    powers = np.multiply.accumulate(np.full(len(hashes) + 1, _POWER))[::-1]  # falling, so that equal windows differ by a factor
-    sums = np.r_[np.uint64(0), np.add.accumulate(marked * powers[1:])]
-    first, last = bounds[some], bounds[ends[some]]
-    keys = (sums[last] - sums[first]) * _inverse_powers(len(hashes) + 1)[::-1][last]
-    return starts[some], keys ^ np.uint64(1)
-
-
-def _inverse_powers(n: int) -> np.ndarray:
-    return np.multiply.accumulate(np.full(n, np.uint64(pow(int(_POWER), -1, 1 << 64))))
+    return starts[some], _window_hashes(marked, bounds[some], bounds[ends[some]]) ^ _LINE
 
 
 def _sliding(values: np.ndarray, width: int, of) -> np.ndarray:
@@ -86,10 +96,8 @@ def winnowed(hashes: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray]:
     width = passage - GRAM + 1
     if len(hashes) < passage:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    n = len(hashes) - GRAM + 1
-    grams = np.zeros(n, np.uint64)
-    for i, factor in enumerate(_MIX):
-        grams += hashes[i : i + n] * factor
+    first = np.arange(len(hashes) - GRAM + 1)
+    grams = _window_hashes(hashes, first, first + GRAM)
     least = _sliding(grams, width, np.minimum)  # of the windows that begin at each place
     padded = np.r_[np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)]
     at = np.flatnonzero(_sliding(padded, width, np.maximum) == grams)
@@ -238,8 +246,7 @@ def runs_of(own: np.ndarray, matches: zip, least: int, passage: int) -> list[Run
 
 def _edited(text: str, own: np.ndarray, runs: list[Run]) -> tuple:
     """(text without the runs, its old number of lines, lines that went whole, words that went, runs)"""
-    lines = text.split("\n")
-    sizes = [len(x.encode("utf-8", "surrogatepass").split()) for x in lines]
+    lines, sizes = text.split("\n"), list(map(len, _words_of_lines(text)))
     change, at, removed, kept = np.zeros(len(own) + 1, np.int64), 0, [], []
     for first, last, _, _ in runs:
         change[first] += 1
