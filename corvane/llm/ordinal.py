@@ -87,11 +87,31 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -50, 50)))
 
 
+def thresholds_of(free: np.ndarray) -> np.ndarray:
+    """Rising thresholds from free numbers: the first one, then the logarithms of the gaps."""
+    return free[0] + np.r_[0, np.cumsum(np.exp(free[1:]))]
+
+
+def likelihood(scores: np.ndarray, grades: np.ndarray, weight: np.ndarray, free: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The weighted negative log likelihood of grades, and its derivatives by the scores and by the free numbers."""
+    t = np.r_[-np.inf, thresholds_of(free), np.inf]
+    with np.errstate(over="ignore"):
+        high, low = 1 / (1 + np.exp(scores - t[grades + 1])), 1 / (1 + np.exp(scores - t[grades]))
+    p = np.maximum(high - low, 1e-9)
+    dh, dl = high * (1 - high), low * (1 - low)
+    dt = np.zeros(len(t))
+    np.add.at(dt, grades + 1, -dh * weight / p)
+    np.add.at(dt, grades, dl * weight / p)
+    dt, gaps = dt[1:-1], np.exp(free[1:])
+    by_free = np.r_[dt.sum(), [dt[k:].sum() * gaps[k - 1] for k in range(1, len(dt))]]
+    return float(-(weight * np.log(p)).sum()), (dh - dl) * weight / p, by_free
+
+
 def learn_ordinal(flat: np.ndarray, sizes: np.ndarray, grades: np.ndarray, n_grades: int, epochs: int = 15, rate: float = 50.0, shrink: float = 1e-6, batch: int = 64, balance: float = 0.5, least_seen: int = 30, seed: int = 3) -> OrdinalModel:
     """The model of rows whose sorted features stand one after the other in `flat`, `sizes` of them each.
 
-    Maximum likelihood by decaying gradient steps over shuffled batches; the gaps between thresholds stay positive as exponentials.
-    A row weighs the inverse of its grade's frequency to the power of `balance`. A feature's
+    Steps down the gradient of the weighted likelihood over shuffled batches, of falling size and for a fixed number of epochs: stopped
+    early, so neither the likelihood's maximum nor meant to be. A row weighs the inverse of its grade's frequency to the power of `balance`. A feature's
     weight moves at the square of how far the mean grade of its rows is from the overall mean (in deviations, shrunk for
     rare ones), and not at all if it has fewer than `least_seen` rows (or a two hundredth of all, if less): features that
     tell nothing would only serve to learn rows by heart."""
@@ -121,24 +141,12 @@ def learn_ordinal(flat: np.ndarray, sizes: np.ndarray, grades: np.ndarray, n_gra
             idx, n = np.concatenate([row(i) for i in some]), sizes[some]
             scale = n.astype(float) ** -DAMPING
             s = np.add.reduceat(w[idx], np.r_[0, np.cumsum(n)[:-1]]) * scale
-            gaps = np.exp(free[1:])
-            t = np.r_[-np.inf, free[0] + np.r_[0, np.cumsum(gaps)], np.inf]
-            y, weight = grades[some], weigh[some] / len(some)
-            with np.errstate(over="ignore"):
-                high, low = 1 / (1 + np.exp(s - t[y + 1])), 1 / (1 + np.exp(s - t[y]))
-            p = np.maximum(high - low, 1e-9)
-            dh, dl = high * (1 - high), low * (1 - low)
-            ds = (dh - dl) * weight / p  # of the negative log likelihood, by the score
-            dt = np.zeros(n_grades + 1)
-            np.add.at(dt, y + 1, -dh * weight / p)
-            np.add.at(dt, y, dl * weight / p)
-            dt = dt[1:-1]
-            df = np.r_[dt.sum(), [dt[k:].sum() * gaps[k - 1] for k in range(1, len(dt))]]
+            _, ds, df = likelihood(s, grades[some], weigh[some] / len(some), free)
             grad = np.bincount(idx, weights=np.repeat(ds * scale, n), minlength=1 << BITS)
             w -= step * pace * (grad + shrink * w)
             f2 += df**2
             free -= 0.1 * df / np.sqrt(f2)
-    return OrdinalModel(w.astype(np.float32), free[0] + np.r_[0, np.cumsum(np.exp(free[1:]))])
+    return OrdinalModel(w.astype(np.float32), thresholds_of(free))
 
 
 def fit_ordinal(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", sample_rows: int = SAMPLE_ROWS, **options) -> OrdinalModel:
@@ -171,7 +179,9 @@ def grade(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
     Null and empty texts have the shape features of no words and get a score like others. Repeated rows get equal
     results; other columns are ignored; an empty table gives an empty result.
     """
-    at = (tail or len(model.thresholds)) - 1
+    at = (len(model.thresholds) if tail is None else tail) - 1
+    if not 0 <= at < len(model.thresholds):
+        raise ValueError(f"grades from 1 to {len(model.thresholds)} have a tail")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         make = Features()

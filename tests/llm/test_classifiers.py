@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import read_table
 from corvane.llm.language_id import Languages, best_mixtures, fit_languages, held_out, identify, mixtures
-from corvane.llm.ordinal import DAMPING, OrdinalModel, fit_ordinal, grade, learn_ordinal, rating
+from corvane.llm.ordinal import DAMPING, OrdinalModel, fit_ordinal, grade, learn_ordinal, likelihood, rating, thresholds_of
 
 FOLDER = "/root/testdata/sf0.1"
 needs_tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the supplied tables aren't here")
@@ -69,6 +69,50 @@ def test_held_out_languages(spark):
     assert ids == [i for i in ids if zlib.crc32(str(i).encode()) % 3 == 1]
 
 
+def plain_loss(scores, grades, weight, thresholds):
+    t = [-np.inf, *thresholds, np.inf]
+    at_most = lambda k, s: 1 / (1 + np.exp(-(t[k + 1] - s)))
+    return -sum(w * np.log(at_most(g, s) - (at_most(g - 1, s) if g else 0)) for s, g, w in zip(scores, grades, weight))
+
+
+@pytest.mark.parametrize("n_grades", [2, 3, 5])
+def test_likelihood_and_its_gradient(n_grades):
+    rng = np.random.default_rng(n_grades)
+    scores, grades, weight, free = rng.normal(0, 2, 12), rng.integers(0, n_grades, 12), rng.random(12) + 0.1, rng.normal(0, 0.5, n_grades - 1)
+    loss, by_score, by_free = likelihood(scores, grades, weight, free)
+    assert loss == pytest.approx(plain_loss(scores, grades, weight, thresholds_of(free)), rel=1e-9)
+    e = 1e-6
+    for i in range(12):
+        step = e * np.eye(12)[i]
+        assert by_score[i] == pytest.approx((likelihood(scores + step, grades, weight, free)[0] - likelihood(scores - step, grades, weight, free)[0]) / (2 * e), abs=1e-5)
+    for i in range(n_grades - 1):
+        step = e * np.eye(n_grades - 1)[i]
+        assert by_free[i] == pytest.approx((likelihood(scores, grades, weight, free + step)[0] - likelihood(scores, grades, weight, free - step)[0]) / (2 * e), abs=1e-5)
+
+
+def test_learning_lowers_the_loss():
+    rng = np.random.default_rng(2)
+    grades = rng.integers(0, 3, 900)
+    rows = [np.unique(np.r_[rng.integers(100, 160, 5), rng.integers(10 * g, 10 * g + 20, 3)]).astype(np.int32) for g in grades]
+    args = np.concatenate(rows), np.array([len(r) for r in rows]), grades, 3
+
+    def loss(model):
+        s = np.array([model.weights[r].sum() / len(r) ** DAMPING for r in rows])
+        return plain_loss(s, grades, np.ones(900), model.thresholds)
+
+    losses = [loss(learn_ordinal(*args, epochs=n, balance=0.0)) for n in (0, 1, 4, 15)]
+    assert losses == sorted(losses, reverse=True) and losses[-1] < 0.8 * losses[0]
+
+
+def test_tails_by_grade(docs_of):
+    model = OrdinalModel(np.zeros(1 << 18, np.float32), np.array([-1.0, 1.0]))
+    first, last = (grade(docs_of([(1, "x")]), model, tail=t).first().tail_probability for t in (1, None))
+    assert first == pytest.approx(0.731, abs=1e-3) and last == pytest.approx(0.269, abs=1e-3)
+    for wrong in (0, 3):
+        with pytest.raises(ValueError):
+            grade(docs_of([(1, "x")]), model, tail=wrong)
+
+
 def test_ordinal_model_orders_grades():
     rng = np.random.default_rng(1)
     rows = [np.unique(rng.integers(1000, 3000, 30)).astype(np.int32) for _ in range(1500)]
