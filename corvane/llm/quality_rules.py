@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm.common import free_name
+
 SAMPLE_ROWS = 20_000
 WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
@@ -156,7 +158,9 @@ def _best_condition(x: dict[str, np.ndarray], bad: np.ndarray, hit: np.ndarray,
 
 
 def learn_rules(frame: pd.DataFrame, bad: np.ndarray, seed: int = 5, most_rules: int = 12, most_conditions: int = 4, least_precision: float = 0.95, least_covered: int = 20, cuts: int = 256) -> list[Rule]:
-    """A decision list for `bad` rows over the columns of `frame`; empty if nothing precise enough is found."""
+    """A decision list for `bad` rows over the columns of `frame`; empty if nothing precise enough is found. Thresholds are
+    tried at up to `cuts` places of each statistic, evenly spread over its distinct values; a list has at most `most_rules`
+    rules of `most_conditions` conditions."""
     rules: list[Rule] = []
     grows = np.random.default_rng(seed).random(len(frame)) < 2 / 3
     x = {c: frame[c].to_numpy(float) for c in frame}
@@ -223,5 +227,10 @@ def quality_report(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", t
 
 
 def keep_good(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that no rule rejects."""
-    return with_counts(docs, text_col, "_counts").where(verdict(rules)[0]).drop("_counts")
+    """The rows of `docs` that neither the base rules nor a learned rule rejects, with all their columns.
+
+    Null and empty texts have no word, so they go. Texts may be of any length. Repeated rows stay or go together. An empty
+    table gives an empty result.
+    """
+    name = free_name(docs, "_counts")
+    return with_counts(docs, text_col, name).where(verdict(rules, name)[0]).select(*docs.columns)

@@ -6,7 +6,7 @@ import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corvane.llm.quality_rules import fit_rules, keep_good, learn_rules, quality_report, text_counts
+from corvane.llm.quality_rules import _best_condition, fit_rules, keep_good, learn_rules, quality_report, text_counts
 
 
 def plain_counts(text):
@@ -65,3 +65,23 @@ def test_verdicts_and_odd_rows(spark, docs_of):
     assert got[got["base_failed"]]["doc_id"].tolist() == [500, 501, 502] or set(got[got["base_failed"]]["doc_id"]) == {500, 501, 502}
     assert sorted(r.doc_id for r in keep_good(docs, rules).collect() if r.doc_id is not None) == sorted(kept)
     assert fit_rules(docs, labels.limit(0)) == [] and quality_report(docs_of([]), rules).count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 6), st.booleans()), min_size=2, max_size=25))
+def test_the_best_condition_is_the_one_of_an_exhaustive_search(rows):
+    x = {"a": np.array([r[0] for r in rows], float), "b": np.array([r[1] for r in rows], float)}
+    bad = np.array([r[2] for r in rows])
+    if bad.all() or not bad.any():
+        return
+    gain = lambda hit: (bad & hit).sum() * (np.log2((bad & hit).sum() / hit.sum()) - np.log2(bad.mean())) if (bad & hit).any() else 0.0
+    cover = lambda name, above, cut: x[name] > cut if above else x[name] <= cut
+    every = [gain(cover(n, above, cut)) for n in x for above in (True, False) for cut in np.unique(x[n])[:-1]]
+    found = _best_condition(x, bad, np.ones(len(bad), bool), 256)
+    assert gain(cover(*found)) == max(every) if found else max(every, default=0) <= 1e-9
+
+
+def test_clashing_columns_stay(docs_of):
+    docs = docs_of([(1, " ".join(f"w{i}" for i in range(20))), (2, None)]).withColumnsRenamed({"lang": "_counts", "source": "n_words"})
+    got = keep_good(docs, [])
+    assert got.columns == docs.columns and [(r.doc_id, r._counts) for r in got.collect()] == [(1, "en")]
