@@ -188,7 +188,7 @@ def project_membership(spark, folder):
 @query("chip_union", "SELECT DISTINCT lang AS label FROM documents UNION SELECT unnest(['en', 'nv', 'or'])")
 def chip_union(spark, folder):
     known = spark.createDataFrame([("en",), ("nv",), ("or",)], "label string")
-    return table(spark, folder, "documents").select(F.col("lang").alias("label")).union(known).distinct()
+    return table(spark, folder, "documents").select(F.col("lang").alias("label")).union(known).distinct().orderBy("label")
 
 
 @query("source_fallback", "SELECT doc_id, 'primary' AS origin FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, 'seed' FROM documents WHERE lang <> 'en' AND doc_id % 2 = 0")
@@ -207,7 +207,7 @@ _KINDS_SQL = "(SELECT unnest(['click', 'view', 'error', 'purchase', 'signup', 'r
 
 @query("category_coverage", f"SELECT category, count(event_id) AS n FROM {_KINDS_SQL} LEFT JOIN events ON event_type = category GROUP BY category")
 def category_coverage(spark, folder):
-    return reports.zero_filled(table(spark, folder, "events"), "event_type", _KINDS)
+    return reports.zero_filled(table(spark, folder, "events"), "event_type", _KINDS).orderBy("n", "category")
 
 
 @query("thin_coverage", f"""
@@ -428,11 +428,11 @@ def result_block(spark, folder):
     return table(spark, folder, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), line.alias("line"))
 
 
-@query("tag_lists", "SELECT d.doc_id, array_to_string(list_distinct(list_filter([d.lang, d.source, CASE WHEN l.toxic = 1 THEN 'toxic' END, d.lang], lambda x: x IS NOT NULL)), '') IS NOT NULL AS has_tags, CASE WHEN l.toxic = 1 THEN 3 ELSE 2 END AS n FROM documents d LEFT JOIN labels l USING (doc_id)")
+@query("tag_lists", "SELECT d.doc_id, concat_ws('|', d.lang, d.source, CASE WHEN l.toxic = 1 THEN 'toxic' END) AS tags FROM documents d LEFT JOIN labels l USING (doc_id)")
 def tag_lists(spark, folder):
     rows = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
     tags = append_distinct(F.col("lang"), F.col("source"), F.when(F.col("toxic") == 1, "toxic"), F.col("lang"))
-    return rows.select("doc_id", (F.size(tags) > 0).alias("has_tags"), F.size(tags).alias("n"))
+    return rows.select("doc_id", F.array_join(tags, "|").alias("tags"))
 
 
 @query("outline_flatten", """

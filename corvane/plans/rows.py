@@ -259,3 +259,26 @@ def toc_of_more_sources(spark, folder):
     )
     listed = {k: F.array_join(parsers.toc_sections(page, parsers.SOURCES[s]), ",") for k, s in (("fl", "fl_public_law"), ("nv", "nv_public_law"), ("orr", "or_public_law"))}
     return _part(spark, folder).select(i, *(v.alias(k) for k, v in listed.items()), F.array_join(parsers.listed_rows(page, "Sections", "Stay Connected"), ",").alias("ny"))
+
+
+@query("law_bodies", """
+WITH r AS (SELECT *, p_size % 3 AS k FROM part), x AS (
+  SELECT p_partkey, k, unnest(CASE k WHEN 0 THEN [{'place': 0, 'label': 'a', 'text': p_name || ' see', 'level': 1.0}, {'place': 1, 'label': '2.1', 'text': p_brand, 'level': 2.0}] ELSE [{'place': 0, 'label': NULL, 'text': 'Whole ' || p_name, 'level': 0.0}] END) AS s FROM r
+)
+SELECT p_partkey, s.place::INT AS place, s.label AS label, s.text AS text, s.level::DOUBLE AS level, CASE k WHEN 0 THEN 'Acts ' || p_partkey ELSE 'Last modified: 2024' END AS history FROM x
+""")
+def law_bodies(spark, folder):
+    i = F.col("p_partkey")
+    parts = F.concat(
+        F.lit('<section class="leaf level-1"><h2>(a)</h2> '), "p_name", F.lit(' see <a class="pedantic" href="#">again</a></section><section class="non-meta level-2"><h3>2.1.</h3><p>'), "p_brand", F.lit('</p></section><section class="level-2"><h3>(b)</h3> </section><section class="meta">Acts '), i, F.lit("</section></div>")
+    )
+    whole = F.concat(F.lit("Whole "), "p_name", F.lit(" Source: there</div>"))
+    page = F.concat(F.lit('<div>head<div id="leaf-statute-body">'), F.when(F.col("p_size") % 3 == 0, parts).otherwise(whole))
+    rows = _part(spark, folder).select(i, parsers.law_body(page).alias("b"))
+    return rows.select("p_partkey", F.posexplode("b.body").alias("place", "s"), parsers.note_or_modified(F.col("b.history"), F.lit("2024")).alias("history")).select("p_partkey", "place", "s.*", "history")
+
+
+@query("section_pages", "SELECT p_partkey, p_size || '.' || p_partkey AS number, '(Amended ' || p_partkey || '.)' AS history FROM part")
+def section_pages(spark, folder):
+    page = F.concat(F.lit("<h6>RULES</h6><i>note</i><h6 style='x'><b>"), "p_size", F.lit("."), "p_partkey", F.lit(".</b></h6><p>(a) text</p><p><i>(Amended "), "p_partkey", F.lit(".)</i></p><i> </i>"))
+    return _part(spark, folder).select("p_partkey", parsers.section_page(page).alias("s")).select("p_partkey", "s.*")

@@ -207,6 +207,42 @@ def case_citations(spark, folder):
     return found.select("o_orderkey", "name", "year", "volume", "reporter", "page", "pin")
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_WRITTEN = [(code, name if "Code" in name else f"{name} Code") for code, names in citations.CODES.items() for name in names]
+_WRITTEN_ROWS = ", ".join(f"({i}, {_quoted(code)}, {_quoted(name)})" for i, (code, name) in enumerate(_WRITTEN))
+
+
+@query("every_code", f"""
+WITH w(i, code, name) AS (VALUES {_WRITTEN_ROWS}), c AS (SELECT p_partkey, p_size, unnest([0, 1, 2, 3]) AS k FROM part)
+SELECT p_partkey, code, CASE k WHEN 0 THEN p_partkey::VARCHAR WHEN 1 THEN p_size || '.5' ELSE '7' END AS section, CASE k WHEN 3 THEN 'b' END AS subsection FROM c JOIN w ON w.i = p_partkey % {len(_WRITTEN)}
+""")
+def every_code(spark, folder):
+    """Each way to write each code, before a list of sections, among other words."""
+    i = F.col("p_partkey")
+    name = F.get(F.array(*[F.lit(n) for _, n in _WRITTEN]), (i % len(_WRITTEN)).cast("int"))
+    made = F.concat("p_name", F.lit(" under the "), name, F.lit(", §§ "), i, F.lit(", "), "p_size", F.lit(".5, and 7 (b), or the Code section 9, "), "p_type")
+    return table(spark, folder, "part").select(i, F.inline(citations.statute_citations(made))).select("p_partkey", "code", "section", "subsection")
+
+
+_REPORTED = [f"{name}{series}" for name in citations.REPORTERS for series in ("", "2d", "3d")]
+
+
+@query("every_reporter", f"""
+WITH r(i, reporter) AS (VALUES {", ".join(f"({i}, {_quoted(r)})" for i, r in enumerate(_REPORTED))})
+SELECT p_partkey, replace(p_brand, '#', '') || ' v. Roe' AS name, 2001 AS year, p_size AS volume, reporter, (p_partkey + 1)::INT AS page, CASE WHEN p_size % 2 = 0 THEN '5-6' END AS pin FROM part JOIN r ON r.i = p_partkey % {len(_REPORTED)}
+""")
+def every_reporter(spark, folder):
+    """Each reporter and series, with and without blanks in its name, the parties' names from the table."""
+    i, n = F.col("p_partkey"), F.col("p_size")
+    reporter = F.get(F.array(*[F.lit(r) for r in _REPORTED]), (i % len(_REPORTED)).cast("int"))
+    spaced = F.when(n % 3 == 0, F.rtrim(F.replace(reporter, F.lit("."), F.lit(". ")))).otherwise(reporter)
+    made = F.concat(F.lit("as held in "), F.replace("p_brand", F.lit("#"), F.lit("")), F.lit(" v. Roe (2001) "), n, F.lit(" "), spaced, F.lit(" "), i + 1, F.when(n % 2 == 0, ", 5-6").otherwise(""), F.lit("; the court"))
+    return table(spark, folder, "part").select(i, F.inline(citations.case_citations(made))).select("p_partkey", "name", "year", "volume", "reporter", "page", "pin")
+
+
 @query("section_list_split", "SELECT p_partkey, i::BIGINT AS place, CASE i WHEN 0 THEN p_partkey::VARCHAR WHEN 1 THEN p_size::VARCHAR ELSE p_size || '(a)' END AS section FROM part, (SELECT unnest([0, 1, 2]) AS i)")
 def section_list_split(spark, folder):
     blob = F.concat("p_partkey", F.lit(", "), "p_size", F.lit(", and "), "p_size", F.lit(" (a)"))

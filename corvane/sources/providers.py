@@ -74,3 +74,26 @@ def fetched(urls: DataFrame, fetch: Fetcher, tries: int = 6, pause: Callable[[fl
 def fetch_missing(wanted: DataFrame, manifest: DataFrame, keys: list[str], fetch: Fetcher, **options) -> DataFrame:
     """Pages that no valid record of the manifest covers yet."""
     return fetched(wanted.join(manifest.where("valid").select(*keys), keys, "left_anti"), fetch, **options)
+
+
+def classified(text: Column, classify: Callable[[str], list[str]], tries: int = 3, pause: Callable[[float], None] = time.sleep) -> Column:
+    """struct(tags, error) by a classifier, such as a language model, that a caller passes in. A call that raises OSError
+    is tried again after a pause; what fails to the end has null tags and its error. Null texts have no tags. Each task
+    calls for one text at a time, so tasks are the bound on calls at once."""
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            tags, error = None, None
+            for k in range(1, tries + 1 if t is not None else 0):
+                try:
+                    tags, error = classify(t), None
+                    break
+                except OSError as problem:
+                    error = str(problem)
+                    if k < tries:
+                        pause(retry_delay(k))
+            rows.append((tags, error))
+        return pd.DataFrame(rows, columns=["tags", "error"])
+
+    return F.pandas_udf(run, "tags array<string>, error string").asNondeterministic()(text)

@@ -41,7 +41,7 @@ def append_manifest(records: DataFrame, folder: str) -> None:
 
 def swap_in(table: DataFrame, folder: str) -> None:
     """Replace a Parquet folder by a table that may read it: the new files are complete before the old ones move to
-    <folder>.bak."""
+    <folder>.bak. Between the two renames the folder isn't there: readers that start then fail and have to try again."""
     spark = table.sparkSession
     jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
     path, new, old = (jvm.org.apache.hadoop.fs.Path(folder + end) for end in ("", ".new", ".bak"))

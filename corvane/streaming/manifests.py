@@ -20,13 +20,16 @@ def windowed_counts(stream: DataFrame, at: str, width: str = "1 day", delay: str
 
 def append_new(stream: DataFrame, target: str, keys: list[str], checkpoint: str, transform: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
     """Each micro-batch's records whose keys the target folder (Parquet) lacks are appended to it, after `transform`:
-    a restarted stream repeats nothing."""
+    a restarted stream repeats nothing. Of the target only the keys between the batch's smallest and largest first key are
+    read: put first a key that grows with time, and old files are skipped by their statistics."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         new = batch.dropDuplicates(keys)
         hadoop = batch.sparkSession._jvm.org.apache.hadoop.fs.Path(target)
         if hadoop.getFileSystem(batch.sparkSession._jsc.hadoopConfiguration()).exists(hadoop):
-            new = new.join(batch.sparkSession.read.parquet(target).select(*keys), keys, "left_anti")
+            low, high = new.agg(F.min(keys[0]), F.max(keys[0])).first()
+            held = batch.sparkSession.read.parquet(target).select(*keys)
+            new = new.join(held.where(F.col(keys[0]).between(F.lit(low), F.lit(high))), keys, "left_anti") if low is not None else new
         (transform(new) if transform else new).write.mode("append").parquet(target)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

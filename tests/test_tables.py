@@ -51,3 +51,19 @@ def test_pdf_pages_and_instructions(spark):
     outline = spark.createDataFrame([("a.pdf", 0, 1, "Series 100", True), ("a.pdf", 1, 1, "100. A", False), ("a.pdf", 2, 2, "101. B", False), ("a.pdf", 3, 4, "Series 200", True), ("a.pdf", 4, 4, "200. C", False)], "path string, at int, page int, title string, is_series boolean")
     found = {r.title: (r.series, r.page, r.end, r.text) for r in pdf.instruction_pages(outline, pages.where("page is not null")).collect()}
     assert found["100. A"] == ("Series 100", 1, 2, "cover") and found["101. B"][:3] == ("Series 100", 2, 4) and found["101. B"][3].startswith("one\ntwo") and found["200. C"] == ("Series 200", 4, 6, "\nfour")
+
+
+def test_classifier_calls_are_tried_again(spark):
+    from corvane.sources.providers import classified
+
+    def classify(text):
+        if text == "down":
+            raise OSError("no answer")
+        classify.calls = getattr(classify, "calls", 0) + 1
+        if text == "shaky" and classify.calls % 2:
+            raise OSError("once")
+        return [text]
+
+    rows = spark.createDataFrame([("a",), ("down",), (None,), ("shaky",)], "t string").repartition(1)
+    got = {r.t: (r.c.tags, r.c.error) for r in rows.select("t", classified(F.col("t"), classify, pause=lambda s: None).alias("c")).collect()}
+    assert got["a"] == (["a"], None) and got["down"] == (None, "no answer") and got[None] == (None, None) and got["shaky"][0] == ["shaky"]
