@@ -282,3 +282,35 @@ def law_bodies(spark, folder):
 def section_pages(spark, folder):
     page = F.concat(F.lit("<h6>RULES</h6><i>note</i><h6 style='x'><b>"), "p_size", F.lit("."), "p_partkey", F.lit(".</b></h6><p>(a) text</p><p><i>(Amended "), "p_partkey", F.lit(".)</i></p><i> </i>"))
     return _part(spark, folder).select("p_partkey", parsers.section_page(page).alias("s")).select("p_partkey", "s.*")
+
+
+@query("url_lookup", "SELECT page_id, url FROM pages WHERE url = (SELECT min(url) FROM pages)")
+def url_lookup(spark, folder):
+    """The page with a URL: a filter that reaches the scan."""
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    wanted = pages.agg(F.min("url")).first()[0]
+    return pages.where(F.col("url") == wanted)
+
+
+@query("hits_with_documents", """
+SELECT c.conv_id, c.turn, coalesce(d.source, '{}') AS source, coalesce(d.lang, '') AS lang FROM conversations c LEFT JOIN documents d ON d.doc_id = c.conv_id * 13 + c.turn
+""")
+def hits_with_documents(spark, folder):
+    """Search hits with their documents; a hit whose document is gone stays, with nothing in it."""
+    docs = table(spark, folder, "documents").select("doc_id", "source", "lang")
+    hits = table(spark, folder, "conversations").select("conv_id", "turn", (F.col("conv_id") * 13 + F.col("turn")).alias("doc_id"))
+    return hits.join(docs, "doc_id", "left").select("conv_id", "turn", F.coalesce("source", F.lit("{}")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"))
+
+
+@query("project_edits", """
+WITH p AS (SELECT conv_id AS id, list(DISTINCT turn) AS items FROM conversations GROUP BY conv_id)
+SELECT id, CASE WHEN id % 3 = 0 THEN 'renamed' ELSE 'project ' || id END AS name, array_to_string(list_sort(list_filter(list_distinct(list_append(list_append(items, 1), 99)), lambda x: x <> 0)), ',') AS items FROM p WHERE id % 5 <> 0
+UNION ALL SELECT -1, 'new', ''
+""")
+def project_edits(spark, folder):
+    """Projects after a create, adds of items (each once), a removal, renames and deletions, one project a row."""
+    projects = table(spark, folder, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.collect_set("turn").alias("items"))
+    added = F.array_union("items", F.array(F.lit(1), F.lit(99)).cast("array<long>"))
+    name = F.when(F.col("id") % 3 == 0, "renamed").otherwise(F.concat(F.lit("project "), "id"))
+    kept = projects.where("id % 5 <> 0").select("id", name.alias("name"), F.array_join(F.array_sort(F.array_remove(added, 0)), ",").alias("items"))
+    return kept.unionByName(spark.createDataFrame([(-1, "new", "")], "id long, name string, items string"))

@@ -76,6 +76,13 @@ def chunked(spark, folder):
     return chunks.select("doc_id", F.col("chunk_idx").cast("long"), F.col("char_start").cast("long"), F.col("char_end").cast("long"), F.md5(trimmed).alias("chunk_md5"))
 
 
+@query("chunks_of_document", _CHUNKS.replace("0, NULL::BIGINT, -1 FROM documents", "0, NULL::BIGINT, -1 FROM documents WHERE doc_id = 7"))
+def chunks_of_document(spark, folder):
+    """One document's chunks, in order: the lookup filters before anything is cut."""
+    chunks = chunk_documents(table(spark, folder, "documents").where("doc_id = 7"), "doc_id", "text")
+    return chunks.orderBy("chunk_idx").select("doc_id", F.col("chunk_idx").cast("long"), F.col("char_start").cast("long"), F.col("char_end").cast("long"), F.md5(F.btrim("text", F.lit(" \n\t\r"))).alias("chunk_md5"))
+
+
 @query("snippet_ellipsis", """
 SELECT doc_id, CASE WHEN length(text) > 240 THEN left(text, 240) || '…' ELSE text END AS summary, left(text, 500) AS snippet,
        CASE WHEN length(text) > 2000 THEN left(text, 2000) || ' [cut]' ELSE text END AS body, split_part(text, chr(10), 1) AS first_line
