@@ -5,7 +5,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import read_table, shared_path
+from corvane.llm.alignment import align
+from corvane.llm.common import WHITE, read_table, shared_path
+from corvane.llm.digest import against_next
 from corvane.llm.exact_dedup import exact_dedup
 from corvane.llm.html_text import extract_text
 from corvane.llm.language_id import fit_languages, held_out, identify
@@ -13,6 +15,7 @@ from corvane.llm.line_dedup import drop_repeated_lines
 from corvane.llm.mixing import Mix, mix_sources
 from corvane.llm.ordinal import fit_ordinal, grade, rating
 from corvane.llm.packing import pack
+from corvane.llm.periodic import find_runs
 from corvane.llm.quality_rules import fit_rules, quality_report
 from corvane.llm.simhash import simhash_groups
 from corvane.llm.warc import page_records, read_warc, write_warc
@@ -128,3 +131,45 @@ def op9_language_mixture(spark: SparkSession, folder: str) -> DataFrame:
 def op10_line_runs(spark: SparkSession, folder: str) -> DataFrame:
     done = drop_repeated_lines(read_table(spark, folder, "documents"))
     return done.select("doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+@query
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return align(read_table(spark, folder, "documents"))
+
+
+def with_planted_period(docs: DataFrame) -> DataFrame:
+    """Documents whose text repeats from some word on, where crc32 of the id, h, is a multiple of 10: each word from
+    a = g % n on becomes word a + (i - a) % p, for g = h / 10 and p = 1 + (n - a) / (3 + g % 8), rounded down."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g, n = F.floor(h / 10), F.size("words")
+    start = F.pmod(g, F.greatest(n, F.lit(1)))
+    period = 1 + F.floor((n - start) / (3 + g % 8))
+    there = F.expr("transform(sequence(0, size(words) - 1), i -> words[cast(if(i < _a, i, _a + (i - _a) % _p) as int)])")
+    words = F.filter(F.split("text", WHITE), lambda w: w != "")
+    chosen = docs.withColumn("words", F.when(h % 10 == 0, words)).withColumns({"_a": start, "_p": period})
+    return chosen.withColumn("text", F.when(n > 0, F.array_join(there, " ")).otherwise(F.col("text"))).select("doc_id", "text")
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = with_planted_period(read_table(spark, folder, "documents").select("doc_id", "text"))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("o"), r["start"].alias("start"), r["period"].alias("period"))))
+    found = find_runs(docs).withColumn("_r", longest)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("_r.start").alias("start"),
+        (-F.col("_r.o")).alias("length"),
+        F.col("_r.period").alias("period"),
+        F.expr("(1000 * -_r.o) div _r.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        "n_words",
+    )
+
+
+@query
+def op13_quartile_digest(spark: SparkSession, folder: str) -> DataFrame:
+    return against_next(read_table(spark, folder, "documents"))
