@@ -5,13 +5,12 @@ comes from one language, in unknown proportions, which expectation-maximisation
 likelihoods. The set of languages is the one with the best penalised likelihood: starting from all, the smallest
 language is taken out while that improves the score. The prediction is the language with the largest proportion.
 
-Learning counts all rows that may be learned from, aggregated before anything is shuffled; the model is a table of
-languages by buckets, of bounded size whatever the input, and goes to the tasks with the function that uses it. The more
-languages, the fewer buckets they have each.
+Learning counts all rows that may be learned from, aggregated before anything is shuffled. The model keeps, for each
+bucket, the languages that have it and their counts, at most MAX_COUNTS of them whatever the input, and goes to the tasks
+with the function that uses it.
 """
 
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,9 +23,9 @@ from xxhash import xxh32_intdigest
 
 from corvane.llm.common import settle
 
-#: Buckets of n-grams for up to VALUES / BUCKETS languages; with more languages, the largest power of two that keeps the
-#: table within VALUES.
-BUCKETS, VALUES = 1 << 16, 1 << 24
+BUCKETS = 1 << 16
+#: Pairs of a language and a bucket that a model holds; learning more than that is an error.
+MAX_COUNTS = 1 << 24
 #: More values than this in the language column aren't languages.
 MAX_LANGUAGES = 1 << 16
 NGRAM = 3
@@ -40,17 +39,22 @@ HELD_WORDS = 300_000
 HELD_VALUES = 1_200_000
 VALUES_AT_ONCE = 800_000
 
-#: Characters that patterns count as word characters though they are neither letters nor decimal digits: fractions,
-#: superscripts, circled and Roman numbers.
-_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+def _letters(word: str) -> list[str]:
+    """The stretches of letters: the pattern also takes fractions, superscripts, circled and Roman numbers for letters."""
+    return "".join(c if c.isalpha() else " " for c in word).split()
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    words = _WORD.findall(text.lower()) if text else []
+    if all(map(str.isalpha, words)):
+        return words
+    return [part for word in words for part in ([word] if word.isalpha() else _letters(word))]
 
 
-def buckets_of(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+def buckets_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of the n-grams of words, their ends marked, one word after the other; and how many each has."""
     held, out, sizes = {}, [], []
     for word in words:
@@ -59,20 +63,43 @@ def buckets_of(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np
         out += grams
         sizes.append(len(grams))
     for gram in set(out):
-        held[gram] = xxh32_intdigest(gram.encode("utf-8", "surrogatepass")) % buckets
+        held[gram] = xxh32_intdigest(gram.encode("utf-8", "surrogatepass")) % BUCKETS
     return np.fromiter(map(held.__getitem__, out), np.int64, len(out)), np.array(sizes, np.int64)
 
 
 @dataclass(frozen=True)
 class Languages:
     names: tuple[str, ...]
-    #: Log probabilities, languages by buckets.
-    table: np.ndarray
+    #: Log probability, for each language, of a bucket that it doesn't have.
+    unseen: np.ndarray
+    #: Where the languages of each bucket begin; the languages; by how much they exceed `unseen` there.
+    starts: np.ndarray
+    langs: np.ndarray
+    gains: np.ndarray
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """Log likelihoods, words by languages."""
+        at, sizes = buckets_of(words)
+        many = np.diff(self.starts)[at]
+        places = np.arange(many.sum()) + np.repeat(self.starts[at] - (many.cumsum() - many), many)
+        cell = np.repeat(np.repeat(np.arange(len(words)), sizes) * len(self.names), many) + self.langs[places]
+        sums = np.bincount(cell, weights=self.gains[places], minlength=len(words) * len(self.names))
+        return sums.reshape(len(words), -1) + sizes[:, None] * self.unseen
+
+
+def model_of(names: tuple[str, ...], langs: np.ndarray, buckets: np.ndarray, counts: np.ndarray) -> Languages:
+    """A model of counts of pairs of a language's number and a bucket."""
+    order = np.argsort(buckets, kind="stable")
+    langs, buckets, counts = langs[order], buckets[order], counts[order]
+    totals = np.bincount(langs, weights=counts, minlength=len(names))
+    used = max(len(np.unique(buckets)), 1)
+    unseen = np.log(SMOOTHING) - np.log(totals + SMOOTHING * 2 * used)
+    return Languages(names, unseen, np.searchsorted(buckets, np.arange(BUCKETS + 1)), langs.astype(np.int32), np.log(counts / SMOOTHING + 1.0))
 
 
 def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Languages:
     """N-gram counts of every row with a text and a language, whole texts of any length. Repeated rows count as often as they
-    occur; other columns are ignored. ValueError if there is no such row, or more than MAX_LANGUAGES languages."""
+    occur; other columns are ignored. ValueError if there is no such row, or more than MAX_LANGUAGES languages or MAX_COUNTS counts."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def flush() -> Iterator[pd.DataFrame]:
@@ -97,23 +124,20 @@ def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     names = tuple(sorted(r.lang for r in counted.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()))
     if not names or len(names) > MAX_LANGUAGES:
         raise ValueError(f"{len(names)} languages to learn from; 1 to {MAX_LANGUAGES} are possible")
-    buckets = min(BUCKETS, 1 << (VALUES // len(names)).bit_length() - 1)
-    folded = counted.groupBy("lang", (F.col("bucket") % buckets).alias("bucket")).agg(F.sum("n").alias("n"))
-    held = folded.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("c")).select("lang", F.col("c.bucket").alias("at"), F.col("c.n").alias("n"))
-    counts = np.zeros((len(names), buckets))
-    of = {n: i for i, n in enumerate(names)}
-    for batch in held.toArrow().to_batches():  # at most VALUES buckets
-        for lang, at, n in zip(batch["lang"].to_pylist(), batch["at"], batch["n"]):
-            counts[of[lang], at.values.to_numpy()] = n.values.to_numpy()
-    used = max(int((counts.sum(axis=0) > 0).sum()), 1)
-    return Languages(names, np.log(counts + SMOOTHING) - np.log(counts.sum(axis=1, keepdims=True) + SMOOTHING * 2 * used))
+    if (size := counted.count()) > MAX_COUNTS:
+        raise ValueError(f"{size} pairs of languages and n-grams; at most {MAX_COUNTS} are possible")
+    found = counted.toArrow()
+    number = {name: i for i, name in enumerate(names)}
+    lang = found.column("lang").combine_chunks().dictionary_encode()
+    langs = np.array([number[x] for x in lang.dictionary.to_pylist()], np.int64)[lang.indices.to_numpy()]
+    return model_of(names, langs, found.column("bucket").to_numpy(), found.column("n").to_numpy())
 
 
 class Likelihoods:
     """Log likelihoods of words under each language, each word's computed once while it is held."""
 
     def __init__(self, model: Languages):
-        self.table, self.at, self.rows = model.table.T.copy(), {}, np.empty((1024, len(model.names)))
+        self.model, self.at, self.rows = model, {}, np.empty((1024, len(model.names)))
         self.most, self.part = max(1, HELD_VALUES // len(model.names)), max(1, VALUES_AT_ONCE // 4 // len(model.names))
 
     def of(self, words: list[str]) -> np.ndarray:
@@ -127,8 +151,7 @@ class Likelihoods:
             self.at.update(zip(new, range(first, end)))
             for start in range(0, len(new), self.part):
                 part = new[start : start + self.part]
-                at, sizes = buckets_of(part, len(self.table))
-                self.rows[first + start : first + start + len(part)] = np.add.reduceat(self.table[at], np.r_[0, np.cumsum(sizes)[:-1]])
+                self.rows[first + start : first + start + len(part)] = self.model.of(part)
         return self.rows[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))]
 
 

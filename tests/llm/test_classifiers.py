@@ -1,4 +1,5 @@
 import os
+import re
 import zlib
 
 import numpy as np
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.llm.common import read_table
-from corvane.llm.language_id import Languages, best_mixtures, fit_languages, held_out, identify, mixtures
+from corvane.llm.language_id import BUCKETS, SMOOTHING, Languages, best_mixtures, buckets_of, fit_languages, held_out, identify, mixtures, words_of
 from corvane.llm.ordinal import DAMPING, OrdinalModel, fit_ordinal, grade, learn_ordinal, likelihood, rating, thresholds_of
 
 FOLDER = "/root/testdata/sf0.1"
@@ -50,12 +51,28 @@ def test_numbers_are_no_letters(spark, docs_of):
     assert {r.doc_id: r.lang_pred == "und" for r in got.collect()} == {1: True, 2: False, 3: False}
 
 
-def test_more_languages_share_the_table(spark, docs_of, monkeypatch):
-    monkeypatch.setattr("corvane.llm.language_id.VALUES", 1 << 17)
+def test_likelihoods_equal_a_full_table(docs_of, monkeypatch):
     rows = [(i, " ".join(f"{chr(97 + i)}{a}{b}" for a in "aeiou" for b in "aeiou"), f"l{i}", "s", 0) for i in range(20)]
     model = fit_languages(docs_of(rows))
-    assert model.table.shape == (20, 4096)
     assert all(r.lang_pred == f"l{r.doc_id}" for r in identify(docs_of(rows), model).collect())
+    full = np.zeros((20, BUCKETS))
+    for i, text, *_ in rows:
+        at, _ = buckets_of(text.split())
+        np.add.at(full[sorted(f"l{k}" for k in range(20)).index(f"l{i}")], at, 1)
+    used = (full.sum(axis=0) > 0).sum()
+    table = np.log(full + SMOOTHING) - np.log(full.sum(axis=1, keepdims=True) + SMOOTHING * 2 * used)
+    words = ["aea", "bzz", "unseen", "x"]
+    want = [table[:, buckets_of([w])[0]].sum(axis=1) for w in words]
+    assert model.of(words) == pytest.approx(np.array(want))
+    monkeypatch.setattr("corvane.llm.language_id.MAX_COUNTS", 100)
+    with pytest.raises(ValueError, match="pairs of languages"):
+        fit_languages(docs_of(rows))
+
+
+def test_words_are_stretches_of_letters():
+    plain = lambda t: re.findall(r"[^\W\d_]+", "".join(c if c.isalpha() or not (c.isalnum() and not c.isdecimal()) else " " for c in t.lower()))
+    for text in ("x²y ½a Ⅷ b③c", "İstanbul naïve_x 漢字 a1b", "", "one two", "٣ab"):
+        assert words_of(text) == plain(text)
 
 
 @needs_tables
