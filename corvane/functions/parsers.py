@@ -193,47 +193,6 @@ def acts_history(raw: Column) -> Column:
     )
 
 
-def _tagless(text: Column) -> Column:
-    return squeeze(F.regexp_replace(text, r"<[^>]+>", " "))
-
-
-def law_body(page: Column) -> Column:
-    """struct of body, an array of (label, text, level), and history: what stands in a law page's sections. A section's level is
-    in its class; a number or "(letter)" that is its whole first heading is its label, and headings are no text; links of
-    class pedantic go; what is in a section of class meta is the history. A page without such sections is one section of
-    level 0, up to "Source:"; only what follows the mark of the body counts. Sections inside sections are read with the
-    outer one."""
-    body = F.coalesce(F.regexp_replace(behind(page, 'id="leaf-statute-body"'), "^[^>]*>", ""), F.lit(""))
-    tags = F.regexp_extract_all(body, F.lit(r"(?s)<section\b([^>]*)>.*?</section>"), F.lit(1))
-    inner = F.regexp_extract_all(body, F.lit(r"(?s)<section\b[^>]*>(.*?)</section>"), F.lit(1))
-
-    def one(tag: Column, held: Column) -> Column:
-        classes = F.split(F.regexp_extract(tag, 'class="([^"]*)"', 1), " +")
-        heading_text = _tagless(F.regexp_extract(held, r"(?s)<h[2-6][^>]*>(.*?)</h[2-6]>", 1))
-        bare = F.rtrim(F.btrim(heading_text, F.lit("()")), F.lit("."))
-        lettered, numbered = heading_text.startswith("(") & heading_text.endswith(")"), heading_text.rlike(r"^[0-9]+([.][0-9]+)*[.]?$")
-        text = _tagless(F.regexp_replace(held, r"(?s)<h[2-6][^>]*>.*?</h[2-6]>|<a [^>]*pedantic[^>]*>.*?</a>", " "))
-        level = F.regexp_extract(F.array_join(classes, " "), "level-([0-9]+)", 1).try_cast("double")
-        return F.struct(F.array_contains(classes, "meta").alias("meta"), F.when(lettered | numbered, bare).alias("label"), text.alias("text"), F.coalesce(level, F.lit(0.0)).alias("level"))
-
-    found = F.filter(F.zip_with(tags, inner, one), lambda x: x["text"] != "")
-    plain = F.filter(found, lambda x: ~x["meta"])
-    whole = F.trim(F.split_part(_tagless(body), F.lit("Source:"), F.lit(1)))
-    lone = F.when(whole != "", F.array(F.struct(F.lit(None).cast("string").alias("label"), whole.alias("text"), F.lit(0.0).alias("level"))))
-    parts = F.transform(plain, lambda x: F.struct(x["label"].alias("label"), x["text"].alias("text"), x["level"].alias("level")))
-    history = F.get(F.reverse(F.filter(found, lambda x: x["meta"])), F.lit(0))["text"]
-    return F.struct(F.when(F.size(plain) > 0, parts).otherwise(lone).alias("body"), history.alias("history"))
-
-
-def section_page(page: Column) -> Column:
-    """struct of the section's number, from the heading of its own that begins with it, and the history: the last text in
-    italics."""
-    headings = F.transform(F.regexp_extract_all(page, F.lit(r"(?s)<h6[^>]*>(.*?)</h6>"), F.lit(1)), _tagless)
-    numbers = F.filter(F.transform(headings, lambda h: F.rtrim(_word(h, 1), F.lit("."))), lambda n: F.regexp_like(n, F.lit("^[0-9]+([.][0-9]+)?$")))
-    italics = F.filter(F.transform(F.regexp_extract_all(page, F.lit(r"(?s)<i>(.*?)</i>"), F.lit(1)), _tagless), lambda t: t != "")
-    return F.struct(F.get(numbers, F.lit(0)).alias("number"), F.get(F.reverse(italics), F.lit(0)).alias("history"))
-
-
 def note_or_modified(note: Column, modified: Column) -> Column:
     """A history note; where there is none, one that says when the page was last changed."""
     return F.coalesce(F.nullif(squeeze(note), F.lit("")), F.concat(F.lit("Last modified: "), modified))

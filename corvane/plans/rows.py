@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from corvane.functions import parsers
 from corvane.operators import joins, shapes
 from corvane.plans.catalog import query, table
+from corvane.session import settle
+from corvane.sources.page_tree import code_pages, law_sections, page_nodes
 
 
 def _part(spark, folder):
@@ -274,14 +276,61 @@ def law_bodies(spark, folder):
     )
     whole = F.concat(F.lit("Whole "), "p_name", F.lit(" Source: there</div>"))
     page = F.concat(F.lit('<div>head<div id="leaf-statute-body">'), F.when(F.col("p_size") % 3 == 0, parts).otherwise(whole))
-    rows = _part(spark, folder).select(i, parsers.law_body(page).alias("b"))
-    return rows.select("p_partkey", F.posexplode("b.body").alias("place", "s"), parsers.note_or_modified(F.col("b.history"), F.lit("2024")).alias("history")).select("p_partkey", "place", "s.*", "history")
+    found = law_sections(settle(page_nodes(_part(spark, folder).select(i, page.alias("html")), "p_partkey", "html"), "nodes"), "p_partkey")
+    return found.withColumn("history", parsers.note_or_modified(F.col("history"), F.lit("2024")))
+
+
+@query("nested_law_bodies", """
+WITH RECURSIVE t AS (
+  SELECT p_partkey, p_name, p_size % 5 + 1 AS d, p_name || ' ' || d || ' tail ' || d AS text FROM part
+  UNION ALL SELECT p_partkey, p_name, d - 1, p_name || ' ' || (d - 1) || ' ' || text || ' tail ' || (d - 1) FROM t WHERE d > 1
+)
+SELECT p_partkey, (d - 1)::INT AS place, CASE WHEN d % 2 = 0 THEN d::VARCHAR ELSE chr((96 + d)::INT) END AS label, text, d::DOUBLE AS level, 'Acts ' || p_partkey AS history FROM t
+""")
+def nested_law_bodies(spark, folder):
+    """Sections inside sections, one to five deep, with text before and behind the inner one."""
+    name, depth = F.col("p_name"), F.col("p_size") % 5 + 1
+
+    def around(inner, d):
+        head = F.when(d % 2 == 0, F.concat(d, F.lit("."))).otherwise(F.concat(F.lit("("), F.char(96 + d), F.lit(")")))
+        return F.concat(F.lit('<section class="non-meta level-'), d, F.lit('"><h2>'), head, F.lit("</h2><p>"), name, F.lit(" <i>"), d, F.lit('</i><a class="pedantic">x</a></p>'), inner, F.lit(" tail "), d, F.lit("</section>"))
+
+    nested = F.aggregate(F.sequence(depth, F.lit(1), F.lit(-1)), F.lit(""), around)
+    page = F.concat(F.lit('<section>other</section><div id="leaf-statute-body">'), nested, F.lit('<section class="meta">Acts <b>'), "p_partkey", F.lit("</b></section></div><section>footer</section>"))
+    nodes = page_nodes(_part(spark, folder).select("p_partkey", page.alias("html")), "p_partkey", "html")
+    return law_sections(settle(nodes, "nodes"), "p_partkey")
 
 
 @query("section_pages", "SELECT p_partkey, p_size || '.' || p_partkey AS number, '(Amended ' || p_partkey || '.)' AS history FROM part")
 def section_pages(spark, folder):
-    page = F.concat(F.lit("<h6>RULES</h6><i>note</i><h6 style='x'><b>"), "p_size", F.lit("."), "p_partkey", F.lit(".</b></h6><p>(a) text</p><p><i>(Amended "), "p_partkey", F.lit(".)</i></p><i> </i>"))
-    return _part(spark, folder).select("p_partkey", parsers.section_page(page).alias("s")).select("p_partkey", "s.*")
+    page = F.concat(
+        F.lit("<div id='codeLawSectionNoHead'><h6>RULES</h6><i>note</i><font><h6 style='x'><b>"), "p_size", F.lit("."), "p_partkey", F.lit(".</b></h6><p>(a) text</p><p><i>(Amended "), "p_partkey", F.lit(".)</i></p><i> </i></font></div>"),
+    )
+    nodes = page_nodes(_part(spark, folder).select("p_partkey", page.alias("html")), "p_partkey", "html")
+    return code_pages(settle(nodes, "nodes"), "p_partkey").select("p_partkey", F.col("section").alias("number"), "history")
+
+
+@query("code_page_parts", """
+WITH r AS (SELECT *, p_size % 4 AS k, p_partkey % 3 AS c FROM part), x AS (
+  SELECT *, unnest(range(k + 1)) AS j FROM r
+)
+SELECT p_partkey, 'Vehicle Code' AS code_name, CASE c WHEN 0 THEN 'chapter:2:Signs:' || p_size || ',division:11:Rules:' WHEN 1 THEN 'division:11:Rules:' ELSE '' END AS levels, p_size || '.5' AS section, j::INT AS place,
+       CASE WHEN j > 0 THEN j::VARCHAR END AS label, p_name || ' ' || j AS text, j * 1.5::DOUBLE AS depth
+FROM x
+""")
+def code_page_parts(spark, folder):
+    """The hierarchy and the paragraphs of code pages: none to two levels above, one to four paragraphs, each with its margin."""
+    row = F.lit("<p style='margin-left: "), F.lit("em;'>")
+    paragraph = lambda j: F.concat(row[0], j * F.lit(1.5), row[1], F.when(j > 0, F.concat(F.lit("("), j, F.lit(") "))).otherwise(""), "p_name", F.lit(" <b>"), j, F.lit("</b>"))
+    paragraphs = F.array_join(F.transform(F.sequence(F.lit(0), F.col("p_size") % 4), paragraph), "")
+    c = F.col("p_partkey") % 3
+    division = F.when(c < 2, "<h4>DIVISION 1. Old</h4><h4><b>DIVISION 11.</b> Rules</h4>").otherwise("<h4>General Provisions</h4>")
+    chapter = F.when(c == 0, F.concat(F.lit("<h5>CHAPTER 2. Signs [ "), "p_size", F.lit(" ]</h5>"))).otherwise("")
+    page = F.concat(F.lit("<p>menu</p><div id=codeLawSectionNoHead><h4>Vehicle Code - VEH</h4>"), division, chapter, F.lit("<i>note</i><font face='x'><h6>"), "p_size", F.lit(".5.</h6>"), paragraphs, F.lit("</font></div>"))
+    nodes = page_nodes(_part(spark, folder).select("p_partkey", page.alias("html")), "p_partkey", "html")
+    found = code_pages(settle(nodes, "nodes"), "p_partkey").withColumn("h", F.array_sort(F.map_entries("hierarchy")))
+    level = lambda e: F.concat_ws(":", e["key"], e["value"]["ident"], e["value"]["title"], F.coalesce(e["value"]["range"], F.lit("")))
+    return found.select("p_partkey", "code_name", F.array_join(F.transform("h", level), ",").alias("levels"), "section", F.posexplode("paragraphs").alias("place", "p")).select("p_partkey", "code_name", "levels", "section", "place", "p.*")
 
 
 @query("url_lookup", "SELECT page_id, url FROM pages WHERE url = (SELECT min(url) FROM pages)")

@@ -7,7 +7,9 @@ from corvane.functions.text import base_section, clipped, keyword_score, query_s
 from corvane.functions.vectors import dot, literal
 from corvane.operators.ranking import KEYWORD_WEIGHT, pool_size, top_k
 from corvane.operators.search import any_of, clamp, overlap, page_with_total, token_filter, where_all
+from corvane.operators.vector_index import build_index, probes_for, recall_curve, search
 from corvane.plans.catalog import query, table
+from corvane.session import shared_path
 
 
 def _tags():
@@ -139,3 +141,29 @@ def statute_documents(spark, folder):
     url = F.when(F.col("url").startswith("http://"), F.regexp_replace("url", "^http://", "upload://")).otherwise(F.col("url"))
     kind = F.when(F.col("page_id") % 7 == 0, "verdict").when(F.col("page_id") % 7 == 3, "opinion")
     return table(spark, folder, "pages").where(statute_document(url, kind, F.col("page_id") % 5 == 0)).select("page_id", "url")
+
+
+def _vector_index(spark, folder):
+    """The stored vectors, indexed, and as queries every row whose id is divisible by 20."""
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    index = build_index(vectors, shared_path(spark, "vector-index"), "vec_id", "embedding")
+    return index, vectors.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+
+
+@query("vector_index_all_cells", """
+SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score,
+       row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) DESC, e.vec_id) AS place
+FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0 QUALIFY place <= 20
+""")
+def vector_index_all_cells(spark, folder):
+    """The exact search through the index."""
+    index, queries = _vector_index(spark, folder)
+    return search(index, queries, "query_id", "embedding", 20).withColumn("score", F.round("score", 6))
+
+
+@query("vector_index_topk")
+def vector_index_topk(spark, folder):
+    """The same through the fewest cells that find nine of ten rows. Tests measure the recall, as SQL can't know the cells."""
+    index, queries = _vector_index(spark, folder)
+    probes = probes_for(recall_curve(index, queries, "query_id", "embedding", 20), 0.9)
+    return search(index, queries, "query_id", "embedding", 20, probes).withColumn("score", F.round("score", 6))
