@@ -58,15 +58,20 @@ def digest(text: str) -> np.ndarray:
     return np.r_[size, levels].astype(np.uint8)
 
 
-def as_text(levels: np.ndarray) -> str:
-    """A digest as hexadecimal digits, four buckets to a byte."""
+def packed(levels: np.ndarray) -> bytes:
+    """A digest with four buckets to a byte."""
     four = levels[1:].reshape(-1, 4)
-    return bytes([levels[0]]).hex() + (four[:, 0] << 6 | four[:, 1] << 4 | four[:, 2] << 2 | four[:, 3]).astype(np.uint8).tobytes().hex()
+    return bytes([levels[0]]) + (four[:, 0] << 6 | four[:, 1] << 4 | four[:, 2] << 2 | four[:, 3]).astype(np.uint8).tobytes()
+
+
+def as_text(levels: np.ndarray) -> str:
+    """A digest as hexadecimal digits."""
+    return packed(levels).hex()
 
 
 def from_text(digits: str) -> np.ndarray:
-    packed = np.frombuffer(bytes.fromhex(digits), np.uint8)
-    return np.r_[packed[0], (packed[1:, None] >> np.array([6, 4, 2, 0], np.uint8) & 3).ravel()]
+    held = np.frombuffer(bytes.fromhex(digits), np.uint8)
+    return np.r_[held[0], (held[1:, None] >> np.array([6, 4, 2, 0], np.uint8) & 3).ravel()]
 
 
 def likeness_of(a: np.ndarray, b: np.ndarray) -> float:
@@ -104,14 +109,14 @@ def spliced(text: str, following: str) -> str:
     return text[: len(text) - third] + following[:third]
 
 
-_RESULT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_RESULT = "n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def _compared(text: str, own: np.ndarray, following: str, other: np.ndarray) -> tuple:
     edited = spliced(text, following)
     changed = digest(edited)
     sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-    return len(text), sha, as_text(own), as_text(changed), likeness_of(own, changed), likeness_of(own, other)
+    return len(text), sha, packed(own), packed(changed), likeness_of(own, changed), likeness_of(own, other)
 
 
 def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,4 +171,5 @@ def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pd.concat([batch[["id"]], pd.DataFrame(found, columns=names[4:])], axis=1)
 
     done = walked.where("role = 'row'").select("id", *names[4:])
-    return done.unionByName(pairs.mapInPandas(compare, f"id {kind}, {_RESULT}")).withColumnRenamed("id", id_col)
+    done = done.unionByName(pairs.mapInPandas(compare, f"id {kind}, {_RESULT}"))
+    return done.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")}).withColumnRenamed("id", id_col)
