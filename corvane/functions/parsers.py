@@ -1,7 +1,6 @@
 """Parts of statute pages, tables of contents, jury instructions and replies, as column expressions over Java patterns."""
 
 import re
-from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
@@ -198,34 +197,7 @@ def note_or_modified(note: Column, modified: Column) -> Column:
     return F.coalesce(F.nullif(squeeze(note), F.lit("")), F.concat(F.lit("Last modified: "), modified))
 
 
-# ---- sources and their tables of contents
-
-
-@dataclass(frozen=True)
-class Source:
-    """How one jurisdiction's code is listed and checked."""
-
-    jurisdiction: str
-    law_code: str
-    #: What a link to a section looks like; the group is its number.
-    section_link: str
-    #: What a fetched section page has.
-    marker: str = "leaf-statute-body"
-    least_bytes: int = 2000
-
-
-# The sources by name.
-SOURCES = {
-    "tx_public_law": Source("TX", "TN", r"tex\._transp\._code_section_(\d+\.\d+[a-z]?)"), "co_public_law": Source("CO", "CRS42", r"crs_(42-\d+-[\w.]+)"),
-    "fl_public_law": Source("FL", "TXX", r"fla\._stat\._(\d+\.\d+[a-z]?)"), "nv_public_law": Source("NV", "NRS43", r"nrs_(\d+[a-z]?\.\d+)"), "or_public_law": Source("OR", "ORS59", r"ors_(\d+\.\d+)"),
-    "ca_leginfo_pages": Source("CA", "VEH", r"sectionNum=(\d+(?:\.\d+)?)", "var lawCode", 0),
-}
-
-
-def toc_sections(page: Column, source: Source) -> Column:
-    """The distinct section numbers that a table of contents links to, in page order; escaped underscores undone."""
-    plain = F.regexp_replace(page, "(?i)%5f", "_")
-    return F.array_distinct(F.regexp_extract_all(plain, F.lit(source.section_link), F.lit(1)))
+# ---- tables of contents
 
 
 def listed_rows(page: Column, begin: str, end: str) -> Column:
@@ -238,10 +210,6 @@ def listed_rows(page: Column, begin: str, end: str) -> Column:
     return F.array_distinct(F.array_compact(numbered))
 
 
-def valid_page(page: Column, source: Source) -> Column:
-    return (F.octet_length(page) >= source.least_bytes) & F.contains(page, F.lit(source.marker))
-
-
 def is_pdf(data: Column) -> Column:
     return F.substring(data, 1, 5) == F.lit(b"%PDF-")
 

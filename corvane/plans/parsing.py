@@ -2,10 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from corvane.functions import parsers
+from corvane.functions import contents, parsers
 from corvane.functions.text import base_section
 from corvane.operators.ranking import first_per
+from corvane.operators.walks import walk
 from corvane.plans.catalog import query, table
+from corvane.session import settle, shared_path
 
 
 def _i():
@@ -85,7 +87,7 @@ def acts_history(spark, folder):
 @query("toc_by_source", "SELECT p_partkey, p_size || '.' || p_partkey AS tx, '42-' || p_size || '-' || p_partkey AS co FROM part")
 def toc_by_source(spark, folder):
     page = F.concat(F.lit('<a href="/tex._transp._code%5Fsection_'), _n(), F.lit("."), _i(), F.lit('">x</a><a href="/tex._transp._code_section_'), _n(), F.lit("."), _i(), F.lit('">y</a><a href="/crs_42-'), _n(), F.lit("-"), _i(), F.lit('">'))
-    listed = {k: F.array_join(parsers.toc_sections(page, parsers.SOURCES[s]), ",") for k, s in (("tx", "tx_public_law"), ("co", "co_public_law"))}
+    listed = {k: F.array_join(contents.toc_sections(page, contents.SOURCES[s]), ",") for k, s in (("tx", "tx_public_law"), ("co", "co_public_law"))}
     return table(spark, folder, "part").select(_i(), *(v.alias(k) for k, v in listed.items()))
 
 
@@ -140,3 +142,79 @@ def first_turns(spark, folder):
 @query("safe_filenames", "SELECT p_partkey, upper('a_' || p_size || '_' || p_partkey) AS name FROM part")
 def safe_filenames(spark, folder):
     return table(spark, folder, "part").select(_i(), parsers.safe_filename(F.concat(F.lit(" a/"), _n(), F.lit(" "), _i())).alias("name"))
+
+
+#: Chapters c of twenty suppliers s each, in five titles t, as edges of each source's contents: what a page of one level lists.
+_CONTENTS = """
+WITH RECURSIVE s AS (SELECT s_suppkey AS s, s_suppkey // 20 + 10 AS c, (s_suppkey // 20) % 5 + 1 AS t, chr((97 + s_suppkey // 20 % 3)::INT) AS u FROM supplier), e AS (
+  SELECT DISTINCT 'CA' AS source, 'root' AS pk, '' AS p, 'division' AS kind, t::VARCHAR AS n FROM s
+  UNION SELECT 'CA', 'division', t::VARCHAR, 'text', t || '_' || c FROM s UNION SELECT 'CA', 'text', t || '_' || c, 'section', c || '.' || s FROM s
+  UNION SELECT 'NY', 'root', '', 'title', t::VARCHAR FROM s UNION SELECT 'NY', 'title', t::VARCHAR, 'article', c::VARCHAR FROM s
+  UNION SELECT 'NY', 'article', c::VARCHAR, 'section', (s % 9000 + 1000) || '-' || chr((65 + s // 9000)::INT) FROM s
+  UNION SELECT 'TX', 'root', '', 'title', t::VARCHAR FROM s UNION SELECT 'TX', 'title', t::VARCHAR, 'subtitle', t || u FROM s
+  UNION SELECT 'TX', 'subtitle', t || u, 'chapter', c::VARCHAR FROM s UNION SELECT 'TX', 'chapter', c::VARCHAR, 'section', c || '.' || s FROM s
+  UNION SELECT 'CO', 'root', '', 'article', c::VARCHAR FROM s UNION SELECT 'CO', 'article', c::VARCHAR, 'section', '42-' || c || '-' || s FROM s
+  UNION SELECT 'FL', 'root', '', 'chapter', c::VARCHAR FROM s UNION SELECT 'FL', 'chapter', c::VARCHAR, 'section', c || '.' || s FROM s
+  UNION SELECT 'NV', 'root', '', 'chapter', c || u FROM s UNION SELECT 'NV', 'chapter', c || u, 'sub-chapter', 'part_of_' || c FROM s
+  UNION SELECT 'NV', 'sub-chapter', 'part_of_' || c, 'section', c || u || '.' || s FROM s
+  UNION SELECT 'OR', 'root', '', 'chapter', c::VARCHAR FROM s UNION SELECT 'OR', 'chapter', c::VARCHAR, 'section', c || '.' || s FROM s
+), w AS (
+  SELECT DISTINCT source, pk AS kind, p AS number, 0 AS depth, NULL::VARCHAR AS parent FROM e WHERE pk = 'root'
+  UNION SELECT e.source, e.kind, e.n, w.depth + 1, w.number FROM e JOIN w ON w.source = e.source AND w.kind = e.pk AND w.number = e.p
+)
+SELECT source, kind, number, depth, parent FROM w
+"""
+
+
+def _contents_pages(spark, folder):
+    """(source, key, html): pages of contents, one for the root and one for each part that has parts, as each source writes
+    them, with links that lead elsewhere."""
+    s = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("s"))
+    c0 = F.floor(F.col("s") / 20)
+    s = s.withColumns({"c": c0 + 10, "t": c0 % 5 + 1, "u": F.char((97 + c0 % 3).cast("int"))})
+    a = lambda *path: F.concat(F.lit("<li><a class=x href='"), *(F.lit(p) if isinstance(p, str) and len(p) > 1 else F.col(p) for p in path), F.lit("'>Part <b>one</b></a>"))
+    row = lambda n, word: F.concat(F.lit(" "), n, F.lit(" Some rules Sections 1-9" if word else " Some rules"))
+    tc = F.concat_ws("_", "t", "c")
+    edges = [
+        ("CA", F.lit("root"), a("/faces/codes_displayexpandedbranch.xhtml?tocCode=VEH&amp;division=", "t", ".&amp;title=&amp;part=&amp;chapter=&amp;article=&amp;nodetreepath=1")),
+        ("CA", F.concat_ws("_", F.lit("division"), "t"), a("/faces/codes_displayText.xhtml?lawCode=VEH&division=", "t", ".&title=&part=&chapter=", "c", ".&article=")),
+        ("CA", F.concat_ws("_", F.lit("text"), tc), F.concat(F.lit('<a href="javascript:submitCodesValues(\''), "c", F.lit("."), "s", F.lit(".','1.2')\">x</a>"))),
+        ("NY", F.lit("root"), row(F.col("t"), True)), ("NY", F.concat_ws("_", F.lit("title"), "t"), row(F.col("c"), True)),
+        ("NY", F.concat_ws("_", F.lit("article"), "c"), row(F.concat(F.col("s") % 9000 + 1000, F.lit("-"), F.char((65 + F.floor(F.col("s") / 9000)).cast("int"))), False)),
+        ("TX", F.lit("root"), a("/statutes/tex._transp._code%5Ftitle%5F", "t")), ("TX", F.concat_ws("_", F.lit("title"), "t"), a("tex._transp._code_title_", "t", "_subtitle_", "t", "u")),
+        ("TX", F.concat(F.lit("title_"), "t", F.lit("_subtitle_"), "t", "u"), a("tex._transp._code_title_", "t", "_subtitle_", "t", "u", "_chapter_", "c")),
+        ("TX", F.concat_ws("_", F.lit("chapter"), "c"), F.concat(F.lit("<a href=tex._transp._code_section_"), "c", F.lit("."), "s", F.lit(">x</a>"))),
+        ("CO", F.lit("root"), a("/statutes/crs_title_42_article_", "c")),
+        ("CO", F.concat_ws("_", F.lit("article"), "c"), F.concat(F.lit("<a href=/crs_42-"), "c", F.lit("-"), "s", F.lit(">x</a><a href=/crs_42-9"), "c", F.lit("-1>other</a>"))),
+        ("FL", F.lit("root"), a("/fla._stat.%5Fchapter_", "c")),
+        ("FL", F.concat_ws("_", F.lit("chapter"), "c"), F.concat(F.lit("<a href=/fla._stat._"), "c", F.lit("."), "s", F.lit(">x</a>"))),
+        ("NV", F.lit("root"), a("/nrs_chapter_", "c", "u")), ("NV", F.concat(F.lit("chapter_"), "c", "u"), a("/nrs_chapter_", "c", "u", "_sub-chapter_part_of_", "c")),
+        ("NV", F.concat(F.lit("chapter_"), "c", "u", F.lit("_sub-chapter_part_of_"), "c"), F.concat(F.lit("<a href=/nrs_"), "c", "u", F.lit("."), "s", F.lit(">x</a><a href=/nrs_9"), "c", F.lit(".1>other</a>"))),
+        ("OR", F.lit("root"), a("/ors_chapter_", "c")), ("OR", F.concat_ws("_", F.lit("chapter"), "c"), F.concat(F.lit("<a href=/ors_"), "c", F.lit("."), "s", F.lit(">x</a>"))),
+    ]
+    listed = F.explode(F.array(*(F.struct(F.lit(source).alias("source"), key.alias("key"), item.alias("item")) for source, key, item in edges)))
+    items = s.select(listed.alias("e")).select("e.*").distinct()
+    word = F.when(F.col("key") == "root", " Titles ").when(F.startswith("key", F.lit("title")), " Articles ").otherwise(" Sections ")
+    return items.groupBy("source", "key").agg(F.array_join(F.array_sort(F.collect_list("item")), "").alias("items")).select(
+        "source", "key", F.concat(F.lit("<body><a href='/'>home</a>"), word, "items", F.lit(" Stay Connected <a href='/about'>about</a></body>")).alias("html")
+    )
+
+
+@query("contents_walk", _CONTENTS)
+def contents_walk(spark, folder):
+    """All levels of the contents of seven sources at once, from their first pages."""
+    pages = settle(_contents_pages(spark, folder), "contents")
+    by = {s.jurisdiction: s for s in contents.SOURCES.values()}
+    levels = ("root", "division", "text", *contents.LEVELS)
+    own = F.struct(F.coalesce(*(F.when(F.contains(F.concat(F.lit("_"), "key", F.lit("_")), F.lit(f"_{k}_")), k) for k in reversed(levels))).alias("kind"), F.lit("").alias("number"), F.col("key"))
+    each = F.coalesce(*(F.when(F.col("source") == code, contents.contents_links("html", own, source)) for code, source in by.items()))
+    links = settle(pages.select("source", F.col("key").alias("of"), F.explode(each).alias("x")), "links")
+    start = pages.where("key = 'root'").select("source", "key", F.lit("root").alias("kind"), F.lit("").alias("number"))
+
+    def expand(level):
+        parent = F.struct("source", F.col("of").alias("key")).alias("parent")
+        here = level.select("source", F.col("key").alias("of"), F.col("number").alias("parent_number"))
+        return here.join(links, ["source", "of"]).select("source", "x.key", parent, "x.kind", "x.number", "parent_number")
+
+    found = walk(start, expand, ["source", "key"], shared_path(spark, "walk"))
+    return found.select("source", "kind", "number", "depth", F.col("parent_number").alias("parent"))

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from corvane.functions import parsers
+from corvane.functions import contents, parsers
 from corvane.operators import joins, shapes
 from corvane.plans.catalog import query, table
 from corvane.session import settle
@@ -259,7 +259,7 @@ def toc_of_more_sources(spark, folder):
     page = F.concat(
         F.lit('<a href="/fla._stat._'), n, F.lit("."), i, F.lit('">a</a><a href="/nrs_'), n, F.lit("a."), i, F.lit('">b</a><a href="/ors_'), n, F.lit("."), i, F.lit('">c</a><body>Sections '), n + 100, F.lit("-A Duty to stop "), i % 9000 + 1000, F.lit(" Speed limits in towns Stay Connected 99 Not this</body>"),
     )
-    listed = {k: F.array_join(parsers.toc_sections(page, parsers.SOURCES[s]), ",") for k, s in (("fl", "fl_public_law"), ("nv", "nv_public_law"), ("orr", "or_public_law"))}
+    listed = {k: F.array_join(contents.toc_sections(page, contents.SOURCES[s]), ",") for k, s in (("fl", "fl_public_law"), ("nv", "nv_public_law"), ("orr", "or_public_law"))}
     return _part(spark, folder).select(i, *(v.alias(k) for k, v in listed.items()), F.array_join(parsers.listed_rows(page, "Sections", "Stay Connected"), ",").alias("ny"))
 
 
