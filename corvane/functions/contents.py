@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.citations import behind
 from corvane.functions.parsers import heading, listed_rows
-from corvane.functions.text import squeeze, unescape
+from corvane.functions.text import common_references, squeeze
 
 
 @dataclass(frozen=True)
@@ -90,7 +90,7 @@ def page_links(page: Column, source: Source) -> Column:
 
     def one(piece: Column) -> Column:
         ended = F.split(F.regexp_replace(piece, "^[^>]*>", ""), r"(?i)</a\s*>", 2)
-        title = F.when(F.size(ended) > 1, F.nullif(squeeze(unescape(F.regexp_replace(F.get(ended, F.lit(0)), r"<[^>]*>", " "))), F.lit("")))
+        title = F.when(F.size(ended) > 1, F.nullif(squeeze(common_references(F.regexp_replace(F.get(ended, F.lit(0)), r"<[^>]*>", " "))), F.lit("")))
         return F.struct(link_of(href(F.substring_index(piece, ">", 1)), source).alias("link"), title.alias("title"))
 
     return F.filter(F.transform(pieces, one), lambda x: x["link"].isNotNull())
