@@ -1,11 +1,14 @@
 """Streams over the events table, run to their end, and a round trip of records through files."""
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from corvane.plans.catalog import query, table
 from corvane.session import shared_path
 from corvane.sources.records import SECTION, read_json_lines, unified, write_json_lines
 from corvane.streaming.manifests import append_new, deduplicated, windowed_counts
+from corvane.streaming.state import state_store, with_status
 
 
 def _stream(spark, folder):
@@ -61,3 +64,20 @@ def consolidate_roundtrip(spark, folder):
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in records.schema)
     back = read_json_lines(spark, out, schema)
     return back.select("id", F.concat_ws(",", F.map_keys("hierarchy")).alias("levels"), F.length("text").cast("long").alias("n_chars"))
+
+
+@query("stream_known_keys", """
+WITH l AS (
+  SELECT *, lag(ts) OVER w AS before, lag(event_type) OVER w AS was FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+), s AS (
+  SELECT *, CASE WHEN before IS NULL OR ts - before > INTERVAL 12 HOUR THEN 'new' WHEN was = event_type THEN 'cached' ELSE 'fresh' END AS status FROM l
+), g AS (SELECT *, count(*) FILTER (status = 'new') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS life FROM s)
+SELECT event_id, user_id, status, round(max(value) OVER (PARTITION BY user_id, life ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS best_quality FROM g
+""")
+def stream_known_keys(spark, folder):
+    """New, cached or fresh for each event of a user, from state by key that a timer drops twelve hours after the last event."""
+    rows = _stream(spark, folder).select("event_id", "user_id", "event_type", "value", "ts")
+    known = with_status(rows, "user_id", "event_type", "value", "ts", timedelta(hours=12), "60 days", order=("event_id",))
+    with state_store(spark):
+        done = _finished(spark, known, "stream-known")
+    return done.select("event_id", "user_id", "status", F.round("best_quality", 6).alias("best_quality"))
