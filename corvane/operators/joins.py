@@ -1,25 +1,80 @@
 """Joins by order and range, as windows and equi-joins."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.session import settle
+
+
+#: Rows of one key that a window takes; keys with more are spread over ranges of their order.
+MOST_ROWS = 5_000_000
+
+
+def _hot(df: DataFrame, keys: list[str], most_rows: int) -> DataFrame:
+    """The keys with more rows than that: few, whatever the table, as each has so many rows."""
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") > most_rows) if keys else df.agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") > most_rows)
+    return settle(counted.drop("_k").withColumn("_hot", F.lit(True)), "hot-keys")
+
+
+def _same(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
+    return reduce(lambda x, y: x & y, [a[n].eqNullSafe(b[n]) for n in names], F.lit(True))
+
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
+def _spread(df: DataFrame, keys: list[str], at: str, most_rows: int, plain, carry) -> DataFrame:
+    """`plain` of the rows of usual keys, and `carry` of those of hot keys, which lie in ranges of (keys, at) numbered by `_part`:
+    equal keys and times are in one range."""
+    hot = _hot(df, keys, most_rows)
+    if hot.isEmpty():
+        return plain(df)
+    marked = df.join(F.broadcast(hot), _same(df, hot, keys), "left").select(df["*"], hot["_hot"])
+    usual = plain(marked.where("_hot IS NULL").drop("_hot"))
+    ranged = marked.where("_hot").drop("_hot").repartitionByRange(*keys, at).withColumn("_part", F.spark_partition_id())
+    ranged = settle(ranged, "ranges")  # ranges come from a sample, and another run may draw them elsewhere
+    return usual.unionByName(carry(ranged).drop("_part"))
+
+
+def _carried(ranged: DataFrame, keys: list[str], ends: DataFrame, value: Column, window) -> DataFrame:
+    """`ranged` with `_carry`: what the other ranges of a row's key bring to its range. `ends` has a row for each range and key;
+    only a range's first or last key goes on in another, so at most one row for each range is broadcast."""
+    brought = ends.withColumn("_carry", value.over(window(Window.partitionBy(*keys).orderBy("_part")))).where("_carry IS NOT NULL").select("_part", *keys, "_carry")
+    return ranged.join(F.broadcast(brought), _same(ranged, brought, ["_part", *keys]), "left").select(ranged["*"], brought["_carry"])
+
+
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str, most_rows: int = MOST_ROWS) -> DataFrame:
     """`left` with the `value` of the last row of `right` at or before it, within the keys; null if there is none.
 
-    One union and one window over the keys: no pairs are made. Of `right` rows at one time, the largest value counts.
+    One union and one window over the keys: no pairs are made. Of `right` rows at one time, the largest value counts. Keys
+    with more than `most_rows` rows are spread over ranges of time: a window for each range, and the last value of the ranges
+    before carried over.
     """
     both = left.withColumns({"_side": F.lit(1), "_v": F.lit(None).cast(right.schema[value].dataType)}).unionByName(
         right.select(*keys, at, F.lit(0).alias("_side"), F.col(value).alias("_v")), allowMissingColumns=True
     )
-    w = Window.partitionBy(*keys).orderBy(at, "_side", "_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn(value, F.last("_v", ignorenulls=True).over(w)).where("_side = 1").drop("_side", "_v")
+    last = lambda *by: F.last("_v", ignorenulls=True).over(Window.partitionBy(*by).orderBy(at, "_side", "_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+
+    def carry(ranged: DataFrame) -> DataFrame:
+        newest = F.max(F.when(F.col("_v").isNotNull(), F.struct(at, "_v")))
+        ends = ranged.groupBy("_part", *keys).agg(newest["_v"].alias("_end"))
+        known = _carried(ranged, keys, ends, F.last("_end", ignorenulls=True), lambda w: w.rowsBetween(Window.unboundedPreceding, -1))
+        return known.withColumn(value, F.coalesce(last("_part", *keys), "_carry")).drop("_carry")
+
+    done = _spread(both, keys, at, most_rows, lambda df: df.withColumn(value, last(*keys)), carry)
+    return done.where("_side = 1").drop("_side", "_v")
+
+
+def next_greater(df: DataFrame, keys: list[str], at: str, into: str, most_rows: int = MOST_ROWS) -> DataFrame:
+    """Each row with the next larger value of `at` within the keys; null for the largest. Keys with more than `most_rows` rows are
+    spread over ranges, the first value of the ranges behind carried back."""
+    following = lambda *by: F.min(at).over(Window.partitionBy(*by).orderBy(at).rangeBetween(1, Window.unboundedFollowing))
 
+    def carry(ranged: DataFrame) -> DataFrame:
+        ends = ranged.groupBy("_part", *keys).agg(F.min(at).alias("_end"))
+        known = _carried(ranged, keys, ends, F.first("_end", ignorenulls=True), lambda w: w.rowsBetween(1, Window.unboundedFollowing))
+        return known.withColumn(into, F.coalesce(following("_part", *keys), "_carry")).drop("_carry")
 
-def next_greater(df: DataFrame, keys: list[str], at: str, into: str) -> DataFrame:
-    """Each row with the next larger value of `at` within the keys; null for the largest."""
-    w = Window.partitionBy(*keys).orderBy(at).rangeBetween(1, Window.unboundedFollowing)
-    return df.withColumn(into, F.min(at).over(w))
+    return _spread(df, keys, at, most_rows, lambda d: d.withColumn(into, following(*keys)), carry)
 
 
 def in_range(points: DataFrame, spans: DataFrame, at: str, start: str, end: str) -> DataFrame:
@@ -42,10 +97,11 @@ def bytes_of(df: DataFrame) -> Column:
 
 
 def small_side(df: DataFrame, most_rows: int = 100_000, most_bytes: int = 32 << 20) -> DataFrame:
-    """The table marked for broadcast if it has at most so many rows and bytes; else as it is, for a shuffled join."""
-    some = df.limit(most_rows + 1)
-    n, size = some.agg(F.count(F.lit(1)), bytes_of(some)).first()
-    return F.broadcast(df) if n <= most_rows and size <= most_bytes else df
+    """The table marked for broadcast if it has at most so many rows and bytes; else as it is, for a shuffled join. Of a
+    large table so many rows are counted, without their columns; bytes are summed within each task first."""
+    if df.select(F.lit(1)).limit(most_rows + 1).count() > most_rows:
+        return df
+    return F.broadcast(df) if df.agg(bytes_of(df)).first()[0] <= most_bytes else df
 
 
 def missing_from(expected: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:
