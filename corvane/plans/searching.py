@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.text import base_section, clipped, keyword_score, query_stems
 from corvane.functions.vectors import dot, literal
+from corvane.operators import text_index
 from corvane.operators.ranking import KEYWORD_WEIGHT, pool_size, top_k
 from corvane.operators.search import any_of, clamp, overlap, page_with_total, token_filter, where_all
 from corvane.operators.vector_index import build_index, probes_for, recall_curve, search
@@ -167,3 +168,12 @@ def vector_index_topk(spark, folder):
     index, queries = _vector_index(spark, folder)
     probes = probes_for(recall_curve(index, queries, "query_id", "embedding", 20), 0.9)
     return search(index, queries, "query_id", "embedding", 20, probes).withColumn("score", F.round("score", 6))
+
+
+@query("skipping_search", "SELECT doc_id, lang FROM documents WHERE text ILIKE '%the%' AND text ILIKE '%ing%' AND text ILIKE '%tion%'")
+def skipping_search(spark, folder):
+    """A substring search over files laid out by language, through an index that leaves files out."""
+    docs, index = shared_path(spark, "documents"), shared_path(spark, "trigrams")
+    table(spark, folder, "documents").select("doc_id", "lang", "text").repartitionByRange(16, "lang", "doc_id").write.parquet(docs)
+    text_index.index_files(spark, docs, ["text"], index)
+    return text_index.skipping_search(spark, docs, ["text"], index, "The ING tion").select("doc_id", "lang")
