@@ -7,9 +7,9 @@ from corvane.operators.ranking import best_by
 
 
 def upsert(target: DataFrame, changes: DataFrame, keys: list[str], version: Column) -> DataFrame:
-    """Last wins: for each key the changes' row with the highest version (of equal ones, one chosen by its hash), else the
-    target's row."""
-    newest = best_by(changes.withColumn("_v", version), keys, [F.struct(-F.col("_v"), F.xxhash64(*changes.columns))]).drop("_v")
+    """Last wins: for each key the changes' row with the highest version (of equal ones, one chosen by its hash; null is the
+    lowest), else the target's row."""
+    newest = best_by(changes.withColumn("_v", version), keys, [F.struct(F.col("_v").isNull(), -F.col("_v"), F.xxhash64(*changes.columns))]).drop("_v")
     return target.join(newest.select(*keys), keys, "left_anti").unionByName(newest)
 
 

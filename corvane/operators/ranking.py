@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.joins import small_side
 from corvane.session import settle
 
 KEYWORD_WEIGHT = 0.6
@@ -31,6 +32,18 @@ def first_per(df: DataFrame, keys: list[str], *order) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def first_of_equal(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows with the smallest id of those with equal texts; null texts are equal to each other. Rows that repeat an id and a
+    text stay together. Only ids and hashes are shuffled; texts aren't while the ids to drop are few enough to be broadcast,
+    and else once, by id."""
+    key = F.struct(F.col(text_col).isNull(), F.sha2(text_col, 256))
+    hashes = settle(df.select(F.col(id_col).alias("_id"), key.alias("_h")), "hashes")
+    first = settle(hashes.groupBy("_h").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1"), "first-ids")  # settled, so that the join can be split
+    later = settle(hashes.join(first, "_h").where(~F.col("_id").eqNullSafe(F.col("_first"))).select("_id"), "later-ids")
+    dropped = small_side(later)
+    return df.join(dropped, df[id_col].eqNullSafe(dropped["_id"]), "left_anti")
+
+
 def numbered(df: DataFrame, order: list[str], into: str) -> DataFrame:
     """`df` with each row's place in an order, from 1. The table is sorted by ranges, so no task sees more than a range;
     a row's place is its place in its range and the rows of the ranges before (one count for each range)."""

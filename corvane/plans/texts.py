@@ -6,7 +6,7 @@ from corvane.functions import citations, text
 from corvane.functions.arrays import csv_items, json_in, valid_tags
 from corvane.functions.chunking import chunk_documents
 from corvane.operators.quotes import find_quotes
-from corvane.operators.ranking import numbered, plain_section_key, section_key
+from corvane.operators.ranking import first_of_equal, numbered, plain_section_key, section_key
 from corvane.plans.catalog import query, table
 
 
@@ -22,10 +22,7 @@ def sha_dedupe(spark, folder):
 
 @query("first_occurrence", "SELECT doc_id, text FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1")
 def first_occurrence(spark, folder):
-    """Ids are found first; texts stay where they are, and only those of the ids found come back."""
-    docs = table(spark, folder, "documents")
-    first = docs.groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("doc_id").alias("doc_id"))
-    return docs.join(first, (docs["doc_id"] == first["doc_id"]) & (F.sha2(docs["text"], 256) == first["sha"]), "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])
+    return first_of_equal(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
 @query("quote_verify", """
@@ -37,15 +34,16 @@ def quote_verify(spark, folder):
 
 
 @query("short_quotes", """
-WITH q AS (SELECT doc_id AS item_id, regexp_extract(text, '^\\S+') || CASE WHEN doc_id % 40 = 0 THEN '' ELSE regexp_extract(text, '^\\S+( \\S+)', 1) END AS text FROM documents WHERE doc_id % 20 = 0)
+WITH a AS (SELECT doc_id AS item_id, regexp_extract(text, '^\\S+') || CASE WHEN doc_id % 40 = 0 THEN '' ELSE regexp_extract(text, '^\\S+( \\S+)', 1) END AS text FROM documents WHERE doc_id % 20 = 0),
+q AS (SELECT min(item_id) AS item_id, text FROM a GROUP BY text)
 SELECT q.item_id, d.doc_id, strpos(d.text, q.text) - 1 AS start, strpos(d.text, q.text) - 1 + length(q.text) AS "end" FROM q JOIN documents d ON contains(d.text, q.text) WHERE q.text <> ''
 """)
 def short_quotes(spark, folder):
-    """The first word or two of every twentieth document, looked for in all documents."""
+    """The first word or two of every twentieth document, each once, looked for in all documents."""
     docs = table(spark, folder, "documents")
     first, second = F.regexp_extract("text", r"^\S+", 0), F.regexp_extract("text", r"^\S+( \S+)", 1)
     asked = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("item_id"), F.concat(first, F.when(F.col("doc_id") % 40 == 0, "").otherwise(second)).alias("text"))
-    return find_quotes(docs, asked)
+    return find_quotes(docs, asked.groupBy("text").agg(F.min("item_id").alias("item_id")))
 
 
 _CHUNKS = """

@@ -36,7 +36,7 @@ _shipped: set[str] = set()
 
 def ship(spark: SparkSession) -> SparkSession:
     """Give the executors this package, once per application, as they may not have it installed; limit the bytes of an
-    Arrow batch where the session leaves Spark's default."""
+    Arrow batch where the session leaves Spark's default. The limit stays in the session."""
     key, default, limit = ARROW_BYTES
     if spark.conf.get(key) == default:
         spark.conf.set(key, limit)

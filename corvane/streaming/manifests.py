@@ -24,12 +24,13 @@ def append_new(stream: DataFrame, target: str, keys: list[str], checkpoint: str,
     read: put first a key that grows with time, and old files are skipped by their statistics."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        new = batch.dropDuplicates(keys)
+        new = first = batch.dropDuplicates(keys).persist()  # read for its bounds, the join and the write
         hadoop = batch.sparkSession._jvm.org.apache.hadoop.fs.Path(target)
         if hadoop.getFileSystem(batch.sparkSession._jsc.hadoopConfiguration()).exists(hadoop):
             low, high = new.agg(F.min(keys[0]), F.max(keys[0])).first()
             held = batch.sparkSession.read.parquet(target).select(*keys)
             new = new.join(held.where(F.col(keys[0]).between(F.lit(low), F.lit(high))), keys, "left_anti") if low is not None else new
         (transform(new) if transform else new).write.mode("append").parquet(target)
+        first.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

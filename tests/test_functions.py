@@ -25,7 +25,7 @@ def test_iso_date(spark, raw, want):
 
 @pytest.mark.parametrize(
     "quote, source, want",
-    [("b c", "a b c d", (2, 5)), ("b c", "a b\n  c d", (2, 7)), ("(x) $1.", "see (x)\n$1. now", (4, 11)), ("zz", "a b", None), ("a b", "a b", (0, 3)), ("", "a", None)],
+    [("b c", "a b c d", (2, 5)), ("b c", "a b\n  c d", (2, 7)), ("(x) $1.", "see (x)\n$1. now", (4, 11)), ("zz", "a b", None), ("a b", "a b", (0, 3)), ("", "a", None), ("b c", "a b\u00a0c", (2, 5)), ("b\u00a0c", "a b \x1f c d", (2, 7)), ("b\u2003c", "b c", (0, 3))],
 )
 def test_quote_offset(spark, quote, source, want):
     got = one(spark, text.quote_offset(c("q"), c("t")), q=quote, t=source)
@@ -129,3 +129,20 @@ def test_display_chunk(spark):
     shown = lambda t, a, b: one(spark, text.display_chunk(c("t"), F.lit(a), F.lit(b)), t=t)
     assert shown("rtial word and the end cu", True, True) == "… word and the end …"
     assert shown("Whole. Stop.", False, True) == "Whole. Stop." and shown("  x y ", False, False) == "x y"
+
+
+@pytest.mark.parametrize(
+    "raw, want",
+    [
+        ("Plan B is here", "Plan B is here"),
+        ("vitamin C helps", "vitamin C helps"),
+        ("V ehicle Code and the C ivil Code", "Vehicle Code and the Civil Code"),
+        ("The Driver and the D river, D rive", "The Driver and the Driver, D rive"),
+        ("A man, I see; A V ehicle", "A man, I see; A Vehicle"),
+        ("V  ehicle\u00a0Code § 5 “x” — Cal . P . 3", "Vehicle Code §5 \"x\" – Cal. P.3"),
+        ("", ""),
+        (None, None),
+    ],
+)
+def test_unkerned(spark, raw, want):
+    assert one(spark, text.unkerned(c("t").cast("string")), t=raw) == want

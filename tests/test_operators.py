@@ -138,3 +138,18 @@ def test_offline_embeddings(spark):
     a, b, c, d = [r[0] for r in df.select(providers.embedded(F.col("t"), providers.hashed_embedder(256))).collect()]
     dot = lambda x, y: sum(p * q for p, q in zip(x, y))
     assert dot(a, b) > 0.6 > dot(a, c) and d is None
+
+
+def test_first_of_equal_texts(spark):
+    from corvane.operators.ranking import first_of_equal
+
+    docs = spark.createDataFrame([(5, "a", 1), (2, "a", 2), (9, "a", 3), (3, None, 4), (4, None, 5), (6, "", 6), (7, "b", 7), (7, "b", 7), (8, "", 8)], "doc_id long, text string, n int").repartition(3)
+    assert sorted(r.n for r in first_of_equal(docs, "doc_id", "text").collect()) == [2, 4, 6, 7, 7]
+    plan = first_of_equal(docs, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert first_of_equal(docs.limit(0), "doc_id", "text").count() == 0
+
+
+def test_a_null_version_never_wins(spark):
+    target, changes = spark.createDataFrame([(1, "old", 0)], "k int, v string, at int"), spark.createDataFrame([(1, "none", None), (1, "new", 3), (2, "only", None)], "k int, v string, at int")
+    assert sorted((r.k, r.v) for r in merge.upsert(target, changes, ["k"], F.col("at")).collect()) == [(1, "new"), (2, "only")]
