@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from corvane.functions import contents, parsers
 from corvane.functions.text import base_section
 from corvane.operators.ranking import first_per
+from corvane.operators.validation import Shape, checked
 from corvane.operators.walks import walk
 from corvane.plans.catalog import query, table
 from corvane.session import settle, shared_path
@@ -218,3 +219,36 @@ def contents_walk(spark, folder):
 
     found = walk(start, expand, ["source", "key"], shared_path(spark, "walk"))
     return found.select("source", "kind", "number", "depth", F.col("parent_number").alias("parent"))
+
+
+#: An extraction with every kind of fault, by p_partkey % 8; the SQL lists the faults of each.
+@query("extraction_faults", """
+WITH f AS (
+  SELECT p_partkey, unnest(CASE p_partkey % 8
+    WHEN 1 THEN [{'path': 'source_quote', 'reason': 'missing'}]
+    WHEN 2 THEN [{'path': 'amount', 'reason': 'not a number'}, {'path': 'items[' || (p_size % 4) || '].name', 'reason': 'missing'}]
+    WHEN 3 THEN list_transform(range(p_size % 4 + 1), lambda j: {'path': 'items[' || j || '].size', 'reason': 'more than 40'})
+    WHEN 4 THEN [{'path': '', 'reason': 'not JSON'}]
+    WHEN 5 THEN [{'path': 'kind', 'reason': 'not one of part, tool'}, {'path': 'place.x' || p_size, 'reason': 'unknown field'}]
+    WHEN 6 THEN [{'path': 'items', 'reason': 'not a list'}]
+    WHEN 7 THEN [{'path': 'source_quote', 'reason': 'not in the source'}]
+    ELSE [] END) AS f FROM part
+)
+SELECT p_partkey, f.path AS path, f.reason AS reason FROM f
+""")
+def extraction_faults(spark, folder):
+    k, n = _i() % 8, _n() % 4
+    named = F.transform(F.sequence(F.lit(0), n), lambda j: F.concat(F.lit('{"name": "'), "p_name", F.lit('", "size": '), F.when(k == 3, 40 + _n()).otherwise(_n() % 40), F.lit("}")))
+    nameless = F.when(k == 2, F.lit(', {"size": 1}')).otherwise("")
+    # the list of a fault in its last place has that place emptied
+    items = F.when(k == 2, F.concat(F.array_join(F.slice(named, 1, n), ", "), F.when(n > 0, nameless).otherwise('{"size": 1}'))).otherwise(F.array_join(named, ", "))
+    quoted = F.when(k == 1, "null").when(k == 7, '"nowhere to be found"').otherwise(F.concat(F.lit('"'), "p_name", F.lit('"')))
+    js = F.concat(
+        F.lit('{"source_quote": '), quoted, F.lit(', "amount": '), F.when(k == 2, F.lit('"much"')).otherwise(_i().cast("string")), F.lit(', "kind": "'), F.when(k == 5, "gift").otherwise("part"),
+        F.lit('", "place": {"city": "x"'), F.when(k == 5, F.concat(F.lit(', "x'), _n(), F.lit('": 1'))).otherwise(""), F.lit('}, "items": '), F.when(k == 6, "3").otherwise(F.concat(F.lit("["), items, F.lit("]"))), F.when(k == 4, "").otherwise("}"),
+    )
+    item = Shape("object", fields={"name": Shape("text", required=True), "size": Shape("integer", most=40)})
+    fields = {"source_quote": Shape("text", required=True), "amount": Shape("number"), "kind": Shape("text", one_of=("part", "tool")), "place": Shape("object", open=False, fields={"city": Shape("text")}), "items": Shape("list", items=item)}
+    rows = table(spark, folder, "part").select(_i(), F.concat(F.lit("About "), "p_name").alias("text"), js.alias("js"))
+    found = checked(rows, "js", Shape("object", fields=fields), "text")
+    return found.select("p_partkey", F.explode("violations").alias("f")).select("p_partkey", "f.path", "f.reason")
