@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from corvane.functions.arrays import add_missing, append_distinct
 from corvane.functions.text import blank_to_null, clipped
-from corvane.operators import joins, merge, reports
+from corvane.operators import joins, merge, metrics, reports
+from corvane.operators.metrics import Watched
 from corvane.operators.ranking import best_by
 from corvane.plans.catalog import query, table
+from corvane.session import shared_path
+from corvane.sources.tables import read_buckets, replace_children_in, update_columns_in, write_buckets
 
 # ---- joins
 
@@ -452,3 +455,44 @@ def outline_flatten(spark, folder):
         )
         SELECT name, path, depth FROM t
     """)
+
+
+# ---- parts of tables rewritten, and totals that come with a job
+
+
+@query("bucket_rewrites", """
+WITH o AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 1000 = 0)
+SELECT l_orderkey, l_linenumber, coalesce(CASE WHEN l_orderkey % 1000 = 1 THEN 'late' END, l_returnflag) AS flag FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM o)
+UNION ALL SELECT o_orderkey, k::INT, 'new' FROM o, (SELECT unnest([1, 2]) AS k)
+""")
+def bucket_rewrites(spark, folder):
+    """Lines by order in 64 buckets: some orders' lines replaced, then a column of other lines set, in their buckets alone."""
+    out = shared_path(spark, "buckets")
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("flag"))
+    write_buckets(lines, out, ["l_orderkey"], 64)
+    chosen = table(spark, folder, "orders").where("o_orderkey % 1000 = 0").select(F.col("o_orderkey").alias("l_orderkey"))
+    kind = lines.schema["l_linenumber"].dataType
+    replace_children_in(out, chosen.select("l_orderkey", F.explode(F.array(F.lit(1).cast(kind), F.lit(2).cast(kind))).alias("l_linenumber"), F.lit("new").alias("flag")), "l_orderkey")
+    late = lines.where("l_orderkey % 1000 = 1").select("l_orderkey", F.lit("late").alias("flag")).distinct()
+    update_columns_in(out, late, "l_orderkey", ["flag"])
+    return read_buckets(spark, out)
+
+
+@query("observed_totals", f"""
+WITH {_MANIFEST} SELECT count(*) AS completed, count(*) FILTER (valid) AS valid, count(*) FILTER (http_status = 404) AS not_found, count(*) FILTER (error IS NOT NULL) AS errors, round(sum(value), 4) AS bytes,
+  (SELECT count(*) FILTER (length(html) % 7 = 0) FROM pages) AS failures, (SELECT min(page_id) FILTER (length(html) % 7 = 0) FROM pages) AS first_failure,
+  (SELECT count(DISTINCT source) FROM documents) AS files, (SELECT count(*) FILTER (length(text) > 100) FROM documents) AS records, (SELECT count(*) FILTER (length(text) <= 100) FROM documents) AS skipped
+FROM m
+""")
+def observed_totals(spark, folder):
+    """Totals of three jobs that write their tables, observed while they do."""
+    c = F.col
+    fetched = Watched(_manifest(spark, folder), metrics.fetch_totals(c("valid"), c("http_status"), c("error"), c("value")))
+    pages = Watched(table(spark, folder, "pages"), metrics.failure_totals(F.length("html") % 7 == 0, c("page_id"), F.lit("short page")))
+    docs = Watched(table(spark, folder, "documents").select("source", "text"), metrics.record_totals(c("source"), F.length("text") <= 100))
+    for watched in (fetched, pages, docs):
+        watched.table.write.parquet(shared_path(spark, "observed"))
+    row = fetched.totals | pages.totals | docs.totals
+    first = row["first_failure"]
+    values = [(row["completed"], row["valid"], row["not_found"], row["errors"], round(row["bytes"] or 0.0, 4), row["failures"], first and first["key"], row["files"], row["records"], row["skipped"])]
+    return spark.createDataFrame(values, "completed long, valid long, not_found long, errors long, bytes double, failures long, first_failure long, files long, records long, skipped long")
