@@ -155,3 +155,28 @@ def contents_links(page: Column, own: Column, source: Source) -> Column:
         linked = F.filter(linked, lambda x: (x["kind"] != "section") | F.coalesce(F.startswith(x["number"], begins), F.lit(False)))
     keys = F.transform(linked, lambda x: x["key"])
     return F.filter(linked, lambda x, i: F.array_position(keys, x["key"]) == i + 1)
+
+
+# How the numbers of sections are built, by jurisdiction: what parts their numbers, and whether the last part may be missing.
+NUMBER_PARTS = {"CA": ((".",), True), "TX": ((".",), False), "FL": ((".",), False), "OR": ((".",), False), "NV": ((".",), False), "CO": (("-", "-", "."), True), "NY": (("-",), True)}
+
+
+def section_order(section: Column, source: Source) -> Column:
+    """The sort key of a source's section number: its numbers in turn, a letter behind the first one where the source has such,
+    and the text itself. Numbers that aren't built as the source builds them come last."""
+    parts, optional = NUMBER_PARTS[source.jurisdiction]
+    s = F.lower(F.trim(section))
+    tokens = F.regexp_extract_all(s, F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
+    at = lambda i: F.get(tokens, F.lit(i))
+    lettered = at(1).rlike(r"^[a-z]\.$") if source.jurisdiction == "NV" else F.lit(False)
+    numbers, right = [at(0).try_cast("long")], at(0).rlike("^[0-9]+$")
+    for i, part in enumerate(parts):
+        there = (at(2 * i + 1) == part) | (lettered if i == 0 else F.lit(False))
+        number = F.when(there, at(2 * i + 2).try_cast("long"))
+        numbers.append(number)
+        if not (optional and i == len(parts) - 1):
+            right = right & F.coalesce(number.isNotNull(), F.lit(False))
+    last, right = F.lit(10**9).cast("long"), F.coalesce(right, F.lit(False))
+    keys = [F.when(right, F.coalesce(n, F.lit(0).cast("long"))).otherwise(last).alias(f"n{i}") for i, n in enumerate(numbers)]
+    letter = F.when(right & lettered, F.left(at(1), F.lit(1))).otherwise("").alias("letter")
+    return F.struct(keys[0], letter, *keys[1:], s.alias("text"))

@@ -1,9 +1,11 @@
 """Parser queries over generated pages, instructions and replies."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corvane.functions import contents, parsers
 from corvane.functions.text import base_section
+from corvane.operators.page_tables import page_tables
 from corvane.operators.ranking import first_per
 from corvane.operators.validation import Shape, checked
 from corvane.operators.walks import walk
@@ -252,3 +254,33 @@ def extraction_faults(spark, folder):
     rows = table(spark, folder, "part").select(_i(), F.concat(F.lit("About "), "p_name").alias("text"), js.alias("js"))
     found = checked(rows, "js", Shape("object", fields=fields), "text")
     return found.select("p_partkey", F.explode("violations").alias("f")).select("p_partkey", "f.path", "f.reason")
+
+
+@query("page_tables", """
+WITH r AS (
+  SELECT l_orderkey // 40 AS page, row_number() OVER (PARTITION BY l_orderkey // 40 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS n, * FROM lineitem
+)
+SELECT page, (n // 25)::INT AS "table", (n % 25)::INT AS row, array_to_string([l_orderkey::VARCHAR, CASE WHEN n % 25 % 7 = 3 THEN '' ELSE 'part ' || l_partkey END, l_returnflag, strftime(l_shipdate, '%Y-%m-%d')], '|') AS cells FROM r
+""")
+def page_tables_of_lines(spark, folder):
+    """Lines printed as tables of four columns, 25 rows each, a cell empty here and there, every word's box moved a little; the
+    cells come back."""
+    page = F.floor(F.col("l_orderkey") / 40).alias("page")
+    order = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    n = F.row_number().over(Window.partitionBy("page").orderBy(*order)) - 1
+    rows = table(spark, folder, "lineitem").select(page, *order, "l_returnflag", "l_shipdate").withColumn("n", n)
+    top = F.col("n") * 14 + F.floor(F.col("n") / 25) * 50
+    sparse = F.when(F.col("n") % 25 % 7 == 3, F.array().cast("array<string>")).otherwise(F.array(F.lit("part"), F.col("l_partkey").cast("string")))
+    cells = ((0, F.array(F.col("l_orderkey").cast("string"))), (120, sparse), (300, F.array("l_returnflag")), (340, F.array(F.date_format("l_shipdate", "yyyy-MM-dd"))))
+    placed = [_boxes(words, x) for x, words in cells]
+    jitter = lambda k: (F.pmod(F.xxhash64("page", "n", "b.word", F.lit(k)), F.lit(17)) - 8) / 8.0
+    words = rows.select("page", "n", top.alias("y"), F.explode(F.concat(*placed)).alias("b"))
+    boxes = words.select(
+        "page", "b.word", (F.col("b.x0") + jitter(1)).alias("x0"), (F.col("b.x0") + 6 * F.length("b.word") - 2 + jitter(2)).alias("x1"), (F.col("y") + jitter(3)).alias("top"), (F.col("y") + 9 + jitter(3)).alias("bottom")
+    )
+    found = page_tables(boxes, ["page"])
+    return found.select("page", "table", "row", F.array_join("cells", "|").alias("cells"))
+
+
+def _boxes(words, x):
+    return F.transform(words, lambda w, i: F.struct(w.alias("word"), (F.lit(float(x)) + i * 27).alias("x0")))

@@ -1,6 +1,8 @@
 """Records in and out of files: nested JSON, lines, CSV, raw pages, and JSON lines by partition. Schemas are explicit:
 columns that are null in a sample would be dropped or mistyped by inference."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,10 +64,17 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("multiLine", True).option("enforceSchema", False).csv(path)
 
 
-def read_pages(spark: SparkSession, folder: str, glob: str = "*.html") -> DataFrame:
-    """(path, section, html, sha): raw pages, decoded as UTF-8 or else Windows-1252; the section is the file's name."""
+def read_pages(spark: SparkSession, folder: str, glob: str = "*.html", first: int | None = None, order: Callable[[Column], Column] = section_key) -> DataFrame:
+    """(path, section, html, sha): raw pages, decoded as UTF-8 or else Windows-1252; the section is the file's name. With `first`,
+    only so many pages, the first in the order of their sections: names alone are ranked, and the contents of other files
+    aren't read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(folder)
     name = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
+    if first is not None:
+        chosen = [r.path for r in files.select("path").orderBy(order(name), "path").limit(max(first, 0)).collect()]  # a top-k of names
+        if not chosen:
+            return files.limit(0).select("path", name.alias("section"), F.lit("").alias("html"), F.lit("").alias("sha"))
+        files = spark.read.format("binaryFile").load(chosen)
     return files.select("path", name.alias("section"), decoded(F.col("content")).alias("html"), F.sha2("content", 256).alias("sha"))
 
 

@@ -1,8 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.functions.contents import SOURCES, captioned_rows, contents_links, link_of, page_links
+from corvane.functions.contents import SOURCES, captioned_rows, contents_links, link_of, page_links, section_order
 from corvane.operators.walks import walk
+from corvane.sources.records import read_pages
 
 
 def one(spark, column):
@@ -105,3 +106,33 @@ def test_walk_goes_on_where_it_stopped(spark, tmp_path):
 def test_walk_from_nothing(spark, tmp_path):
     links = spark.createDataFrame(GRAPH, "of string, to string")
     assert walk(spark.createDataFrame([], "n string"), expand_over(links), ["n"], f"{tmp_path}/w") is None
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("ca_leginfo_pages", ["9", "21350", "21350.5", "21350.10", "21351", "x"]),
+        ("tx_public_law", ["9.2", "545.001", "545.351", "545.351a", "1000.1", "545", "x.1"]),
+        ("co_public_law", ["42-2-9", "42-4-109", "42-4-109.5", "42-4-235", "42-10-1", "42-4"]),
+        ("nv_public_law", ["484.9", "484a.020", "484a.100", "484b.010", "485.020", "484a"]),
+        ("fl_public_law", ["316.0083", "316.193", "318.14", "316"]),
+        ("or_public_law", ["811.005", "811.15", "813.010", ""]),
+        ("ny_public_law", ["501", "501-a", "1146", "1146-a", "q"]),
+    ],
+)
+def test_sections_sort_as_their_source_numbers_them(spark, source, want):
+    shuffled = sorted(want, key=lambda s: s[::-1])
+    rows = spark.createDataFrame([(s,) for s in shuffled], "s string").orderBy(section_order(F.col("s"), SOURCES[source]))
+    assert [r.s for r in rows.collect()] == want
+
+
+def test_the_first_pages_are_chosen_by_name(spark, tmp_path):
+    for i in (9, 10, 100, 21, 3):
+        (tmp_path / f"{i}.html").write_text(f"page {i}")
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "2.html").write_text("page 2")
+    got = read_pages(spark, str(tmp_path), first=3)
+    assert sorted(r.html for r in got.collect()) == ["page 2", "page 3", "page 9"] and len(got.inputFiles()) == 3
+    (tmp_path / "100.html").write_bytes(b"x" * 100)
+    assert read_pages(spark, str(tmp_path)).count() == 6 and read_pages(spark, str(tmp_path), first=0).count() == 0
+    assert [r.section for r in read_pages(spark, str(tmp_path), first=1, order=lambda s: section_order(s, SOURCES["ca_leginfo_pages"])).collect()] == ["2"]
