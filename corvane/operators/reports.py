@@ -25,3 +25,27 @@ def count_of(condition: Column, name: str) -> Column:
 def accuracy(graded: Column, correct: Column) -> list[Column]:
     """graded, correct and pct (of the graded, to six places; null without any)."""
     return [F.count_if(graded).alias("graded"), F.count_if(graded & correct).alias("correct"), F.round(F.try_divide(100.0 * F.count_if(graded & correct), F.count_if(graded)), 6).alias("pct")]
+
+
+# How the ingest of an opinion can end.
+INGEST_STATUSES = ("ok", "miss", "error", "skip")
+
+
+def ingest_status(text: Column, error: Column, amount: Column, seen: Column) -> Column:
+    """skip without a text or when seen before, error where something failed, miss without an amount, else ok."""
+    blank = F.coalesce(F.trim(text), F.lit("")) == ""
+    return F.when(blank | F.coalesce(seen, F.lit(False)), "skip").when(error.isNotNull(), "error").when(F.coalesce(amount, F.lit(0)) == 0, "miss").otherwise("ok")
+
+
+def status_histogram(df: DataFrame, status: Column, statuses: tuple[str, ...] = INGEST_STATUSES) -> DataFrame:
+    """(category, n) for each status, also those that don't occur."""
+    return zero_filled(df.select(status.alias("status")), "status", list(statuses))
+
+
+def tag_tallies(df: DataFrame, tags: Column, error: Column, other: str) -> DataFrame:
+    """One row: total, specific (a tag besides the catch-all), other (the catch-all alone), errors. Failed rows count as errors only;
+    rows without tags count in the total only."""
+    some = F.array_distinct(F.coalesce(tags, F.array().cast("array<string>")))
+    only = (F.size(some) == 1) & F.array_contains(some, other)
+    fine = error.isNull() & (F.size(some) > 0)
+    return df.agg(F.count(F.lit(1)).alias("total"), F.count_if(fine & ~only).alias("specific"), F.count_if(fine & only).alias("other"), F.count_if(error.isNotNull()).alias("errors"))

@@ -27,6 +27,12 @@ def any_of(column: Column, csv: str | None) -> Column | None:
     return column.isin(items) if items else None
 
 
+def metadata_any_of(metadata: Column, field: str, csv: str | None) -> Column | None:
+    """A field of a JSON text among the items of a comma-separated list, in any case; rows without the field count as empty and
+    meet no item. None for a list without items, so that it lets all rows pass."""
+    return any_of(F.upper(F.coalesce(F.try_variant_get(F.try_parse_json(metadata), f"$.{field}", "string"), F.lit(""))), csv)
+
+
 def overlap(tags: Column, csv: str | None) -> Column | None:
     """A tag in common with a comma-separated list; None for a list without items."""
     items = [x.strip() for x in (csv or "").split(",") if x.strip()]

@@ -128,3 +128,65 @@ def error_samples(df: DataFrame, failed: Column, message: Column, order: str, mo
 def vector_literal(vector: Column, places: int = 8) -> Column:
     """A vector as the text "[a,b,...]" with so many decimals."""
     return F.concat(F.lit("["), F.array_join(F.transform(vector, lambda x: F.format_string(f"%.{places}f", x.cast("double"))), ","), F.lit("]"))
+
+
+def comparables(extractions: DataFrame, documents: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(extraction_id, id, citation, jurisdiction, year, kind, award) of verdicts with an amount, by the documents they were found in; verdicts whose
+    document is gone are left out. Extractions have extraction_id, the document's id and the verdict's fields; documents have
+    date_filed.
+
+    The citation is the verdict's, else the day of filing in brackets, else the case's name; the year is that of the filing, else of
+    the decision; the award is the total, else the sum of its parts.
+    """
+    amount = F.coalesce(F.nullif("total_amount_usd", F.lit(0.0)), F.coalesce("compensatory_amount_usd", F.lit(0.0)) + F.coalesce("punitive_amount_usd", F.lit(0.0)))
+    rows = extractions.withColumn("award", amount).where("award <> 0").join(documents.select(id_col, "date_filed"), id_col)
+    filed, year = blank_to_null(F.col("date_filed")), lambda c: F.left(c, F.lit(4)).try_cast("int")
+    kind = F.when(F.contains(F.lower(F.coalesce("award_type", F.lit(""))), F.lit("settle")), "settlement").otherwise("verdict")
+    cited = F.coalesce(blank_to_null(F.col("citation")), F.concat(F.lit("("), filed, F.lit(")")), blank_to_null(F.col("case_name")), F.lit("Unknown case"))
+    return rows.select("extraction_id", id_col, cited.alias("citation"), blank_to_null(F.col("jurisdiction")).alias("jurisdiction"), F.coalesce(year(filed), year(F.col("decision_date"))).alias("year"), kind.alias("kind"), "award")
+
+
+def projects_with(projects: DataFrame, item: Column, items: str = "items") -> DataFrame:
+    """The projects that hold an item."""
+    return projects.where(F.array_contains(items, item))
+
+
+def saved_items(projects: DataFrame, items: str = "items") -> DataFrame:
+    """(item): what any project holds, once."""
+    return projects.select(F.explode(items).alias("item")).distinct()
+
+
+def project_rows(projects: DataFrame, rows: DataFrame, id_col: str, project: str = "id", items: str = "items", at: str = "position") -> DataFrame:
+    """The rows that projects hold, with their project and place in it; items without a row are left out. An item of many projects is
+    joined as often as it is held, by a plain join that adaptive execution splits."""
+    held = projects.select(F.col(project).alias("project"), F.posexplode(items).alias(at, id_col))
+    return held.join(rows, id_col)
+
+
+def result_texts(hits: DataFrame, answer: list[str], order: list[str], found: Column, lines: list[Column], lead: Column) -> DataFrame:
+    """(answer, n, text): each answer's hits as one text for a tool: `found` (of the number of hits, `n`), then a block for each hit in
+    order, numbered from 1: "[1] " and its lead, and below it those of its lines that aren't null, four spaces in. Blocks are
+    parted by blank lines. Give it the best hits of each answer only, as all of one answer's are gathered."""
+    below = F.array_compact(F.array(*lines))
+    block = F.struct(*order, lead.alias("_lead"), below.alias("_lines"))
+    grouped = hits.groupBy(*answer).agg(F.array_sort(F.collect_list(block)).alias("_b"), F.count(F.lit(1)).alias("n"))
+    numbered = F.transform("_b", lambda b, i: F.array_join(F.concat(F.array(F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), b["_lead"])), F.transform(b["_lines"], lambda x: F.concat(F.lit("    "), x))), "\n"))
+    return grouped.select(*answer, "n", F.array_join(F.concat(F.array(found), numbered), "\n\n").alias("text"))
+
+
+def statute_lines() -> tuple[Column, list[Column]]:
+    """The lead and the lines of a statute in a result text: citation, else its place; id, title, factors, source, and an excerpt."""
+    body = F.trim(F.coalesce("complete_statute", F.lit("")))
+    place = F.trim(F.concat_ws(" ", F.coalesce("jurisdiction_code", F.lit("")), F.coalesce("code_name", F.lit("")), F.lit("§"), F.coalesce("section_number", F.lit(""))))
+    line = lambda name, value: F.concat(F.lit(f"{name}: "), F.nullif(value, F.lit("")))
+    excerpt = F.concat(F.lit("excerpt: "), F.replace(F.left(body, F.lit(500)), F.lit("\n"), F.lit(" ")), F.when(F.length(body) > 500, "…").otherwise(""))
+    lines = [F.concat(F.lit("id: "), F.col("id").cast("string")), line("title", F.trim("title")), line("factors", F.array_join("factors", ", ")), line("source", F.col("source_url")), excerpt]
+    return F.coalesce(F.nullif(F.trim("canonical_citation"), F.lit("")), place), lines
+
+
+def opinion_lines() -> tuple[Column, list[Column]]:
+    """The same for opinions: the case's name; court, day and citations; address; and a snippet."""
+    details = F.array_join(F.filter(F.array(F.trim("court"), F.left("date_filed", F.lit(10)), F.array_join("citations", ", ")), lambda x: x != ""), " · ")
+    said = F.replace(F.trim(F.coalesce("snippet", F.lit(""))), F.lit("\n"), F.lit(" "))
+    snippet = F.when(said != "", F.concat(F.lit("snippet: "), clipped(said, 400)))
+    return F.coalesce(F.nullif(F.trim("case_name"), F.lit("")), F.lit("(no case name)")), [F.nullif(details, F.lit("")), F.concat(F.lit("URL: "), "url"), snippet]

@@ -4,7 +4,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corvane.functions import contents, parsers
-from corvane.operators import joins, shapes
+from corvane.functions import text as texts
+from corvane.operators import joins, reports, shapes
+from corvane.operators.search import metadata_any_of
 from corvane.plans.catalog import query, table
 from corvane.session import settle
 from corvane.sources.page_tree import code_pages, law_sections, page_nodes
@@ -362,3 +364,104 @@ def project_edits(spark, folder):
     name = F.when(F.col("id") % 3 == 0, "renamed").otherwise(F.concat(F.lit("project "), "id"))
     kept = projects.where("id % 5 <> 0").select("id", name.alias("name"), F.array_join(F.array_sort(F.array_remove(added, 0)), ",").alias("items"))
     return kept.unionByName(spark.createDataFrame([(-1, "new", "")], "id long, name string, items string"))
+
+
+# ---- operators over parameters, on the supplied tables
+
+
+@query("section_markdown", """
+SELECT p_partkey, '# Vehicle Code' || chr(10) || CASE p_partkey % 3 WHEN 0 THEN '## Division ' || p_size || '. ' || p_brand || ' [1 - 9]' || chr(10) || '### Chapter 2' || chr(10) WHEN 1 THEN '#### Article 3. Of signs' || chr(10) ELSE '' END
+       || '##### § ' || p_partkey || chr(10) || chr(10) || p_name || chr(10) || chr(10) || '    (a) ' || p_type || chr(10) || chr(10) || '        (1) ' || p_brand || CASE WHEN p_size % 2 = 0 THEN chr(10) || chr(10) || '*(Added ' || p_size || '.)*' ELSE '' END || chr(10) AS markdown,
+       '# Law' || chr(10) || CASE WHEN p_partkey % 3 = 0 THEN '### Chapter 2' || chr(10) WHEN p_partkey % 3 = 1 THEN '#### Article 3. Of signs' || chr(10) ELSE '' END || '##### § ' || p_partkey || ' — ' || p_name || chr(10) AS law
+FROM part
+""")
+def section_markdown(spark, folder):
+    level = lambda name, ident, title, reach: F.struct(F.lit(name).alias("key"), F.struct(ident.alias("ident"), title.alias("title"), reach.alias("range")).alias("value"))
+    none, third = F.lit(None).cast("string"), F.col("p_partkey") % 3
+    levels = F.when(third == 0, F.array(level("division", F.col("p_size").cast("string"), F.col("p_brand"), F.lit("1 - 9")), level("chapter", F.lit("2"), none, none))).when(third == 1, F.array(level("article", F.lit("3"), F.lit("Of signs"), none)))
+    hierarchy = F.map_from_entries(F.coalesce(levels, F.slice(F.array(level("x", none, none, none)), 1, 0)))
+    part = lambda label, text, depth: F.struct(label.alias("label"), F.col(text).alias("text"), F.lit(float(depth)).alias("depth"))
+    parts = F.array(part(none, "p_name", 0), part(F.lit("a"), "p_type", 1.5), part(F.lit("1"), "p_brand", 2))
+    history = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("(Added "), "p_size", F.lit(".)")))
+    number = F.col("p_partkey").cast("string")
+    return _part(spark, folder).select(
+        "p_partkey", texts.section_markdown(F.lit("Vehicle Code"), hierarchy, number, parts, history).alias("markdown"),
+        texts.section_markdown(F.lit("Law"), hierarchy, number, F.slice(parts, 1, 0), none, F.col("p_name"), texts.LAW_LEVELS, ranges=False).alias("law"),
+    )
+
+
+@query("statute_result_texts", """
+WITH h AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents WHERE text ILIKE '%the%' QUALIFY n <= 10), b AS (
+  SELECT lang, n, '[' || n || '] ' || CASE WHEN doc_id % 3 = 0 THEN 'Cit. ' || doc_id ELSE coalesce(lang, '') || ' ' || coalesce(source, '') || ' § ' || doc_id END || chr(10) || '    id: ' || doc_id || CASE WHEN doc_id % 2 = 0 THEN chr(10) || '    title: T' || doc_id ELSE '' END
+    || chr(10) || '    factors: a, ' || source || chr(10) || '    excerpt: ' || replace(left(trim(text), 500), chr(10), ' ') || CASE WHEN length(trim(text)) > 500 THEN '…' ELSE '' END AS block FROM h
+)
+SELECT lang, count(*) AS n, 'Found ' || count(*) || ' statute(s) for query=''the'':' || chr(10) || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY n) AS text FROM b GROUP BY lang
+""")
+def statute_result_texts(spark, folder):
+    """For each language the first ten documents with a word, as one text for a tool."""
+    docs = table(spark, folder, "documents").where(F.col("text").ilike("%the%"))
+    best = docs.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))).where("_n <= 10")
+    hits = best.select(
+        "lang", F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Cit. "), "doc_id")).alias("canonical_citation"), F.col("lang").alias("jurisdiction_code"), F.col("source").alias("code_name"),
+        F.col("doc_id").cast("string").alias("section_number"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("T"), "doc_id")).alias("title"), F.array(F.lit("a"), "source").alias("factors"), F.lit("").alias("source_url"),
+        F.col("text").alias("complete_statute"),
+    )
+    lead, lines = shapes.statute_lines()
+    found = F.concat(F.lit("Found "), F.col("n").cast("string"), F.lit(" statute(s) for query='the':"))
+    return shapes.result_texts(hits, ["lang"], ["id"], found, lines, lead)
+
+
+@query("comparables", """
+WITH e AS (SELECT *, CASE WHEN o_orderkey % 5 = 0 THEN 0 WHEN o_orderkey % 5 = 1 THEN NULL ELSE o_totalprice END AS total, CASE WHEN o_orderkey % 5 = 1 THEN o_totalprice / 2 END AS part FROM orders)
+SELECT o_orderkey AS extraction_id, doc_id, CASE WHEN o_orderkey % 4 = 0 THEN 'Cit. ' || o_orderkey WHEN doc_id % 2 = 0 THEN '(2020-03-0' || (doc_id % 9 + 1) || ')' ELSE coalesce(nullif(trim(o_clerk), ''), 'Unknown case') END AS citation, o_orderstatus AS jurisdiction,
+       CASE WHEN doc_id % 2 = 0 THEN 2020 ELSE 1999 END::INT AS year, CASE WHEN o_orderpriority ILIKE '%low%' THEN 'settlement' ELSE 'verdict' END AS kind, round(coalesce(nullif(total, 0), coalesce(part, 0)), 4) AS award
+FROM (SELECT *, 'x' AS o_clerk FROM e) JOIN documents d ON d.doc_id = o_orderkey % 700 WHERE coalesce(nullif(total, 0), coalesce(part, 0)) <> 0
+""")
+def comparables(spark, folder):
+    """Verdicts found in documents, with an amount in one of three fields; those of documents that are gone are left out."""
+    k, price, none = F.col("o_orderkey"), F.col("o_totalprice").cast("double"), F.lit(None).cast("double")
+    found = table(spark, folder, "orders").select(
+        k.alias("extraction_id"), (k % 700).alias("doc_id"), F.when(k % 5 == 0, 0.0).when(k % 5 == 1, none).otherwise(price).alias("total_amount_usd"), F.when(k % 5 == 1, price / 2).alias("compensatory_amount_usd"), none.alias("punitive_amount_usd"),
+        F.when(F.col("o_orderpriority").ilike("%low%"), "Settled").alias("award_type"), F.when(k % 4 == 0, F.concat(F.lit("Cit. "), k)).otherwise(" ").alias("citation"), F.lit("x").alias("case_name"), F.col("o_orderstatus").alias("jurisdiction"),
+        F.lit("1999-05-01").alias("decision_date"),
+    )
+    docs = table(spark, folder, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("2020-03-0"), F.col("doc_id") % 9 + 1)).otherwise("").alias("date_filed"))
+    return shapes.comparables(found, docs).withColumn("award", F.round("award", 4))
+
+
+@query("project_statutes", """
+WITH p AS (SELECT conv_id AS project, unnest(list(turn * 7 + conv_id ORDER BY turn)) AS doc_id, generate_subscripts(list(turn * 7 + conv_id ORDER BY turn), 1) - 1 AS position FROM conversations GROUP BY conv_id)
+SELECT project, position::INT AS position, doc_id, lang FROM p JOIN documents USING (doc_id)
+""")
+def project_statutes(spark, folder):
+    """The documents that projects hold, in the projects' order."""
+    items = F.transform(F.array_sort(F.collect_list("turn")), lambda t: t * 7)
+    projects = table(spark, folder, "conversations").groupBy(F.col("conv_id").alias("id")).agg(items.alias("turns")).select("id", F.transform("turns", lambda t: t + F.col("id")).alias("items"))
+    return shapes.project_rows(projects, table(spark, folder, "documents").select("doc_id", "lang"), "doc_id").select("project", "position", "doc_id", "lang")
+
+
+@query("ingest_histogram", """
+SELECT s AS category, count(doc_id) AS n FROM (SELECT unnest(['ok', 'miss', 'error', 'skip']) AS s) LEFT JOIN (
+  SELECT doc_id, CASE WHEN trim(coalesce(text, '')) = '' OR doc_id % 11 = 0 THEN 'skip' WHEN doc_id % 7 = 0 THEN 'error' WHEN n_chars % 3 = 0 THEN 'miss' ELSE 'ok' END AS status FROM documents
+) ON s = status GROUP BY s
+""")
+def ingest_histogram(spark, folder):
+    i = F.col("doc_id")
+    status = reports.ingest_status(F.col("text"), F.when(i % 7 == 0, "refused"), F.col("n_chars") % 3, i % 11 == 0)
+    return reports.status_histogram(table(spark, folder, "documents"), status)
+
+
+@query("tag_summary", """
+SELECT count(*) AS total, count(*) FILTER (doc_id % 6 <> 0 AND doc_id % 4 IN (1, 2)) AS specific, count(*) FILTER (doc_id % 6 <> 0 AND doc_id % 4 = 3) AS other, count(*) FILTER (doc_id % 6 = 0) AS errors FROM documents
+""")
+def tag_summary(spark, folder):
+    i = F.col("doc_id") % 4
+    tags = F.when(i == 1, F.array(F.lit("Speed"))).when(i == 2, F.array(F.lit("Other"), F.lit("Speed"))).when(i == 3, F.array(F.lit("Other"), F.lit("Other")))
+    return reports.tag_tallies(table(spark, folder, "documents"), tags, F.when(F.col("doc_id") % 6 == 0, "failed"), "Other")
+
+
+@query("metadata_filter", "SELECT doc_id, lang FROM documents WHERE upper(lang) IN ('DE', 'FR')")
+def metadata_filter(spark, folder):
+    """A filter on a field of a JSON column; rows whose metadata isn't JSON, or lacks the field, meet no value."""
+    docs = table(spark, folder, "documents").select("doc_id", "lang", F.to_json(F.struct(F.col("lang").alias("jurisdiction"))).alias("metadata"))
+    return docs.where(metadata_any_of(F.col("metadata"), "jurisdiction", "de, fr,")).select("doc_id", "lang")

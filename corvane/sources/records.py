@@ -1,12 +1,16 @@
 """Records in and out of files: nested JSON, lines, CSV, raw pages, and JSON lines by partition. Schemas are explicit:
 columns that are null in a sample would be dropped or mistyped by inference."""
 
+import io
+import zipfile
 from collections.abc import Callable
+from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.functions.text import decoded
+from corvane.functions.text import decoded, strip
 from corvane.operators.ranking import best_by, section_key
 
 SUBSECTIONS = "array<struct<label:string,text:string,depth_em:double>>"
@@ -43,8 +47,11 @@ def read_json_records(spark: SparkSession, folder: str, schema: str = SECTION) -
     return good, rows.where(bad).select("path", F.col("value").alias("text"))
 
 
-def discover(records: DataFrame) -> DataFrame:
-    """(jurisdiction, law_code, dir): the first directory, by name, of each code; folders named jsonl don't count."""
+def discover(records: DataFrame, jurisdiction: str | None = None, law_code: str | None = None) -> DataFrame:
+    """(jurisdiction, law_code, dir): the first directory, by name, of each code; folders named jsonl don't count. With a jurisdiction or
+    a code, in any case, those only."""
+    for column, wanted in (("jurisdiction", jurisdiction), ("law_code", law_code)):
+        records = records if wanted is None else records.where(F.upper(column) == wanted.strip().upper())
     dirs = records.select("jurisdiction", "law_code", F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("dir")).where(~F.col("dir").rlike("/jsonl(/|$)")).distinct()
     return best_by(dirs, ["jurisdiction", "law_code"], [F.col("dir")])
 
@@ -61,7 +68,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("enforceSchema", False).csv(path)
+    """A CSV file with a header; quoted values may hold line ends, commas and doubled quotes."""
+    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", False).csv(path)
 
 
 def read_pages(spark: SparkSession, folder: str, glob: str = "*.html", first: int | None = None, order: Callable[[Column], Column] = section_key) -> DataFrame:
@@ -78,13 +86,54 @@ def read_pages(spark: SparkSession, folder: str, glob: str = "*.html", first: in
     return files.select("path", name.alias("section"), decoded(F.col("content")).alias("html"), F.sha2("content", 256).alias("sha"))
 
 
-def read_uploads(spark: SparkSession, folder: str, most_bytes: int = 25 << 20) -> DataFrame:
-    """(path, text, status): text files up to `most_bytes`; `too large`, `unsupported` or `empty` in place of text."""
+# Endings of uploads that are read as text.
+TEXT_ENDINGS = ("txt", "md", "markdown", "rst", "log", "csv", "json", "htm", "html")
+_WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+
+def docx_text(content: bytes) -> str:
+    """The paragraphs of a Word document that aren't blank, a line each; those in tables too."""
+    with zipfile.ZipFile(io.BytesIO(content)) as archive, archive.open("word/document.xml") as xml:
+        out = []
+        for _, paragraph in ElementTree.iterparse(xml):
+            if paragraph.tag == f"{_WORD}p":
+                marks = {f"{_WORD}tab": "\t", f"{_WORD}br": "\n", f"{_WORD}cr": "\n"}
+                out.append("".join((e.text or "") if e.tag == f"{_WORD}t" else marks.get(e.tag, "") for e in paragraph.iter()))
+                paragraph.clear()
+    return "\n".join(t for t in out if t.strip()).strip()
+
+
+def read_uploads(spark: SparkSession, folder: str, most_bytes: int = 25 << 20, read_pdf: Callable[[bytes], list[str]] | None = None) -> DataFrame:
+    """(path, text, status) of uploaded files: text files, Word documents, and PDF files by a reader that the caller gives (bytes to
+    the texts of pages, each put under its number). In place of a text: `empty`, `too large`, `unsupported` (a PDF without a
+    reader too), `unreadable`, or `no text` (a document of pictures). Files that are too large or unsupported aren't opened;
+    files of no bytes at all have no row, as the reader passes over them."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    text = decoded(F.col("content"))
-    known = F.lower("path").rlike(r"\.(txt|md|csv|json|html?)$")
-    status = F.when(F.col("length") > most_bytes, "too large").when(~known, "unsupported").when(F.trim(text) == "", "empty").otherwise("ok")
-    return files.select("path", F.when(status == "ok", text).alias("text"), status.alias("status"))
+    name = F.lower(F.substring_index("path", "/", -1))
+    ending = F.when(F.contains(name, F.lit(".")), F.substring_index(name, ".", -1)).otherwise("")
+    opened = ("docx", "pdf") if read_pdf else ("docx",)
+    early = F.when(F.col("length") > most_bytes, "too large").when(~ending.isin("", *TEXT_ENDINGS, *opened), "unsupported")
+
+    def extract(contents: pd.Series, endings: pd.Series) -> pd.Series:
+        texts = []
+        for content, kind in zip(contents, endings):
+            try:
+                if content is None:
+                    texts.append(None)
+                elif kind == "docx":
+                    texts.append(docx_text(bytes(content)))
+                else:
+                    pages = [(i, t.strip()) for i, t in enumerate(read_pdf(bytes(content)), 1)]
+                    texts.append("\n\n".join(f"--- Page {i} ---\n{t}" for i, t in pages if t))
+            except Exception:  # noqa: BLE001  one broken upload must not end the job; its status says so
+                texts.append(None)
+        return pd.Series(texts, index=contents.index, dtype=object)
+
+    inner = ending.isin(*opened) & early.isNull()
+    text = F.pandas_udf(extract, "string").asNondeterministic()(F.when(inner, F.col("content")), ending)
+    read = files.select("path", early.alias("early"), inner.alias("inner"), F.when(inner, text).when(early.isNull(), strip(decoded(F.col("content")))).alias("text"))
+    status = F.when(F.col("early").isNotNull(), F.col("early")).when(F.col("text").isNull(), "unreadable").when(F.col("text") == "", F.when(F.col("inner"), "no text").otherwise("empty")).otherwise("ok")
+    return read.select("path", F.when(status == "ok", F.col("text")).alias("text"), status.alias("status"))
 
 
 def ranges(spark: SparkSession, spans: list[tuple[int, int]]) -> DataFrame:
