@@ -213,7 +213,24 @@ def case_citations(text: Column) -> Column:
 
 def section_items(blob: Column) -> Column:
     """The section numbers of a list, subsections included, without Python."""
-    return F.transform(F.regexp_extract_all(blob, F.lit(r"(\d+(?:\.\d+)?(?:\s*\([a-zA-Z0-9]+\))*)"), F.lit(1)), lambda x: F.regexp_replace(x, r"\s+", ""))
+    tokens = F.regexp_extract_all(blob, F.lit(r"([0-9.]+|\([^()]*\)|\s+|[^0-9.()\s]+|.)"), F.lit(1))
+    nothing = F.struct(F.array().cast("array<string>").alias("items"), F.lit(False).alias("open"))
+
+    def step(found: Column, token: Column) -> Column:
+        """A number begins an item; brackets right behind one, blanks aside, belong to it; anything else ends it."""
+        items, n = found["items"], F.size(found["items"])
+        number, inner = F.btrim(token, F.lit(".")), F.btrim(token, F.lit("()"))
+        bracket = F.startswith(token, F.lit("(")) & (inner != "") & ~F.regexp_like(inner, F.lit("[^A-Za-z0-9]"))
+        joined = F.concat(F.slice(items, 1, F.greatest(n - 1, F.lit(0))), F.array(F.concat(F.coalesce(F.try_element_at(items, F.lit(-1)), F.lit("")), F.lit("("), inner, F.lit(")"))))
+        return (
+            F.when(F.startswith(F.ltrim(token, F.lit("0123456789")), F.lit(".")) & (number == ""), F.struct(items, F.lit(False).alias("open")))
+            .when(F.translate(token, "0123456789.", "") == "", F.struct(F.concat(items, F.array(number)).alias("items"), F.lit(True).alias("open")))
+            .when(bracket & found["open"], F.struct(joined.alias("items"), F.lit(True).alias("open")))
+            .when(F.regexp_like(token, F.lit(r"\S")), F.struct(items, F.lit(False).alias("open")))
+            .otherwise(found)
+        )
+
+    return F.aggregate(tokens, nothing, step, lambda found: found["items"])
 
 
 def title_and_statute(full: Column) -> tuple[Column, Column]:
@@ -249,10 +266,19 @@ def note_action(note: Column) -> Column:
     return F.when(word.isin(*ACTIONS), word)
 
 
+_CAPITALS = "".join(map(chr, range(65, 91)))
+
+
 def note_bill(note: Column) -> Column:
     """The bill number (capitals and a number) that stands in parentheses."""
-    held = F.transform(F.regexp_extract_all(note, F.lit(r"\(([^()]*)\)"), F.lit(1)), lambda x: F.array_join(F.filter(F.split(x, r"\s+"), lambda w: w != ""), " "))
-    return F.get(F.filter(held, lambda x: F.regexp_like(x, F.lit(r"^[A-Z]+ ?[0-9]+[A-Z]*$"))), F.lit(0))
+    held = F.transform(F.slice(F.split(note, r"\("), 2, F.lit(1 << 30)), lambda x: F.when(F.contains(x, F.lit(")")), F.btrim(F.regexp_replace(F.split_part(x, F.lit(")"), F.lit(1)), r"\s+", " "))))
+
+    def is_bill(x: Column) -> Column:
+        number = F.ltrim(F.ltrim(x, F.lit(_CAPITALS)), F.lit(" "))
+        end = F.ltrim(number, F.lit("0123456789"))
+        return (F.ltrim(x, F.lit(_CAPITALS)) != x) & (end != number) & (F.ltrim(end, F.lit(_CAPITALS)) == "")
+
+    return F.get(F.filter(held, is_bill), F.lit(0))
 
 
 def history_note(raw: Column) -> Column:

@@ -65,7 +65,10 @@ def instruction_parts(text: Column) -> Column:
 
 
 def bullets(blob: Column) -> Column:
-    return F.filter(F.transform(F.split(blob, r"(?:^|\n)\s*•\s*"), lambda x: F.btrim(x, F.lit(" \n\t"))), lambda x: x != "")
+    """The points of a list: a line that begins with a bullet begins a point, other lines go on with theirs."""
+    begins = lambda line: F.startswith(F.ltrim(line, F.lit(" \t")), F.lit("•"))
+    marked = F.transform(F.split(blob, "\n"), lambda line: F.when(begins(line), F.concat(F.lit("\x1e"), F.ltrim(line, F.lit(" \t•")))).otherwise(line))
+    return F.filter(F.transform(F.split(F.array_join(marked, "\n"), "\x1e"), lambda x: F.btrim(x, F.lit(" \n\t"))), lambda x: x != "")
 
 
 def citing_bullet(bullet_list: Column, code: Column, section: Column) -> Column:
@@ -114,15 +117,31 @@ def heading(text: Column) -> Column:
     return F.struct(F.when(right, level).alias("level"), F.when(right, ident).alias("ident"), F.when(right, title).alias("title"), F.when(right & ranged, F.btrim(last, F.lit(" ]"))).alias("range"))
 
 
+def labelled(text: Column) -> Column:
+    """struct(label, text): the letters or the number in brackets that a text begins with, and the rest; a null label and the
+    whole text if it begins otherwise."""
+    plain = F.ltrim(text)
+    inner = F.split_part(F.substr(plain, F.lit(2)), F.lit(")"), F.lit(1))
+    alike = ~F.regexp_like(inner, F.lit("[^A-Za-z]")) | (F.translate(inner, "0123456789", "") == "")
+    has = F.startswith(plain, F.lit("(")) & F.contains(plain, F.lit(")")) & (inner != "") & alike
+    return F.struct(F.when(has, inner).alias("label"), F.when(has, F.ltrim(F.substr(plain, F.length(inner) + 3))).otherwise(text).alias("text"))
+
+
+def left_margin(style: Column) -> Column:
+    """The left margin in em that an element's style sets; 0 if it sets none, or another unit."""
+    settings = F.transform(F.split(F.lower(style), ";"), lambda s: F.struct(F.trim(F.split_part(s, F.lit(":"), F.lit(1))).alias("name"), F.trim(F.split_part(s, F.lit(":"), F.lit(2))).alias("value")))
+    value = F.get(F.filter(settings, lambda s: (s["name"] == "margin-left") & s["value"].endswith("em")), F.lit(0))["value"]
+    return F.coalesce(F.rtrim(F.left(value, F.length(value) - 2)).try_cast("double"), F.lit(0.0))
+
+
 def subsections(page: Column) -> Column:
     """array of (label, text, depth): a page's paragraphs, with the first label of each peeled off and their left margin."""
     paragraphs = F.regexp_extract_all(page, F.lit(r"(?s)(<p\b[^>]*>.*?</p>)"), F.lit(1))
-    label = r"^\s*\(([A-Za-z]+|\d+)\)\s*"
 
     def one(p: Column) -> Column:
         text = squeeze(F.regexp_replace(p, r"<[^>]+>", " "))
-        depth = F.coalesce(F.regexp_extract(p, r"margin-left\s*:\s*([\d.]+)\s*em", 1).try_cast("double"), F.lit(0.0))
-        return F.struct(_get(text, label).alias("label"), F.regexp_replace(text, label, "").alias("text"), depth.alias("depth"))
+        style = F.regexp_extract(F.substring_index(p, ">", 1), r"""style\s*=\s*["']([^"']*)""", 1)
+        return F.struct(labelled(text)["label"].alias("label"), labelled(text)["text"].alias("text"), left_margin(style).alias("depth"))
 
     return F.filter(F.transform(paragraphs, one), lambda s: s["text"] != "")
 
@@ -229,8 +248,11 @@ def listed_section(cell: Column) -> Column:
 
 def listed_citation(cell: Column) -> Column:
     """"CA/VEH/n[/sub]" of a cell like "Cal. Veh. Code § 22350(a)"; null for other cells."""
-    pattern = r"Cal\.\s*Veh\.\s*Code\s*§+\s*(\d+(?:\.\d+)?)(?:\(([A-Za-z0-9]+)\))?"
-    return F.when(_get(cell, pattern).isNotNull(), F.concat_ws("/", F.lit("CA/VEH"), _get(cell, pattern), _get(cell, pattern, 2)))
+    place = F.ltrim(behind(F.regexp_replace(cell, r"\s+", ""), "Cal.Veh.Code§"), F.lit("§"))
+    number = F.rtrim(F.left(place, F.length(place) - F.length(F.ltrim(place, F.lit("0123456789.")))), F.lit("."))
+    rest = F.substr(place, F.length(number) + 1)
+    inner = F.when(F.startswith(rest, F.lit("(")) & F.contains(rest, F.lit(")")), F.split_part(F.substr(rest, F.lit(2)), F.lit(")"), F.lit(1)))
+    return F.when(number != "", F.concat_ws("/", F.lit("CA/VEH"), number, F.when(~F.regexp_like(inner, F.lit("[^A-Za-z0-9]")), F.nullif(inner, F.lit("")))))
 
 
 def query_key(query: str) -> str | None:
@@ -244,13 +266,18 @@ def query_key(query: str) -> str | None:
 
 # ---- replies
 
-# What names a jurisdiction in a conversation, and right before a citation; in plain words, without dots.
-MENTIONS = {
-    "CA": ("california", "calif", "cal veh"), "NY": ("new york", "ny veh", "ny vat", "n y veh", "n y vat", "vehicle and traffic law"), "TX": ("texas", "tex transp", "transportation code"),
-}
-PREFIXES = {
-    "CA": ("cal veh", "california vehicle"), "NY": ("ny veh", "ny vat", "n y veh", "n y vat", "new york veh", "vehicle and traffic"), "TX": ("tex transp", "texas transp", "transportation code"),
+# A jurisdiction's name, its short forms, those that stand before a code, its codes' short forms, and its law; in plain
+# words, without dots.
+JURISDICTIONS = {
+    "CA": ("california", ("calif",), ("cal",), ("veh",), ()),
+    "NY": ("new york", (), ("ny", "n y"), ("veh", "vat"), ("vehicle and traffic law",)),
+    "TX": ("texas", (), ("tex",), ("transp",), ("transportation code",)),
 }
+#: What names a jurisdiction in a conversation: its name and short forms, a code of it, or its law.
+MENTIONS = {code: (name, *short, *(f"{p} {c}" for p in before for c in codes), *laws) for code, (name, short, before, codes, laws) in JURISDICTIONS.items()}
+#: What does right before a citation: a code after a name of any form, or the law without its last word unless that is Code.
+PREFIXES = {code: (*(f"{p} {c}" for p in (name, *before) for c in codes), *(law.removesuffix(" law") for law in laws)) for code, (name, _, before, codes, laws) in JURISDICTIONS.items()}
+#: Characters before a citation in which its jurisdiction is looked for.
 LOOK_BACK = 120
 
 
@@ -266,11 +293,12 @@ def mentioned(text: Column) -> Column:
 
 def _named_before(text: str, at: int) -> str | None:
     plain = " " + " ".join(re.findall(r"[a-z0-9]+", text[max(0, at - LOOK_BACK) : at].lower().replace(".", "")))
-    return next((code for code, phrases in PREFIXES.items() if any(f" {p}" in plain for p in phrases)), None)
+    nearest = {max(plain.rfind(f" {p}") for p in phrases): code for code, phrases in PREFIXES.items()}
+    return nearest[max(nearest)] if max(nearest) >= 0 else None
 
 
 def cited_in(reply: str | None) -> list[dict]:
-    """Each section after a § in a reply, once, with the jurisdiction that the words before it name. Of a section's
+    """Each section after a § in a reply, once, with the jurisdiction that the words before it name, the nearest one. Of a section's
     subsections the first is kept if it is one letter or digit."""
     out: dict[tuple, dict] = {}
     for sign in re.finditer("§+ *", reply or ""):

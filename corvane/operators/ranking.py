@@ -74,10 +74,21 @@ def section_key(section: Column) -> Column:
 def plain_section_key(section: Column) -> Column:
     """The narrower key: major, minor, suffix, star tail, star prefix; all other forms last."""
     s = F.trim(section)
-    pattern = r"^\*?(\d+)(?:\.(\d+))?(?:-([A-Za-z]+))?(?:\*(\d+))?$"
-    ok = s.rlike(pattern)
-    number = lambda g: F.coalesce(F.regexp_extract(s, pattern, g).try_cast("long"), F.lit(0).cast("long"))
+    bare = F.when(s.startswith("*"), F.substr(s, F.lit(2))).otherwise(s)
+
+    def halves(text: Column, mark: str) -> tuple[Column, Column, Column]:
+        """What stands before and behind a mark, and whether both are as they should be: one mark at most, something on both sides."""
+        parts = F.split(text, f"[{mark}]")
+        behind = F.get(parts, F.lit(1))
+        return F.get(parts, F.lit(0)), F.coalesce(behind, F.lit("")), (F.size(parts) == 1) | ((F.size(parts) == 2) & (behind != ""))
+
+    digits = lambda x: F.translate(x, "0123456789", "") == ""
+    head, tail, one_star = halves(bare, "*")
+    number, suffix, one_dash = halves(head, "-")
+    major, minor, one_point = halves(number, ".")
+    ok = one_star & one_dash & one_point & (major != "") & digits(major) & digits(minor) & digits(tail) & ~F.regexp_like(suffix, F.lit("[^A-Za-z]"))
+    value = lambda x: F.when(ok, F.coalesce(x.try_cast("long"), F.lit(0).cast("long"))).otherwise(0)
     return F.struct(
-        F.when(ok, number(1)).otherwise(F.lit(10**9).cast("long")).alias("major"), number(2).alias("minor"), F.upper(F.regexp_extract(s, pattern, 3)).alias("suffix"),
-        number(4).alias("tail"), F.when(ok & s.startswith("*"), 1).otherwise(0).alias("star"), s.alias("raw"),
+        F.when(ok, value(major)).otherwise(F.lit(10**9).cast("long")).alias("major"), value(minor).alias("minor"), F.when(ok, F.upper(suffix)).otherwise("").alias("suffix"),
+        value(tail).alias("tail"), F.when(ok & s.startswith("*"), 1).otherwise(0).alias("star"), s.alias("raw"),
     )

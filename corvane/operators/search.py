@@ -1,13 +1,10 @@
 """Filters and pages of the document search."""
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SECTION_QUERY = r"(?i)^\s*\d+(\.\d+)?(\([a-z0-9]\))?\s*$"
-
 
 def clamp(value: int | None, low: int, high: int, default: int) -> int:
     return min(max(default if value is None else value, low), high)
@@ -55,7 +52,12 @@ def page_with_total(found: DataFrame, order: list, size: int) -> DataFrame:
 
 
 def is_section_query(query: str | None) -> bool:
-    return bool(re.match(SECTION_QUERY, query or ""))
+    """Whether a query is a section's number, such as 22350 or 545.351, with one letter or digit in brackets behind it or not."""
+    number, bracket, rest = (query or "").strip().partition("(")
+    if bracket and not (len(rest) == 2 and rest[1] == ")" and rest[0].isascii() and rest[0].isalnum()):
+        return False
+    whole, point, part = number.partition(".")
+    return whole.isdecimal() and (not point or part.isdecimal())
 
 
 def statute_document(url: Column, kind: Column, upload: Column, excluded: tuple[str, ...] = ("verdict", "opinion")) -> Column:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.parsers import heading
+from corvane.functions.parsers import heading, labelled, left_margin
 from corvane.functions.text import squeeze
 
 #: An element around a node.
@@ -193,7 +193,7 @@ def code_pages(nodes: DataFrame, id_col: str) -> DataFrame:
     held = nodes.where(inside(F.col("path"), content)).withColumn("path", within)
     chosen = F.filter("path", lambda e: e["tag"].isin("h4", "h5", "h6", "p", "i"))
     found = texts_within(held, id_col, chosen, ~inside(F.col("path"), lambda e: e["tag"].isin(*_UNSEEN))).where("text <> ''")
-    margin = F.coalesce(F.regexp_extract(F.col("attributes")["style"], r"margin-left\s*:\s*([\d.]+)\s*em", 1).try_cast("double"), F.lit(0.0))
+    margin = left_margin(F.coalesce(F.col("attributes")["style"], F.lit("")))
     rows = found.select(id_col, F.struct("node", "tag", "text", margin.alias("depth"), inside(F.col("path"), font).alias("inner")).alias("e"))
     fonts = held.where(font(F.struct("tag"))).select(id_col).distinct().withColumn("_font", F.lit(True))
     pages = rows.groupBy(id_col).agg(F.array_sort(F.collect_list("e")).alias("e")).join(fonts, id_col, "left")
@@ -208,8 +208,7 @@ def code_pages(nodes: DataFrame, id_col: str) -> DataFrame:
     short = F.substring_index(banner, " - ", -1)
     abbreviated = (short != banner) & (short == F.upper(short)) & (F.length(short) <= 6) & short.rlike("[A-Z]")
     number = F.rtrim(F.get(own("h6"), F.lit(0))["text"], F.lit(". "))
-    label = r"^\s*\(([A-Za-z]+|\d+)\)\s*"
-    paragraphs = F.transform(own("p"), lambda p: F.struct(F.nullif(F.regexp_extract(p["text"], label, 1), F.lit("")).alias("label"), F.regexp_replace(p["text"], label, "").alias("text"), p["depth"].alias("depth")))
+    paragraphs = F.transform(own("p"), lambda p: F.struct(labelled(p["text"])["label"].alias("label"), labelled(p["text"])["text"].alias("text"), p["depth"].alias("depth")))
     return pages.select(
         id_col, F.when(abbreviated, F.left(banner, F.length(banner) - F.length(short) - 3)).otherwise(banner).alias("code_name"), hierarchy.alias("hierarchy"),
         F.when(number.rlike(r"^[0-9]+([.][0-9]+)?[A-Za-z]?$"), number).alias("section"), paragraphs.alias("paragraphs"), F.get(F.reverse(own("i")), F.lit(0))["text"].alias("history"),
