@@ -49,3 +49,24 @@ def tag_tallies(df: DataFrame, tags: Column, error: Column, other: str) -> DataF
     only = (F.size(some) == 1) & F.array_contains(some, other)
     fine = error.isNull() & (F.size(some) > 0)
     return df.agg(F.count(F.lit(1)).alias("total"), F.count_if(fine & ~only).alias("specific"), F.count_if(fine & only).alias("other"), F.count_if(error.isNotNull()).alias("errors"))
+
+
+def counts_by(df: DataFrame, keys: list[str], conditions: dict[str, Column], total: str) -> DataFrame:
+    """For each key the number of rows, as `total`, and of those that meet each condition."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(total), *(F.count_if(c).alias(n) for n, c in conditions.items()))
+
+
+def coverage(df: DataFrame, hit: Column, section: Column) -> DataFrame:
+    """One row: n_rows, hits, the number of sections, and of sections with a hit."""
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(hit).alias("hits"), F.countDistinct(section).alias("sections"), F.countDistinct(F.when(hit, section)).alias("sections_hit"))
+
+
+def graph_counts(edges: DataFrame, nodes: dict[str, str]) -> DataFrame:
+    """One row: the number of distinct values of each column, by name, and of edges."""
+    return edges.agg(*(F.countDistinct(c).alias(n) for n, c in nodes.items()), F.count(F.lit(1)).alias("edges"))
+
+
+def consolidation_totals(df: DataFrame, source: Column, skipped: Column) -> DataFrame:
+    """One row: files, records and skipped, by a second look at the rows; metrics.record_totals counts them while they are written."""
+    bad = F.coalesce(skipped, F.lit(False))
+    return df.agg(F.countDistinct(source).alias("files"), F.count_if(~bad).alias("records"), F.count_if(bad).alias("skipped"))

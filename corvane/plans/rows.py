@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import contents, parsers
 from corvane.functions import text as texts
-from corvane.operators import joins, reports, shapes
+from corvane.operators import joins, lookups, reports, shapes
 from corvane.operators.search import metadata_any_of
 from corvane.plans.catalog import query, table
 from corvane.session import settle
@@ -124,9 +124,7 @@ def hits_by_url(spark, folder):
     """A reply's search hits as the statutes with their URLs, each once, four at most: the feature is a short list."""
     hits = table(spark, folder, "conversations").select("conv_id", "turn", F.concat(F.lit("https://x/"), F.expr("conv_id * 3 + turn div 2")).alias("url"))
     statutes = _part(spark, folder).select("p_partkey", F.concat(F.lit("https://x/"), "p_partkey").alias("url"))
-    found = hits.join(statutes, "url").groupBy("conv_id", "p_partkey").agg(F.min("turn").alias("first"))
-    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("first", "p_partkey"))
-    return found.withColumn("n", n).where("n <= 4").select("conv_id", "p_partkey")
+    return lookups.hits_by(hits, statutes, ["url"], ["conv_id"], "turn", "p_partkey", 4).select("conv_id", "p_partkey")
 
 
 @query("index_with_statutes", """
@@ -134,9 +132,9 @@ SELECT DISTINCT l_orderkey, 'CA/VEH/' || l_partkey AS key, p_name AS title FROM
 """)
 def index_with_statutes(spark, folder):
     """Index edges joined with the statutes that they cite, on jurisdiction, code and section; distinct edges first."""
-    edges = table(spark, folder, "lineitem").select("l_orderkey", F.concat(F.lit("CA/VEH/"), "l_partkey").alias("key")).distinct()
-    statutes = _part(spark, folder).where("p_size % 2 = 0").select(F.concat_ws("/", F.lit("CA"), F.lit("VEH"), "p_partkey").alias("key"), F.col("p_name").alias("title"))
-    return edges.join(statutes, "key").select("l_orderkey", "key", "title")
+    edges = table(spark, folder, "lineitem").select("l_orderkey", F.concat(F.lit("CA/VEH/"), "l_partkey").alias("key"))
+    statutes = _part(spark, folder).where("p_size % 2 = 0").withColumn("title", F.col("p_name"))
+    return lookups.cited_rows(edges, statutes, "key", [F.lit("CA"), F.lit("VEH"), F.col("p_partkey").cast("string")], ["title"]).select("l_orderkey", "key", "title")
 
 
 @query("first_chunk_of_match", """
@@ -145,9 +143,9 @@ SELECT doc_id, f.turn AS chunk_idx, f.text AS text FROM documents JOIN f ON f.co
 """)
 def first_chunk_of_match(spark, folder):
     """Documents that match, each with its first chunk; those without chunks go."""
-    chunks = table(spark, folder, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.min(F.struct("turn", "text")).alias("c"))
+    chunks = table(spark, folder, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_idx"), "text")
     docs = table(spark, folder, "documents").where(F.col("source").isin("src1", "src2", "src3")).select("doc_id")
-    return docs.join(chunks, "doc_id").select("doc_id", F.col("c.turn").alias("chunk_idx"), F.col("c.text").alias("text"))
+    return lookups.first_child(docs, chunks, "doc_id", "chunk_idx", ["text"])
 
 
 @query("base_hits_first", """
@@ -158,14 +156,12 @@ def base_hits_first(spark, folder):
     """What is asked by a four-part key: hits of the base key come first, then those of the key; each instruction once."""
     edges = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("iid"), F.concat(F.lit("CA/VEH/"), "l_partkey", F.when(F.col("l_linenumber") % 2 == 0, "/a").otherwise("")).alias("key"))
     asked = _part(spark, folder).where("p_size = 7").select(F.concat(F.lit("CA/VEH/"), "p_partkey", F.lit("/a")).alias("asked"))
-    keys = asked.select("asked", F.inline(F.array(F.struct(F.lit(0).alias("place"), joins.prefix_key(F.col("asked"), 3).alias("key")), F.struct(F.lit(1).alias("place"), F.col("asked").alias("key")))))
-    return keys.join(edges, "key").groupBy("asked", "iid").agg(F.min("place").alias("place"))
+    return lookups.citing_items(asked, edges, "asked", "key", "iid")
 
 
 @query("consolidation_totals", "SELECT count(DISTINCT source) AS files, count(*) FILTER (length(text) > 100) AS records, count(*) FILTER (length(text) <= 100) AS skipped FROM documents")
 def consolidation_totals(spark, folder):
-    short = F.length("text") <= 100
-    return table(spark, folder, "documents").agg(F.countDistinct("source").alias("files"), F.count_if(~short).alias("records"), F.count_if(short).alias("skipped"))
+    return reports.consolidation_totals(table(spark, folder, "documents"), F.col("source"), F.length("text") <= 100)
 
 
 @query("tag_tallies", "SELECT count(*) AS total, count(*) FILTER (toxic = 1) AS specific, count(*) FILTER (toxic = 0) AS other, count(*) FILTER (quality = 0) AS errors FROM labels")
@@ -189,7 +185,7 @@ WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a\s+href="(/[^"]*)"
 """)
 def toc_counts(spark, folder):
     links = table(spark, folder, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'<a\s+href="(/[^"]*)"'), F.lit(1))).alias("href"))
-    return links.agg(F.countDistinct("page_id").alias("pages"), F.countDistinct("href").alias("sections"), F.count(F.lit(1)).alias("edges"))
+    return reports.graph_counts(links, {"pages": "page_id", "sections": "href"})
 
 
 @query("instruction_counts", """
@@ -197,7 +193,7 @@ SELECT l_orderkey, count(*) AS n_sources, count(*) FILTER (l_returnflag <> 'N')
 """)
 def instruction_counts(spark, folder):
     case = F.col("l_returnflag") == "N"
-    return table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_sources"), F.count_if(~case).alias("n_statutes"), F.count_if(case).alias("n_cases"))
+    return reports.counts_by(table(spark, folder, "lineitem"), ["l_orderkey"], {"n_statutes": ~case, "n_cases": case}, "n_sources")
 
 
 @query("citations_by_role", """
@@ -206,20 +202,17 @@ SELECT iid, string_agg(key || ':' || ['title', 'sources', 'directions'][b.r + 1]
 """)
 def citations_by_role(spark, folder):
     """Each instruction's citations, each once in its best role, by role and place. An instruction's list is its own."""
-    rank = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "R", 1).otherwise(2)
-    edges = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("iid"), F.concat(F.lit("CA/VEH/"), "l_partkey").alias("key"), F.struct(rank.alias("r"), F.col("l_linenumber").alias("p")).alias("b"))
-    best = edges.groupBy("iid", "key").agg(F.min("b").alias("b"))
-    listed = best.groupBy("iid").agg(F.array_sort(F.collect_list(F.struct("b.r", "b.p", "key"))).alias("c"))
-    roles = F.array(F.lit("title"), F.lit("sources"), F.lit("directions"))
-    return listed.select("iid", F.array_join(F.transform("c", lambda x: F.concat(x["key"], F.lit(":"), F.get(roles, x["r"]))), ",").alias("cited"))
+    role = F.when(F.col("l_returnflag") == "A", "title").when(F.col("l_returnflag") == "R", "sources").otherwise("directions")
+    edges = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("iid"), F.concat(F.lit("CA/VEH/"), "l_partkey").alias("key"), role.alias("role"), "l_linenumber")
+    found = lookups.citations_by_role(edges, "iid", "key", F.col("role"), "l_linenumber", ["title", "sources", "directions"])
+    return found.select("iid", F.array_join(F.transform("cited", lambda x: F.concat(x["key"], F.lit(":"), x["role"])), ",").alias("cited"))
 
 
 @query("coverage_ratios", """
 WITH h AS (SELECT p_size AS section, CASE WHEN p_retailprice > 1000 THEN 1 ELSE 0 END AS hit FROM part) SELECT count(*) AS n_rows, sum(hit)::BIGINT AS hits, count(DISTINCT section) AS sections, count(DISTINCT CASE WHEN hit = 1 THEN section END) AS sections_hit FROM h
 """)
 def coverage_ratios(spark, folder):
-    hit = F.col("p_retailprice") > 1000
-    return _part(spark, folder).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(hit).alias("hits"), F.countDistinct("p_size").alias("sections"), F.countDistinct(F.when(hit, F.col("p_size"))).alias("sections_hit"))
+    return reports.coverage(_part(spark, folder), F.col("p_retailprice") > 1000, F.col("p_size"))
 
 
 @query("richer_hits", """
@@ -347,9 +340,8 @@ SELECT c.conv_id, c.turn, coalesce(d.source, '{}') AS source, coalesce(d.lang, '
 """)
 def hits_with_documents(spark, folder):
     """Search hits with their documents; a hit whose document is gone stays, with nothing in it."""
-    docs = table(spark, folder, "documents").select("doc_id", "source", "lang")
     hits = table(spark, folder, "conversations").select("conv_id", "turn", (F.col("conv_id") * 13 + F.col("turn")).alias("doc_id"))
-    return hits.join(docs, "doc_id", "left").select("conv_id", "turn", F.coalesce("source", F.lit("{}")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"))
+    return lookups.with_rows(hits, table(spark, folder, "documents"), ["doc_id"], {"source": F.lit("{}"), "lang": F.lit("")}).drop("doc_id")
 
 
 @query("project_edits", """
@@ -358,12 +350,17 @@ SELECT id, CASE WHEN id % 3 = 0 THEN 'renamed' ELSE 'project ' || id END AS name
 UNION ALL SELECT -1, 'new', ''
 """)
 def project_edits(spark, folder):
-    """Projects after a create, adds of items (each once), a removal, renames and deletions, one project a row."""
-    projects = table(spark, folder, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.collect_set("turn").alias("items"))
-    added = F.array_union("items", F.array(F.lit(1), F.lit(99)).cast("array<long>"))
-    name = F.when(F.col("id") % 3 == 0, "renamed").otherwise(F.concat(F.lit("project "), "id"))
-    kept = projects.where("id % 5 <> 0").select("id", name.alias("name"), F.array_join(F.array_sort(F.array_remove(added, 0)), ",").alias("items"))
-    return kept.unionByName(spark.createDataFrame([(-1, "new", "")], "id long, name string, items string"))
+    """Projects after a create, adds of items (each once), a removal, renames and deletions."""
+    c = F.col("id")
+    projects = table(spark, folder, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.concat(F.lit("project "), F.first("conv_id").cast("string")).alias("name"), F.collect_set("turn").alias("items"))
+    edit = lambda at, kind, item=None, name=None: F.struct(F.lit(at).alias("at"), F.lit(kind).alias("kind"), F.lit(name).cast("string").alias("name"), F.lit(item).cast("long").alias("item"))
+    of_all = F.concat(
+        F.array(edit(1, "add", 1), edit(2, "add", 99), edit(3, "add", 99), edit(4, "remove", 0), edit(5, "create", name="again")), F.when(c % 3 == 0, F.array(edit(6, "rename", name="renamed"))).otherwise(F.slice(F.array(edit(0, "")), 1, 0)),
+        F.when(c % 5 == 0, F.array(edit(7, "delete"), edit(8, "add", 5))).otherwise(F.slice(F.array(edit(0, "")), 1, 0)),
+    )
+    edits = projects.select("id", F.inline(of_all)).unionByName(spark.createDataFrame([(-1, 1, "create", "new", None), (-2, 1, "add", None, 5)], "id long, at int, kind string, name string, item long"))
+    done = lookups.edit_projects(projects, edits)
+    return done.select("id", "name", F.array_join(F.array_sort("items"), ",").alias("items"))
 
 
 # ---- operators over parameters, on the supplied tables
