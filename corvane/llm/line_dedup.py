@@ -72,7 +72,7 @@ def _window_hashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> n
 
 def line_windows(hashes: np.ndarray, starts: np.ndarray, least: int, passage: int) -> tuple[np.ndarray, np.ndarray]:
     """(word, fingerprint) of each line window, but of lines of `passage` or more words. Words that begin lines are marked."""
-    bounds = np.r_[starts, len(hashes)]
+    bounds = np.append(starts, len(hashes))
     ends = np.searchsorted(bounds, starts + least)
     some = np.flatnonzero((ends < len(bounds)) & (np.diff(bounds) < passage))
     if not len(some):
@@ -99,7 +99,8 @@ def winnowed(hashes: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray]:
     first = np.arange(len(hashes) - GRAM + 1)
     grams = _window_hashes(hashes, first, first + GRAM)
     least = _sliding(grams, width, np.minimum)  # of the windows that begin at each place
-    padded = np.r_[np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)]
+    padded = np.zeros(len(least) + 2 * (width - 1), np.uint64)
+    padded[width - 1 : width - 1 + len(least)] = least
     at = np.flatnonzero(_sliding(padded, width, np.maximum) == grams)
     return at, grams[at]
 
