@@ -6,6 +6,7 @@ codes and reporters are looked up in tables, by their letters alone, so white sp
 """
 
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -41,6 +42,7 @@ _SUB = re.compile(r"\s*\(([A-Za-z0-9]+)\)")
 _NAME_CHARS, _NAME_WORDS = 90, 8
 
 
+@lru_cache(maxsize=1 << 14)
 def _letters(name: str) -> str:
     return _LETTERS.sub("", name.lower())
 
@@ -48,6 +50,9 @@ def _letters(name: str) -> str:
 _CODE_OF = {_letters(n) + "code": (code, names[0]) for code, names in CODES.items() for n in names}
 #: Names that hold the word Code themselves, as in "Code of Civil Procedure section 203".
 _WRITTEN_OUT = {_letters(n): (code, names[0]) for code, names in CODES.items() for n in names if "code" in n.lower()}
+#: The longest name in letters, and the last letters of all: a sign with other ones before it cites no code.
+_LONGEST = max(map(len, (*_CODE_OF, *_WRITTEN_OUT)))
+_ENDS = tuple({n[-3:] for n in (*_CODE_OF, *_WRITTEN_OUT)})
 _REPORTER_LETTERS = {_letters(r) for r in REPORTERS}
 
 
@@ -83,6 +88,8 @@ def split_sections(blob: str) -> list[tuple[str, list[str]]]:
 
 def _code_before(text: str, end: int, written_out: bool) -> tuple[tuple[str, str], int] | None:
     """The code whose name ends right before a place, and where the name begins; of several the longest."""
+    if not _LETTERS.sub("", text[max(0, end - 12) : end].lower()).endswith(_ENDS):
+        return None
     from_ = max(0, end - _NAME_CHARS)
     words = list(_WORDS.finditer(text[from_:end]))
     if words and words[-1][0] == ",":
@@ -92,6 +99,8 @@ def _code_before(text: str, end: int, written_out: bool) -> tuple[tuple[str, str
         if not _letters(word[0]):
             continue
         joined = _letters(word[0]) + joined
+        if len(joined) > _LONGEST:
+            break
         code = _CODE_OF.get(joined) or (_WRITTEN_OUT.get(joined) if written_out else None)
         if code:
             found = code, from_ + word.start()
