@@ -237,9 +237,9 @@ def sections_to_fetch(spark, folder):
     return shapes.section_list(known=_part(spark, folder).select(F.col("p_size").cast("string").alias("section")), spans=spans)
 
 
-@query("vector_literals", "SELECT vec_id, '[' || array_to_string(list_transform(embedding, lambda x: printf('%.6f', x::DOUBLE)), ',') || ']' AS literal FROM embeddings")
+@query("vector_literals", "SELECT vec_id, '[' || array_to_string(list_transform(embedding, lambda x: printf('%.8f', x::DOUBLE)), ',') || ']' AS literal FROM embeddings")
 def vector_literals(spark, folder):
-    return table(spark, folder, "embeddings").select("vec_id", shapes.vector_literal(F.col("embedding"), 6).alias("literal"))
+    return table(spark, folder, "embeddings").select("vec_id", shapes.vector_literal(F.col("embedding")).alias("literal"))
 
 
 @query("reply_links", "SELECT conv_id, turn, unnest(['https://x.org/' || conv_id, 'http://y.org/a?b=' || turn]) AS link FROM conversations")
