@@ -71,3 +71,10 @@ def test_small_functions(spark):
     assert one(spark, arrays.without_blanks(held), x="1") == {"a": "1"}
     assert one(spark, text.underscored(F.col("u")), u="crs%5F42%5f1_2") == "crs_42_1_2"
     assert [one(spark, text.code_banner(F.col("b")), b=b) for b in ("Vehicle Code - VEH", "Penal Code - part", "Code", " Fish - AB ")] == ["Vehicle Code", "Penal Code - part", "Code", "Fish - AB"]
+
+
+def test_sections_to_fetch(spark):
+    listed = spark.createDataFrame([(" 1 ",), ("# no",), ("",), ("2",), ("2",)], "section string")
+    known, spans = spark.createDataFrame([("5",), ("x",)], "section string"), spark.createDataFrame([(4, 6), (6, 7)], "lo int, hi int")
+    found = lambda **given: sorted(r.section for r in shapes.section_list(**given).collect())
+    assert found(listed=listed) == ["1", "2"] and found(span=(3, 5)) == ["3", "4", "5"] and found(known=known, spans=spans) == ["4", "5", "6", "7", "x"]
