@@ -278,7 +278,7 @@ def page_tables_of_lines(spark, folder):
     boxes = words.select(
         "page", "b.word", (F.col("b.x0") + jitter(1)).alias("x0"), (F.col("b.x0") + 6 * F.length("b.word") - 2 + jitter(2)).alias("x1"), (F.col("y") + jitter(3)).alias("top"), (F.col("y") + 9 + jitter(3)).alias("bottom")
     )
-    found = page_tables(boxes, ["page"])
+    found = page_tables(boxes, ["page"], column_gap=10.0)  # words of a cell are up to seven apart
     return found.select("page", "table", "row", F.array_join("cells", "|").alias("cells"))
 
 
