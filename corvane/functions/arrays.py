@@ -1,5 +1,7 @@
 """Arrays, maps and JSON."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,21 @@ FACTORS = (
 OTHER = FACTORS[-1]
 
 
+def bound(value: Column, make: Callable[[Column], Column]) -> Column:
+    """What `make` gives for a value that is worked out once, however often `make` reads it: the bodies of lambdas are interpreted, and
+    what they repeat is done again each time."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
+def first_of_each(items: Column, key: str) -> Column:
+    """The items whose key (a field) no item before them has, in order; those with a null key go. Sorted by key, so that a long list
+    isn't searched for each of its items."""
+    keyed = F.sort_array(F.transform(items, lambda x, i: F.struct(x[key].alias("k"), i.alias("i"), x.alias("x"))))
+    new = lambda s: F.filter(s, lambda e, i: e["k"].isNotNull() & ~F.equal_null(F.get(s, i - 1)["k"], e["k"]))
+    placed = F.sort_array(F.transform(bound(keyed, new), lambda e: F.struct(e["i"], e["x"])))
+    return F.transform(placed, lambda e: e["x"])
+
+
 def csv_items(text: Column) -> Column:
     """The trimmed, non-empty items of a comma-separated list."""
     return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corvane.functions.arrays import bound
+
 # Codes with their display names and the ways to write them; blanks may be missing around "&".
 CODES = {
     "CCP": ("Code of Civil Procedure", "Code Civ. Proc."), "CIV": ("Civil", "Civ."), "VEH": ("Vehicle", "Veh."), "PEN": ("Penal", "Pen."), "EVID": ("Evidence", "Evid."),
@@ -257,16 +259,21 @@ ACTIONS = ("Enacted", "Amended", "Added", "Repealed", "Renumbered")
 
 def behind(text: Column, *labels: str) -> Column:
     """What follows the first of the labels that a text holds; null if it holds none."""
-    found = F.lit(None).cast("string")
-    for label in reversed(labels):
-        at = F.instr(text, F.lit(label))
-        found = F.when(at > 0, F.ltrim(F.substr(text, at + len(label)))).otherwise(found)
-    return found
+
+    def after(t: Column) -> Column:
+        found = F.lit(None).cast("string")
+        for label in reversed(labels):
+            at = F.instr(t, F.lit(label))
+            found = F.when(at > 0, F.ltrim(F.substr(t, at + len(label)))).otherwise(found)
+        return found
+
+    return bound(text, after)
 
 
 def first_word(text: Column) -> Column:
     """The first word without marks around it; null if there is none."""
-    return F.nullif(F.btrim(F.split_part(F.ltrim(text), F.lit(" "), F.lit(1)), F.lit(".,;:()")), F.lit(""))
+    word = F.btrim(F.split_part(F.ltrim(text), F.lit(" "), F.lit(1)), F.lit(".,;:()"))
+    return bound(word, lambda w: F.when(w != "", w))
 
 
 def note_action(note: Column) -> Column:

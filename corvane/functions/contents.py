@@ -5,6 +5,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corvane.functions.arrays import bound, first_of_each
 from corvane.functions.citations import behind
 from corvane.functions.parsers import heading, listed_rows
 from corvane.functions.text import common_references, squeeze
@@ -53,52 +54,70 @@ def path_link(url: Column, source: Source) -> Column:
     links. Escaped underscores are undone; a path that names no level is a section's."""
     last = F.substring_index(F.split_part(F.split_part(F.lower(url), F.lit("#"), F.lit(1)), F.lit("?"), F.lit(1)), "/", -1)
     plain = F.replace(last, F.lit("%5f"), F.lit("_"))
-    rest = F.when(F.startswith(plain, F.lit(source.prefix)), F.substr(plain, F.lit(len(source.prefix) + 1)))
-    marked = F.concat(F.lit("_"), rest)
-    kind = F.coalesce(*(F.when(F.contains(marked, F.lit(f"_{k}_")), k) for k in reversed(LEVELS)), F.lit("section"))
-    named = F.coalesce(*(F.when(F.contains(marked, F.lit(f"_{k}_")), F.substring_index(marked, f"_{k}_", -1)) for k in reversed(LEVELS)), rest)
-    number = F.rtrim(named, F.lit("."))
-    right = F.when(kind.isin(*SCOPED), number != "").otherwise(number.rlike("^[0-9]") & ~F.contains(number, F.lit("_")))
-    key = F.when(kind.isin(*SCOPED), rest).otherwise(F.concat_ws("_", kind, number))
-    return F.when(rest.isNotNull() & right, _link(kind, number, key))
+
+    def named(marked: Column) -> Column:
+        levels = [F.when(F.contains(marked, F.lit(f"_{k}_")), F.struct(F.lit(k).alias("kind"), F.rtrim(F.substring_index(marked, f"_{k}_", -1), F.lit(".")).alias("number"))) for k in reversed(LEVELS)]
+        return F.coalesce(*levels, F.struct(F.lit("section").alias("kind"), F.rtrim(F.substr(marked, F.lit(2)), F.lit(".")).alias("number")))
+
+    def link(rest: Column) -> Column:
+        def read(n: Column) -> Column:
+            scoped = n["kind"].isin(*SCOPED)
+            right = F.when(scoped, n["number"] != "").otherwise(n["number"].rlike("^[0-9]") & ~F.contains(n["number"], F.lit("_")))
+            return F.when(right, _link(n["kind"], n["number"], F.when(scoped, rest).otherwise(F.concat_ws("_", n["kind"], n["number"]))))
+
+        return bound(bound(F.concat(F.lit("_"), rest), named), read)
+
+    return bound(plain, lambda p: F.when(F.startswith(p, F.lit(source.prefix)), bound(F.substr(p, F.lit(len(source.prefix) + 1)), link)))
 
 
 def query_link(url: Column, source: Source) -> Column:
     """The same for links whose query names a division, the parts of a text page, or a call with a section's number."""
-    plain = F.replace(F.lower(url), F.lit("&amp;"), F.lit("&"))
-    called = F.rtrim(F.split_part(behind(plain, f"{SECTION_CALL}'"), F.lit("'"), F.lit(1)), F.lit("."))
-    given = F.str_to_map(F.coalesce(behind(plain, "?"), F.lit("")), F.lit("&"), F.lit("="))
-    part = lambda name: F.nullif(F.rtrim(given[name], F.lit(".")), F.lit(""))
-    own = (F.coalesce(given["toccode"], given["lawcode"]) == source.law_code.lower()) & part("division").isNotNull()
-    place = F.concat_ws("_", *(part(p) for p in ("division", "title", "part", "chapter", "article")))
-    return (
-        F.when(called.rlike("^[0-9]"), _link(F.lit("section"), called, F.concat(F.lit("section_"), called)))
-        .when(own & F.contains(plain, F.lit(BRANCH_PAGE)), _link(F.lit("division"), part("division"), F.concat(F.lit("division_"), part("division"))))
-        .when(own & F.contains(plain, F.lit(TEXT_PAGE)), _link(F.lit("text"), place, F.concat(F.lit("text_"), place)))
-    )
+
+    def of_query(plain: Column, given: Column) -> Column:
+        part = lambda name: F.nullif(F.rtrim(given[name], F.lit(".")), F.lit(""))
+        own = (F.coalesce(given["toccode"], given["lawcode"]) == source.law_code.lower()) & part("division").isNotNull()
+        place = F.concat_ws("_", *(part(p) for p in ("division", "title", "part", "chapter", "article")))
+        return F.when(own & F.contains(plain, F.lit(BRANCH_PAGE)), _link(F.lit("division"), part("division"), F.concat(F.lit("division_"), part("division")))).when(
+            own & F.contains(plain, F.lit(TEXT_PAGE)), bound(place, lambda p: _link(F.lit("text"), p, F.concat(F.lit("text_"), p)))
+        )
+
+    def read(plain: Column) -> Column:
+        called = F.rtrim(F.split_part(behind(plain, f"{SECTION_CALL}'"), F.lit("'"), F.lit(1)), F.lit("."))
+        given = F.str_to_map(F.coalesce(behind(plain, "?"), F.lit("")), F.lit("&"), F.lit("="))
+        return bound(called, lambda c: F.when(c.rlike("^[0-9]"), _link(F.lit("section"), c, F.concat(F.lit("section_"), c))).otherwise(bound(given, lambda g: of_query(plain, g))))
+
+    return bound(F.replace(F.lower(url), F.lit("&amp;"), F.lit("&")), read)
 
 
 def link_of(url: Column, source: Source) -> Column:
     return path_link(url, source) if source.prefix else query_link(url, source)
 
 
+def _anchors(page: Column) -> Column:
+    """What follows the name of each anchor's tag, up to the next anchor."""
+    return F.slice(F.split(page, r"(?i)<a(?=\s)"), 2, F.lit(1 << 30))
+
+
+def _anchor_link(piece: Column, source: Source) -> Column:
+    href = F.regexp_extract(F.substring_index(piece, ">", 1), r"""(?is)href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+    return link_of(F.btrim(href, F.lit("\"'")), source)
+
+
 def page_links(page: Column, source: Source) -> Column:
     """array of struct(link, title) of the anchors of a page that lead into the source, in page order; the title is the
     anchor's text."""
-    pieces = F.slice(F.split(page, r"(?i)<a(?=\s)"), 2, F.lit(1 << 30))
-    href = lambda tag: F.btrim(F.regexp_extract(tag, r"""(?is)href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1), F.lit("\"'"))
 
     def one(piece: Column) -> Column:
         ended = F.split(F.regexp_replace(piece, "^[^>]*>", ""), r"(?i)</a\s*>", 2)
-        title = F.when(F.size(ended) > 1, F.nullif(squeeze(common_references(F.regexp_replace(F.get(ended, F.lit(0)), r"<[^>]*>", " "))), F.lit("")))
-        return F.struct(link_of(href(F.substring_index(piece, ">", 1)), source).alias("link"), title.alias("title"))
+        plain = lambda t: bound(squeeze(common_references(F.regexp_replace(t, r"<[^>]*>", " "))), lambda s: F.when(s != "", s))
+        return F.struct(_anchor_link(piece, source).alias("link"), bound(ended, lambda e: F.when(F.size(e) > 1, plain(F.get(e, F.lit(0))))).alias("title"))
 
-    return F.filter(F.transform(pieces, one), lambda x: x["link"].isNotNull())
+    return F.filter(F.transform(_anchors(page), one), lambda x: x["link"].isNotNull())
 
 
 def toc_sections(page: Column, source: Source) -> Column:
     """The distinct section numbers that a table of contents links to, in page order."""
-    found = F.filter(F.transform(page_links(page, source), lambda x: x["link"]), lambda x: x["kind"] == "section")
+    found = F.filter(F.transform(_anchors(page), lambda piece: _anchor_link(piece, source)), lambda x: x["kind"] == "section")
     return F.array_distinct(F.transform(found, lambda x: x["number"]))
 
 
@@ -111,16 +130,13 @@ def captioned_rows(page: Column, begin: str, end: str) -> Column:
     chunks = F.split(F.translate(held, "‑–—", "---"), " Sections? ")
     words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
 
-    def row(chunk: Column) -> Column:
-        w = words(chunk)
+    def row(w: Column) -> Column:
         digits = F.transform(w, lambda x: x.rlike("[0-9]"))
-        at = F.size(w) - F.array_position(F.reverse(digits), F.lit(True)).cast("int")  # the last word with a digit, from 0
-        return F.struct(F.get(w, at).alias("number"), F.array_join(F.slice(w, at + 2, F.lit(1 << 30)), " ").alias("title"))
+        last = F.size(w) - F.array_position(F.reverse(digits), F.lit(True)).cast("int")  # the last word with a digit, from 0
+        return bound(last, lambda at: F.struct(F.get(w, at).alias("number"), F.array_join(F.slice(w, at + 2, F.lit(1 << 30)), " ").alias("title")))
 
-    rows = F.transform(F.slice(chunks, 1, F.size(chunks) - 1), row)
-    good = F.filter(rows, lambda r: r["number"].rlike("^[0-9]{1,3}(-[A-Z])?$") & r["title"].rlike("^[A-Z]"))
-    numbers = F.transform(good, lambda r: r["number"])
-    return F.filter(good, lambda r, i: F.array_position(numbers, r["number"]) == i + 1)
+    rows = F.transform(bound(chunks, lambda c: F.slice(c, 1, F.size(c) - 1)), lambda chunk: bound(words(chunk), row))
+    return first_of_each(F.filter(rows, lambda r: r["number"].rlike("^[0-9]{1,3}(-[A-Z])?$") & r["title"].rlike("^[A-Z]")), "number")
 
 
 def valid_page(page: Column, source: Source) -> Column:
@@ -151,10 +167,10 @@ def contents_links(page: Column, own: Column, source: Source) -> Column:
     if source.nested:
         before, after = source.nested.split("{}")
         number = F.substring_index(F.regexp_replace(own["key"], "_sub-chapter_.*$", ""), "_", -1)
-        begins = F.concat(F.lit(before), number, F.lit(after))
-        linked = F.filter(linked, lambda x: (x["kind"] != "section") | F.coalesce(F.startswith(x["number"], begins), F.lit(False)))
-    keys = F.transform(linked, lambda x: x["key"])
-    return F.filter(linked, lambda x, i: F.array_position(keys, x["key"]) == i + 1)
+        every = linked
+        below = lambda begins: F.filter(every, lambda x: (x["kind"] != "section") | F.coalesce(F.startswith(x["number"], begins), F.lit(False)))
+        linked = bound(F.concat(F.lit(before), number, F.lit(after)), below)
+    return first_of_each(linked, "key")
 
 
 # How the numbers of sections are built, by jurisdiction: what parts their numbers, and whether the last part may be missing.

@@ -22,5 +22,11 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows dealt to all cores, where their files are fewer scan tasks than that: for small tables with much work for each row."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(4 * cores) if rows.rdd.getNumPartitions() < 2 * cores else rows
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{folder}/{name}.parquet")

@@ -7,7 +7,7 @@ from corvane.functions import contents, parsers
 from corvane.functions import text as texts
 from corvane.operators import joins, lookups, reports, shapes
 from corvane.operators.search import metadata_any_of
-from corvane.plans.catalog import query, table
+from corvane.plans.catalog import query, spread, table
 from corvane.session import settle
 from corvane.sources.page_tree import code_pages, law_sections, page_nodes
 
@@ -255,7 +255,7 @@ def toc_of_more_sources(spark, folder):
         F.lit('<a href="/fla._stat._'), n, F.lit("."), i, F.lit('">a</a><a href="/nrs_'), n, F.lit("a."), i, F.lit('">b</a><a href="/ors_'), n, F.lit("."), i, F.lit('">c</a><body>Sections '), n + 100, F.lit("-A Duty to stop "), i % 9000 + 1000, F.lit(" Speed limits in towns Stay Connected 99 Not this</body>"),
     )
     listed = {k: F.array_join(contents.toc_sections(page, contents.SOURCES[s]), ",") for k, s in (("fl", "fl_public_law"), ("nv", "nv_public_law"), ("orr", "or_public_law"))}
-    return _part(spark, folder).select(i, *(v.alias(k) for k, v in listed.items()), F.array_join(parsers.listed_rows(page, "Sections", "Stay Connected"), ",").alias("ny"))
+    return spread(_part(spark, folder)).select(i, *(v.alias(k) for k, v in listed.items()), F.array_join(parsers.listed_rows(page, "Sections", "Stay Connected"), ",").alias("ny"))
 
 
 @query("law_bodies", """
@@ -271,7 +271,7 @@ def law_bodies(spark, folder):
     )
     whole = F.concat(F.lit("Whole "), "p_name", F.lit(" Source: there</div>"))
     page = F.concat(F.lit('<div>head<div id="leaf-statute-body">'), F.when(F.col("p_size") % 3 == 0, parts).otherwise(whole))
-    found = law_sections(settle(page_nodes(_part(spark, folder).select(i, page.alias("html")), "p_partkey", "html"), "nodes"), "p_partkey")
+    found = law_sections(settle(page_nodes(spread(_part(spark, folder)).select(i, page.alias("html")), "p_partkey", "html"), "nodes"), "p_partkey")
     return found.withColumn("history", parsers.note_or_modified(F.col("history"), F.lit("2024")))
 
 
@@ -292,7 +292,7 @@ def nested_law_bodies(spark, folder):
 
     nested = F.aggregate(F.sequence(depth, F.lit(1), F.lit(-1)), F.lit(""), around)
     page = F.concat(F.lit('<section>other</section><div id="leaf-statute-body">'), nested, F.lit('<section class="meta">Acts <b>'), "p_partkey", F.lit("</b></section></div><section>footer</section>"))
-    nodes = page_nodes(_part(spark, folder).select("p_partkey", page.alias("html")), "p_partkey", "html")
+    nodes = page_nodes(spread(_part(spark, folder)).select("p_partkey", page.alias("html")), "p_partkey", "html")
     return law_sections(settle(nodes, "nodes"), "p_partkey")
 
 
@@ -301,7 +301,7 @@ def section_pages(spark, folder):
     page = F.concat(
         F.lit("<div id='codeLawSectionNoHead'><h6>RULES</h6><i>note</i><font><h6 style='x'><b>"), "p_size", F.lit("."), "p_partkey", F.lit(".</b></h6><p>(a) text</p><p><i>(Amended "), "p_partkey", F.lit(".)</i></p><i> </i></font></div>"),
     )
-    nodes = page_nodes(_part(spark, folder).select("p_partkey", page.alias("html")), "p_partkey", "html")
+    nodes = page_nodes(spread(_part(spark, folder)).select("p_partkey", page.alias("html")), "p_partkey", "html")
     return code_pages(settle(nodes, "nodes"), "p_partkey").select("p_partkey", F.col("section").alias("number"), "history")
 
 
@@ -322,7 +322,7 @@ def code_page_parts(spark, folder):
     division = F.when(c < 2, "<h4>DIVISION 1. Old</h4><h4><b>DIVISION 11.</b> Rules</h4>").otherwise("<h4>General Provisions</h4>")
     chapter = F.when(c == 0, F.concat(F.lit("<h5>CHAPTER 2. Signs [ "), "p_size", F.lit(" ]</h5>"))).otherwise("")
     page = F.concat(F.lit("<p>menu</p><div id=codeLawSectionNoHead><h4>Vehicle Code - VEH</h4>"), division, chapter, F.lit("<i>note</i><font face='x'><h6>"), "p_size", F.lit(".5.</h6>"), paragraphs, F.lit("</font></div>"))
-    nodes = page_nodes(_part(spark, folder).select("p_partkey", page.alias("html")), "p_partkey", "html")
+    nodes = page_nodes(spread(_part(spark, folder)).select("p_partkey", page.alias("html")), "p_partkey", "html")
     found = code_pages(settle(nodes, "nodes"), "p_partkey").withColumn("h", F.array_sort(F.map_entries("hierarchy")))
     level = lambda e: F.concat_ws(":", e["key"], e["value"]["ident"], e["value"]["title"], F.coalesce(e["value"]["range"], F.lit("")))
     return found.select("p_partkey", "code_name", F.array_join(F.transform("h", level), ",").alias("levels"), "section", F.posexplode("paragraphs").alias("place", "p")).select("p_partkey", "code_name", "levels", "section", "place", "p.*")
