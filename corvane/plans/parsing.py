@@ -9,7 +9,7 @@ from corvane.operators.page_tables import page_tables
 from corvane.operators.ranking import first_per
 from corvane.operators.validation import Shape, checked
 from corvane.operators.walks import walk
-from corvane.plans.catalog import query, table
+from corvane.plans.catalog import query, spread, table
 from corvane.session import settle, shared_path
 
 
@@ -62,7 +62,7 @@ FROM part, (SELECT unnest([0, 1, 2]) AS k)
 """)
 def html_sections(spark, folder):
     page = F.concat(F.lit("<div><p>Intro <b>"), "p_name", F.lit("</b></p><p>\n(a) (1) A & b</p><p></p><p style=\"margin-left: 2.5em;\">(1)  "), "p_brand", F.lit("</p></div>"))
-    rows = table(spark, folder, "part").select(_i(), F.posexplode(parsers.subsections(page)).alias("place", "s"))
+    rows = spread(table(spark, folder, "part")).select(_i(), F.posexplode(parsers.subsections(page)).alias("place", "s"))
     return rows.select("p_partkey", "place", "s.*")
 
 
@@ -75,7 +75,7 @@ def page_facts(spark, folder):
         F.lit('</span><script type="application/ld+json">{"@type": "BreadcrumbList", "itemListElement": [{"name": "Home"}, {"name": "Chap. '), _n(), F.lit(". "), "p_brand",
         F.lit('"}]}</script><p class="card-text"><strong>Last modified: </strong> Jan. 5, 2023</p></body>'),
     )
-    rows = table(spark, folder, "part").select(_i(), parsers.page_facts(page).alias("f"), parsers.breadcrumbs(page)["chapter"].alias("c"))
+    rows = spread(table(spark, folder, "part")).select(_i(), parsers.page_facts(page).alias("f"), parsers.breadcrumbs(page)["chapter"].alias("c"))
     return rows.select("p_partkey", "f.number", "f.name", "f.code_name", "f.url", "f.last_modified", F.col("c.ident").alias("chapter"), F.col("c.title").alias("chapter_title"))
 
 
@@ -91,7 +91,7 @@ def acts_history(spark, folder):
 def toc_by_source(spark, folder):
     page = F.concat(F.lit('<a href="/tex._transp._code%5Fsection_'), _n(), F.lit("."), _i(), F.lit('">x</a><a href="/tex._transp._code_section_'), _n(), F.lit("."), _i(), F.lit('">y</a><a href="/crs_42-'), _n(), F.lit("-"), _i(), F.lit('">'))
     listed = {k: F.array_join(contents.toc_sections(page, contents.SOURCES[s]), ",") for k, s in (("tx", "tx_public_law"), ("co", "co_public_law"))}
-    return table(spark, folder, "part").select(_i(), *(v.alias(k) for k, v in listed.items()))
+    return spread(table(spark, folder, "part")).select(_i(), *(v.alias(k) for k, v in listed.items()))
 
 
 @query("eval_lists", "SELECT p_partkey, p_partkey::VARCHAR AS section, 'CA/VEH/' || p_partkey || CASE WHEN p_size % 2 = 0 THEN '/a' ELSE '' END AS key, 'https://x?lawCode=VEH&sectionNum=' || p_partkey AS url FROM part")
