@@ -271,7 +271,8 @@ def law_bodies(spark, folder):
     )
     whole = F.concat(F.lit("Whole "), "p_name", F.lit(" Source: there</div>"))
     page = F.concat(F.lit('<div>head<div id="leaf-statute-body">'), F.when(F.col("p_size") % 3 == 0, parts).otherwise(whole))
-    found = law_sections(settle(page_nodes(spread(_part(spark, folder)).select(i, page.alias("html")), "p_partkey", "html"), "nodes"), "p_partkey")
+    nodes = page_nodes(spread(_part(spark, folder)).select(i, page.alias("html")), "p_partkey", "html")
+    found = law_sections(settle(nodes.where("tag IS NULL"), "nodes"), "p_partkey")
     return found.withColumn("history", parsers.note_or_modified(F.col("history"), F.lit("2024")))
 
 
@@ -293,7 +294,7 @@ def nested_law_bodies(spark, folder):
     nested = F.aggregate(F.sequence(depth, F.lit(1), F.lit(-1)), F.lit(""), around)
     page = F.concat(F.lit('<section>other</section><div id="leaf-statute-body">'), nested, F.lit('<section class="meta">Acts <b>'), "p_partkey", F.lit("</b></section></div><section>footer</section>"))
     nodes = page_nodes(spread(_part(spark, folder)).select("p_partkey", page.alias("html")), "p_partkey", "html")
-    return law_sections(settle(nodes, "nodes"), "p_partkey")
+    return law_sections(settle(nodes.where("tag IS NULL"), "nodes"), "p_partkey")
 
 
 @query("section_pages", "SELECT p_partkey, p_size || '.' || p_partkey AS number, '(Amended ' || p_partkey || '.)' AS history FROM part")

@@ -8,10 +8,11 @@ number), so no group is larger than a page.
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions.arrays import bound
 from corvane.functions.parsers import heading, labelled, left_margin
 from corvane.functions.text import squeeze
 
@@ -32,20 +33,47 @@ _ROWS_AT_ONCE = 20_000
 
 
 class _Tree(HTMLParser):
-    """Rows of one page. Text of scripts and styles has those elements around it, like any other."""
+    """Rows of pages, and their elements. Text of scripts and styles has those elements around it, like any other.
+
+    Elements are held once; rows and the paths around them name them by their places, so that a page costs what its text and
+    its nodes' depths sum up to, without an object for each step of each path."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.rows: list[tuple] = []
-        self.open: list[tuple[int, str, dict]] = []
-        self.number = 0
-
-    def _add(self, tag: str | None, attributes: dict | None, text: str | None) -> None:
-        parent = self.open[-1][0] if self.open else None
-        path = [{"node": n, "tag": t, "attributes": a} for n, t, a in self.open]
-        self.rows.append((self.number, parent, len(self.open), tag, attributes, text, path))
+        self.clear()
+        self.begin(0)
+
+    def clear(self) -> None:
+        self.page, self.node, self.parent, self.depth, self.own, self.text = [], [], [], [], [], []
+        self.path, self.path_ends = [], [0]
+        self.element_node, self.element_tag, self.keys, self.values, self.attribute_ends = [], [], [], [], [0]
+
+    def begin(self, page: int) -> None:
+        self.reset()
+        self.open: list[tuple[int, str, int]] = []  # node, tag, and the element's place
+        self.at, self.number = page, 0
+
+    def _add(self, own: int | None, text: str | None) -> None:
+        self.page.append(self.at)
+        self.node.append(self.number)
+        self.parent.append(self.open[-1][0] if self.open else None)
+        self.depth.append(len(self.open))
+        self.own.append(own)
+        self.text.append(text)
+        self.path += [e for _, _, e in self.open]
+        self.path_ends.append(len(self.path))
         self.number += 1
 
+    def columns(self) -> list[pa.Array]:
+        """The columns of NODE, but for the ids, which `page` is the places of."""
+        attributes = pa.MapArray.from_arrays(pa.array(self.attribute_ends, pa.int32()), pa.array(self.keys, pa.string()), pa.array(self.values, pa.string()))
+        fields = [pa.field("node", pa.int32()), pa.field("tag", pa.string()), pa.field("attributes", attributes.type)]
+        elements = pa.StructArray.from_arrays([pa.array(self.element_node, pa.int32()), pa.array(self.element_tag, pa.string()), attributes], fields=fields)
+        own = pa.array(self.own, pa.int32())
+        path = pa.ListArray.from_arrays(pa.array(self.path_ends, pa.int32()), elements.take(pa.array(self.path, pa.int32())))
+        numbers = [pa.array(x, pa.int32()) for x in (self.node, self.parent, self.depth)]
+        return [*numbers, elements.field("tag").take(own), attributes.take(own), pa.array(self.text, pa.string()), path]
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         ended = len(self.open)
         for i in range(len(self.open) - 1, -1, -1):
@@ -57,10 +85,15 @@ class _Tree(HTMLParser):
         attributes: dict[str, str] = {}
         for key, value in attrs:
             attributes.setdefault(key, value or "")
-        number = self.number
-        self._add(tag, attributes, None)
+        element, number = len(self.element_node), self.number
+        self.element_node.append(number)
+        self.element_tag.append(tag)
+        self.keys += attributes
+        self.values += attributes.values()
+        self.attribute_ends.append(len(self.keys))
+        self._add(element, None)
         if tag not in _VOID:
-            self.open.append((number, tag, attributes))
+            self.open.append((number, tag, element))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -73,7 +106,7 @@ class _Tree(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if data.strip():
-            self._add(None, None, data)
+            self._add(None, data)
 
 
 def page_nodes(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
@@ -85,21 +118,20 @@ def page_nodes(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     kind = pages.schema[id_col].dataType.simpleString()
     names = ["id", *(c.strip().split()[0] for c in "node parent depth tag attributes text path".split())]
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = _Tree()
         for batch in batches:
-            rows: list[tuple] = []
-            for key, html in zip(batch["id"].astype(object), batch["html"]):
-                tree = _Tree()
-                tree.feed(html)
+            ids, pages = batch.column("id"), batch.column("html")
+            for i in range(len(pages)):
+                tree.begin(i)
+                tree.feed(pages[i].as_py())
                 tree.close()
-                rows += [(None if pd.isna(key) else key, *row) for row in tree.rows]
-                if len(rows) > _ROWS_AT_ONCE:
-                    yield pd.DataFrame({n: pd.Series([r[i] for r in rows], dtype=object) for i, n in enumerate(names)})
-                    rows = []
-            yield pd.DataFrame({n: pd.Series([r[i] for r in rows], dtype=object) for i, n in enumerate(names)})
+                if len(tree.node) > _ROWS_AT_ONCE or i == len(pages) - 1:
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(tree.page, pa.int32())), *tree.columns()], names)
+                    tree.clear()
 
     some = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).where("html <> ''")
-    return some.mapInPandas(read, f"id {kind}, {NODE}").withColumnRenamed("id", id_col)
+    return some.mapInArrow(read, f"id {kind}, {NODE}").withColumnRenamed("id", id_col)
 
 
 def classes(element: Column) -> Column:
@@ -114,8 +146,8 @@ def inside(path: Column, test: Callable[[Column], Column]) -> Column:
 def beneath(path: Column, test: Callable[[Column], Column]) -> Column:
     """The part of a path inside its first element that passes a test; empty if none does."""
     marks = F.transform(path, lambda e: F.coalesce(test(e), F.lit(False)))
-    at = F.array_position(marks, F.lit(True)).cast("int")
-    return F.when(at > 0, F.slice(path, at + 1, F.size(path))).otherwise(F.slice(path, 1, 0))
+    behind = lambda at: F.when(at > 0, F.slice(path, at + 1, F.size(path))).otherwise(F.slice(path, 1, 0))
+    return bound(F.array_position(marks, F.lit(True)).cast("int"), behind)
 
 
 def texts_within(nodes: DataFrame, id_col: str, chosen: Column, shown: Column | None = None) -> DataFrame:
@@ -153,11 +185,11 @@ def law_sections(nodes: DataFrame, id_col: str) -> DataFrame:
     sections is one of level 0, up to "Source:". Pages without the body's element have no rows.
     """
     body = lambda e: e["attributes"]["id"] == LAW_BODY
-    meta = lambda e: F.array_contains(classes(e), "meta") & ~F.array_contains(classes(e), "non-meta")
+    meta = lambda e: F.contains(e["attributes"]["class"], F.lit("meta")) & bound(classes(e), lambda c: F.array_contains(c, "meta") & ~F.array_contains(c, "non-meta"))
     hides = lambda e: e["tag"].isin(*LAW_HEADINGS) | ((e["tag"] == "a") & F.array_contains(classes(e), REPEATED_LINK))
     path = F.col("path")
     sections = F.filter(beneath(path, body), lambda e: e["tag"] == "section")
-    plain, notes = F.filter(sections, lambda e: ~meta(e)), F.filter(sections, meta)
+    plain, notes = F.filter(sections, lambda e: ~F.coalesce(meta(e), F.lit(False))), F.filter(sections, meta)
     seen = ~inside(path, lambda e: e["tag"].isin(*_UNSEEN))
     level = F.coalesce(F.regexp_extract(F.array_join(classes(F.struct("attributes")), " "), r"level-(\d+)", 1).try_cast("double"), F.lit(0.0))
     parts = texts_within(nodes, id_col, plain, seen & ~inside(path, hides)).select(id_col, "node", level.alias("level"), "text").where("text <> ''")
@@ -208,7 +240,7 @@ def code_pages(nodes: DataFrame, id_col: str) -> DataFrame:
     short = F.substring_index(banner, " - ", -1)
     abbreviated = (short != banner) & (short == F.upper(short)) & (F.length(short) <= 6) & short.rlike("[A-Z]")
     number = F.rtrim(F.get(own("h6"), F.lit(0))["text"], F.lit(". "))
-    paragraphs = F.transform(own("p"), lambda p: F.struct(labelled(p["text"])["label"].alias("label"), labelled(p["text"])["text"].alias("text"), p["depth"].alias("depth")))
+    paragraphs = F.transform(own("p"), lambda p: bound(labelled(p["text"]), lambda x: F.struct(x["label"].alias("label"), x["text"].alias("text"), p["depth"].alias("depth"))))
     return pages.select(
         id_col, F.when(abbreviated, F.left(banner, F.length(banner) - F.length(short) - 3)).otherwise(banner).alias("code_name"), hierarchy.alias("hierarchy"),
         F.when(number.rlike(r"^[0-9]+([.][0-9]+)?[A-Za-z]?$"), number).alias("section"), paragraphs.alias("paragraphs"), F.get(F.reverse(own("i")), F.lit(0))["text"].alias("history"),

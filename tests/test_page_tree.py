@@ -113,3 +113,16 @@ def test_code_pages(tree_of):
     assert [tuple(p) for p in got.paragraphs] == [(None, "Intro", 0.0), ("a", "A b", 1.5), ("1", "c", 0.0)]
     bare = code_pages(tree_of((4, "<div id=codeLawSectionNoHead><h4>Family Code</h4><h6>12a</h6><p>t</p></div>", None)), "page").first()
     assert (bare.code_name, bare.section, bare.history, bare.hierarchy) == ("Family Code", "12a", None, {}) and len(bare.paragraphs) == 1
+
+
+def test_many_pages_of_one_batch_keep_their_own_elements(spark):
+    """Rows of elements name them by their places in the batch: more rows than are handed on at once, null ids too."""
+    from pyspark.sql import functions as F
+
+    pages = spark.range(3000).select(F.when(F.col("id") != 7, F.col("id")).alias("id"), F.concat(F.lit("<div class='c"), "id", F.lit("' data-x><p>t <b>"), "id", F.lit("</b><i></div>u"))).toDF("id", "html").coalesce(1)
+    got = page_nodes(pages, "id", "html")
+    bold = got.where("text IS NOT NULL AND exists(path, e -> e.tag = 'b')").select("id", "text", F.col("path")[0]["attributes"].alias("a"), F.transform("path", lambda e: e["node"]).alias("p"))
+    rows = {r.text: r for r in bold.collect()}
+    assert len(rows) == 3000 and all(r.a == {"class": f"c{t}", "data-x": ""} and r.p == [0, 1, 3] for t, r in rows.items())
+    assert rows["7"].id is None and all(str(r.id) == t for t, r in rows.items() if t != "7")
+    assert got.where("tag = 'div' AND attributes['class'] = concat('c', id) AND size(path) = 0").count() == 2999
