@@ -1,5 +1,6 @@
 """Rows of one kind shaped as rows of another: parsed sections and seed lists as statutes, documents as cards, opinions."""
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,8 +127,14 @@ def error_samples(df: DataFrame, failed: Column, message: Column, order: str, mo
 
 
 def vector_literal(vector: Column, places: int = 8) -> Column:
-    """A vector as the text "[a,b,...]" with so many decimals."""
-    return F.concat(F.lit("["), F.array_join(F.transform(vector, lambda x: F.format_string(f"%.{places}f", x.cast("double"))), ","), F.lit("]"))
+    """A vector as the text "[a,b,...]" with so many decimals, rounded as C rounds."""
+
+    def write(vectors: pd.Series) -> pd.Series:
+        # Python rounds the number itself, a tie to the even digit, as C does; Java rounds its shortest decimals, a tie upwards
+        form = f"%.{places}f"
+        return vectors.map(lambda v: None if v is None else "[" + ",".join(form % x for x in v if x is not None) + "]")
+
+    return F.pandas_udf(write, "string")(F.filter(vector, lambda x: x.isNotNull()))
 
 
 def comparables(extractions: DataFrame, documents: DataFrame, id_col: str = "doc_id") -> DataFrame:
