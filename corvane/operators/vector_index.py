@@ -24,6 +24,8 @@ SAMPLE_ROWS, MAX_CELLS = 200_000, 4096
 #: The cell of vectors that have no direction: null ones, of another dimension, or zero. Every search reads it.
 ODD = -1
 _GRAIN = 1 << 20
+#: Rows and queries of a block, on average, and queries that a block's rows are multiplied with at once.
+BLOCK_ROWS, BLOCK_QUERIES, _PRODUCT_ROWS = 16_384, 1_024, 64
 
 
 @dataclass(frozen=True)
@@ -103,24 +105,64 @@ def add_vectors(index: VectorIndex, vectors: DataFrame) -> None:
     _write(index, vectors, "append")
 
 
+def _best_of_blocks(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(_q, _id, score): of rows (_id, _w, cell) and queries (_q, _v, cell), the k best for each query in each block of its cell's rows.
+
+    Cells are dealt into blocks of some BLOCK_ROWS rows and BLOCK_QUERIES queries, which meet by a shuffle. A product of matrices finds
+    what may be among the k best, up to its rounding; the scores of these are summed in the order of `dot`."""
+    blocks = lambda df, size, into: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(into))
+    counts = F.broadcast(blocks(rows, BLOCK_ROWS, "_nr").join(blocks(asked, BLOCK_QUERIES, "_nq"), "cell"))  # MAX_CELLS rows at most
+    number = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.join(counts, "cell").select("cell", number("_id", "_nr").alias("_rb"), every("_nq").alias("_qb"), "_id", "_w")
+    right = asked.join(counts, "cell").select("cell", every("_nr").alias("_rb"), number("_q", "_nq").alias("_qb"), "_q", "_v")
+
+    def best(held: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(held) and len(queries):
+            held = held.sort_values("_id", na_position="first")
+            w, v = np.stack(held["_w"].to_numpy()).astype(np.float64), np.stack(queries["_v"].to_numpy()).astype(np.float64)
+            far = 1e-10 * np.linalg.norm(w, axis=1).max()  # more than what the order of a sum may change
+            ids, asked_ids = held["_id"].to_numpy(), queries["_q"].to_numpy()
+            for at in range(0, len(v), _PRODUCT_ROWS):
+                some = v[at : at + _PRODUCT_ROWS]
+                near = some @ w.T
+                least = np.partition(near, -k, axis=1)[:, -k] if len(w) > k else near.min(axis=1)
+                kept = near >= (least - far * np.linalg.norm(some, axis=1))[:, None]
+                for i, mask in enumerate(kept):
+                    found = np.flatnonzero(mask)
+                    score = np.cumsum(some[i] * w[found], axis=1)[:, -1] + 0.0
+                    first = np.argsort(-score, kind="stable")[:k]  # rows are in the order of their ids
+                    out.append(pd.DataFrame({"_q": asked_ids[at + i], "_id": ids[found[first]], "score": score[first]}))
+        return pd.concat(out) if out else pd.DataFrame({"_q": [], "_id": [], "score": []}).astype({"score": float})
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    keys = ["cell", "_rb", "_qb"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, f"_q {kind(asked, '_q')}, _id {kind(rows, '_id')}, score double")
+
+
 def search(index: VectorIndex, queries: DataFrame, query_id: str, query_vector: str, k: int, probes: int | None = None) -> DataFrame:
     """(query_id, the index's id, score, place): for each query the k rows with the largest dot products among the `probes`
     cells nearest to it (None: all cells, exactly), ties by id; place counts from 1. Queries and rows without a score are left
     out.
 
-    Folders of other cells aren't read: the cells that any query needs, MAX_CELLS at most, are named in the scan. Few queries
-    are broadcast, and the rows stay where they are; many are joined by a shuffle on the cell, whose oversized partitions adaptive
-    execution splits. Each task keeps k rows for each query before they meet.
+    Folders of other cells aren't read: the cells that any query needs, MAX_CELLS at most, are named in the scan. Queries
+    and rows of a cell meet in blocks (`_best_of_blocks`), and each block keeps k rows for each query before they meet.
     """
     spark = queries.sparkSession
     n = index.cells if probes is None else max(1, min(probes, index.cells))
-    near = F.array_union(nearest_cells(F.col("_v"), index.centers, n), F.array(F.lit(ODD)))
+    near = F.array(F.lit(ODD)) if n == index.cells else F.array_union(nearest_cells(F.col("_v"), index.centers, n), F.array(F.lit(ODD)))
     asked = queries.select(F.col(query_id).alias("_q"), F.col(query_vector).alias("_v")).withColumn("cell", F.explode(near))
     held = index.rows(spark)
     if n < index.cells:
         held = held.where(F.col("cell").isin([r.cell for r in asked.select("cell").distinct().collect()]))
-    pairs = held.select(F.col(index.id_col).alias("_id"), F.col(index.vector_col).alias("_w"), "cell").join(small_side(asked), "cell")
-    scored = pairs.select("_q", "_id", dot(F.col("_v"), F.col("_w")).alias("score")).where("score IS NOT NULL AND NOT isnan(score)")
+    rows = held.select(F.col(index.id_col).alias("_id"), F.col(index.vector_col).alias("_w"), "cell")
+    odd = rows.where(F.col("cell") == ODD).join(small_side(asked.where(F.col("cell") == ODD)), "cell")
+    scored = odd.select("_q", "_id", dot(F.col("_v"), F.col("_w")).alias("score"))
+    if n == index.cells:  # all cells: which one a row is in says nothing
+        asked = asked.where(F.get(nearest_cells(F.col("_v"), index.centers, 1), F.lit(0)) != ODD).withColumn("cell", F.lit(0))
+        rows = rows.where(F.col("cell") != ODD).withColumn("cell", F.lit(0))
+    scored = scored.unionByName(_best_of_blocks(rows.where(F.col("cell") != ODD), asked.where(F.col("cell") != ODD), k)).where("score IS NOT NULL AND NOT isnan(score)")
     best = scored.withColumn("place", F.row_number().over(Window.partitionBy("_q").orderBy(F.desc("score"), "_id"))).where(F.col("place") <= k)
     same = query_id.lower() == index.id_col.lower()
     return best.select(F.col("_q").alias(query_id), F.col("_id").alias(f"found_{index.id_col}" if same else index.id_col), "score", "place")

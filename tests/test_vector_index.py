@@ -105,3 +105,30 @@ def test_queries_without_a_direction_and_empty_tables(clustered, index, spark, t
     assert none.count() == 0 and search(index, clustered.limit(0), "vec_id", "embedding", 3, 2).count() == 0
     empty = build_index(clustered.limit(0), f"{tmp_path}/e", "vec_id", "embedding")
     assert empty.cells == 0
+
+
+def test_blocks_rank_copies_by_id_and_multiply_matrices(spark, tmp_path, monkeypatch):
+    """Many small blocks, with copies whose scores tie: the rows of brute force, without a pass over all pairs in the plan."""
+    from corvane.operators import vector_index as v
+
+    monkeypatch.setattr(v, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(v, "BLOCK_QUERIES", 7)
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(60, 8)).astype(np.float32)
+    held = [(i, base[i % 60].tolist()) for i in range(240)] + [(500, [0.0] * 8), (501, None), (502, [1.0])]
+    rows = spark.createDataFrame(held, "id long, v array<float>")
+    asked = spark.createDataFrame([(i, held[i][1]) for i in range(20)], "q long, v array<float>")
+    index = v.build_index(rows, str(tmp_path / "i"), "id", "v", cells=5)
+    found = v.search(index, asked, "q", "v", 6)
+    got = {(r.q, r.place): (r.id, r.score) for r in found.collect()}
+    for q in range(20):
+        scores = [(-sum(float(a) * float(b) for a, b in zip(held[q][1], w)), i) for i, w in held if w and len(w) == 8]
+        for place, (score, i) in enumerate(sorted(scores)[:6], 1):
+            assert got[q, place] == (i, pytest.approx(-score, abs=1e-12))
+    assert "FlatMapCoGroupsInPandas" in found._jdf.queryExecution().analyzed().toString()
+    few = {(r.q, r.place): r.id for r in v.search(index, asked, "q", "v", 6, 4).collect()}
+    cells = {r.id: r.cell for r in index.rows(spark).collect()}
+    near = {r.q: {*r.n, ODD} for r in asked.select("q", nearest_cells(F.col("v"), index.centers, 4).alias("n")).collect()}
+    for q in range(20):
+        scores = [(-sum(float(a) * float(b) for a, b in zip(held[q][1], w)), i) for i, w in held if w and len(w) == 8 and cells[i] in near[q]]
+        assert [few[q, place] for place in range(1, 7)] == [i for _, i in sorted(scores)[:6]]
