@@ -251,7 +251,7 @@ def extraction_faults(spark, folder):
     )
     item = Shape("object", fields={"name": Shape("text", required=True), "size": Shape("integer", most=40)})
     fields = {"source_quote": Shape("text", required=True), "amount": Shape("number"), "kind": Shape("text", one_of=("part", "tool")), "place": Shape("object", open=False, fields={"city": Shape("text")}), "items": Shape("list", items=item)}
-    rows = table(spark, folder, "part").select(_i(), F.concat(F.lit("About "), "p_name").alias("text"), js.alias("js"))
+    rows = spread(table(spark, folder, "part")).select(_i(), F.concat(F.lit("About "), "p_name").alias("text"), js.alias("js"))
     found = checked(rows, "js", Shape("object", fields=fields), "text")
     return found.select("p_partkey", F.explode("violations").alias("f")).select("p_partkey", "f.path", "f.reason")
 
