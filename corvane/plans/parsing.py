@@ -1,11 +1,10 @@
 """Parser queries over generated pages, instructions and replies."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corvane.functions import contents, parsers
 from corvane.functions.text import base_section
-from corvane.operators.page_tables import page_tables
+from corvane.operators.page_tables import tables_in_pages
 from corvane.operators.ranking import first_per
 from corvane.operators.validation import Shape, checked
 from corvane.operators.walks import walk
@@ -267,18 +266,24 @@ def page_tables_of_lines(spark, folder):
     cells come back."""
     page = F.floor(F.col("l_orderkey") / 40).alias("page")
     order = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    n = F.row_number().over(Window.partitionBy("page").orderBy(*order)) - 1
-    rows = table(spark, folder, "lineitem").select(page, *order, "l_returnflag", "l_shipdate").withColumn("n", n)
-    top = F.col("n") * 14 + F.floor(F.col("n") / 25) * 50
-    sparse = F.when(F.col("n") % 25 % 7 == 3, F.array().cast("array<string>")).otherwise(F.array(F.lit("part"), F.col("l_partkey").cast("string")))
-    cells = ((0, F.array(F.col("l_orderkey").cast("string"))), (120, sparse), (300, F.array("l_returnflag")), (340, F.array(F.date_format("l_shipdate", "yyyy-MM-dd"))))
-    placed = [_boxes(words, x) for x, words in cells]
-    jitter = lambda k: (F.pmod(F.xxhash64("page", "n", "b.word", F.lit(k)), F.lit(17)) - 8) / 8.0
-    words = rows.select("page", "n", top.alias("y"), F.explode(F.concat(*placed)).alias("b"))
-    boxes = words.select(
-        "page", "b.word", (F.col("b.x0") + jitter(1)).alias("x0"), (F.col("b.x0") + 6 * F.length("b.word") - 2 + jitter(2)).alias("x1"), (F.col("y") + jitter(3)).alias("top"), (F.col("y") + 9 + jitter(3)).alias("bottom")
-    )
-    found = page_tables(boxes, ["page"], column_gap=10.0)  # words of a cell are up to seven apart
+    rows = table(spark, folder, "lineitem").select(page, F.struct(*order, "l_returnflag", "l_shipdate").alias("l")).repartition("page")
+    pages = rows.groupBy("page").agg(F.array_sort(F.collect_list("l")).alias("lines"))
+
+    def placed(line, n):
+        top = n * 14 + F.floor(n / 25) * 50
+        sparse = F.when(n % 25 % 7 == 3, F.array().cast("array<string>")).otherwise(F.array(F.lit("part"), line["l_partkey"].cast("string")))
+        cells = ((0, F.array(line["l_orderkey"].cast("string"))), (120, sparse), (300, F.array(line["l_returnflag"])), (340, F.array(F.date_format(line["l_shipdate"], "yyyy-MM-dd"))))
+
+        def box(b):
+            jitter = lambda k: (F.pmod(F.xxhash64("page", n, b["word"], F.lit(k)), F.lit(17)) - 8) / 8.0
+            return F.struct(
+                b["word"].alias("word"), (b["x0"] + jitter(1)).alias("x0"), (b["x0"] + 6 * F.length(b["word"]) - 2 + jitter(2)).alias("x1"), (top + jitter(3)).alias("top"), (top + 9 + jitter(3)).alias("bottom")
+            )
+
+        return F.transform(F.concat(*[_boxes(words, x) for x, words in cells]), box)
+
+    words = pages.select("page", F.flatten(F.transform("lines", placed)).alias("words"))
+    found = tables_in_pages(words, ["page"], column_gap=10.0)  # words of a cell are up to seven apart
     return found.select("page", "table", "row", F.array_join("cells", "|").alias("cells"))
 
 

@@ -59,3 +59,14 @@ def test_gaps_are_parameters(spark):
     assert found(spark, words, column_gap=3.0) == {(1, 0): [["a", "b"], ["c", ""]]}
     assert found(spark, words, row_gap=5.0) == {(1, 0): [["a c b"]]}
     assert found(spark, words, table_gap=1.0) == {(1, 0): [["a b"]], (1, 1): [["c"]]}
+
+
+def test_a_page_s_words_are_shuffled_once_and_sorted_in_no_window(spark):
+    words = spark.createDataFrame(boxes(1, [A, B]) + boxes(2, [B], 0.5, 3), SCHEMA)
+    plan = page_tables(words, ["page"])._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_words_of_one_place_go_by_their_letters_and_pages_may_hold_none(spark):
+    same = [(1, w, 0.0, 10.0, 0.0, 10.0) for w in ("b", "\u00e9", "a", "B")] + [(1, "z", 0.0, 10.0, 12.0, 20.0), (1, "x", float("nan"), 1.0, 0.0, 1.0), (2, " ", 0.0, 1.0, 0.0, 1.0)]
+    assert found(spark, same) == {(1, 0): [["B a b \u00e9"], ["z"]]}
