@@ -1,11 +1,13 @@
-"""Near copies by the Jaccard similarity of five-word shingles, verified exactly.
+"""Near copies by five-word SimHash fingerprints through pivot distance tables, and by blocks of equal minima for what lies
+further apart; links are verified exactly, by the Jaccard similarity of five-word shingles.
 
-Texts with equal sets of shingles are one node. SimHash blocks and pivot distances are complete for a few bits only, but a
-similarity of 0.8 leaves fingerprints some ten bits apart: at such a radius, distances to pivots discard hardly a pair, and
-no choice of segments is left on which a pair must agree. So candidates come from blocks of equal minima: BANDS times
-BAND_ROWS minima of seeded hashes, a block for each band. A pair at 0.8 shares a block with probability 1 - (1 - 0.8^4)^14 =
-0.9994. Of the pairs that are looked at, those whose five-word SimHash fingerprints differ in more than RADIUS bits drop out,
-and the others are verified on the shingles themselves.
+Texts with equal sets of shingles are one node. First, fingerprints go through the operator of `llm/simhash.py`: segment
+blocks and pivot distances give all that are at most PIVOT_RADIUS bits apart. A similarity of 0.8 leaves fingerprints some
+ten bits apart, though: at such a radius, distances to pivots discard hardly a pair, and no choice of segments is left on
+which a pair must agree. So further candidates come from blocks of equal minima: BANDS times BAND_ROWS minima of seeded
+hashes, a block for each band. A pair at 0.8 shares a block with probability 1 - (1 - 0.8^4)^14 = 0.9994. Of the pairs that
+are looked at, those whose fingerprints differ in more than RADIUS bits drop out, and the others are verified on the shingles
+themselves.
 
 Pairs within a group of copies are not listed. Each node is first compared with one head: the smallest node of its blocks.
 What that links is one component, and from then on only nodes of different components are compared: first with the heads of
@@ -25,10 +27,12 @@ from xxhash import xxh64_intdigest
 
 from corvane.llm.common import free_name, settle
 from corvane.llm.graph import connected_components
-from corvane.llm.simhash import AT_ONCE
+from corvane.llm.simhash import AT_ONCE, pivot_links
 
 SHINGLE_WORDS = 5
 BANDS, BAND_ROWS = 14, 4
+#: Bits up to which the pivot tables' segment blocks hold all pairs.
+PIVOT_RADIUS = 3
 #: Bits; at a similarity of 0.8 fingerprints differ in 9.7 on average, with a standard deviation of 2.9.
 RADIUS = 22
 BLOCK_ROWS = 32
@@ -106,6 +110,16 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").where(9 * both >= 4 * (F.size("a") + F.size("b"))).select("u", "v")
 
 
+def _pivot_pairs(reps: DataFrame) -> DataFrame:
+    """Pairs (u, v) of nodes whose fingerprints are at most PIVOT_RADIUS bits apart, enough of them to connect all: each with
+    the smallest node of its fingerprint, and these along the links of the pivot tables."""
+    least = settle(reps.groupBy("fp").agg(F.min("node").alias("v")), "fingerprint-nodes")
+    same = reps.select("node", "fp").join(least, "fp").where("node <> v").select(F.col("node").alias("u"), "v")
+    near = pivot_links(least.select("fp"), PIVOT_RADIUS).distinct()
+    named = near.join(least.select(F.col("fp").alias("u"), F.col("v").alias("a")), "u").join(least.select(F.col("fp").alias("v"), F.col("v").alias("b")), "v")
+    return settle(same.unionByName(named.select(F.col("a").alias("u"), F.col("b").alias("v"))), "pivot-pairs")
+
+
 def _open_blocks(rows: DataFrame, keys: list[str], links: DataFrame) -> DataFrame:
     """The rows of the blocks that hold several components, with their component."""
     labels = connected_components(links)
@@ -132,26 +146,28 @@ def _large_blocks(rows: DataFrame, keys: list[str], sets: DataFrame) -> DataFram
     return tasks.join(sets, "node").groupBy(*keys, "x", "y").applyInPandas(_block_forest, "u long, v long")
 
 
-def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS, bands: int = BANDS) -> DataFrame:
     """One row per row of `docs`: the id and component_id, the smallest id reachable over links.
 
     Linked are rows whose texts have a Jaccard similarity of 0.8 or more on their sets of five-word shingles (words
     between ASCII white space, ASCII letters in lower case), whole texts of any length. Texts without a word, null ones
     too, are equal to each other. A text of fewer words has one shingle, of all its words. Repeated rows get equal
     results. Null ids get a component_id where another row of the component has an id. Other columns are ignored. An
-    empty table gives an empty result.
+    empty table gives an empty result. Without `bands`, links are those of PIVOT_RADIUS bits only.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = settle(texts.mapInPandas(_sketches, f"id {kind}, node long, fp long, keys array<long>"), "sketches")
     reps = settle(rows.groupBy("node").agg(F.min("id").alias("least"), F.min("fp").alias("fp"), F.min("keys").alias("keys")), "representatives")
 
-    dealt = settle(reps.select("node", "fp", F.posexplode("keys").alias("t", "key")), "dealt")
+    by_pivots = _pivot_pairs(reps)
+    dealt = settle(reps.select("node", "fp", F.posexplode(F.slice("keys", 1, bands)).alias("t", "key")), "dealt")
     heads = dealt.groupBy("t", "key").agg(F.min(F.struct("node", "fp")).alias("h"), F.max("node").alias("last")).where("h.node <> last")
     heads = settle(heads.select("t", "key", F.col("h.node").alias("head"), F.col("h.fp").alias("head_fp")), "heads")  # a plain scan, so that the join can split a hot block
     blocks = settle(dealt.join(heads, ["t", "key"]), "blocks")
 
-    needed = settle(blocks.select("node").distinct(), "needed")
+    both_sides = by_pivots.select(F.explode(F.array("u", "v")).alias("node"))
+    needed = settle(blocks.select("node").unionByName(both_sides).distinct(), "needed")
     own = settle(rows.join(needed, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")), "sources")
 
     @F.pandas_udf("array<long>")
@@ -168,7 +184,8 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     near = blocks.where((F.col("node") != F.col("head")) & _near("fp", "head_fp"))
     first = settle(near.groupBy("node").agg(F.min("head").alias("v")).select(F.col("node").alias("u"), "v"), "first-heads")
-    links = settle(_verified(first, sets), "links")
+    first = first.join(by_pivots, ["u", "v"], "left_anti")  # those are verified once
+    links = settle(_verified(by_pivots.unionByName(first), sets), "links")
     open_ = _open_blocks(blocks, ["t", "key"], links)
     if open_.limit(1).count():
         of_head = open_.where("node = head").select("t", "key", F.col("component").alias("its"))
