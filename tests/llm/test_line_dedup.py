@@ -3,7 +3,9 @@ import random
 import numpy as np
 import pytest
 
-from corvane.llm.line_dedup import GRAM, drop_repeated_lines, winnowed
+from xxhash import xxh64_intdigest
+
+from corvane.llm.line_dedup import GRAM, drop_repeated_lines, fingerprints, winnowed, word_hashes
 
 
 def brute(rows, least):
@@ -153,3 +155,28 @@ def test_every_passage_has_its_minimum_selected():
     again, same = winnowed(h[100:160], 40)
     assert set(same) & set(keys) and len(winnowed(h[:39], 40)[0]) == 0
     assert len(winnowed(np.full(300, 5, np.uint64), 40)[0]) == 300 - GRAM + 1
+
+
+def test_texts_hashed_together_have_the_fingerprints_that_each_has_alone():
+    rng = random.Random(12)
+    texts = ["", " ", "\n\n", "a\nb c\n\n d ", "q\n" * 60, "\x0bx \x85y\xa0z\n"]
+    for _ in range(60):
+        lines = [" ".join(f"w{rng.randrange(9)}" for _ in range(rng.choice([0, 1, 3, 12, 70]))) for _ in range(rng.randrange(9))]
+        texts.insert(rng.randrange(len(texts)), "\n".join(lines))
+    at, keys, cuts = fingerprints(texts, 10, 48)
+    assert len(at) > 300
+    for i, text in enumerate(texts):
+        alone = fingerprints([text], 10, 48)
+        assert [x.tolist() for x in alone[:2]] == [at[cuts[i] : cuts[i + 1]].tolist(), keys[cuts[i] : cuts[i + 1]].tolist()]
+        words = text.encode().split()
+        assert all(0 <= p < len(words) for p in alone[0])
+        windows = {(p, k) for p, k in zip(*winnowed(np.array([xxh64_intdigest(w) for w in words], np.uint64), 48))}
+        assert {(p, k) for p, k in windows} <= {(int(p), k) for p, k in zip(alone[0], alone[1].view(np.uint64))}
+
+
+def test_words_are_hashed_by_xxh64_whatever_their_length():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcé\u4e2dxyz\ud800") for _ in range(n % 45 + 1)) for n in range(500)]
+    hashes, starts, bounds = word_hashes(["\n".join(words), "", words[0]])
+    assert hashes.tolist() == [xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in [*words, words[0]]]
+    assert starts.tolist() == list(range(501)) and bounds.tolist() == [0, 500, 500, 501]
