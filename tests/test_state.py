@@ -1,5 +1,6 @@
 import shutil
 from datetime import datetime, timedelta
+from functools import partial
 
 import pytest
 
@@ -74,3 +75,31 @@ def test_old_keys_are_dropped_and_come_back_as_new(run):
 def test_null_keys_digests_and_qualities(run):
     got, _ = run([record(1, None, None, 0), record(2, None, None, 1), record(3, None, "x", 2), ("q", "x", None, START, 4), ("q", "x", 3.0, START + timedelta(hours=1), 5)])
     assert {n: s for n, (s, _) in got.items()} == {1: "new", 2: "cached", 3: "fresh", 4: "new", 5: "cached"} and got[5][1] == 3.0
+
+
+def test_many_keys_share_rows_of_state(run, monkeypatch):
+    monkeypatch.setitem(globals(), "with_status", partial(with_status, buckets=8))
+    rows = [record(n, f"k{(n * n + n // 900) % 700}", f"d{n % 2}", n // 4 / 12.5, float(n * 13 % 11)) for n in range(5000)]
+    got, progress = run(rows[:2500], rows[2500:], keep=timedelta(hours=5))
+    assert got == plain(rows, timedelta(hours=5)) and {s for s, _ in got.values()} == {"new", "cached", "fresh"}
+    assert 0 < max(o.numRowsTotal for p in progress for o in p.stateOperators) <= 8  # not a row, nor a call, for each key
+
+
+def test_keys_last_as_long_in_any_time_zone(run, spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        got, _ = run([record(1, "a", "x", 0)], [record(2, "b", "x", 71)], [record(3, "b", "x", 71.2)], [record(4, "a", "x", 71.5)])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got[4][0] == "cached"
+
+
+def test_a_record_whose_key_is_over_at_once(run):
+    got, _ = run([record(1, "a", "x", 0), record(2, "live", "x", 200)], [record(3, "late", "x", 100)], [record(4, "late", "x", 200)])
+    assert got == {1: ("new", 1.0), 2: ("new", 1.0), 3: ("new", 1.0), 4: ("new", 1.0)}
+
+
+def test_records_without_a_time_come_last(run):
+    got, _ = run([("a", "x", 1.0, None, 1), record(2, "a", "x", 0), ("a", "x", 2.0, None, 3), ("b", "x", 1.0, None, 4)], [record(5, "a", "x", 1), record(6, "b", "x", 1)])
+    assert {n: s for n, (s, _) in got.items()} == {2: "new", 1: "cached", 3: "new", 4: "new", 5: "new", 6: "new"}
