@@ -123,8 +123,8 @@ def toc_sections(page: Column, source: Source) -> Column:
 
 def captioned_rows(page: Column, begin: str, end: str) -> Column:
     """array of struct(number, title) of the rows of a plain list like "1 Words and phrases Sections 100-161 2 Administration
-    Sections 200-217", between two words of the page: a number with the words behind it, up to Section or Sections. Of
-    equal numbers the first counts."""
+    Sections 200-217", between two words of the page: a number with the words behind it, up to Section or Sections. A number
+    of more than three digits must begin its row, as a caption may hold a year. Of equal numbers the first counts."""
     plain = F.regexp_replace(F.regexp_replace(page, r"<[^>]*>", " "), r"\s+", " ")
     held = F.concat(F.lit(" "), F.coalesce(F.split_part(behind(plain, f"{begin} "), F.lit(f" {end}"), F.lit(1)), F.lit("")))
     chunks = F.split(F.translate(held, "‑–—", "---"), " Sections? ")
@@ -133,10 +133,12 @@ def captioned_rows(page: Column, begin: str, end: str) -> Column:
     def row(w: Column) -> Column:
         digits = F.transform(w, lambda x: x.rlike("[0-9]"))
         last = F.size(w) - F.array_position(F.reverse(digits), F.lit(True)).cast("int")  # the last word with a digit, from 0
-        return bound(last, lambda at: F.struct(F.get(w, at).alias("number"), F.array_join(F.slice(w, at + 2, F.lit(1 << 30)), " ").alias("title")))
+        begins = lambda at: (at == 0) | F.get(digits, at - 1)
+        number = lambda at, n: F.when(n.rlike("^[0-9]{1,3}(-[A-Z])?$") | (begins(at) & n.rlike("^[0-9]+(-[A-Z])?$")), n)
+        return bound(last, lambda at: F.struct(number(at, F.get(w, at)).alias("number"), F.array_join(F.slice(w, at + 2, F.lit(1 << 30)), " ").alias("title")))
 
     rows = F.transform(bound(chunks, lambda c: F.slice(c, 1, F.size(c) - 1)), lambda chunk: bound(words(chunk), row))
-    return first_of_each(F.filter(rows, lambda r: r["number"].rlike("^[0-9]{1,3}(-[A-Z])?$") & r["title"].rlike("^[A-Z]")), "number")
+    return first_of_each(F.filter(rows, lambda r: r["number"].isNotNull() & r["title"].rlike("^[A-Z]")), "number")
 
 
 def valid_page(page: Column, source: Source) -> Column:

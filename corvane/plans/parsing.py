@@ -214,12 +214,13 @@ def contents_walk(spark, folder):
     start = pages.where("key = 'root'").select("source", "key", F.lit("root").alias("kind"), F.lit("").alias("number"))
 
     def expand(level):
-        parent = F.struct("source", F.col("of").alias("key")).alias("parent")
+        parent = F.struct("source", F.col("of").alias("key"), F.col("parent_number").alias("number")).alias("parent")
         here = level.select("source", F.col("key").alias("of"), F.col("number").alias("parent_number"))
-        return here.join(links, ["source", "of"]).select("source", "x.key", parent, "x.kind", "x.number", "parent_number")
+        return here.join(links, ["source", "of"]).select("source", "x.key", parent, "x.kind", "x.number")
 
-    found = walk(start, expand, ["source", "key"], shared_path(spark, "walk"))
-    return found.select("source", "kind", "number", "depth", F.col("parent_number").alias("parent"))
+    # keys are in lower case, as addresses are: numbers may differ in case only
+    found = walk(start, expand, ["source", "key", "number"], shared_path(spark, "walk"))
+    return found.select("source", "kind", "number", "depth", F.col("parent.number").alias("parent"))
 
 
 #: An extraction with every kind of fault, by p_partkey % 8; the SQL lists the faults of each.
