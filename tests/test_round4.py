@@ -1,9 +1,14 @@
+import random
+import re
+import time
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions.contents import captioned_rows
 from corvane.functions.parsers import listed_rows
+from corvane.operators.quotes import find_quotes
 from corvane.plans.catalog import QUERIES, SQL
 
 
@@ -31,3 +36,46 @@ def test_contents_walk_of_many_suppliers(spark, tmp_path, keys):
     want = duck.execute(SQL["contents_walk"]).fetchall()
     got = QUERIES["contents_walk"](spark, str(tmp_path)).select("source", "kind", "number", "depth", "parent").collect()
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def first_places(docs, items, verbatim):
+    out = []
+    for item, quote in items:
+        for doc, text in docs:
+            at = text.find(quote)
+            loose = None if verbatim or at >= 0 else re.search(r"\s+".join(map(re.escape, quote.split())), text)
+            if at >= 0 or loose:
+                out.append((item, doc, *((at, at + len(quote)) if at >= 0 else loose.span())))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("verbatim", [True, False])
+def test_short_passages_equal_brute_force(spark, verbatim):
+    """Words inside words, blanks of all kinds, signs beyond 16 bits, passages at the borders of texts."""
+    draw = random.Random(4)
+    made = lambda n, parts: "".join(draw.choice(parts) for _ in range(n))
+    docs = [(i, made(draw.randrange(40), ["a", "b", "ab", "é", "\U0001f600", " ", " ", "  ", "\n", "\t", "\xa0"])) for i in range(200)] + [(200, ""), (201, "a"), (202, "b a"), (203, "a" * 5000)]
+    forms = ["{0}", "{0} {1}", "{0} {1}", "{0}  {1}", "{0}\n{1}", " {0}", "{0} ", "{0}\xa0{1}", "{0}\t{1} "]
+    items = [(i, draw.choice(forms).format(made(draw.randrange(1, 4), ["a", "b", "é", "\U0001f600"]), made(draw.randrange(1, 4), ["a", "b", "\U0001f600"]))) for i in range(300)]
+    d, q = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(map(tuple, find_quotes(d, q, verbatim=verbatim).collect())) == first_places(docs, items, verbatim)
+
+
+def test_passages_that_begin_alike_are_not_tried_one_by_one(spark):
+    """30,000 passages of one first word, looked for in 400 texts with it: before, each was looked for in each text."""
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("begins 7 "), F.repeat(F.lit("all that "), 3000)).alias("text"))
+    items = spark.range(30_000).select(F.col("id").alias("item_id"), F.concat(F.lit("begins "), "id").alias("text"))
+    begun = time.monotonic()
+    assert find_quotes(docs, items, verbatim=True).groupBy("item_id").count().collect() == [(7, 400)]
+    assert time.monotonic() - begun < 20
+
+
+def test_hits_of_short_passages_are_not_shuffled(spark, tmp_path):
+    """What all texts hold meets its items where it was found, though the plan can't know that these are few."""
+    spark.createDataFrame([(i, f"The {i} and") for i in range(100)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES["short_quotes"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
